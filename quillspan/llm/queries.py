@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import byte_bpe, fingerprints, language_id, quality_rules, source_mix
 
 QUERIES = {
+    "op2_fingerprints": fingerprints.op2,
+    "op5_source_mix": source_mix.op5,
+    "op6_language_id": language_id.op6,
     "op7_quality_rules": quality_rules.op7,
+    "op9_byte_bpe": byte_bpe.op9,
 }
 
 ORACLE = {
+    "op5_source_mix": source_mix.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
 }
