@@ -30,7 +30,7 @@ from pyspark.sql.functions import pandas_udf
 PROFILE_SIZE = 300
 MAX_LANGUAGES = 1000
 #: A pipeline drops texts below this score: hardly any of their n-grams are in the nearest profile.
-LEAST_SCORE = 0.02
+LEAST_SCORE = 0.1
 
 
 @cache

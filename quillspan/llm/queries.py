@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprints, language_id, quality_rules, source_mix
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import byte_bpe, fingerprints, language_id, near_dup, quality_rules, source_mix, warc
+from .common import ship
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
-    "op2_fingerprints": fingerprints.op2,
+    "op2_fingerprints": _shipped(fingerprints.op2),
     "op5_source_mix": source_mix.op5,
-    "op6_language_id": language_id.op6,
+    "op6_language_id": _shipped(language_id.op6),
     "op7_quality_rules": quality_rules.op7,
-    "op9_byte_bpe": byte_bpe.op9,
+    "op8_warc": _shipped(warc.op8),
+    "op9_byte_bpe": _shipped(byte_bpe.op9),
+    "op10_near_dup": _shipped(near_dup.op10),
 }
 
 ORACLE = {
     "op5_source_mix": source_mix.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
 }

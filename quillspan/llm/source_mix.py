@@ -128,12 +128,12 @@ WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'a' |
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 src AS (SELECT s, CAST(sum(size) AS BIGINT) AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY s) - 1) % 3 + 1] AS w FROM d GROUP BY s),
 rounds AS (
-    SELECT 0 AS i, s, CAST(w AS DOUBLE) AS w, source_size, false AS full, 1.5 * (sum(source_size) OVER ()) / (sum(CAST(w AS DOUBLE)) OVER ()) AS level FROM src
+    SELECT 0 AS i, s, CAST(w AS DOUBLE) AS w, source_size, false AS at_cap, 1.5 * (sum(source_size) OVER ()) / (sum(CAST(w AS DOUBLE)) OVER ()) AS level FROM src
     UNION ALL
     SELECT i + 1, s, w, source_size, f, CASE WHEN count(*) FILTER (WHERE NOT f) OVER () = 0 THEN level ELSE
         (1.5 * (sum(source_size) OVER ()) - coalesce(sum(2 * source_size) FILTER (WHERE f) OVER (), 0)) / (sum(w) FILTER (WHERE NOT f) OVER ()) END
-    FROM (SELECT *, full OR level * w > 2 * source_size AS f FROM rounds WHERE i < 60)),
-t AS (SELECT s, source_size, CASE WHEN full THEN CAST(2 * source_size AS DOUBLE) ELSE least(level * w, CAST(2 * source_size AS DOUBLE)) END AS target,
+    FROM (SELECT *, at_cap OR level * w > 2 * source_size AS f FROM rounds WHERE i < 60)),
+t AS (SELECT s, source_size, CASE WHEN at_cap THEN CAST(2 * source_size AS DOUBLE) ELSE least(level * w, CAST(2 * source_size AS DOUBLE)) END AS target,
     least({MAX_SHARDS}, greatest(1, CAST(ceil(source_size / {SHARD_WORDS}) AS BIGINT))) AS shards FROM rounds WHERE i = 60),
 q AS (SELECT s, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, s) AS r, round((SELECT sum(target) FROM t) / {BLOCK}) AS seats
     FROM (SELECT s, target, unnest(range(1, CAST(target / {BLOCK} AS BIGINT) + 3)) AS k FROM t WHERE target > 0)),
