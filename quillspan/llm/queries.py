@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, language_id, near_dup, quality_rules, source_mix, warc
+from . import byte_bpe, fingerprints, html_extraction, language_id, license_scan, near_dup, quality_rules, source_mix, tool_calls, warc
 from .common import ship
 
 
@@ -19,7 +19,10 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = {
+    "op1_tool_calls": tool_calls.op1,
     "op2_fingerprints": _shipped(fingerprints.op2),
+    "op3_html_extraction": _shipped(html_extraction.op3),
+    "op4_license_scan": license_scan.op4,
     "op5_source_mix": source_mix.op5,
     "op6_language_id": _shipped(language_id.op6),
     "op7_quality_rules": quality_rules.op7,
@@ -29,6 +32,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_tool_calls": tool_calls.ORACLE_SQL,
+    "op4_license_scan": license_scan.ORACLE_SQL,
     "op5_source_mix": source_mix.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
