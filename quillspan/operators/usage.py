@@ -1,0 +1,171 @@
+"""Token usage: pricing, grouping, merging of revisions, duplicates and baselines.
+
+Missing is not zero: a cost or status that the evidence does not give stays null and is counted.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillspan.functions.columns import TOKENS, all_tokens, coverage_state, monday
+
+PROJECTION = ["source_id", "generation", "revision"]
+NEVER_PRICED = ("incomplete-attribution", "message-partial")
+UNATTRIBUTED = ("incomplete-attribution", "message-partial", "message-without-id")
+#: Rates are a table written by hand; past this size the join is left to Spark's own choice.
+BROADCAST_RATES = 100_000
+
+
+def current(facts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The facts of each session's current projection: all four keys agree."""
+    keys = sessions.select(F.col("id").alias("session_id"), *PROJECTION)
+    return facts.join(keys, ["session_id", *PROJECTION], "left_semi")
+
+
+def price(usage: DataFrame, rates: DataFrame, context: str = "standard", at: Column | None = None) -> DataFrame:
+    """usage with rate_id, tier, four cost lanes, cost and priced_tokens.
+
+    A rate counts where context and model agree and effective_from <= time < effective_to. Two rates that match
+    give no price, and partial or unattributed observations are never priced."""
+    at = F.col("ts") if at is None else at
+    r = rates.where(F.col("context") == context).select("rate_id", F.col("model").alias("rate_model"), "tier", "effective_from", "effective_to", "input", "cache_read", "cache_write", "output")
+    few = rates.count() <= BROADCAST_RATES
+    keyed = usage.withColumn("_at", at)
+    holds = (F.col("model") == F.col("rate_model")) & (F.col("_at") >= F.col("effective_from")) & (F.col("effective_to").isNull() | (F.col("_at") < F.col("effective_to")))
+    # One rate for each model and interval: the intervals where more than one holds are cut out beforehand.
+    matched = keyed.join(F.broadcast(_unambiguous(r)) if few else _unambiguous(r), holds, "left")
+    ok = F.col("rate_id").isNotNull() & ~F.col("kind").isin(*NEVER_PRICED)
+    lanes = {"cost_input": ("tokens_in", "input"), "cost_cache_read": ("tokens_cache", "cache_read"), "cost_cache_write": ("tokens_write", "cache_write"), "cost_output": ("tokens_out", "output")}
+    out = matched.withColumns({k: F.when(ok, F.col(t) * F.col(p) / 1e6) for k, (t, p) in lanes.items()})
+    out = out.withColumn("cost", F.col("cost_input") + F.col("cost_cache_read") + F.col("cost_cache_write") + F.col("cost_output"))
+    out = out.withColumn("priced_tokens", F.when(ok, all_tokens()).otherwise(F.lit(0)).cast("long"))
+    out = out.withColumn("unattributed_tokens", F.when((F.col("model") == "") | F.col("kind").isin(*UNATTRIBUTED), all_tokens()).otherwise(F.lit(0)).cast("long"))
+    keep = [*usage.columns, *lanes, "cost", "priced_tokens", "unattributed_tokens"]
+    return out.select(*keep, F.when(ok, F.col("rate_id")).alias("rate_id"), F.when(ok, F.col("tier")).alias("tier"))
+
+
+def _unambiguous(rates: DataFrame) -> DataFrame:
+    """The rates cut at every boundary of their model, without the pieces on which two hold."""
+    w = Window.partitionBy("rate_model").orderBy("b")
+    bounds = rates.select("rate_model", F.col("effective_from").alias("b")).union(rates.select("rate_model", F.col("effective_to").alias("b")).where("b IS NOT NULL")).distinct()
+    pieces = bounds.select("rate_model", F.col("b").alias("p_from"), F.lead("b").over(w).alias("p_to"))
+    inside = (F.col("p_from") >= F.col("effective_from")) & (F.col("effective_to").isNull() | (F.col("p_from") < F.col("effective_to")))
+    cut = pieces.join(rates, "rate_model").where(inside)
+    lonely = cut.withColumn("_n", F.count("*").over(Window.partitionBy("rate_model", "p_from"))).where("_n = 1")
+    return lonely.drop("_n", "effective_from", "effective_to").withColumnsRenamed({"p_from": "effective_from", "p_to": "effective_to"})
+
+
+def sums(*names: str) -> list[Column]:
+    return [F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names]
+
+
+def session_totals(priced: DataFrame) -> DataFrame:
+    """Tokens, price and coverage of each session."""
+    return priced.groupBy("session_id").agg(
+        *sums(*TOKENS, "priced_tokens", "unattributed_tokens"), F.sum("cost").alias("cost_estimate"),
+        *[F.sum(c).alias(c) for c in ("cost_input", "cost_cache_read", "cost_cache_write", "cost_output")], F.count("*").alias("observations"),
+    )
+
+
+def dimension(name: str) -> Column:
+    """The key of a grouping dimension over usage joined with its session's catalog row."""
+    return {
+        "project": F.col("project"),
+        "machine": F.col("machine_id"),
+        "provider": F.col("provider"),
+        "model": F.col("model"),
+        "day": F.date_format("ts", "yyyy-MM-dd"),
+        "week": F.date_format(monday(F.col("ts")), "yyyy-MM-dd"),
+        "month": F.date_format("ts", "yyyy-MM"),
+        "year": F.date_format("ts", "yyyy"),
+        "agentKind": F.when(F.col("agent_id") == "", "unattributed")
+        .when((F.col("agent_id") == F.col("native_agent_id")) & (F.col("native_agent_id") != ""), "child-agent")
+        .when((F.col("agent_id") == "main") & (F.col("parent_native_id") == ""), "main")
+        .when(F.col("agent_id") == "main", "child-thread")
+        .otherwise("unclassified"),
+    }[name]
+
+
+def grouped_usage(priced: DataFrame, catalog: DataFrame, by: str) -> DataFrame:
+    """Usage by one of nine dimensions with its pricing coverage; key '' is unknown."""
+    joined = priced.join(catalog.select(F.col("id").alias("session_id"), "project", "machine_id", "provider", "native_agent_id", "parent_native_id"), "session_id")
+    out = joined.groupBy(F.coalesce(dimension(by), F.lit("")).alias("key")).agg(
+        F.countDistinct("session_id").alias("sessions"), F.count("*").alias("observations"), *sums(*TOKENS, "priced_tokens", "unattributed_tokens"),
+        F.round(F.sum("cost"), 4).alias("cost"),
+    )
+    recorded = all_tokens()
+    state = coverage_state(recorded, F.lit(0), F.col("priced_tokens"), F.col("unattributed_tokens"))
+    return out.withColumn("coverage", state)
+
+
+def session_models(usage: DataFrame) -> DataFrame:
+    """Per session and model: agents, observations, buckets, and whether the model is known."""
+    out = usage.groupBy("session_id", "model").agg(F.countDistinct("agent_id").alias("agents"), F.count("*").alias("observations"), *sums(*TOKENS))
+    return out.withColumn("attributed", F.col("model") != "")
+
+
+def first_report(usage: DataFrame) -> DataFrame:
+    """Each provider message once, its first report counting: the order is time, then id."""
+    w = Window.partitionBy("session_id", "agent_id", "message_id").orderBy(F.col("ts").asc_nulls_last(), "id")
+    return usage.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def merged_reports(usage: DataFrame) -> DataFrame:
+    """Each provider message once, later reports merged in: the last value that is present of each bucket.
+
+    A bucket is present where it is above zero, the model where it is named; the kind is message-final once all five are known."""
+    key = ["session_id", "agent_id", "message_id"]
+    at = F.struct(F.coalesce("ts", F.lit("0001-01-01").cast("timestamp_ntz")), "id")
+    present = {t: F.when(F.col(t) > 0, F.col(t)) for t in TOKENS} | {"model": F.nullif(F.col("model"), F.lit(""))}
+    aggs = [F.max_by(F.when(v.isNotNull(), v), F.when(v.isNotNull(), at)).alias(k) for k, v in present.items()]
+    out = usage.groupBy(*key).agg(*aggs, F.count("*").alias("reports"), F.max("ts").alias("ts"), F.bool_and(F.col("kind") == "message-without-id").alias("_no_id"))
+    known = F.col("model").isNotNull()
+    for t in TOKENS:
+        known = known & F.col(t).isNotNull()
+    kind = F.when(F.col("_no_id"), "message-without-id").when(known, "message-final").otherwise("message-partial")
+    return out.withColumn("kind", kind).withColumns({t: F.coalesce(t, F.lit(0)).cast("long") for t in TOKENS}).withColumn("model", F.coalesce("model", F.lit(""))).drop("_no_id")
+
+
+def duplicate_usage(usage: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Observations of two sessions of one native identity and machine that agree in every value.
+
+    One row for each observation with twins: the twin's session where there is exactly one, the owner (the smaller session)
+    and the state: matched, or ambiguous from three on."""
+    s = sessions.select(F.col("id").alias("session_id"), "machine_id", "provider", "native_id")
+    tokens = all_tokens()
+    rows = usage.where((F.col("agent_id") == "main") & F.col("ts").isNotNull() & (tokens > 0)).join(s, "session_id")
+    value = ["machine_id", "provider", "native_id", "ts", "model", "kind", *TOKENS]
+    groups = rows.groupBy(*value).agg(F.count("*").alias("candidates"), F.min("session_id").alias("owner"), F.max("session_id").alias("other"), F.countDistinct("session_id").alias("n"))
+    groups = groups.where("n > 1")
+    out = rows.join(groups, value)
+    twin = F.when((F.col("candidates") == 2) & (F.col("n") == 2), F.when(F.col("session_id") == F.col("owner"), F.col("other")).otherwise(F.col("owner")))
+    return out.select("id", "session_id", "owner", twin.alias("twin_session"), F.when(twin.isNotNull(), "matched").otherwise("ambiguous").alias("state"))
+
+
+def contribution_totals(usage: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Recorded, excluded and counted tokens: counted = recorded - active exclusions (excluded: id)."""
+    flagged = usage.join(excluded.select("id").distinct().withColumn("_x", F.lit(True)), "id", "left")
+    tokens = all_tokens()
+    out = flagged.agg(F.coalesce(F.sum(tokens), F.lit(0)).cast("long").alias("recorded"), F.coalesce(F.sum(F.when(F.col("_x"), tokens)), F.lit(0)).cast("long").alias("excluded"))
+    return out.withColumn("counted", F.col("recorded") - F.col("excluded"))
+
+
+def tier_split(priced: DataFrame) -> DataFrame:
+    """Cost and tokens by the tier of the rate that priced them."""
+    rows = priced.where(F.col("rate_id").isNotNull()).groupBy("tier")
+    return rows.agg(F.count("*").alias("observations"), F.sum("priced_tokens").cast("long").alias("tokens"), F.round(F.sum("cost"), 4).alias("cost"))
+
+
+def attribution_prices(priced: DataFrame, by: str) -> DataFrame:
+    """Price and coverage of each session's agents or models."""
+    out = priced.groupBy("session_id", F.col(by).alias("key")).agg(*sums("priced_tokens", "unattributed_tokens"), F.sum(all_tokens()).cast("long").alias("recorded_tokens"), F.round(F.sum("cost"), 4).alias("cost"))
+    return out.withColumn("unpriced_tokens", F.col("recorded_tokens") - F.col("priced_tokens"))
+
+
+def rate_conflicts(rates: DataFrame) -> DataFrame:
+    """Pairs of rates of one context and model whose intervals overlap; a valid catalog has none."""
+    a, b = rates.alias("a"), rates.alias("b")
+    overlap = (F.col("b.effective_to").isNull() | (F.col("a.effective_from") < F.col("b.effective_to"))) & (F.col("a.effective_to").isNull() | (F.col("b.effective_from") < F.col("a.effective_to")))
+    same = (F.col("a.context") == F.col("b.context")) & (F.col("a.model") == F.col("b.model")) & (F.col("a.rate_id") < F.col("b.rate_id"))
+    return a.join(b, same & overlap).select(F.col("a.rate_id").alias("left_id"), F.col("b.rate_id").alias("right_id"), F.col("a.model").alias("model"))
