@@ -1,4 +1,8 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from quillspan.plans import sessions, spans, times, usage  # noqa: F401  each registers its queries
+from quillspan.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
