@@ -33,10 +33,10 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id."""
     ship(spark)
     docs = docs.select(*COLUMNS)
-    kept = near_dup.near_duplicates(docs, width=5, least=80).where("kept").select("doc_id").distinct()
+    kept = near_dup.near_duplicates(docs, width=5, least=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     # A repeated doc_id would come back once for each of its rows; of exact copies one row stays.
-    copies = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*COLUMNS)))
-    return docs.join(kept, F.col("doc_id") == kept["doc_id"], "left_semi").withColumn("_n", copies).where("_n = 1").drop("_n")
+    copies = F.row_number().over(Window.partitionBy(F.coalesce("doc_id", F.xxhash64("text"))).orderBy(F.xxhash64(*COLUMNS)))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").withColumn("_n", copies).where("_n = 1").drop("_n")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
