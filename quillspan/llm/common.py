@@ -56,8 +56,13 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
+#: Rows that a Python worker gets at a time: few enough for a batch of very long texts.
+BATCH_ROWS = "512"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once for each Spark application."""
+    """Give this package to the executors' Python workers, once for each Spark application, and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -18,8 +18,9 @@ is lost, however frequent a key is.
 
 Candidates. Each key's members are first compared with one member, its hub; confirmed links are
 closed to components, and keys whose members are all in one component are done. When what is left is
-small, or a round links nothing more, every remaining pair of members of different components is
-compared. That last step is exact for any rest; hubs only make it short.
+small, or a round no longer halves it, every remaining pair of members of different components is
+compared, each at its first common key only, and if its signatures are within the distance. That last
+step is exact for any rest; hubs only make it short.
 
 Defined results: a null or empty text has an empty set, is linked with nothing, and is kept; a text of
 fewer words than a shingle has its whole word sequence as its one shingle; repeated rows are copies, and
@@ -71,19 +72,19 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(own: np.ndarray) -> bytes:
-    """The upper 32 bits of the least hash under each of VALUES hash functions."""
+def signature(own: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of the least hash under each of VALUES hash functions, as signed numbers."""
     least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(own), 512):
         part = (own[k : k + 512, None] ^ _SALT) * _ODD
         np.minimum(least, part.min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype("<u4").tobytes()
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit hash, and its signature."""
 
-    @pandas_udf("n long, key binary, sig binary")
+    @pandas_udf("n long, key binary, sig array<int>")
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
@@ -98,24 +99,37 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
 
 def _keys(reps: DataFrame) -> DataFrame:
     """(k, rep): the index keys of each signature. A key holds the chunk, which of its two values is masked, and the other."""
-    values = [F.conv(F.hex(F.substring("sig", 4 * i + 1, 4)), 16, 10).cast("long") + F.lit((i // 2) * 2 + (1 - i % 2)) * F.lit(2**32) for i in range(VALUES)]
-    return reps.select("rep", F.explode(F.array(*values)).alias("k"))
+    keyed = F.transform("sig", lambda x, i: x.cast("long") + (i + 1 - 2 * (i % 2)).cast("long") * F.lit(2**32))
+    return reps.select("rep", F.explode(keyed).alias("k"))
 
 
 def _prefixes(reps: DataFrame) -> DataFrame:
-    """(k, rep, n): each representative's ERRORS + 1 rarest keys, without the keys that it alone has."""
+    """(rep, n, sig, ks): each representative's ERRORS + 1 rarest keys in order, without the keys that it alone has."""
     shared = _keys(reps).groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
     own = _keys(reps).join(shared.hint("shuffle_hash"), "k")
     # At most VALUES rows a representative.
     ranked = own.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "k"))).alias("ks"))
     first = F.greatest(F.lit(0), F.lit(ERRORS + 1 - VALUES) + F.size("ks"))
-    return ranked.select("rep", F.explode(F.slice("ks", 1, first)).alias("x")).select(F.col("x.k").alias("k"), "rep").join(reps.select("rep", "n"), "rep")
+    ranked = ranked.select("rep", F.transform(F.slice("ks", 1, first), lambda x: x["k"]).alias("ks")).where(F.size("ks") > 0)
+    return ranked.join(reps.select("rep", "n", "sig"), "rep")
+
+
+def _within(a: str, b: str) -> Column:
+    """Whether two signatures differ in ERRORS values at most."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return same >= VALUES - ERRORS
 
 
 def _sizes_allow(a: Column, b: Column, least: int) -> Column:
     return 100 * F.least(a, b) >= least * F.greatest(a, b)
 
 
+def _near(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures are within the distance."""
+    a, b = (profiles.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").where(_within("sig_a", "sig_b")).select("a", "b")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
 
@@ -153,8 +167,9 @@ def components(edges: DataFrame) -> DataFrame:
 def _links(members: DataFrame, docs: DataFrame, width: int, least: int) -> DataFrame | None:
     """Enough confirmed links (a, b) between representatives to connect whatever is linked."""
     reps = members.where("rep IS NOT NULL AND doc_id = rep").groupBy("rep").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    keys = settle(_prefixes(reps), "keys")
-    wanted = keys.select("rep").distinct()
+    profiles = settle(_prefixes(reps), "profiles")
+    keys = profiles.select("rep", "n", F.explode("ks").alias("k"))
+    wanted = profiles.select("rep")
     few = wanted.count()
     if not few:
         return None
@@ -166,7 +181,7 @@ def _links(members: DataFrame, docs: DataFrame, width: int, least: int) -> DataF
 
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(wanted) if few <= BROADCAST_IDS else wanted, "rep")
     sets = settle(texts.select("rep", as_set("text").alias("set")), "sets")
-    links = None
+    links, before = None, float("inf")
     labelled = keys.withColumn("c", F.col("rep"))
     for turn in range(MAX_ROUNDS + 1):
         if links is not None:
@@ -180,17 +195,20 @@ def _links(members: DataFrame, docs: DataFrame, width: int, least: int) -> DataF
         rows, pairs_left = labelled.agg(F.count("*"), F.sum(F.col("pairs") / F.col("members"))).first()
         if not rows:
             return links
-        last = pairs_left <= 2 * rows or turn == MAX_ROUNDS
+        last = pairs_left <= 2 * rows or pairs_left > before / 2 or turn == MAX_ROUNDS
+        before = pairs_left
         own = labelled.select("k", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+        other = (F.col("ca") != F.col("cb")) & _sizes_allow(F.col("na"), F.col("nb"), least)
         if last:
-            hub = own.select("k", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
-            pairs = own.join(hub, "k").where("a < b")
+            full = labelled.join(profiles.select("rep", "sig", "ks"), "rep")
+            left, right = (full.select("k", *[F.col(c).alias(to + x) for c, to in (("rep", ""), ("n", "n"), ("c", "c"), ("sig", "sig_"), ("ks", "ks_"))]) for x in "ab")
+            first = F.element_at(F.array_intersect("ks_a", "ks_b"), 1) == left["k"]
+            pairs = left.join(right, (left["k"] == right["k"]) & (F.col("a") < F.col("b")) & other & first & _within("sig_a", "sig_b")).select("a", "b")
         else:
             order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
             hub = labelled.groupBy("k").agg(F.min(order).alias("h")).select("k", "h.b", "h.nb", "h.cb")
-            pairs = own.join(hub, "k")
-        pairs = pairs.where((F.col("ca") != F.col("cb")) & _sizes_allow(F.col("na"), F.col("nb"), least))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = own.join(hub, "k").where(other).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = _near(pairs, profiles)
         found = settle(_confirmed(pairs, sets, least), "links")
         links = found if links is None else links.unionByName(found)
         if last:
