@@ -19,8 +19,10 @@ is lost, however frequent a key is.
 Candidates. Each key's members are first compared with one member, its hub; confirmed links are
 closed to components, and keys whose members are all in one component are done. When what is left is
 small, or a round no longer halves it, every remaining pair of members of different components is
-compared, each at its first common key only, and if its signatures are within the distance. That last
-step is exact for any rest; hubs only make it short.
+compared, each at its first common key only, if its signatures are within the distance and if the
+shingles that are not one document's alone could make it similar enough: copies of one text with many
+edits of their own are known to be too far apart without looking at each pair's sets. That last step is
+exact for any rest; hubs only make it short.
 
 Defined results: a null or empty text has an empty set, is linked with nothing, and is kept; a text of
 fewer words than a shingle has its whole word sequence as its one shingle; repeated rows are copies, and
@@ -104,13 +106,15 @@ def _keys(reps: DataFrame) -> DataFrame:
 
 
 def _prefixes(reps: DataFrame) -> DataFrame:
-    """(rep, n, sig, ks): each representative's ERRORS + 1 rarest keys in order, without the keys that it alone has."""
+    """(rep, n, sig, ks, common): each representative's ERRORS + 1 rarest keys in order, without the keys that it alone
+    has, and how common its values are."""
     shared = _keys(reps).groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
     own = _keys(reps).join(shared.hint("shuffle_hash"), "k")
     # At most VALUES rows a representative.
     ranked = own.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "k"))).alias("ks"))
     first = F.greatest(F.lit(0), F.lit(ERRORS + 1 - VALUES) + F.size("ks"))
-    ranked = ranked.select("rep", F.transform(F.slice("ks", 1, first), lambda x: x["k"]).alias("ks")).where(F.size("ks") > 0)
+    common = F.aggregate("ks", F.lit(0.0), lambda n, x: n + F.log2(x["c"]))
+    ranked = ranked.select("rep", F.transform(F.slice("ks", 1, first), lambda x: x["k"]).alias("ks"), F.round(common, 6).alias("common")).where(F.size("ks") > 0)
     return ranked.join(reps.select("rep", "n", "sig"), "rep")
 
 
@@ -120,8 +124,16 @@ def _within(a: str, b: str) -> Column:
     return same >= VALUES - ERRORS
 
 
-def _sizes_allow(a: Column, b: Column, least: int) -> Column:
-    return 100 * F.least(a, b) >= least * F.greatest(a, b)
+def _could_reach(na: Column, ra: Column, nb: Column, rb: Column, least: int) -> Column:
+    """Whether sets of n shingles, r of them found elsewhere too, may have the similarity."""
+    common = F.least(ra, rb)
+    return 100 * common >= least * (na + nb - common)
+
+
+def _found_elsewhere(sets: DataFrame) -> DataFrame:
+    """(rep, alone): how many of its shingles a representative shares with no other candidate."""
+    owners = sets.select("rep", F.explode("set").alias("h")).groupBy("h").agg(F.min("rep").alias("rep"), F.count("*").alias("c"))
+    return owners.where("c = 1").groupBy("rep").agg(F.count("*").alias("alone"))
 
 
 def _near(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -137,7 +149,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(left, right):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
             both = np.sort(np.concatenate([x, y]), kind="stable")
             common = int((both[1:] == both[:-1]).sum())
             out.append(100 * common >= least * (len(x) + len(y) - common))
@@ -168,19 +179,20 @@ def _links(members: DataFrame, docs: DataFrame, width: int, least: int) -> DataF
     """Enough confirmed links (a, b) between representatives to connect whatever is linked."""
     reps = members.where("rep IS NOT NULL AND doc_id = rep").groupBy("rep").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     profiles = settle(_prefixes(reps), "profiles")
-    keys = profiles.select("rep", "n", F.explode("ks").alias("k"))
+    keys = profiles.select("rep", "n", "common", F.explode("ks").alias("k"))
     wanted = profiles.select("rep")
     few = wanted.count()
     if not few:
         return None
 
-    @pandas_udf("binary")
+    @pandas_udf("array<long>")
     def as_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([shingles(t, width).astype("<u8").tobytes() for t in texts], dtype=object)
+            yield pd.Series([shingles(t, width).view(np.int64) for t in texts], dtype=object)
 
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(wanted) if few <= BROADCAST_IDS else wanted, "rep")
     sets = settle(texts.select("rep", as_set("text").alias("set")), "sets")
+    keys = settle(keys.join(_found_elsewhere(sets), "rep", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"), "keys")
     links, before = None, float("inf")
     labelled = keys.withColumn("c", F.col("rep"))
     for turn in range(MAX_ROUNDS + 1):
@@ -197,16 +209,18 @@ def _links(members: DataFrame, docs: DataFrame, width: int, least: int) -> DataF
             return links
         last = pairs_left <= 2 * rows or pairs_left > before / 2 or turn == MAX_ROUNDS
         before = pairs_left
-        own = labelled.select("k", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        other = (F.col("ca") != F.col("cb")) & _sizes_allow(F.col("na"), F.col("nb"), least)
+        own = labelled.select("k", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), F.col("c").alias("ca"))
+        other = (F.col("ca") != F.col("cb")) & _could_reach(*map(F.col, ("na", "ra", "nb", "rb")), least)
         if last:
             full = labelled.join(profiles.select("rep", "sig", "ks"), "rep")
-            left, right = (full.select("k", *[F.col(c).alias(to + x) for c, to in (("rep", ""), ("n", "n"), ("c", "c"), ("sig", "sig_"), ("ks", "ks_"))]) for x in "ab")
+            left, right = (full.select("k", *[F.col(c).alias(to + x) for c, to in (("rep", ""), ("n", "n"), ("r", "r"), ("c", "c"), ("sig", "sig_"), ("ks", "ks_"))]) for x in "ab")
             first = F.element_at(F.array_intersect("ks_a", "ks_b"), 1) == left["k"]
             pairs = left.join(right, (left["k"] == right["k"]) & (F.col("a") < F.col("b")) & other & first & _within("sig_a", "sig_b")).select("a", "b")
         else:
-            order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            hub = labelled.groupBy("k").agg(F.min(order).alias("h")).select("k", "h.b", "h.nb", "h.cb")
+            # The first hub has the commonest values: of copies with edits of their own it is the original, or next to it.
+            first = F.xxhash64("rep", F.lit(turn)) if turn else -F.col("common")
+            order = F.struct(first.alias("o"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("c").alias("cb"))
+            hub = labelled.groupBy("k").agg(F.min(order).alias("h")).select("k", "h.b", "h.nb", "h.rb", "h.cb")
             pairs = own.join(hub, "k").where(other).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = _near(pairs, profiles)
         found = settle(_confirmed(pairs, sets, least), "links")
