@@ -20,8 +20,9 @@ Candidates. Each key's members are first compared with one member, its hub; conf
 closed to components, and keys whose members are all in one component are done. When what is left is
 small, or a round no longer halves it, every remaining pair of members of different components is
 compared, each at its first common key only, if its signatures are within the distance and if the
-shingles that are not one document's alone could make it similar enough: copies of one text with many
-edits of their own are known to be too far apart without looking at each pair's sets. That last step is
+shingles that are not one document's alone, counted by part of the hash range, could make it similar
+enough: copies of one text with many edits of their own are known to be too far apart without looking
+at each pair's sets. That last step is
 exact for any rest; hubs only make it short.
 
 Defined results: a null or empty text has an empty set, is linked with nothing, and is kept; a text of
@@ -44,6 +45,8 @@ from pyspark.sql.functions import pandas_udf
 from .common import read, settle
 
 VALUES, ERRORS = 64, 29
+#: Parts of the hash range in which a set's shingles are counted.
+PARTS = 64
 #: Ids that may be broadcast to pick out the texts of candidates; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 MAX_ROUNDS = 8
@@ -130,10 +133,20 @@ def _could_reach(na: Column, ra: Column, nb: Column, rb: Column, least: int) ->
     return 100 * common >= least * (na + nb - common)
 
 
+def _most_common(a: str, b: str) -> Column:
+    """An upper bound of the common shingles of two sets: by part, the smaller count of those found elsewhere too."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+
+
 def _found_elsewhere(sets: DataFrame) -> DataFrame:
-    """(rep, alone): how many of its shingles a representative shares with no other candidate."""
-    owners = sets.select("rep", F.explode("set").alias("h")).groupBy("h").agg(F.min("rep").alias("rep"), F.count("*").alias("c"))
-    return owners.where("c = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    """(rep, r, parts): how many of its shingles another candidate has too, in all and by part of the hash range."""
+    shingle = sets.select("rep", F.explode("set").alias("h"))
+    owners = shingle.groupBy("h").agg(F.min("rep").alias("rep"), F.count("*").alias("c")).where("c = 1")
+    alone = owners.groupBy("rep", F.pmod("h", F.lit(PARTS)).cast("int").alias("p")).agg(F.count("*").cast("int").alias("c"))
+    alone = alone.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("p", "c"))).alias("alone"))  # PARTS entries at most
+    parts = F.transform("counts", lambda n, i: n - F.coalesce(F.try_element_at("alone", i), F.lit(0)))
+    found = sets.select("rep", "counts").join(alone, "rep", "left").select("rep", parts.alias("parts"))
+    return found.select("rep", F.aggregate("parts", F.lit(0), lambda n, x: n + x).alias("r"), "parts")
 
 
 def _near(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -142,6 +155,13 @@ def _near(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(_within("sig_a", "sig_b")).select("a", "b")
 
 
+def _possible(pairs: DataFrame, found_too: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose shingles, by part of the hash range, leave the similarity possible."""
+    a, b = (found_too.select(F.col("rep").alias(x), F.col("parts").alias(f"parts_{x}")) for x in "ab")
+    most = pairs.join(a, "a").join(b, "b").withColumn("most", _most_common("parts_a", "parts_b"))
+    return most.where(100 * F.col("most") >= least * (F.col("na") + F.col("nb") - F.col("most"))).select("a", "b")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
 
@@ -185,14 +205,17 @@ def _links(members: DataFrame, docs: DataFrame, width: int, least: int) -> DataF
     if not few:
         return None
 
-    @pandas_udf("array<long>")
-    def as_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @pandas_udf("set array<long>, counts array<int>")
+    def as_set(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([shingles(t, width).view(np.int64) for t in texts], dtype=object)
+            own = [shingles(t, width).view(np.int64) for t in texts]
+            counts = [np.bincount(x % PARTS, minlength=PARTS).astype(np.int32) for x in own]
+            yield pd.DataFrame({"set": own, "counts": counts})
 
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(wanted) if few <= BROADCAST_IDS else wanted, "rep")
-    sets = settle(texts.select("rep", as_set("text").alias("set")), "sets")
-    keys = settle(keys.join(_found_elsewhere(sets), "rep", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"), "keys")
+    sets = settle(texts.select("rep", as_set("text").alias("s")).select("rep", "s.set", "s.counts"), "sets")
+    found_too = settle(_found_elsewhere(sets), "found")
+    keys = settle(keys.join(found_too.select("rep", "r"), "rep"), "keys")
     links, before = None, float("inf")
     labelled = keys.withColumn("c", F.col("rep"))
     for turn in range(MAX_ROUNDS + 1):
@@ -215,7 +238,8 @@ def _links(members: DataFrame, docs: DataFrame, width: int, least: int) -> DataF
             full = labelled.join(profiles.select("rep", "sig", "ks"), "rep")
             left, right = (full.select("k", *[F.col(c).alias(to + x) for c, to in (("rep", ""), ("n", "n"), ("r", "r"), ("c", "c"), ("sig", "sig_"), ("ks", "ks_"))]) for x in "ab")
             first = F.element_at(F.array_intersect("ks_a", "ks_b"), 1) == left["k"]
-            pairs = left.join(right, (left["k"] == right["k"]) & (F.col("a") < F.col("b")) & other & first & _within("sig_a", "sig_b")).select("a", "b")
+            pairs = left.join(right, (left["k"] == right["k"]) & (F.col("a") < F.col("b")) & other & first & _within("sig_a", "sig_b")).select("a", "b", "na", "nb")
+            pairs = _possible(pairs, found_too, least)
         else:
             # The first hub has the commonest values: of copies with edits of their own it is the original, or next to it.
             first = F.xxhash64("rep", F.lit(turn)) if turn else -F.col("common")
