@@ -24,9 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; lang becomes the prediction. Texts without letters or unlike any language go."""
     ship(spark)
-    found = language_id.language_id(docs.select(*COLUMNS))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    return language_id.accepted(docs.select(*COLUMNS)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql.functions import pandas_udf
 
 PROFILE_SIZE = 300
 MAX_LANGUAGES = 1000
-#: A pipeline drops texts below this score: hardly any of their n-grams are in the nearest profile.
+#: A pipeline drops texts below this score whatever was learned: hardly any of their n-grams are in the nearest profile.
 LEAST_SCORE = 0.1
 
 
@@ -128,6 +128,22 @@ def language_id(docs: DataFrame) -> DataFrame:
     return predict(docs.withColumn("held_out", held_out(F.col("doc_id"))), profiles)
 
 
+def thresholds(docs: DataFrame, profiles: dict[str, np.ndarray]) -> dict[str, float]:
+    """For each language of docs (text, lang): the least score that a text predicted to be in it is accepted with."""
+    own = predict(docs.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL"), profiles).where("lang_pred = lang")
+    rows = own.groupBy("lang").agg(F.percentile_approx("score", 0.5, 10_000).alias("median")).collect()  # a row for each language
+    return {r.lang: max(LEAST_SCORE, r.median / 2) for r in rows}
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang) with lang_pred and score: the rows that are in a learned language."""
+    learned = docs.where(~held_out(F.col("doc_id")))
+    profiles = train(learned)
+    bounds = docs.sparkSession.createDataFrame(sorted(thresholds(learned, profiles).items()), "lang_pred string, _least double")
+    found = predict(docs, profiles).where("lang_pred <> 'und'").join(F.broadcast(bounds), "lang_pred", "left")
+    return found.where(F.col("score") >= F.coalesce("_least", F.lit(LEAST_SCORE))).drop("_least")
+
+
 def op6(spark, sf_dir) -> DataFrame:
     from .common import read
 

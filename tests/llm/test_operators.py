@@ -135,6 +135,19 @@ def test_language_held_out_accuracy(spark):
     assert len(got) > 100 and (got.lang_pred == got.lang).mean() > 0.97
 
 
+def test_language_stage_drops_gibberish_and_unlearned_languages(spark):
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    rng = np.random.default_rng(5)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n)) for n in (30, 100, 500)]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    planted = [(10**9 + k, t, lang, "a", len(t)) for k, (t, lang) in enumerate([(x, "en") for x in noise] + [(polish, None), (finnish * 3, None)])]
+    kept = corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(planted, DOCS)), DATA).toPandas()
+    assert kept.doc_id.max() < 10**9
+    with_letters = docs.where(F.col("text").rlike(r"\p{L}")).count()
+    assert len(kept) == with_letters
+
+
 def test_quality_cascade_orders_by_rejection_per_cost(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     ranked = quality_rules.order_rules(docs)
