@@ -20,6 +20,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {
     "op1_tool_calls": tool_calls.op1,
+    "op1_messages": tool_calls.op1_messages,
     "op2_fingerprints": _shipped(fingerprints.op2),
     "op3_html_extraction": _shipped(html_extraction.op3),
     "op4_license_scan": license_scan.op4,
@@ -33,6 +34,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_tool_calls": tool_calls.ORACLE_SQL,
+    "op1_messages": tool_calls.MESSAGES_SQL,
     "op4_license_scan": license_scan.ORACLE_SQL,
     "op5_source_mix": source_mix.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,

@@ -13,7 +13,9 @@ for each message, so that a conversation however long is never gathered into one
 
 Defined results: a call without a result is ``unanswered``, a result without a call ``orphan``; null
 arguments are malformed; a call of an unknown tool has the error ``tool``; null ids link with nothing;
-repeated rows give repeated rows; an empty table gives an empty result; extra columns are ignored.
+repeated rows give repeated rows; an empty table gives an empty result; extra columns are ignored. Turns
+that neither call nor answer (role system, any other role, or none) are messages with status ``message``,
+level 0, no call_id, no other_turn and no errors; their JSON has content, role and type, without what is null.
 """
 
 from __future__ import annotations
@@ -130,9 +132,30 @@ def tool_view(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, assistant.select("conv_id", "turn", ident(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
 
 
+def other_turns(conversations: DataFrame) -> DataFrame:
+    """The turns that neither call nor answer, in the columns of ``link``: kind system, or other for any other or no role."""
+    role = F.col("role")
+    kind = F.when(role == "system", "system").otherwise("other")
+    rest = conversations.where(role.isNull() | ~role.isin("user", "assistant")).withColumn("kind", kind)
+    return rest.select(
+        "conv_id", "turn", "kind", F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("int").alias("other_turn"), F.lit("message").alias("status"),
+        F.lit(0).cast("long").alias("level"), F.lit("").alias("errors"), F.to_json(F.struct(F.col("text").alias("content"), "role", F.col("kind").alias("type"))).alias("json"),
+    )
+
+
+def _schemas(spark) -> DataFrame:
+    return spark.createDataFrame(SCHEMAS, "tool string, param string, type string, required boolean, max_length int")
+
+
 def op1(spark, sf_dir) -> DataFrame:
-    schemas = spark.createDataFrame(SCHEMAS, "tool string, param string, type string, required boolean, max_length int")
-    return link(*tool_view(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), schemas)
+    """The user and assistant turns only; ``op1_messages`` has every row."""
+    return link(*tool_view(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), _schemas(spark))
+
+
+def op1_messages(spark, sf_dir) -> DataFrame:
+    """A message for each row of conversations."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return link(*tool_view(turns), _schemas(spark)).unionByName(other_turns(turns))
 
 
 ORACLE_SQL = r"""
@@ -151,3 +174,13 @@ UNION ALL
 SELECT a.conv_id, a.turn, 'result', 'call_' || a.conv_id || '_' || (a.turn - 1), u.turn, CASE WHEN u.turn IS NULL THEN 'orphan' ELSE 'linked' END, CAST(coalesce(lv.level + 1, 0) AS BIGINT), '',
     '{' || CASE WHEN a.text IS NULL THEN '' ELSE '"content":' || CAST(to_json(a.text) AS VARCHAR) || ',' END || '"id":"call_' || a.conv_id || '_' || (a.turn - 1) || '","type":"result"}'
 FROM a LEFT JOIN u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 LEFT JOIN lv ON lv.conv_id = u.conv_id AND lv.turn = u.turn"""
+
+MESSAGES_SQL = (
+    ORACLE_SQL
+    + r"""
+UNION ALL
+SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'system' ELSE 'other' END, NULL, NULL, 'message', CAST(0 AS BIGINT), '',
+    '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || CAST(to_json(text) AS VARCHAR) || ',' END || CASE WHEN role IS NULL THEN '' ELSE '"role":' || CAST(to_json(role) AS VARCHAR) || ',' END
+        || '"type":"' || CASE WHEN role = 'system' THEN 'system' ELSE 'other' END || '"}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')"""
+)

@@ -148,6 +148,17 @@ def test_language_stage_drops_gibberish_and_unlearned_languages(spark):
     assert len(kept) == with_letters
 
 
+def test_every_turn_is_a_message(spark, odd, tmp_path):
+    got = queries.QUERIES["op1_messages"](spark, odd)
+    assert got.count() == spark.read.parquet(f"{odd}/conversations.parquet").count()
+    turns = [(1, 0, "system", 'be "brief"'), (1, 1, "user", "hi"), (1, 2, "assistant", "ho"), (1, 3, None, "x"), (None, 0, "tool", None)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.QUERIES["op1_messages"](spark, str(tmp_path)).toPandas()
+    assert_same(got, connect(str(tmp_path)).execute(queries.ORACLE["op1_messages"].replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'")).df())
+    assert sorted(got.kind) == ["call", "other", "other", "result", "system"]
+    assert got[got.kind == "system"].json.item() == '{"content":"be \\"brief\\"","role":"system","type":"system"}'
+
+
 def test_quality_cascade_orders_by_rejection_per_cost(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     ranked = quality_rules.order_rules(docs)
