@@ -14,6 +14,11 @@ left. Some elements are never main text whatever their site does, and go in any
 class says menu, header, footer, sidebar, notice, advert, form, comment section, script or style. Where a
 page marks its main part (article or main), only that part is read.
 
+A name on a wrapper says nothing of what it wraps. So such a mark does not count on an element that holds more
+than MOST of the page's text (ALMOST_ALL, where a tag or a word means only links or readers' text), unless the
+site style tree agrees; nor around a marked part, unless most of such parts' text stands outside of the noise,
+as with an article among teasers. Where the marks would empty a page that has text, they are ignored.
+
 Counts are added up by Spark with partial sums, so a host with a third of all pages costs no single
 task more. The nodes found unimportant go to the pages by a broadcast while they are few (the number is
 checked), else by a join that is salted.
@@ -29,6 +34,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -41,6 +47,8 @@ from .common import read, settle
 
 LEAST_PAGES = 5
 LOW = 0.2
+MOST = 0.5
+ALMOST_ALL = 0.9
 BROADCAST_NODES = 500_000
 SALTS = 16
 
@@ -62,6 +70,9 @@ NOISE_WORDS = frozenset(
     "subscribe subscription signup login search form comment comments disqus reply replies respond discussion reactions share sharing social related recommended "
     "pagination pager skip toolbar complementary contentinfo alert disclaimer paywall".split()
 )
+#: Those that no site gives to a wrapper of its main text.
+STRONG_TAGS = frozenset("nav footer menu dialog select button option head".split())
+STRONG_WORDS = frozenset("comment comments disqus reply replies respond discussion reactions breadcrumb breadcrumbs pagination pager".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*?)(?:>|\Z)", re.S
 )
@@ -95,22 +106,25 @@ class Node:
 
     __slots__ = ("tag", "path", "noise", "start", "end", "children")
 
-    def __init__(self, tag: str, path: str, noise: bool, start: int):
+    def __init__(self, tag: str, path: str, noise: float, start: int):
         self.tag, self.path, self.noise, self.start, self.end, self.children = tag, path, noise, start, -1, []
 
 
-def _named(tag: str, attributes: str, inside_article: bool) -> tuple[str, bool]:
-    """The element's part of a path, and whether its names say that it is noise."""
+def _named(tag: str, attributes: str, inside_article: bool) -> tuple[str, float]:
+    """The element's part of a path, and up to which share of the page's text its names make it noise (0: not at all)."""
     noise = tag in NOISE_TAGS or tag == "header" and not inside_article
+    strong = tag in STRONG_TAGS
     label = tag
     if attributes:
         for kind, a, b, c in _NAME.findall(attributes):
             value = a or b or c
             words = {x.lower() for x in _WORD.findall(value)}
             noise = noise or bool(words & NOISE_WORDS) and tag not in ("html", "body", "article", "main")
+            strong = strong or bool(words & STRONG_WORDS)
             label += f"{'.' if kind.lower() == 'class' else '#'}{re.sub(r'[0-9]+', '', value).strip()}"
-        noise = noise or "hidden" in attributes and bool(re.search(r"(?:^|\s)hidden(?:[\s=]|$)", attributes))
-    return label, noise
+        hidden = "hidden" in attributes and bool(re.search(r"(?:^|\s)hidden(?:[\s=]|$)", attributes))
+        noise, strong = noise or hidden, strong or hidden
+    return label, (ALMOST_ALL if strong else MOST) if noise else 0.0
 
 
 def parse(html: str | None) -> tuple[list[str], list[list[Node]], list[Node]]:
@@ -194,23 +208,46 @@ def _hash(x: str) -> int:
 def main_text(html: str | None, host: str, low: set[int]) -> str:
     """The page's blocks without noise and without the branches that the site's tree holds unimportant."""
     blocks, around, _ = parse(html)
-    marked = [k for k, up in enumerate(around) if any(n.tag == "article" for n in up)] or [k for k, up in enumerate(around) if any(n.tag == "main" for n in up)]
-    kept = [k for k in (marked or range(len(blocks))) if not any(n.noise for n in around[k])]
+    sizes = [len(x) for x in blocks]
+    upto = list(accumulate(sizes, initial=0))
+    known: dict[str, bool] = {}
+
+    def is_low(node: Node) -> bool:
+        if not low or node.tag in ("html", "body", "article", "main"):
+            return False
+        if node.path not in known:
+            known[node.path] = node_key(host, node.path) in low
+        return known[node.path]
+
+    def is_noise(node: Node) -> bool:
+        return bool(node.noise) and (upto[node.end] - upto[node.start] <= node.noise * upto[-1] or is_low(node))
+
+    noisy = {n: is_noise(n) for n in dict.fromkeys(n for up in around for n in up)}
+    clean = [k for k, up in enumerate(around) if not any(noisy[n] for n in up)]
+    kept = _main_part(around, sizes, noisy, clean)
     if low:
-        known: dict[str, bool] = {}
-
-        def is_low(node: Node) -> bool:
-            if node.tag in ("html", "body", "article", "main"):
-                return False
-            if node.path not in known:
-                known[node.path] = node_key(host, node.path) in low
-            return known[node.path]
-
         high = [k for k in kept if not any(is_low(n) for n in around[k])]
         kept = high or kept
     return "\n".join(blocks[k] for k in kept)
 
 
+def _main_part(around: list[list[Node]], sizes: list[int], noisy: dict[Node, bool], clean: list[int]) -> list[int]:
+    """The blocks of the marked main part, or of the page where none is marked, without noise; all where all is noise."""
+    size = lambda part: sum(sizes[k] for k in part)
+    marked = {tag: [k for k, up in enumerate(around) if any(n.tag == tag for n in up)] for tag in ("article", "main")}
+    inner = {}
+    for tag, part in marked.items():
+        inner[tag] = []
+        for k in part:
+            first = next(i for i, n in enumerate(around[k]) if n.tag in marked)
+            if not any(noisy[n] for n in around[k][first:]):
+                inner[tag].append(k)
+        outer = set(clean).intersection(inner[tag])
+        if outer and 2 * size(outer) >= size(inner[tag]):
+            return sorted(outer)
+    return inner["article"] or inner["main"] or clean or marked["article"] or marked["main"] or list(range(len(around)))
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 

@@ -102,6 +102,25 @@ def test_html_main_text(spark):
     assert {r.page_id: r.text for r in out} == {k: f"Head & {k}\nFirst bold text {k}.\nSecond {k} — x" for k in range(9)}
 
 
+@pytest.mark.parametrize("wrapper", ['div class="page has-sidebar"', 'div class="content-with-sidebar"', 'div class=side', 'div id="header-wrapper"', "form action=x"])
+def test_html_wrappers_keep_what_they_wrap(wrapper):
+    rest, end = "<nav><a>Home</a></nav><div class=sidebar><p>side</p></div><div id=comments><p>reader</p></div>", wrapper.split()[0]
+    for inner in ("<article><h1>Head</h1><p>Text of it.</p></article>", "<main><h1>Head</h1><p>Text of it.</p></main>", "<h1>Head of a page</h1><p>Text of it, more than all the rest of the page.</p>"):
+        want = html_extraction.main_text(inner, "", set())
+        assert "Text of it" in want and html_extraction.main_text(f"<body><{wrapper}>{inner}{rest}</{end}></body>", "", set()) == want
+
+
+def test_html_marks_neither_empty_a_page_nor_let_teasers_in():
+    teasers = "<aside><article><p>teaser</p></article></aside>"
+    assert html_extraction.main_text(f"<article><p>Main text of it.</p></article>{teasers}", "", set()) == "Main text of it."
+    assert html_extraction.main_text(f"<main><p>Main text of it.</p>{teasers}</main>", "", set()) == "Main text of it."
+    assert html_extraction.main_text("<nav><p>one</p></nav><footer><p>two</p></footer>", "", set()) == "one\ntwo"
+    wide = "<div class=side><p>Text that the site repeats</p></div><p>own</p>"
+    assert html_extraction.main_text(wide, "", set()) == "Text that the site repeats\nown"
+    low = {html_extraction.node_key("h", "div.side")}
+    assert html_extraction.main_text(wide, "h", low) == "own"
+
+
 def test_licenses_come_from_the_nearest_directory(spark):
     files = [("a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "code " * 20), ("a/y.py", "code"), ("z/q.py", None), (None, "code")]
     templates = spark.createDataFrame(sorted(license_scan.TEMPLATES.items()), "name string, text string")
