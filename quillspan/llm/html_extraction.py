@@ -1,16 +1,18 @@
 """HTML extraction with a site style tree.
 
 The pages of a host are merged into one tree: a node is a path of block elements, named by tag, class
-and id (digits left out). For each node Spark counts on how many of the host's pages it stands, and on how
-many pages each of its layouts (the sequence of its child elements) and each of its contents (the text
+and id (digits left out). Pages of a host with the same blocks are one page there, however often they are
+served. For each node Spark counts on how many of the host's distinct pages it stands, and on how many of
+them each of its layouts (the sequence of its child elements) and each of its contents (the text
 below it) stands. With m pages,
 
 * presentation importance is the entropy of the layouts, to the base m;
 * content importance is 1 - mean over contents of log(pages with it) / log(m).
 
-A node is as important as the higher of the two. Branches of low importance on hosts of at least
-LEAST_PAGES pages are what the site repeats, and are removed from each page, unless nothing would be
-left. Some elements are never main text whatever their site does, and go in any case: those whose tag or
+A node is as important as the higher of the two; one on a single page is important. Branches of low importance
+on hosts of at least LEAST_PAGES distinct pages are what the site repeats, and are removed from each page,
+unless nothing would be left. Inside a marked main part a node must itself stand on LEAST_PAGES distinct pages
+for that, so that near copies of an article do not take from one another. Some elements are never main text whatever their site does, and go in any case: those whose tag or
 class says menu, header, footer, sidebar, notice, advert, form, comment section, script or style. Where a
 page marks its main part (article or main), only that part is read.
 
@@ -255,35 +257,56 @@ def host_of(url: Column) -> Column:
 def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW) -> DataFrame:
     """(host, node) of the unimportant nodes of each host's style tree, for pages (host, html)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found: Counter = Counter()
+            rows = {}
             for host, html in zip(batch["host"], batch["html"]):
                 blocks, _, nodes = parse(html)
+                if not blocks:
+                    continue
                 own = set()
                 for n in nodes:
                     key = node_key(host, n.path)
-                    own.add((host, key, "p", 0))
-                    own.add((host, key, "l", _hash(">".join(n.children))))
-                    own.add((host, key, "c", _hash("\n".join(blocks[n.start : n.end]))))
-                found.update(own)
+                    own.add((key, 0, int(_in_main(n.path))))
+                    own.add((key, 1, _hash(">".join(n.children))))
+                    own.add((key, 2, _hash("\n".join(blocks[n.start : n.end]))))
+                page = host, _hash("\n".join(blocks))
+                found = np.array(sorted(own), np.int64).tobytes()
+                rows[page] = min(rows.get(page, found), found)
+            yield pd.DataFrame([(*k, v) for k, v in rows.items()], columns=["host", "page", "tree"]).astype({"page": np.int64})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: Counter = Counter()
+            for host, raw in zip(batch["host"], batch["tree"]):
+                found.update((host, key, "plc"[kind], feature) for key, kind, feature in np.frombuffer(raw, np.int64).reshape(-1, 3).tolist())
+                found[host, 0, "h", 0] += 1
                 if len(found) > 100_000:
                     yield _counted(found)
                     found = Counter()
             if found:
                 yield _counted(found)
 
-    counts = pages.mapInPandas(count, "host string, node long, kind string, feature long, n long")
+    distinct = pages.mapInPandas(tree, "host string, page long, tree binary").groupBy("host", "page").agg(F.min("tree").alias("tree"))
+    counts = distinct.select("host", "tree").mapInPandas(count, "host string, node long, kind string, feature long, n long")
     counts = counts.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
+    counts = settle(counts, "style-counts")
+    hosts = counts.where((F.col("kind") == "h") & (F.col("n") >= least_pages)).select("host")
     n = F.col("n").cast("double")
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
-    tree = counts.groupBy("host", "node").agg(
-        of("p", F.col("n")).alias("m"), of("l", n * F.log(n)).alias("nlogn"), of("l", n).alias("layouts"), of("c", F.log(n)).alias("logs"), of("c", F.lit(1)).alias("contents")
-    )
-    tree = tree.where(F.col("m") >= least_pages)
+    tree = counts.where("kind <> 'h'").groupBy("host", "node").agg(
+        of("p", F.col("n")).alias("m"), F.max(F.when(F.col("kind") == "p", F.col("feature"))).alias("inside"),
+        of("l", n * F.log(n)).alias("nlogn"), of("l", n).alias("layouts"), of("c", F.log(n)).alias("logs"), of("c", F.lit(1)).alias("contents"),
+    )
+    tree = tree.where(F.col("m") >= F.when(F.col("inside") == 1, least_pages).otherwise(2))
     presentation = (F.log("layouts") - F.col("nlogn") / F.col("layouts")) / F.log("m")
     content = 1 - F.col("logs") / F.col("contents") / F.log("m")
-    return tree.where(F.greatest(presentation, content) < low).select("host", "node")
+    return tree.where(F.greatest(presentation, content) < low).join(hosts, "host", "left_semi").select("host", "node")
+
+
+def _in_main(path: str) -> bool:
+    """Whether a path leads into an article or main."""
+    return re.search(r"(?:^|>)(?:article|main)(?=[.#>])[^>]*>", path) is not None
 
 
 def _counted(found: Counter) -> pd.DataFrame:

@@ -121,6 +121,22 @@ def test_html_marks_neither_empty_a_page_nor_let_teasers_in():
     assert html_extraction.main_text(wide, "h", low) == "own"
 
 
+def test_html_copied_pages_are_one_page_of_the_site(spark):
+    page = lambda k, extra="": f"<body><div class=promotext><b>Same words</b></div><article><h1>Head {k}</h1><p>Text {k}.</p>{extra}</article></body>"
+    copied = page(0, "<ul><li>own one</li><li>own two</li></ul>")
+    rows = [(k, f"http://a.test/{k}", copied) for k in range(7)] + [(10 + k, f"http://a.test/{10 + k}", page(10 + k)) for k in range(6)]
+    # Seven pages, three of which share a box; and copies only, which say nothing of their site.
+    box = lambda k: "<div class=box><div>Same box</div></div>" if k < 3 else ""
+    rows += [(20 + k, f"http://b.test/{k}", f"<body>{box(k)}<div class=text><p>Own text {k}.</p></div></body>") for k in range(7)]
+    rows += [(30 + k, f"http://c.test/{k}", "<body><h1>Head</h1><div><p>Text</p></div></body>") for k in range(6)]
+    ship(spark)
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[k] for k in range(7)} == {"Head 0\nText 0.\nown one\nown two"}
+    assert [got[10 + k] for k in range(6)] == [f"Head {10 + k}\nText {10 + k}." for k in range(6)]
+    assert [got[20 + k] for k in range(7)] == [f"Own text {k}." for k in range(7)]
+    assert {got[30 + k] for k in range(6)} == {"Head\nText"}
+
+
 def test_licenses_come_from_the_nearest_directory(spark):
     files = [("a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "code " * 20), ("a/y.py", "code"), ("z/q.py", None), (None, "code")]
     templates = spark.createDataFrame(sorted(license_scan.TEMPLATES.items()), "name string, text string")
