@@ -146,6 +146,18 @@ def test_licenses_come_from_the_nearest_directory(spark):
     }
 
 
+def test_license_tree_inherits_at_every_depth(spark, tmp_path):
+    apache, mit, gpl = (license_scan.TEMPLATES[k] for k in ("Apache-2.0", "MIT", "GPL-3.0"))
+    # Depth is (doc_id div 7) mod 4: a/, a/d0, a/d0/p0, a/d0/p0/q0.
+    rows = [(0, apache, "a"), (7, mit, "a"), (14, gpl, "a"), (21, "code", "a"), (8, "code", "a"), (1, "code", "a"), (70, "code", "a"), (1015, "code", "a"), (6, "code", "b"), (35, mit, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op4_license_tree"](spark, str(tmp_path)).toPandas()
+    assert {i: o for i, o in zip(got.doc_id, got.from_dir) if o is not None} == {21: "a/d0/p0", 8: "a/d0", 1: "a", 70: "a/d0", 1015: "a"}
+    assert got.set_index("doc_id").license[[21, 8, 1, 70, 1015]].tolist() == ["GPL-3.0", "MIT", "Apache-2.0", "MIT", "Apache-2.0"]
+    sql = queries.ORACLE["op4_license_tree"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert_same(got, connect(str(tmp_path)).execute(sql).df())
+
+
 def test_mix_meets_its_targets(spark):
     rows = queries.QUERIES["op5_source_mix"](spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source"), "doc_id").toPandas()
     assert (rows.taken <= 2 * rows["size"]).all()
