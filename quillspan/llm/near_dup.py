@@ -3,32 +3,38 @@
 A document's set is its distinct shingles of ``width`` words; documents are linked where the Jaccard
 similarity of their sets reaches ``least`` percent, which is confirmed on the full sets.
 
-Classes. Documents with equal sets are one class, named by its smallest doc_id; only class
-representatives go on, so thousands of copies cost one grouped minimum.
-
-Signatures. VALUES MinHash values of 32 bits each. Two sets of similarity 0.8 differ in about a fifth
-of the values, and in more than ERRORS of them with a chance under one in a million; that is the
-signature-distance threshold. The signature is split into chunks of two values in which one error is
-allowed; its enumeration is the two ways to mask a value, so an index key is a chunk, the place of
-the masked value and the value left. Pairs within the threshold share at least VALUES - ERRORS of their
-VALUES keys. So of its keys, ordered from rare to frequent over the corpus, a document needs only the
-first ERRORS + 1 (two sets of keys that share so many must meet there); keys of widely shared passages
-come last and are not used unless they fill more than half of a document. No pair within the threshold
-is lost, however frequent a key is.
-
-Candidates. Each key's members are first compared with one member, its hub; confirmed links are
-closed to components, and keys whose members are all in one component are done. When what is left is
-small, or a round no longer halves it, every remaining pair of members of different components is
-compared, each at its first common key only, if its signatures are within the distance and if the
-shingles that are not one document's alone, counted by part of the hash range, could make it similar
-enough: copies of one text with many edits of their own are known to be too far apart without looking
-at each pair's sets. That last step is
-exact for any rest; hubs only make it short.
+Classes. Documents with equal sets are one class; only one row of each goes on, so thousands of copies
+cost one grouped minimum.
+
+Signatures. VALUES MinHash values of b = 16 bits. Two sets of similarity 0.8 differ in about a fifth of
+the values, and in more than ERRORS of them with a chance of about one in four millions; that is the
+signature-distance threshold. The signature is split into chunks of CHUNK values, and by pigeonhole some
+chunk of a pair within the threshold has one error at most. That error is enumerated: an index key is a
+chunk, the place of the masked value and the CHUNK - 1 values left, so that a key takes three agreements
+at once. Pairs within the threshold even share SHARED of their keys, however the errors fall; so of its
+keys, ordered from rare to frequent over the corpus, a document needs all but the last SHARED - 1 (two
+sets of keys that share so many must meet there), and keys of widely shared passages are not used unless
+they fill much of a document. No pair within the threshold is lost, however frequent a key is.
+
+Candidates. Each key's members are first compared with one member, its hub: that with the fewest
+shingles of its own, of edited copies the nearest to their origin. Confirmed links are closed to
+components, and keys whose members are all in one component are done. When what is left is small, or a
+round no longer halves it, every remaining pair of members of different components is compared: in keys
+of up to LARGE members each pair at its first common key; in larger ones by a second key. Of two members in different
+components at least one is not linked with the hub. If X is not, then it can be linked with Y only where
+the two share a deviation from the hub: otherwise what they have in common is within what X and the
+hub have, while their union is larger. So the second key is the hub and a deviation. A shingle that both have
+and the hub lacks is needed wherever the shingles common with the hub do not reach the similarity
+alone; for the other pairs, one that the hub has and both lack. That is exact for any rest; hubs only make it short.
+
+Hot keys. Counts and minima are added up before the shuffle; rows that share a key meet only tables of
+one row for each key, and those joins are salted or split by Spark at run time.
 
 Defined results: a null or empty text has an empty set, is linked with nothing, and is kept; a text of
 fewer words than a shingle has its whole word sequence as its one shingle; repeated rows are copies, and
-rows that share a doc_id share its class; a null doc_id has component_id null and is not kept where it
-has a copy with an id; an empty table gives an empty result; extra columns are ignored.
+rows of different texts under one doc_id are compared each by itself; a null doc_id has the component_id
+of its group, which is null, and the row kept, where no member has an id; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -44,16 +50,22 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import read, settle
 
-VALUES, ERRORS = 64, 29
+VALUES, ERRORS, CHUNK = 128, 50, 4
+#: The least number of keys that signatures within ERRORS share: one error in each chunk leaves it a key, a second takes that too.
+SHARED = 2 * VALUES // CHUNK - ERRORS
 #: Parts of the hash range in which a set's shingles are counted.
 PARTS = 64
 #: Ids that may be broadcast to pick out the texts of candidates; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 MAX_ROUNDS = 8
+#: Members of a key beyond which its pairs are found by a second key.
+LARGE = 32
+SALTS = 16
 
-_SALT = np.random.default_rng(20240607).integers(1, 2**63, VALUES, dtype=np.uint64)
-_ODD = np.random.default_rng(7062024).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALT = np.random.default_rng(20240607).integers(0, 2**32, VALUES, dtype=np.uint32)
+_ODD = np.random.default_rng(7062024).integers(0, 2**31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_PRIME32 = np.uint32(0x9E3779B1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,44 +90,52 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """The upper 32 bits of the least hash under each of VALUES hash functions, as signed numbers."""
-    least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(own), 512):
-        part = (own[k : k + 512, None] ^ _SALT) * _ODD
+    """16 bits of the least hash under each of VALUES hash functions."""
+    least = np.full(VALUES, np.iinfo(np.uint32).max, np.uint32)
+    half = (own >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(half), 512):
+        part = (half[k : k + 512, None] ^ _SALT) * _ODD
         np.minimum(least, part.min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return ((least * _PRIME32) >> np.uint32(16)).astype(np.int32)
 
 
-def _described(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit hash, and its signature."""
+def _described(rows: DataFrame, width: int) -> DataFrame:
+    """row, doc_id, n shingles, the set's 128-bit hash, and its signature."""
 
     @pandas_udf("n long, key binary, sig array<int>")
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = []
+            found = []
             for t in texts:
                 own = shingles(t, width)
-                rows.append((len(own), xxhash.xxh3_128_digest(own.tobytes()), signature(own)) if len(own) else (0, None, None))
-            yield pd.DataFrame(rows, columns=["n", "key", "sig"])
+                found.append((len(own), xxhash.xxh3_128_digest(own.tobytes()), signature(own)) if len(own) else (0, None, None))
+            yield pd.DataFrame(found, columns=["n", "key", "sig"])
 
-    out = docs.select("doc_id", describe("text").alias("d"))
-    return out.select("doc_id", F.col("d.n").alias("n"), F.col("d.key").alias("key"), F.col("d.sig").alias("sig"))
+    out = rows.select("row", "doc_id", describe("text").alias("d"))
+    return out.select("row", "doc_id", F.col("d.n").alias("n"), F.col("d.key").alias("key"), F.col("d.sig").alias("sig"))
 
 
 def _keys(reps: DataFrame) -> DataFrame:
-    """(k, rep): the index keys of each signature. A key holds the chunk, which of its two values is masked, and the other."""
-    keyed = F.transform("sig", lambda x, i: x.cast("long") + (i + 1 - 2 * (i % 2)).cast("long") * F.lit(2**32))
-    return reps.select("rep", F.explode(keyed).alias("k"))
+    """(k, rep): the index keys of each signature. A key holds the place of the masked value and the others of its chunk."""
+
+    def key(place: Column) -> Column:
+        packed = place.cast("long")
+        for step in range(1, CHUNK):
+            at = place - place % CHUNK + (place + step) % CHUNK
+            packed = packed * 65536 + F.get("sig", at)
+        return packed
+
+    return reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(VALUES - 1)), key)).alias("k"))
 
 
 def _prefixes(reps: DataFrame) -> DataFrame:
-    """(rep, n, sig, ks, common): each representative's ERRORS + 1 rarest keys in order, without the keys that it alone
-    has, and how common its values are."""
+    """(rep, n, sig, ks, common): each representative's keys in order from rare to frequent without the last SHARED - 1, without
+    the keys that it alone has, and how common its keys are."""
     shared = _keys(reps).groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
     own = _keys(reps).join(shared.hint("shuffle_hash"), "k")
     # At most VALUES rows a representative.
     ranked = own.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "k"))).alias("ks"))
-    first = F.greatest(F.lit(0), F.lit(ERRORS + 1 - VALUES) + F.size("ks"))
+    first = F.greatest(F.lit(0), F.size("ks") - (SHARED - 1))
     common = F.aggregate("ks", F.lit(0.0), lambda n, x: n + F.log2(x["c"]))
     ranked = ranked.select("rep", F.transform(F.slice("ks", 1, first), lambda x: x["k"]).alias("ks"), F.round(common, 6).alias("common")).where(F.size("ks") > 0)
     return ranked.join(reps.select("rep", "n", "sig"), "rep")
@@ -195,9 +215,48 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _links(members: DataFrame, docs: DataFrame, width: int, least: int) -> DataFrame | None:
+def _deviations(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows (hub, rep, ...) with held, added and missing: how many of the hub's shingles a member has, the others that it has, and those that it lacks."""
+
+    @pandas_udf("held int, added array<long>, missing array<long>")
+    def deviate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for own, hubs in batches:
+            found = []
+            for x, h in zip(own, hubs):
+                held = np.isin(x, h, assume_unique=True)
+                found.append((int(held.sum()), x[~held], h[~np.isin(h, x, assume_unique=True)]))
+            yield pd.DataFrame(found, columns=["held", "added", "missing"])
+
+    # A hub may have a large part of all rows: its set is repeated for each salt.
+    hubs = rows.select("hub").distinct().join(sets.select(F.col("rep").alias("hub"), F.col("set").alias("hub_set")), "hub")
+    hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = rows.join(sets.select("rep", "set"), "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    return both.join(hubs, ["hub", "salt"]).withColumn("d", deviate("set", "hub_set")).select(*rows.columns, "d.held", "d.added", "d.missing")
+
+
+def _by_deviation(rows: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b, na, nb) of rows (hub, rep, n, r, c) with one hub that share a deviation from it and may be linked."""
+    own = settle(_deviations(rows, sets), "deviations")
+    token = own.select("hub", "rep", "n", "r", "c", "held", F.explode("added").alias("h"))
+    again = token.groupBy("hub", "h").agg(F.count("*").alias("m")).where("m > 1").select("hub", "h")
+    token = token.join(again, ["hub", "h"])
+    more = token.groupBy("hub", "rep").agg(F.count("*").alias("more"))
+    token = token.join(more, ["hub", "rep"])
+    lacks = own.select("hub", "rep", "n", "r", "c", "held", F.lit(0).alias("more"), F.explode("missing").alias("h"))
+
+    def meet(t: DataFrame, enough) -> DataFrame:
+        a, b = (t.select("hub", "h", *[F.col(c).alias(to + x) for c, to in (("rep", ""), ("n", "n"), ("r", "r"), ("c", "c"), ("held", "held"), ("more", "more"))]) for x in "ab")
+        held, most = F.least("helda", "heldb"), F.least("helda", "heldb") + F.least("morea", "moreb")
+        reaches = lambda c: (100 + least) * c >= least * (F.col("na") + F.col("nb"))
+        possible = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _could_reach(*map(F.col, ("na", "ra", "nb", "rb")), least) & enough(reaches(held), reaches(most))
+        return a.join(b, (a["hub"] == b["hub"]) & (a["h"] == b["h"]) & possible).select("a", "b", "na", "nb")
+
+    return meet(token, lambda held, most: most).unionByName(meet(lacks, lambda held, most: held)).distinct()
+
+
+def _links(members: DataFrame, rows: DataFrame, width: int, least: int) -> DataFrame | None:
     """Enough confirmed links (a, b) between representatives to connect whatever is linked."""
-    reps = members.where("rep IS NOT NULL AND doc_id = rep").groupBy("rep").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = members.where("key IS NOT NULL AND row = rep").select("rep", "n", "sig")
     profiles = settle(_prefixes(reps), "profiles")
     keys = profiles.select("rep", "n", "common", F.explode("ks").alias("k"))
     wanted = profiles.select("rep")
@@ -212,7 +271,7 @@ def _links(members: DataFrame, docs: DataFrame, width: int, least: int) -> DataF
             counts = [np.bincount(x % PARTS, minlength=PARTS).astype(np.int32) for x in own]
             yield pd.DataFrame({"set": own, "counts": counts})
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(wanted) if few <= BROADCAST_IDS else wanted, "rep")
+    texts = rows.select(F.col("row").alias("rep"), "text").join(F.broadcast(wanted) if few <= BROADCAST_IDS else wanted, "rep")
     sets = settle(texts.select("rep", as_set("text").alias("s")).select("rep", "s.set", "s.counts"), "sets")
     found_too = settle(_found_elsewhere(sets), "found")
     keys = settle(keys.join(found_too.select("rep", "r"), "rep"), "keys")
@@ -227,23 +286,29 @@ def _links(members: DataFrame, docs: DataFrame, width: int, least: int) -> DataF
         spread = spread.select("k", F.col("n").alias("members"), ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"))
         labelled = settle(labelled.join(spread, "k"), "open-keys")
         # A key's pairs are spread over its rows, so that the sum counts each key once.
-        rows, pairs_left = labelled.agg(F.count("*"), F.sum(F.col("pairs") / F.col("members"))).first()
-        if not rows:
+        rows_left, pairs_left = labelled.agg(F.count("*"), F.sum(F.col("pairs") / F.col("members"))).first()
+        if not rows_left:
             return links
-        last = pairs_left <= 2 * rows or pairs_left > before / 2 or turn == MAX_ROUNDS
+        last = pairs_left <= 2 * rows_left or pairs_left > before / 2 or turn == MAX_ROUNDS
         before = pairs_left
         own = labelled.select("k", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), F.col("c").alias("ca"))
         other = (F.col("ca") != F.col("cb")) & _could_reach(*map(F.col, ("na", "ra", "nb", "rb")), least)
+        # The first hub has the fewest shingles of its own: of copies with edits it is the original, or next to it.
+        central = F.struct(F.round((F.col("n") - F.col("r")) / F.col("n"), 3).alias("alone"), (-F.col("common")).alias("common"))
         if last:
-            full = labelled.join(profiles.select("rep", "sig", "ks"), "rep")
+            # A second key needs that all members were compared with the first hub; without a round the pairs are few.
+            small = labelled.where(F.col("members") <= LARGE) if turn and pairs_left > 2 * rows_left else labelled
+            full = small.join(profiles.select("rep", "sig", "ks"), "rep")
             left, right = (full.select("k", *[F.col(c).alias(to + x) for c, to in (("rep", ""), ("n", "n"), ("r", "r"), ("c", "c"), ("sig", "sig_"), ("ks", "ks_"))]) for x in "ab")
             first = F.element_at(F.array_intersect("ks_a", "ks_b"), 1) == left["k"]
             pairs = left.join(right, (left["k"] == right["k"]) & (F.col("a") < F.col("b")) & other & first & _within("sig_a", "sig_b")).select("a", "b", "na", "nb")
+            if small is not labelled:
+                big = labelled.where(F.col("members") > LARGE)
+                hub = big.groupBy("k").agg(F.min(F.struct(central.alias("o"), F.col("rep").alias("hub"))).alias("h")).select("k", "h.hub")
+                pairs = pairs.unionByName(_by_deviation(big.join(hub, "k").select("hub", "rep", "n", "r", "c").distinct(), sets, least)).distinct()
             pairs = _possible(pairs, found_too, least)
         else:
-            # The first hub has the commonest values: of copies with edits of their own it is the original, or next to it.
-            first = F.xxhash64("rep", F.lit(turn)) if turn else -F.col("common")
-            order = F.struct(first.alias("o"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("c").alias("cb"))
+            order = F.struct((F.xxhash64("rep", F.lit(turn)) if turn else central).alias("o"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("c").alias("cb"))
             hub = labelled.groupBy("k").agg(F.min(order).alias("h")).select("k", "h.b", "h.nb", "h.rb", "h.cb")
             pairs = own.join(hub, "k").where(other).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = _near(pairs, profiles)
@@ -254,21 +319,53 @@ def _links(members: DataFrame, docs: DataFrame, width: int, least: int) -> DataF
     return links
 
 
+def _grouped(rows: DataFrame, width: int, least: int) -> DataFrame:
+    """(row, doc_id, n, component) of settled rows (row, doc_id, text); component is a row of the group."""
+    described = settle(_described(rows, width), "signatures")
+    # Sets with copies are few beside all sets, and most rows need no join.
+    classes = described.where("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("least_row"), F.count("*").alias("c")).where("c > 1").select("key", "least_row")
+    joined = described.join(_small(settle(classes, "classes")), "key", "left")
+    members = settle(joined.select("row", "doc_id", "n", "key", "sig", F.coalesce("least_row", "row").alias("rep")), "members")
+    links = _links(members, rows, width, least)
+    out = members.select("row", "doc_id", "n", "rep")
+    if links is None:
+        return out.withColumnRenamed("rep", "component")
+    named = settle(components(links), "components").withColumnRenamed("node", "rep")
+    return out.join(_small(named), "rep", "left").select("row", "doc_id", "n", F.coalesce("component", "rep").alias("component"))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A settled table, to be broadcast while it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
+def _chosen(grouped: DataFrame) -> DataFrame:
+    """(component, component_id, stays) of groups of several rows: the smallest doc_id and the row that has it."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = grouped.groupBy("component").agg(F.min(order).alias("b"), F.count("*").alias("c")).where("c > 1")
+    return _small(settle(best.select("component", F.col("b.doc_id").alias("component_id"), F.col("b.row").alias("stays")), "chosen"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, settled, so that it stays the same if a task is repeated."""
+    return settle(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of docs (doc_id, text)."""
-    described = settle(_described(docs, width), "signatures")
-    classes = described.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    members = settle(described.join(classes, "key", "left"), "members")
-    links = _links(members, docs, width, least)
-    out = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
-    if links is not None:
-        named = settle(components(links), "components")
-        out = out.join(named.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    component = F.coalesce("component", "rep").alias("component_id")
-    out = out.select("doc_id", "n_shingles", component)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    """doc_id, n_shingles, component_id, kept of docs (doc_id, text); kept is doc_id = component_id, and true in groups without an id."""
+    grouped = settle(_grouped(numbered(docs.select("doc_id", "text")), width, least), "grouped")
+    out = grouped.join(_chosen(grouped), "component", "left")
+    component = F.when(F.col("stays").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.when(component.isNull(), F.col("stays").isNull() | (F.col("row") == F.col("stays"))).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False)))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
+    """One row of each group of docs (doc_id, text, ...), with all its columns: that of the smallest doc_id."""
+    rows = numbered(docs)
+    grouped = settle(_grouped(rows.select("row", "doc_id", "text"), width, least), "grouped")
+    away = grouped.join(_chosen(grouped), "component").where("row <> stays").select("row")
+    return rows.join(away, "row", "left_anti").drop("row")
 
 
 def op10(spark, sf_dir) -> DataFrame:

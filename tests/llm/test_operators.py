@@ -273,24 +273,40 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == {i: (c, i == c) for i, c in want.items()}
 
 
-def test_near_duplicates_of_families(spark):
-    """Originals with few and with many edits of their own, and copies of copies."""
+@pytest.mark.parametrize("large", [3, 32])
+def test_near_duplicates_of_families(spark, monkeypatch, large):
+    """Originals with few and with many edits of their own, shared edits, cut copies, and copies of copies; by plain pairs and by the second key."""
+    monkeypatch.setattr(near_dup, "LARGE", large)
     rng = np.random.default_rng(3)
     texts, words = {}, [f"w{i}" for i in range(4000)]
-    for family in range(6):
-        base = list(rng.choice(words, 220))
-        for k in range(25):
+    for family in range(5):
+        base = list(rng.choice(words, 150))
+        for k in range(60):
             own = base[:]
-            for j in rng.choice(len(own), rng.integers(0, 12), replace=False):
-                own[j] = f"e{family}-{k}-{j}"
+            for j in rng.choice(len(own), rng.integers(0, 8), replace=False):
+                own[j] = f"e{family}-{rng.integers(0, 3) if family % 2 else k}-{j}"
+            if k % 5 == 4:
+                own = own[: -int(rng.integers(1, 12))]
             texts[len(texts) * 7 % 1009] = " ".join(own)
-            base = own if k % 9 == 8 else base
+            base = own if k % 29 == 28 else base
     ship(spark)
     docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, width=5, least=80).collect()}
     assert got == components_by_brute_force(texts, 5)
 
 
+def test_near_duplicates_by_row(spark):
+    """Rows under one id or none are compared each by itself; one row of a group stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, b + " more"), (None, c), (None, c), (5, None), (5, None), (6, "")]
+    ship(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept, r.n_shingles) for r in near_dup.near_duplicates(docs).collect())
+    assert got == sorted([(1, 1, True, 36), (1, 1, True, 36), (2, 1, False, 36), (0, 1, False, 36), (0, 1, False, 37), (0, 0, True, 36), (0, 0, False, 36), (5, 5, True, 0), (5, 5, True, 0), (6, 6, True, 0)])
+    left = sorted((r.doc_id or 0, r.text or "") for r in near_dup.without_near_duplicates(docs).collect())
+    assert left == sorted([(1, a), (1, b), (0, c), (5, ""), (5, ""), (6, "")])
+
+
 def test_pipeline_stages(spark, odd):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
