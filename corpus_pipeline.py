@@ -7,7 +7,7 @@ return the columns of documents; the last returns a row of token ids for each do
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import byte_bpe, language_id, near_dup, quality_rules, source_mix
@@ -30,11 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id."""
     ship(spark)
-    docs = docs.select(*COLUMNS)
-    kept = near_dup.near_duplicates(docs, width=5, least=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    # A repeated doc_id would come back once for each of its rows; of exact copies one row stays.
-    copies = F.row_number().over(Window.partitionBy(F.coalesce("doc_id", F.xxhash64("text"))).orderBy(F.xxhash64(*COLUMNS)))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").withColumn("_n", copies).where("_n = 1").drop("_n")
+    return near_dup.without_near_duplicates(docs.select(*COLUMNS), width=5, least=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
