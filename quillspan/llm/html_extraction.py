@@ -1,33 +1,39 @@
 """HTML extraction with a site style tree.
 
 The pages of a host are merged into one tree: a node is a path of block elements, named by tag, class
-and id (digits left out). Pages of a host with the same blocks are one page there, however often they are
-served. For each node Spark counts on how many of the host's distinct pages it stands, and on how many of
-them each of its layouts (the sequence of its child elements) and each of its contents (the text
-below it) stands. With m pages,
+and id (digits left out) and kept as a hash of its parent's and its own name. Pages of a host with the same blocks are
+one page there, however often they are served, and so are marked main parts (article or main) with the same
+blocks. For each node Spark counts on how many distinct pages it stands, on how many of them each of its
+layouts (the sequence of its child elements) and each of its contents (a sentence or such a piece of a text block
+in it or up to LEVELS elements below it) stands. With m pages and l layouts,
 
 * presentation importance is the entropy of the layouts, to the base m;
-* content importance is 1 - mean over contents of log(pages with it) / log(m).
+* content importance is 1 - mean over contents of log(pages with it) / log(m);
+* the node's importance is (1 - DECAY^l) * presentation + DECAY^l * content, and 1 on a single page.
 
-A node is as important as the higher of the two; one on a single page is important. Branches of low importance
-on hosts of at least LEAST_PAGES distinct pages are what the site repeats, and are removed from each page,
-unless nothing would be left. Inside a marked main part a node must itself stand on LEAST_PAGES distinct pages
-for that, so that near copies of an article do not take from one another. Some elements are never main text whatever their site does, and go in any case: those whose tag or
-class says menu, header, footer, sidebar, notice, advert, form, comment section, script or style. Where a
-page marks its main part (article or main), only that part is read.
+A small host says little by itself. So a node's importance is averaged with a prior that weighs PRIOR_PAGES
+pages: its importance over all hosts together, which share templates, or 1 inside a marked main part.
 
+Where to cut follows from the host: from the level at which most of its text stands, importances are followed
+downwards to the first gap of GAP or more; what lies below the gap is what the site repeats. A host without such a gap repeats
+nothing. A branch goes from a page where its element and all elements below it lie under the gap.
+
+After the tree come marks. Some elements are never main text whatever their site does, such as readers' comments, which no
+two pages share: those whose tag or class says menu, header, footer, sidebar, notice, advert, form, comment
+section, script or style. Where a page marks its main part (article or main), only that part is read.
 A name on a wrapper says nothing of what it wraps. So such a mark does not count on an element that holds more
 than MOST of the page's text (ALMOST_ALL, where a tag or a word means only links or readers' text), unless the
 site style tree agrees; nor around a marked part, unless most of such parts' text stands outside of the noise,
-as with an article among teasers. Where the marks would empty a page that has text, they are ignored.
+as with an article among teasers. Where the marks would empty a page that has text, they are ignored; a page that
+the tree alone empties has an empty text.
 
 Counts are added up by Spark with partial sums, so a host with a third of all pages costs no single
-task more. The nodes found unimportant go to the pages by a broadcast while they are few (the number is
-checked), else by a join that is salted.
+task more. The nodes found unimportant are sent once to every worker while they are few (the number is
+checked); else each page's own nodes meet them in a join by host and node.
 
 Defined results: a null html is empty and gives an empty text; a null or odd url has the host ''; repeated
-rows count twice and give equal rows; an empty table gives an empty result; broken markup is read as far
-as it goes; extra columns are ignored.
+rows are one page of their site and give equal rows; an empty table gives an empty result; broken markup is read as far
+as it goes, to any depth; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,18 +47,21 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .common import read, settle
 
-LEAST_PAGES = 5
-LOW = 0.2
+DECAY = 0.9
+LEVELS = 3
+PRIOR_PAGES = 20
+GAP = 0.08
+#: Levels that hold less than this share of a host's text do not fill a gap.
+LEAST_TEXT = 0.002
 MOST = 0.5
 ALMOST_ALL = 0.9
 BROADCAST_NODES = 500_000
-SALTS = 16
 
 #: Fixed sets of HTML element names.
 BLOCKS = frozenset(
@@ -80,6 +89,8 @@ _TOKEN = re.compile(
 )
 _NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: What parts the pieces of a block: the end of a sentence or a separator.
+_PIECE = re.compile(r"(?<=[.!?;:])\s+|\s*[·•|–—]\s*")
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -106,10 +117,22 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 class Node:
     """An open or closed block element."""
 
-    __slots__ = ("tag", "path", "noise", "start", "end", "children")
+    __slots__ = ("tag", "parent", "key", "noise", "start", "end", "children", "article", "main", "own")
+
+    def __init__(self, tag: str, parent: Node | None, label: str, noise: float, start: int):
+        self.tag, self.parent, self.noise, self.start, self.end, self.children, self.own = tag, parent, noise, start, -1, [], False
+        self.key = _hash(f"{parent.key if parent else ''}>{label}")
+        self.article = tag == "article" or parent is not None and parent.article
+        self.main = tag == "main" or parent is not None and parent.main
 
-    def __init__(self, tag: str, path: str, noise: float, start: int):
-        self.tag, self.path, self.noise, self.start, self.end, self.children = tag, path, noise, start, -1, []
+    @property
+    def inside(self) -> bool:
+        """Whether the element lies in a marked main part."""
+        return self.parent is not None and (self.parent.article or self.parent.main)
+
+
+def _hash(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _named(tag: str, attributes: str, inside_article: bool) -> tuple[str, float]:
@@ -129,13 +152,14 @@ def _named(tag: str, attributes: str, inside_article: bool) -> tuple[str, float]
     return label, (ALMOST_ALL if strong else MOST) if noise else 0.0
 
 
-def parse(html: str | None) -> tuple[list[str], list[list[Node]], list[Node]]:
-    """Text blocks in page order, the open elements around each, and all elements."""
+def parse(html: str | None) -> tuple[list[str], list[Node | None], list[Node]]:
+    """Text blocks in page order, the innermost element around each, and all elements, parents first."""
     blocks: list[str] = []
-    around: list[list[Node]] = []
+    around: list[Node | None] = []
     nodes: list[Node] = []
     stack: list[Node] = []
     held: list[str] = []
+    is_open: Counter = Counter()
 
     def flush() -> None:
         if held:
@@ -143,12 +167,15 @@ def parse(html: str | None) -> tuple[list[str], list[list[Node]], list[Node]]:
             held.clear()
             if text:
                 blocks.append(text)
-                around.append(stack[:])
+                around.append(stack[-1] if stack else None)
+                if stack:
+                    stack[-1].own = True
 
     def close(k: int) -> None:
         flush()
         for node in stack[k:]:
             node.end = len(blocks)
+            is_open[node.tag] -= 1
         del stack[k:]
 
     if not isinstance(html, str):
@@ -174,163 +201,207 @@ def parse(html: str | None) -> tuple[list[str], list[list[Node]], list[Node]]:
                         if stack[k].tag in SAME[name]:
                             close(k)
                             break
-                        if stack[k].tag in SCOPES or stack[k].tag == "tr" and name in ("td", "th"):
+                        if stack[k].tag in SCOPES or stack[k].tag == "tr" and name in ("td", "th") or not any(is_open[x] for x in SAME[name]):
                             break
-                label, noise = _named(name, attributes, any(x.tag == "article" for x in stack))
-                node = Node(name, f"{stack[-1].path}>{label}" if stack else label, noise, len(blocks))
-                if stack:
-                    stack[-1].children.append(name)
+                up = stack[-1] if stack else None
+                label, noise = _named(name, attributes, up is not None and up.article)
+                node = Node(name, up, label, noise, len(blocks))
+                if up is not None:
+                    up.children.append(name)
                 nodes.append(node)
                 if name not in VOID and not attributes.endswith("/") or name in ("div", "p"):
                     stack.append(node)
+                    is_open[name] += 1
                 else:
                     node.end = len(blocks)
         elif name == "head":
             head = False
             held.clear()
         elif name in BLOCKS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == name:
-                    close(k)
-                    break
+            if is_open[name]:
+                k = len(stack) - 1
+                while stack[k].tag != name:
+                    k -= 1
+                close(k)
             else:
                 flush()
     close(0)
     return blocks, around, nodes
 
 
-def node_key(host: str, path: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{host}\n{path}") - (1 << 63)
-
-
-def _hash(x: str) -> int:
-    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
-
-
-def main_text(html: str | None, host: str, low: set[int]) -> str:
-    """The page's blocks without noise and without the branches that the site's tree holds unimportant."""
-    blocks, around, _ = parse(html)
+def main_text(html: str | None, low: set[int]) -> str:
+    """The page's blocks without the branches that the site's tree holds unimportant (low: their nodes), then without noise."""
+    blocks, around, nodes = parse(html)
     sizes = [len(x) for x in blocks]
     upto = list(accumulate(sizes, initial=0))
-    known: dict[str, bool] = {}
-
-    def is_low(node: Node) -> bool:
-        if not low or node.tag in ("html", "body", "article", "main"):
-            return False
-        if node.path not in known:
-            known[node.path] = node_key(host, node.path) in low
-        return known[node.path]
-
-    def is_noise(node: Node) -> bool:
-        return bool(node.noise) and (upto[node.end] - upto[node.start] <= node.noise * upto[-1] or is_low(node))
-
-    noisy = {n: is_noise(n) for n in dict.fromkeys(n for up in around for n in up)}
-    clean = [k for k, up in enumerate(around) if not any(noisy[n] for n in up)]
-    kept = _main_part(around, sizes, noisy, clean)
-    if low:
-        high = [k for k in kept if not any(is_low(n) for n in around[k])]
-        kept = high or kept
-    return "\n".join(blocks[k] for k in kept)
-
-
-def _main_part(around: list[list[Node]], sizes: list[int], noisy: dict[Node, bool], clean: list[int]) -> list[int]:
-    """The blocks of the marked main part, or of the page where none is marked, without noise; all where all is noise."""
+    high: set[Node] = set()  # elements that are important or hold one that is
+    for n in reversed(nodes):
+        if n in high or n.key not in low:
+            high.add(n)
+            if n.parent is not None:
+                high.add(n.parent)
+    bad: dict[Node | None, bool] = {None: False}  # inside noise
+    bad_inside: dict[Node | None, bool] = {None: False}  # inside noise that lies in the marked part
+    for n in nodes:
+        own = bool(n.noise) and (upto[n.end] - upto[n.start] <= n.noise * upto[-1] or n not in high)
+        bad[n] = bad[n.parent] or own
+        bad_inside[n] = n.inside and bad_inside[n.parent] or own and (n.article or n.main)
+    left = [k for k, n in enumerate(around) if n is None or n in high]
+    return "\n".join(blocks[k] for k in _main_part(around, sizes, left, bad, bad_inside))
+
+
+def _main_part(around: list[Node | None], sizes: list[int], left: list[int], bad: dict, bad_inside: dict) -> list[int]:
+    """Of the blocks left, those of the marked main part, or of the page where none is marked, without noise; all where all is noise."""
     size = lambda part: sum(sizes[k] for k in part)
-    marked = {tag: [k for k, up in enumerate(around) if any(n.tag == tag for n in up)] for tag in ("article", "main")}
-    inner = {}
-    for tag, part in marked.items():
-        inner[tag] = []
-        for k in part:
-            first = next(i for i, n in enumerate(around[k]) if n.tag in marked)
-            if not any(noisy[n] for n in around[k][first:]):
-                inner[tag].append(k)
-        outer = set(clean).intersection(inner[tag])
-        if outer and 2 * size(outer) >= size(inner[tag]):
+    clean = [k for k in left if not bad[around[k]]]
+    marked = {tag: [k for k in left if around[k] is not None and getattr(around[k], tag)] for tag in ("article", "main")}
+    inner = {tag: [k for k in part if not bad_inside[around[k]]] for tag, part in marked.items()}
+    for part in inner.values():
+        outer = set(clean).intersection(part)
+        if outer and 2 * size(outer) >= size(part):
             return sorted(outer)
-    return inner["article"] or inner["main"] or clean or marked["article"] or marked["main"] or list(range(len(around)))
+    return inner["article"] or inner["main"] or clean or marked["article"] or marked["main"] or left
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW) -> DataFrame:
-    """(host, node) of the unimportant nodes of each host's style tree, for pages (host, html)."""
+def page_features(html: str | None) -> list[tuple[int, int, list[tuple[int, int, int, int]]]]:
+    """What a page adds to its site's tree: (part, hash of the part's blocks, rows), rows (node, kind, feature, weight).
+
+    Part 1 is what lies in a marked main part, part 0 the rest. Kinds: 0 the node, 1 its layout, 2 a content, 3 the characters of its own blocks."""
+    blocks, around, nodes = parse(html)
+    rows: tuple[dict, dict] = {}, {}
+    texts: tuple[list, list] = [], []
+    for n in nodes:
+        own = rows[n.inside]
+        own[n.key, 0, 0] = 1
+        own[n.key, 1, _hash(">".join(n.children))] = 1
+    for text, n in zip(blocks, around):
+        texts[n is not None and (n.article or n.main)].append(text)
+        if n is not None:
+            rows[n.inside][n.key, 3, 0] = rows[n.inside].get((n.key, 3, 0), 0) + len(text)
+        features = [_hash(x) for x in _PIECE.split(text) if x]
+        for _ in range(LEVELS + 1):
+            if n is None:
+                break
+            rows[n.inside].update(((n.key, 2, x), 1) for x in features)
+            n = n.parent
+    return [(part, _hash("\n".join(texts[part])), [(*k, v) for k, v in sorted(own.items())]) for part, own in enumerate(rows) if own and blocks]
+
+
+def style_counts(pages: DataFrame) -> DataFrame:
+    """(host, node, inside, kind, feature, n) of each host's style tree, for pages (host, html)."""
 
     def tree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = {}
+            found = {}
             for host, html in zip(batch["host"], batch["html"]):
-                blocks, _, nodes = parse(html)
-                if not blocks:
-                    continue
-                own = set()
-                for n in nodes:
-                    key = node_key(host, n.path)
-                    own.add((key, 0, int(_in_main(n.path))))
-                    own.add((key, 1, _hash(">".join(n.children))))
-                    own.add((key, 2, _hash("\n".join(blocks[n.start : n.end]))))
-                page = host, _hash("\n".join(blocks))
-                found = np.array(sorted(own), np.int64).tobytes()
-                rows[page] = min(rows.get(page, found), found)
-            yield pd.DataFrame([(*k, v) for k, v in rows.items()], columns=["host", "page", "tree"]).astype({"page": np.int64})
+                for part, page, rows in page_features(html):
+                    raw = np.array(rows, np.int64).tobytes()
+                    key = host, part, page
+                    found[key] = min(found.get(key, raw), raw)
+            yield pd.DataFrame([(*k, v) for k, v in found.items()], columns=["host", "part", "page", "tree"]).astype({"part": np.int32, "page": np.int64})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found: Counter = Counter()
-            for host, raw in zip(batch["host"], batch["tree"]):
-                found.update((host, key, "plc"[kind], feature) for key, kind, feature in np.frombuffer(raw, np.int64).reshape(-1, 3).tolist())
-                found[host, 0, "h", 0] += 1
+            for host, part, raw in zip(batch["host"], batch["part"], batch["tree"]):
+                for node, kind, feature, weight in np.frombuffer(raw, np.int64).reshape(-1, 4).tolist():
+                    found[host, node, part, kind, feature] += weight
                 if len(found) > 100_000:
                     yield _counted(found)
                     found = Counter()
             if found:
                 yield _counted(found)
 
-    distinct = pages.mapInPandas(tree, "host string, page long, tree binary").groupBy("host", "page").agg(F.min("tree").alias("tree"))
-    counts = distinct.select("host", "tree").mapInPandas(count, "host string, node long, kind string, feature long, n long")
-    counts = counts.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
-    counts = settle(counts, "style-counts")
-    hosts = counts.where((F.col("kind") == "h") & (F.col("n") >= least_pages)).select("host")
+    schema = "host string, node long, inside int, kind int, feature long, n long"
+    distinct = pages.mapInPandas(tree, "host string, part int, page long, tree binary").groupBy("host", "part", "page").agg(F.min("tree").alias("tree"))
+    counts = distinct.select("host", "part", "tree").mapInPandas(count, schema)
+    return counts.groupBy("host", "node", "inside", "kind", "feature").agg(F.sum("n").alias("n"))
+
+
+def _counted(found: Counter) -> pd.DataFrame:
+    rows = pd.DataFrame([(*k, n) for k, n in found.items()], columns=["host", "node", "inside", "kind", "feature", "n"])
+    return rows.astype({"node": np.int64, "inside": np.int32, "kind": np.int32, "feature": np.int64, "n": np.int64})
+
+
+def importance(counts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, m, chars, importance) of the nodes in counts; importance is 1 on a single page, and for contents where a node has none."""
     n = F.col("n").cast("double")
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
-    tree = counts.where("kind <> 'h'").groupBy("host", "node").agg(
-        of("p", F.col("n")).alias("m"), F.max(F.when(F.col("kind") == "p", F.col("feature"))).alias("inside"),
-        of("l", n * F.log(n)).alias("nlogn"), of("l", n).alias("layouts"), of("c", F.log(n)).alias("logs"), of("c", F.lit(1)).alias("contents"),
+    tree = counts.groupBy(*keys).agg(
+        of(0, F.col("n")).alias("m"), of(3, F.col("n")).alias("chars"), of(1, n * F.log(n)).alias("nlogn"), of(1, n).alias("seen"), of(1, F.lit(1)).alias("layouts"),
+        of(2, F.log(n)).alias("logs"), of(2, F.lit(1)).alias("contents"),
     )
-    tree = tree.where(F.col("m") >= F.when(F.col("inside") == 1, least_pages).otherwise(2))
-    presentation = (F.log("layouts") - F.col("nlogn") / F.col("layouts")) / F.log("m")
-    content = 1 - F.col("logs") / F.col("contents") / F.log("m")
-    return tree.where(F.greatest(presentation, content) < low).join(hosts, "host", "left_semi").select("host", "node")
+    presentation = (F.log("seen") - F.col("nlogn") / F.col("seen")) / F.log("m")
+    content = F.coalesce(1 - F.col("logs") / F.col("contents") / F.log("m"), F.lit(1.0))
+    near = F.pow(F.lit(DECAY), F.col("layouts"))
+    mixed = F.when(F.col("m") <= 1, 1.0).otherwise((1 - near) * presentation + near * content)
+    return tree.select(*keys, "m", F.coalesce("chars", F.lit(0)).alias("chars"), mixed.alias("importance"))
 
 
-def _in_main(path: str) -> bool:
-    """Whether a path leads into an article or main."""
-    return re.search(r"(?:^|>)(?:article|main)(?=[.#>])[^>]*>", path) is not None
+def cuts(nodes: DataFrame) -> DataFrame:
+    """(host, cut) of the hosts with a gap, for nodes (host, level, chars); a host has 101 levels at most."""
+    levels = nodes.where("chars > 0").groupBy("host", "level").agg(F.sum("chars").alias("chars"))
+    host = Window.partitionBy("host")
+    levels = levels.withColumn("all", F.sum("chars").over(host)).withColumn("top", F.max(F.struct("chars", "level")).over(host)["level"])
+    levels = levels.where(F.col("chars") >= LEAST_TEXT * F.col("all")).where("level <= top")
+    below = F.lag("level").over(host.orderBy("level"))
+    gaps = levels.withColumn("below", below).where(F.col("level") - F.col("below") >= int(round(100 * GAP)))
+    return gaps.groupBy("host").agg(F.max("level").alias("cut"))
 
 
-def _counted(found: Counter) -> pd.DataFrame:
-    rows = pd.DataFrame([(*k, n) for k, n in found.items()], columns=["host", "node", "kind", "feature", "n"])
-    return rows.astype({"node": np.int64, "feature": np.int64, "n": np.int64})
+def low_nodes(pages: DataFrame) -> DataFrame:
+    """(host, node) of the unimportant nodes of each host's style tree, for pages (host, html)."""
+    counts = settle(style_counts(pages), "style-counts")
+    everywhere = counts.where("inside = 0").groupBy("node", "kind", "feature").agg(F.sum("n").alias("n"))
+    prior = importance(everywhere, "node").select("node", F.col("importance").alias("prior"))
+    own = importance(counts, "host", "node", "inside").join(prior, "node", "left")
+    before = F.when(F.col("inside") == 1, 1.0).otherwise(F.col("prior"))
+    mixed = (F.col("m") * F.col("importance") + PRIOR_PAGES * before) / (F.col("m") + PRIOR_PAGES)
+    nodes = settle(own.select("host", "node", "chars", F.round(100 * mixed).cast("int").alias("level")), "style-nodes")
+    # One row a host.
+    return nodes.join(cuts(nodes), "host").where("level < cut").select("host", "node")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with text and n_chars."""
+    spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    low = settle(low_nodes(pages.select("host", "html")), "style-tree")
-    by_host = low.groupBy("host").agg(F.collect_list("node").alias("low"))  # paths of one site's templates
-    if low.count() <= BROADCAST_NODES:
-        joined = pages.join(F.broadcast(by_host), "host", "left")
+    low = settle(low_nodes(pages.select("host", "html")).distinct(), "style-tree")
+    if low.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+        found: dict[str, set[int]] = {}
+        for host, node in low.collect():  # the number is checked
+            found.setdefault(host, set()).add(node)
+        sent = spark.sparkContext.broadcast(found)
+
+        @pandas_udf("string")
+        def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for html, host in batches:
+                yield pd.Series([main_text(h, sent.value.get(o, set())) for h, o in zip(html, host)], dtype=object)
+
+        out = pages.withColumn("text", text("html", "host"))
     else:
-        salted = by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = pages.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted.hint("shuffle_hash"), ["host", "_salt"], "left")
+        out = _extract_by_join(pages, low)
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _extract_by_join(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """The same for any number of low nodes: each page gets those of its own nodes that are low."""
+
+    @pandas_udf("array<long>")
+    def keys(htmls: pd.Series) -> pd.Series:
+        return pd.Series([sorted({n.key for n in parse(h)[2]}) for h in htmls])
 
     @pandas_udf("string")
-    def text(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for html, host, low in batches:
-            yield pd.Series([main_text(h, o, set(x) if x is not None else set()) for h, o, x in zip(html, host, low)], dtype=object)
+    def text(html: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([main_text(h, set(x) if x is not None else set()) for h, x in zip(html, own)], dtype=object)
 
-    return joined.withColumn("text", text("html", "host", "low")).withColumn("n_chars", F.length("text").cast("long"))
+    rows = settle(pages.withColumn("row", F.monotonically_increasing_id()), "pages")
+    found = rows.select("row", "host", F.explode(keys("html")).alias("node")).join(low, ["host", "node"]).groupBy("row").agg(F.collect_list("node").alias("own"))
+    return rows.join(found, "row", "left").withColumn("text", text("html", "own")).drop("row", "own")
 
 
 def op3(spark, sf_dir) -> DataFrame:
