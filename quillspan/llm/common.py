@@ -21,8 +21,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share; an own one only where the session names none and runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or tempfile.gettempdir() + "/checkpoints").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -48,9 +51,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, whatever else df carries."""
-    return df.select(*[df[n] for n in names])
+#: Rows up to which a table is sent to every executor.
+BROADCAST_ROWS = 500_000
+
+
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled or short table, to be broadcast if its counted rows allow that; else Spark joins it by a shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 _SHIPPED: set[str] = set()

@@ -48,15 +48,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import read, settle
+from .common import read, settle, small
 
 VALUES, ERRORS, CHUNK = 128, 50, 4
 #: The least number of keys that signatures within ERRORS share: one error in each chunk leaves it a key, a second takes that too.
 SHARED = 2 * VALUES // CHUNK - ERRORS
 #: Parts of the hash range in which a set's shingles are counted.
 PARTS = 64
-#: Ids that may be broadcast to pick out the texts of candidates; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 500_000
 MAX_ROUNDS = 8
 #: Members of a key beyond which its pairs are found by a second key.
 LARGE = 32
@@ -259,9 +257,7 @@ def _links(members: DataFrame, rows: DataFrame, width: int, least: int) -> DataF
     reps = members.where("key IS NOT NULL AND row = rep").select("rep", "n", "sig")
     profiles = settle(_prefixes(reps), "profiles")
     keys = profiles.select("rep", "n", "common", F.explode("ks").alias("k"))
-    wanted = profiles.select("rep")
-    few = wanted.count()
-    if not few:
+    if profiles.isEmpty():
         return None
 
     @pandas_udf("set array<long>, counts array<int>")
@@ -271,7 +267,7 @@ def _links(members: DataFrame, rows: DataFrame, width: int, least: int) -> DataF
             counts = [np.bincount(x % PARTS, minlength=PARTS).astype(np.int32) for x in own]
             yield pd.DataFrame({"set": own, "counts": counts})
 
-    texts = rows.select(F.col("row").alias("rep"), "text").join(F.broadcast(wanted) if few <= BROADCAST_IDS else wanted, "rep")
+    texts = rows.select(F.col("row").alias("rep"), "text").join(small(profiles.select("rep")), "rep")
     sets = settle(texts.select("rep", as_set("text").alias("s")).select("rep", "s.set", "s.counts"), "sets")
     found_too = settle(_found_elsewhere(sets), "found")
     keys = settle(keys.join(found_too.select("rep", "r"), "rep"), "keys")
@@ -324,26 +320,21 @@ def _grouped(rows: DataFrame, width: int, least: int) -> DataFrame:
     described = settle(_described(rows, width), "signatures")
     # Sets with copies are few beside all sets, and most rows need no join.
     classes = described.where("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("least_row"), F.count("*").alias("c")).where("c > 1").select("key", "least_row")
-    joined = described.join(_small(settle(classes, "classes")), "key", "left")
+    joined = described.join(small(settle(classes, "classes")), "key", "left")
     members = settle(joined.select("row", "doc_id", "n", "key", "sig", F.coalesce("least_row", "row").alias("rep")), "members")
     links = _links(members, rows, width, least)
     out = members.select("row", "doc_id", "n", "rep")
     if links is None:
         return out.withColumnRenamed("rep", "component")
     named = settle(components(links), "components").withColumnRenamed("node", "rep")
-    return out.join(_small(named), "rep", "left").select("row", "doc_id", "n", F.coalesce("component", "rep").alias("component"))
-
-
-def _small(table: DataFrame) -> DataFrame:
-    """A settled table, to be broadcast while it has few rows."""
-    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+    return out.join(small(named), "rep", "left").select("row", "doc_id", "n", F.coalesce("component", "rep").alias("component"))
 
 
 def _chosen(grouped: DataFrame) -> DataFrame:
     """(component, component_id, stays) of groups of several rows: the smallest doc_id and the row that has it."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     best = grouped.groupBy("component").agg(F.min(order).alias("b"), F.count("*").alias("c")).where("c > 1")
-    return _small(settle(best.select("component", F.col("b.doc_id").alias("component_id"), F.col("b.row").alias("stays")), "chosen"))
+    return small(settle(best.select("component", F.col("b.doc_id").alias("component_id"), F.col("b.row").alias("stays")), "chosen"))
 
 
 def numbered(docs: DataFrame) -> DataFrame:

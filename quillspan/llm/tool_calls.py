@@ -12,8 +12,8 @@ wrong type, too long, unknown. JSON is canonical: keys in code point order, no w
 for each message, so that a conversation however long is never gathered into one row.
 
 Defined results: a call without a result is ``unanswered``, a result without a call ``orphan``; null
-arguments are malformed; a call of an unknown tool has the error ``tool``; null ids link with nothing;
-repeated rows give repeated rows; an empty table gives an empty result; extra columns are ignored. Turns
+arguments are malformed, with whatever id; a call of an unknown tool has the error ``tool``; null ids link with
+nothing; of calls with one id each is checked by itself; repeated rows give repeated rows; an empty table gives an empty result; extra columns are ignored. Turns
 that neither call nor answer (role system, any other role, or none) are messages with status ``message``,
 level 0, no call_id, no other_turn and no errors; their JSON has content, role and type, without what is null.
 """
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, settle
+from .common import read, settle, small
 
 #: Fixed schemas of the production query: tool, parameter, type, required, longest string.
 SCHEMAS = [
@@ -43,28 +43,27 @@ def canonical(json: Column) -> Column:
 
 
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """(conv_id, call_id, errors) of the calls (conv_id, call_id, tool, arguments) with errors, in order."""
+    """(row, errors) of the calls (row, tool, arguments) with errors, in order; row is one of its own for each call."""
     spark = calls.sparkSession
-    calls = calls.select("conv_id", "call_id", "tool", F.try_parse_json("arguments").alias("v")).withColumn("is_object", F.schema_of_variant("v").startswith("OBJECT"))
-    bad = calls.where("v IS NULL OR NOT is_object").select("conv_id", "call_id", F.lit("malformed").alias("error"))
+    calls = calls.select("row", "tool", F.try_parse_json("arguments").alias("v")).withColumn("is_object", F.schema_of_variant("v").startswith("OBJECT"))
+    bad = calls.where("v IS NULL OR NOT is_object").select("row", F.lit("malformed").alias("error"))
     objects = calls.where("is_object")
-    known = schemas.select("tool").distinct()
-    no_tool = objects.join(F.broadcast(known), "tool", "left_anti").select("conv_id", "call_id", F.lit("tool").alias("error"))
-    # Schemas are a list written by hand; their number does not grow with the corpus.
-    objects = objects.join(F.broadcast(known), "tool", "left_semi")
-    given = spark.sql("SELECT c.conv_id, c.call_id, c.tool, e.key AS param, e.value FROM {c} c, LATERAL variant_explode(c.v) e", c=objects)
-    checked = given.join(F.broadcast(schemas), ["tool", "param"], "left")
+    known = small(schemas.select("tool").distinct())
+    no_tool = objects.join(known, "tool", "left_anti").select("row", F.lit("tool").alias("error"))
+    objects = objects.join(known, "tool", "left_semi")
+    given = spark.sql("SELECT c.row, c.tool, e.key AS param, e.value FROM {c} c, LATERAL variant_explode(c.v) e", c=objects)
+    checked = given.join(small(schemas), ["tool", "param"], "left")
     kind = F.schema_of_variant("value")
     wrong = (
         F.when(F.col("type").isNull(), F.concat(F.lit("unknown:"), "param"))
         .when(kind != F.col("type"), F.concat(F.lit("type:"), "param"))
         .when(F.length(F.try_variant_get("value", "$", "string")) > F.col("max_length"), F.concat(F.lit("long:"), "param"))
     )
-    wrong_rows = checked.select("conv_id", "call_id", wrong.alias("error")).where("error IS NOT NULL")
-    needed = objects.join(F.broadcast(schemas.where("required")), "tool").select("conv_id", "call_id", "param")
-    absent = needed.join(given.select("conv_id", "call_id", "param"), ["conv_id", "call_id", "param"], "left_anti").select("conv_id", "call_id", F.concat(F.lit("missing:"), "param").alias("error"))
+    wrong_rows = checked.select("row", wrong.alias("error")).where("error IS NOT NULL")
+    needed = objects.join(small(schemas.where("required")), "tool").select("row", "param")
+    absent = needed.join(given.select("row", "param"), ["row", "param"], "left_anti").select("row", F.concat(F.lit("missing:"), "param").alias("error"))
     found = bad.unionByName(no_tool).unionByName(wrong_rows).unionByName(absent).distinct()
-    return found.groupBy("conv_id", "call_id").agg(F.array_join(F.array_sort(F.collect_list("error")), ";").alias("errors"))
+    return found.groupBy("row").agg(F.array_join(F.array_sort(F.collect_list("error")), ";").alias("errors"))
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -86,17 +85,19 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """Calls (conv_id, turn, call_id, tool, arguments, after) and results (conv_id, turn, call_id, content) as
     rows: conv_id, turn, kind, call_id, other_turn, status, level, errors, json."""
     calls = calls.select("conv_id", "turn", "call_id", "tool", "arguments", "after")
+    # Verdicts belong to a row and not to its identifier, which may be repeated or null.
+    calls = settle(calls.withColumn("row", F.monotonically_increasing_id()), "calls")
     results = results.select("conv_id", "turn", "call_id", "content")
     keys = ["conv_id", "call_id"]
     first_call = calls.groupBy(*keys).agg(F.min("turn").alias("call_turn"))
     first_result = results.groupBy(*keys).agg(F.min("turn").alias("result_turn"))
-    pairs = first_call.join(first_result, keys)
+    pairs = first_call.join(first_result.hint("shuffle_hash"), keys)
     answered = calls.join(pairs.select(*keys), keys, "left_semi")
     after = answered.select("conv_id", F.col("call_id").alias("after")).distinct().withColumn("_ok", F.lit(True))
     ready = calls.join(after, ["conv_id", "after"], "left").withColumn("after", F.when(F.col("_ok"), F.col("after"))).drop("_ok")
     order = levels(ready.select("conv_id", "call_id", "after").where("conv_id IS NOT NULL AND call_id IS NOT NULL"))
     errors = argument_errors(calls, schemas)
-    c = calls.join(pairs, keys, "left").join(order, keys, "left").join(errors, keys, "left")
+    c = calls.join(pairs.hint("shuffle_hash"), keys, "left").join(order, keys, "left").join(errors, "row", "left")
     twin = F.col("call_turn").isNotNull() & (F.col("turn") != F.col("call_turn"))
     c = c.select(
         "conv_id", "turn", F.lit("call").alias("kind"), "call_id", F.when(~twin, F.col("result_turn")).alias("other_turn"),
@@ -107,7 +108,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
             F.substring(F.to_json(F.struct(F.col("call_id").alias("id"), F.col("tool").alias("name"), F.lit("call").alias("type"))), 2, 2**31 - 1),
         ).alias("json"),
     )
-    r = results.join(pairs, keys, "left").join(order, keys, "left")
+    r = results.join(pairs.hint("shuffle_hash"), keys, "left").join(order, keys, "left")
     twin = F.col("result_turn").isNotNull() & (F.col("turn") != F.col("result_turn"))
     r = r.select(
         "conv_id", "turn", F.lit("result").alias("kind"), "call_id", F.when(~twin, F.col("call_turn")).alias("other_turn"),

@@ -71,6 +71,18 @@ def test_tool_calls_order_validate_and_serialise(spark):
     assert all(json.loads(r.json) for r in got.values())
 
 
+def test_tool_call_errors_belong_to_a_row(spark):
+    calls = [
+        (1, 0, "a", "lookup", '{"query":"q","limit":3}', None), (1, 1, "a", "lookup", "not json", None), (1, 2, "z", "lookup", '{"query":"q","limit":3}', None), (1, 3, "z", "lookup", "{}", None),
+        (1, 4, None, "lookup", "not json", None), (None, 5, "a", "lookup", None, None), (1, 6, None, "none", "{}", None), (1, 6, None, "none", "{}", None),
+    ]
+    schemas = spark.createDataFrame(tool_calls.SCHEMAS, "tool string, param string, type string, required boolean, max_length int")
+    none = spark.createDataFrame([], "conv_id int, turn int, call_id string, content string")
+    out = tool_calls.link(spark.createDataFrame(calls, "conv_id int, turn int, call_id string, tool string, arguments string, after string"), none, schemas)
+    got = sorted((r.turn, r.errors) for r in out.collect())
+    assert got == [(0, ""), (1, "malformed"), (2, ""), (3, "missing:limit;missing:query"), (4, "malformed"), (5, "malformed"), (6, "tool"), (6, "tool")]
+
+
 def test_fingerprints_estimate_generalised_jaccard(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     got = {r.doc_id: r for r in queries.QUERIES["op2_fingerprints"](spark, DATA).collect()}
@@ -106,19 +118,105 @@ def test_html_main_text(spark):
 def test_html_wrappers_keep_what_they_wrap(wrapper):
     rest, end = "<nav><a>Home</a></nav><div class=sidebar><p>side</p></div><div id=comments><p>reader</p></div>", wrapper.split()[0]
     for inner in ("<article><h1>Head</h1><p>Text of it.</p></article>", "<main><h1>Head</h1><p>Text of it.</p></main>", "<h1>Head of a page</h1><p>Text of it, more than all the rest of the page.</p>"):
-        want = html_extraction.main_text(inner, "", set())
-        assert "Text of it" in want and html_extraction.main_text(f"<body><{wrapper}>{inner}{rest}</{end}></body>", "", set()) == want
+        want = html_extraction.main_text(inner, set())
+        assert "Text of it" in want and html_extraction.main_text(f"<body><{wrapper}>{inner}{rest}</{end}></body>", set()) == want
 
 
 def test_html_marks_neither_empty_a_page_nor_let_teasers_in():
     teasers = "<aside><article><p>teaser</p></article></aside>"
-    assert html_extraction.main_text(f"<article><p>Main text of it.</p></article>{teasers}", "", set()) == "Main text of it."
-    assert html_extraction.main_text(f"<main><p>Main text of it.</p>{teasers}</main>", "", set()) == "Main text of it."
-    assert html_extraction.main_text("<nav><p>one</p></nav><footer><p>two</p></footer>", "", set()) == "one\ntwo"
+    assert html_extraction.main_text(f"<article><p>Main text of it.</p></article>{teasers}", set()) == "Main text of it."
+    assert html_extraction.main_text(f"<main><p>Main text of it.</p>{teasers}</main>", set()) == "Main text of it."
+    assert html_extraction.main_text("<nav><p>one</p></nav><footer><p>two</p></footer>", set()) == "one\ntwo"
     wide = "<div class=side><p>Text that the site repeats</p></div><p>own</p>"
-    assert html_extraction.main_text(wide, "", set()) == "Text that the site repeats\nown"
-    low = {html_extraction.node_key("h", "div.side")}
-    assert html_extraction.main_text(wide, "h", low) == "own"
+    assert html_extraction.main_text(wide, set()) == "Text that the site repeats\nown"
+    low = {n.key for n in html_extraction.parse(wide)[2][:2]}
+    assert html_extraction.main_text(wide, low) == "own"
+    assert html_extraction.main_text("<div class=side><p>all of it</p></div>", low) == ""
+
+
+def test_html_of_any_depth():
+    deep = "<div>x " * 100_000 + "</p>" * 100_000
+    blocks, _, nodes = html_extraction.parse(deep)
+    assert len(blocks) == len(nodes) == 100_000
+    assert len(html_extraction.main_text(deep, set())) == 2 * 100_000 - 1
+    assert len(html_extraction.parse("<ul>" + "<li>x" * 50_000)[0]) == 50_000
+
+
+def site_pages() -> list[tuple[int, str, str]]:
+    """Three hosts without a marked part: a large one, a small one that shares its templates, and one of copies."""
+    rng = np.random.default_rng(11)
+    say = lambda n: " ".join(f"w{rng.integers(0, 10**6)}" for _ in range(n)) + "."
+    menu, adverts = [f"Item {k}" for k in range(9)], [f"Buy thing {k} now." for k in range(12)]
+    rows = []
+    for host, many in (("a.test", 60), ("b.test", 3), ("c.test", 12)):
+        for k in range(many):
+            links = "".join(f"<li><a>{x}</a></li>" for x in rng.choice(menu, rng.integers(3, 7), replace=False))
+            body = "".join(f"<p>{say(12)} {say(9)}</p>" for _ in range(rng.integers(2, 9)))
+            top = f"<div class=top><ul>{links}</ul></div><div class=box{k}>{rng.choice(adverts)}</div>"
+            rows.append((len(rows), f"http://{host}/{k}", f"<body>{top}<div class=text><h2>{say(4)}</h2>{body}</div><div class=end>(c) {host}. {rng.choice(adverts)}</div></body>"))
+    return rows + [(len(rows) + k, f"http://c.test/again{k}", rows[-1][2]) for k in range(9)]
+
+
+def test_style_tree_by_brute_force(spark):
+    """Counts, entropies, priors and cuts recomputed from the pages' elements; and what the tree alone removes."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    pages = site_pages()
+    m, layouts, contents, chars = Counter(), defaultdict(Counter), defaultdict(Counter), Counter()
+    seen = set()
+    for _, url, html in pages:
+        host = url.split("/")[2]
+        blocks, around, nodes = html_extraction.parse(html)
+        if (host, tuple(blocks)) in seen:
+            continue
+        seen.add((host, tuple(blocks)))
+        m.update((host, k) for k in {n.key for n in nodes})
+        for k, x in {(n.key, tuple(n.children)) for n in nodes}:
+            layouts[host, k][x] += 1
+        below = set()
+        for text, n in zip(blocks, around):
+            chars[host, n.key] += len(text)
+            while n is not None:
+                below |= {(n.key, x.strip()) for x in text.replace(".", ".\n").split("\n") if x.strip()}
+                n = n.parent
+        for k, x in below:
+            contents[host, k][x] += 1
+
+    def importance(m, layouts, contents):
+        if m == 1:
+            return 1.0
+        total = sum(layouts.values())
+        presentation = -sum(c / total * log(c / total) for c in layouts.values()) / log(m)
+        content = 1 - sum(log(c) for c in contents.values()) / len(contents) / log(m) if contents else 1.0
+        return (1 - 0.9 ** len(layouts)) * presentation + 0.9 ** len(layouts) * content
+
+    by_node = defaultdict(list)
+    for host, k in m:
+        by_node[k].append(host)
+    total = lambda table, k: sum((table[h, k] for h in by_node[k]), Counter())
+    prior = {k: importance(sum(m[h, k] for h in hosts), total(layouts, k), total(contents, k)) for k, hosts in by_node.items()}
+    level = {(h, k): int(100 * (m[h, k] * importance(m[h, k], layouts[h, k], contents[h, k]) + 20 * prior[k]) / (m[h, k] + 20) + 0.5) for h, k in m}
+    want = set()
+    for host in ("a.test", "b.test", "c.test"):
+        weight = Counter()
+        for (h, k), c in chars.items():
+            if h == host:
+                weight[level[h, k]] += c
+        top = max(weight, key=lambda x: (weight[x], x))
+        steps = sorted(x for x in weight if x <= top and weight[x] >= 0.002 * sum(weight.values()))
+        cut = max((b for a, b in zip(steps, steps[1:]) if b - a >= 8), default=0)
+        want |= {(h, k) for h, k in m if h == host and level[h, k] < cut}
+    ship(spark)
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    hosts = frame.withColumn("host", html_extraction.host_of(F.col("url")))
+    low = html_extraction.low_nodes(hosts.select("host", "html"))
+    assert {(r.host, r.node) for r in low.collect()} == want and want
+    texts = {r.page_id: r.text for r in html_extraction.extract(frame).collect()}
+    assert texts == {r.page_id: r.text for r in html_extraction._extract_by_join(hosts, low).collect()}
+    for i, _, html in pages:
+        main = html.split("<div class=text>")[1].split("</div>")[0]
+        assert texts[i] == html_extraction.main_text(main, set())
 
 
 def test_html_copied_pages_are_one_page_of_the_site(spark):
