@@ -293,12 +293,12 @@ def _links(members: DataFrame, rows: DataFrame, width: int, least: int) -> DataF
         central = F.struct(F.round((F.col("n") - F.col("r")) / F.col("n"), 3).alias("alone"), (-F.col("common")).alias("common"))
         if last:
             # A second key needs that all members were compared with the first hub; without a round the pairs are few.
-            small = labelled.where(F.col("members") <= LARGE) if turn and pairs_left > 2 * rows_left else labelled
-            full = small.join(profiles.select("rep", "sig", "ks"), "rep")
+            plain = labelled.where(F.col("members") <= LARGE) if turn and pairs_left > 2 * rows_left else labelled
+            full = plain.join(profiles.select("rep", "sig", "ks"), "rep")
             left, right = (full.select("k", *[F.col(c).alias(to + x) for c, to in (("rep", ""), ("n", "n"), ("r", "r"), ("c", "c"), ("sig", "sig_"), ("ks", "ks_"))]) for x in "ab")
             first = F.element_at(F.array_intersect("ks_a", "ks_b"), 1) == left["k"]
             pairs = left.join(right, (left["k"] == right["k"]) & (F.col("a") < F.col("b")) & other & first & _within("sig_a", "sig_b")).select("a", "b", "na", "nb")
-            if small is not labelled:
+            if plain is not labelled:
                 big = labelled.where(F.col("members") > LARGE)
                 hub = big.groupBy("k").agg(F.min(F.struct(central.alias("o"), F.col("rep").alias("hub"))).alias("h")).select("k", "h.hub")
                 pairs = pairs.unionByName(_by_deviation(big.join(hub, "k").select("hub", "rep", "n", "r", "c").distinct(), sets, least)).distinct()
