@@ -80,13 +80,27 @@ def model_tier(model: Column) -> Column:
     return tier.otherwise("unknown")
 
 
+#: The two tiers that make most of a bill.
+TOP_TIERS = ("flagship", "premium")
+
+
+def top_tier(model: Column) -> Column:
+    return model_tier(model).isin(*TOP_TIERS)
+
+
+def name_prices(model: Column) -> tuple[Column, Column]:
+    """Input and output price by the name table; null for an unknown model."""
+    m, both = F.coalesce(model, F.lit("")), (F, F)
+    for part, *prices in NAME_PRICES:
+        both = tuple(x.when(m.contains(part), p) for x, p in zip(both, prices))
+    return tuple(x.otherwise(F.lit(None).cast("double")) for x in both)
+
+
 def name_cost(model: Column) -> Column:
     """Cost by the name table: cache reads at 0.1 and cache writes at 1.25 of the input price; null for an unknown model."""
-    m, price = F.coalesce(model, F.lit("")), F
-    for part, i, o in NAME_PRICES:
-        fresh = F.col("tokens_in") + F.col("tokens_cache") * 0.1 + F.col("tokens_write") * 1.25
-        price = price.when(m.contains(part), (fresh * i + F.col("tokens_out") * o) / 1e6)
-    return price.otherwise(F.lit(None).cast("double"))
+    price_in, price_out = name_prices(model)
+    fresh = F.col("tokens_in") + F.col("tokens_cache") * 0.1 + F.col("tokens_write") * 1.25
+    return (fresh * price_in + F.col("tokens_out") * price_out) / 1e6
 
 
 def monday(ts: Column) -> Column:

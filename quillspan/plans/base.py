@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions.columns import name_cost
 from quillspan.operators import catalog as cat_ops
-from quillspan.operators import timeview, usage as usage_ops
+from quillspan.operators import economics, timeview, usage as usage_ops
 from quillspan.plans import views
 
 #: The fixed moment of queries that need one, inside the data's range.
@@ -44,6 +45,19 @@ class Inputs:
     def events(self) -> DataFrame:
         return self.tables.events.where("revision = 1")
 
+    @functools.cached_property
+    def names(self) -> DataFrame:
+        return views.agent_names(self.usage, self.events)
+
+    @functools.cached_property
+    def named_usage(self) -> DataFrame:
+        """Current usage under vendors' model names, with its cost by name."""
+        return views.named_usage(self.usage).withColumn("cost", name_cost(F.col("model")))
+
+    @functools.cached_property
+    def agents(self) -> DataFrame:
+        return economics.agent_facts(self.named_usage, self.events, self.names, self.tables.sessions)
+
     @functools.cached_property
     def health(self) -> DataFrame:
         return timeview.session_health(self.events)
@@ -102,6 +116,23 @@ SHARED = (
     GROUP BY session_id, agent_id, run)""",
 )
 
+TIER = """CASE WHEN regexp_matches(lower(coalesce(model, '')), 'mini|nano|flash|haiku|lite') THEN 'cheap' WHEN regexp_matches(lower(coalesce(model, '')), 'fable|mythos') THEN 'flagship'
+    WHEN regexp_matches(lower(coalesce(model, '')), 'sonnet|codex|gpt-4') THEN 'mid' WHEN regexp_matches(lower(coalesce(model, '')), 'opus|gpt-5|o3|o1') THEN 'premium' WHEN regexp_matches(lower(coalesce(model, '')), 'gpt-3') THEN 'cheap' ELSE 'unknown' END"""
+_PRICES = (("fable", 10.0, 50.0), ("mythos", 10.0, 50.0), ("opus", 5.0, 25.0), ("sonnet", 3.0, 15.0), ("haiku", 1.0, 5.0), ("gpt-5", 1.25, 10.0), ("gpt-4", 2.5, 10.0), ("o3", 2.0, 8.0), ("o4", 1.1, 4.4))
+NAME_COST = "CASE " + " ".join(f"WHEN contains(model, '{m}') THEN ((tokens_in + tokens_cache * 0.1::DOUBLE + tokens_write * 1.25::DOUBLE) * {i}::DOUBLE + tokens_out * {o}::DOUBLE) / 1e6" for m, i, o in _PRICES) + " END"
+ROLE = "CASE WHEN coalesce({name}, '') = '' THEN '{empty}' ELSE substr(regexp_replace(regexp_replace({name}, '\\s*#\\d+$', ''), '[0-9a-f-]{{12,}}', '·', 'g'), 1, 30) END"
+#: Tables of the agents of sessions with their names, models and cost by name.
+AGENTS = (
+    f"named AS (SELECT *, {NAME_COST} AS cost FROM named_usage)",
+    f"""agents AS (SELECT i.session_id, i.agent_id, n.name, s.machine_id, s.last_activity, u.model, coalesce(e.errors, 0) AS errors, coalesce(e.events, 0) AS events, e.first_at, e.last_at, u.cost, coalesce(u.tokens_out, 0) AS tokens_out, coalesce(u.replies, 0) AS replies,
+    coalesce(u.priced_replies, 0) AS priced_replies
+    FROM (SELECT session_id, agent_id FROM named WHERE agent_id <> '' UNION SELECT session_id, agent_id FROM agent_events WHERE agent_id <> '') i JOIN sessions s ON s.id = i.session_id
+    LEFT JOIN names n ON n.session_id = i.session_id AND n.agent_id = i.agent_id
+    LEFT JOIN (SELECT session_id, agent_id, arg_min(model, struct_pack(t := coalesce(ts, TIMESTAMP '9999-01-01'), i := id)) FILTER (WHERE model <> '') AS model, sum(cost) AS cost, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, count(*) AS replies, count(cost) AS priced_replies
+        FROM named GROUP BY 1, 2) u ON u.session_id = i.session_id AND u.agent_id = i.agent_id
+    LEFT JOIN (SELECT session_id, agent_id, count(*) AS events, count(*) FILTER (WHERE error) AS errors, min(ts) AS first_at, max(ts) AS last_at FROM agent_events GROUP BY 1, 2) e ON e.session_id = i.session_id AND e.agent_id = i.agent_id)""",
+)
+
 
 def coverage(recorded: str, awaiting: str = "0") -> str:
     return f"""CASE WHEN {recorded} = 0 THEN 'no-recorded-usage' WHEN {awaiting} > 0 THEN 'pending-pricing' WHEN {recorded} > priced_tokens THEN 'partially-priced'

@@ -66,8 +66,16 @@ EVENT_COLUMNS = {
     # Three states: true, false, and unknown for results that do not say.
     "error": "CASE WHEN event_type = 'error' THEN true WHEN event_type = 'view' AND event_id % 7 > 0 THEN false ELSE NULL END",
     "path": "CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN concat('src/file', event_id % 37, '.txt') END",
-    "text": "concat(event_type, ' ', props)",
+    # Calls of one tool often repeat word for word.
+    "text": "CASE WHEN event_type = 'click' THEN concat('run  src/a/b/step', CAST(floor(value) AS BIGINT) % 2) ELSE concat(event_type, ' ', props) END",
 }
+#: The display name of a session's helper.
+NAME = """CASE agent_id WHEN 'agent-0' THEN 'tester' WHEN 'agent-1' THEN concat('scout #', session_id % 9) WHEN 'agent-2' THEN concat('reviewer 0123456789ab-', session_id % 2)
+    WHEN 'agent-3' THEN 'builder' ELSE '' END"""
+#: A model's name as vendors write it, for rules that read names; such usage is 997 times the tokens.
+MODEL_NAME = """CASE WHEN model = '' THEN '' ELSE concat(CASE substr(model, 7, 1) WHEN '1' THEN 'opus-' WHEN '2' THEN 'sonnet-' WHEN '3' THEN 'haiku-' WHEN '4' THEN 'gpt-5-' ELSE 'other-' END,
+    CASE WHEN substr(model, 8, 1) = '1' THEN 'mini' ELSE substr(model, 8, 1) END) END"""
+_TOKENS = ("tokens_in", "tokens_cache", "tokens_write", "tokens_out")
 SOURCE_COLUMNS = {
     "source_id": "concat('s', id)",
     "generation": "1",
@@ -123,6 +131,8 @@ SQL = {
     "agent_events": "SELECT * FROM all_events WHERE revision = 1",
     "log_sources": f"SELECT {_list(SOURCE_COLUMNS)} FROM (SELECT user_id AS id, max(ts) AS last_at FROM events GROUP BY user_id)",
     "rates": _rates_sql(),
+    "names": f"SELECT session_id, agent_id, {NAME} AS name FROM (SELECT session_id, agent_id FROM usage UNION SELECT session_id, agent_id FROM agent_events) WHERE agent_id <> ''",
+    "named_usage": f"SELECT * REPLACE ({MODEL_NAME} AS model, {', '.join(f'997 * {t} AS {t}' for t in _TOKENS)}) FROM usage",
 }
 
 
@@ -155,6 +165,17 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(sessions, orders.selectExpr(*exprs(METADATA_COLUMNS)), usage, events.selectExpr(*exprs(EVENT_COLUMNS)), sources, rates, read("conversations"), read("documents"))
 
 
+def agent_names(usage: DataFrame, events: DataFrame) -> DataFrame:
+    """(session_id, agent_id, name) of all named agents."""
+    ids = usage.select("session_id", "agent_id").unionByName(events.select("session_id", "agent_id")).where("agent_id <> ''").distinct()
+    return ids.selectExpr("session_id", "agent_id", f"{NAME} AS name")
+
+
+def named_usage(usage: DataFrame) -> DataFrame:
+    kept = [c for c in usage.columns if c not in ("model", *_TOKENS)]
+    return usage.selectExpr(*kept, f"{MODEL_NAME} AS model", *[f"997 * {t} AS {t}" for t in _TOKENS])
+
+
 def with_views(sql: str, *more: str) -> str:
     """The oracle's text: the views, then more CTEs (name AS (...)), then sql."""
     views = [f"{k} AS ({v})" for k, v in SQL.items()]
