@@ -132,7 +132,7 @@ _BARS = {
 }
 for _by, _metric, _value in (("week", "cost", "round(sum(coalesce(cost_estimate, 0)), 4)"), ("month", "tokens", "CAST(sum(tokens_in + tokens_out) AS DOUBLE)"), ("year", "sessions", "CAST(count(*) AS DOUBLE)")):
     register(f"usage_bars_{_by}", lambda x, by=_by, metric=_metric: ops.usage_bars(x.catalog, by, metric), f"SELECT {_BARS[_by]} AS bucket, provider, {_value} AS value, count(*) AS sessions FROM cat WHERE last_activity IS NOT NULL GROUP BY 1, 2")
-_HISTORY = "SELECT CAST(date_trunc('month', last_activity) AS {ts}) AS "at", sum(cost_estimate) AS known_cost, CAST(sum(tokens_in + tokens_cache + tokens_write + tokens_out) AS BIGINT) AS recorded_tokens, CAST(sum(priced_tokens) + CASE WHEN max(id) % 5 = 0 THEN 1000000000 ELSE 0 END AS BIGINT) AS priced_tokens"
+_HISTORY = """SELECT CAST(date_trunc('month', last_activity) AS {ts}) AS "at", sum(cost_estimate) AS known_cost, CAST(sum(tokens_in + tokens_cache + tokens_write + tokens_out) AS BIGINT) AS recorded_tokens, CAST(sum(priced_tokens) + CASE WHEN max(id) % 5 = 0 THEN 1000000000 ELSE 0 END AS BIGINT) AS priced_tokens"""
 
 
 def _history(x):
