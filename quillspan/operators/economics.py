@@ -163,13 +163,13 @@ def session_agents(events: DataFrame, usage: DataFrame, priced: DataFrame) -> Da
     counts = ["events", "tool_calls", "errors", "observations", *TOKENS, "unknown_model_tokens"]
     out = out.fillna(0, counts)
     agree = (F.col("_recorded") == all_tokens()) & (F.col("priced_tokens") > 0)
-    return out.select(*keys, *counts, F.when(agree, F.round("cost", 8)).alias("cost"), F.when(agree, F.col("priced_tokens")).alias("priced_tokens"))
+    return out.select(*keys, *counts, F.when(agree, F.round("cost", 10)).alias("cost"), F.when(agree, F.col("priced_tokens")).alias("priced_tokens"))
 
 
 def cost_flow(priced: DataFrame, names: DataFrame) -> DataFrame:
     """Of each session the 14 agents of most cost and the 14 of most output, zero left out: (session_id, by, position, agent_id, name, value)."""
     sums = priced.groupBy("session_id", "agent_id").agg(F.sum("cost").alias("cost"), F.sum("priced_tokens").alias("priced"), F.sum("tokens_out").cast("double").alias("output"))
-    cost = F.struct(F.lit("cost").alias("by"), F.when(F.col("priced") > 0, F.round("cost", 8)).alias("value"))
+    cost = F.struct(F.lit("cost").alias("by"), F.when(F.col("priced") > 0, F.round("cost", 10)).alias("value"))
     rows = sums.select("session_id", "agent_id", F.explode(F.array(cost, F.struct(F.lit("output").alias("by"), F.col("output").alias("value")))).alias("x"))
     rows = rows.select("session_id", "agent_id", "x.by", "x.value").where("value > 0")
     order = Window.partitionBy("session_id", "by").orderBy(F.desc("value"), "agent_id")

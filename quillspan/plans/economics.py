@@ -31,7 +31,7 @@ register(
             count(*) FILTER (WHERE u.agent_id <> s.native_agent_id OR kind NOT IN ('message-final', 'message-partial')) AS unsupported, sum({ALL}) AS observed FROM usage u JOIN sessions s ON s.id = u.session_id GROUP BY 1) x ON x.session_id = c.id
         WHERE c.provider = 'alpha' AND c.native_agent_id <> '')) GROUP BY 1) ON bucket = b""",
 )
-_FLOW = """flow AS (SELECT session_id, agent_id, CASE WHEN sum(priced_tokens) > 0 THEN round(sum(cost), 8) END AS cost, CAST(sum(tokens_out) AS DOUBLE) AS output FROM priced GROUP BY 1, 2)"""
+_FLOW = """flow AS (SELECT session_id, agent_id, CASE WHEN sum(priced_tokens) > 0 THEN round(sum(cost), 10) END AS cost, CAST(sum(tokens_out) AS DOUBLE) AS output FROM priced GROUP BY 1, 2)"""
 register(
     "cost_flow",
     lambda x: ops.cost_flow(x.priced, x.names),
@@ -43,7 +43,7 @@ _AGENT_COUNTS = ("events", "tool_calls", "errors", "observations", "tokens_in",
 register(
     "session_agents",
     lambda x: ops.session_agents(x.events, x.usage, x.priced),
-    f"""SELECT session_id, agent_id, {_ZERO(*_AGENT_COUNTS)}, CASE WHEN priced > 0 THEN round(cost, 8) END AS cost, CASE WHEN priced > 0 THEN CAST(priced AS BIGINT) END AS priced_tokens
+    f"""SELECT session_id, agent_id, {_ZERO(*_AGENT_COUNTS)}, CASE WHEN priced > 0 THEN round(cost, 10) END AS cost, CASE WHEN priced > 0 THEN CAST(priced AS BIGINT) END AS priced_tokens
     FROM (SELECT session_id, agent_id, count(*) AS events, count(*) FILTER (WHERE kind = 'tool-call') AS tool_calls, count(*) FILTER (WHERE error) AS errors FROM agent_events GROUP BY 1, 2)
     FULL JOIN (SELECT session_id, agent_id, count(*) AS observations, {", ".join(f"sum({t}) AS {t}" for t in _AGENT_COUNTS[4:8])}, sum(CASE WHEN model = '' THEN {ALL} ELSE 0 END) AS unknown_model_tokens, sum(cost) AS cost, sum(priced_tokens) AS priced FROM priced GROUP BY 1, 2)
     USING (session_id, agent_id)""",

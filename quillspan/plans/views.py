@@ -65,7 +65,8 @@ EVENT_COLUMNS = {
     "tool_use_id": "CASE WHEN event_id % 31 = 0 THEN NULL ELSE concat('c', CAST(floor(event_id / 300) AS BIGINT)) END",
     # Three states: true, false, and unknown for results that do not say.
     "error": "CASE WHEN event_type = 'error' THEN true WHEN event_type = 'view' AND event_id % 7 > 0 THEN false ELSE NULL END",
-    "path": "CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN concat('src/file', event_id % 37, '.txt') END",
+    "path": "CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN concat(CASE WHEN event_id % 9 = 0 THEN '/abs/' ELSE 'src/' END, 'file', event_id % 37, '.txt') END",
+    "working_directory": "CASE WHEN event_type = 'click' AND event_id % 4 < 3 THEN concat('/home/u', user_id % 2) END",
     # Calls of one tool often repeat word for word.
     "text": "CASE WHEN event_type = 'click' THEN concat('run  src/a/b/step', CAST(floor(value) AS BIGINT) % 2) ELSE concat(event_type, ' ', props) END",
 }
