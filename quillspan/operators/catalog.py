@@ -35,11 +35,15 @@ class SessionQuery:
             raise ValueError("search text too long")
 
 
+def identities(sessions: DataFrame, metadata: DataFrame) -> DataFrame:
+    """One row for each session with its effective project and title, and its projection's keys."""
+    out = sessions.join(metadata.withColumnRenamed("session_id", "id"), "id", "left")
+    return out.withColumns({"project": effective_project(), "title": effective_title()})
+
+
 def catalog(sessions: DataFrame, metadata: DataFrame, totals: DataFrame) -> DataFrame:
     """One narrow row for each session: identity, effective names, tokens and price."""
-    meta = metadata.withColumnRenamed("session_id", "id")
-    out = sessions.join(meta, "id", "left").join(totals.withColumnRenamed("session_id", "id"), "id", "left")
-    out = out.withColumns({"project": effective_project(), "title": effective_title()})
+    out = identities(sessions, metadata).join(totals.withColumnRenamed("session_id", "id"), "id", "left")
     zero = [*TOKENS, "priced_tokens", "unattributed_tokens", "observations"]
     flags = {k: F.coalesce(k, F.lit(False)) for k in ("archived", "pinned")}
     return out.withColumns({k: F.coalesce(k, F.lit(0)) for k in zero} | flags).withColumn("pricing_known", F.col("observations") > 0).drop("own_project", "name", "project_override")
@@ -129,10 +133,12 @@ def search_sources(sources: DataFrame, text: str = "", machine: str | None = Non
 
 
 def indexing_progress(sources: DataFrame) -> DataFrame:
-    """Work states of the sources: ready, awaiting index, blocked by diagnostics."""
+    """Work states of the sources: rebuilding (a staged revision is under way), else awaiting index, blocked by diagnostics, or ready."""
     behind = F.col("indexed_offset") < F.col("durable_offset")
+    work = ~F.col("rebuilding")
     return sources.agg(
-        F.count("*").alias("sources"), F.count_if(~behind & (F.col("diagnostics") == 0)).alias("ready"), F.count_if(behind).alias("awaiting"), F.count_if(~behind & (F.col("diagnostics") > 0)).alias("blocked"),
+        F.count("*").alias("sources"), F.count_if(work & ~behind & (F.col("diagnostics") == 0)).alias("ready"), F.count_if(work & behind).alias("awaiting"),
+        F.count_if(work & ~behind & (F.col("diagnostics") > 0)).alias("blocked"), F.count_if("rebuilding").alias("rebuilding"),
         F.sum(F.col("durable_offset") - F.col("indexed_offset")).cast("long").alias("bytes_left"),
     )
 

@@ -63,13 +63,15 @@ def agent_lifecycle(events: DataFrame, sources: DataFrame, now: Column) -> DataF
     )
     times = ev.select(F.col("seq").alias("pending_seq"), F.col("ts").alias("pending_at"))
     out = agents.join(pairs, ["session_id", "agent_id"], "left").join(times, "pending_seq", "left").join(sources.select("source_id", "modified_at"), "source_id", "left")
-    # An errored last result whose id has exactly one call, earlier than it.
-    calls = ev.where("kind = 'tool-call'").where(named).groupBy(*PAIR).agg(F.count("*").alias("n"), F.min("seq").alias("at"))
-    last = out.withColumn("tool_use_id", F.col("last.tool_use_id")).join(calls, PAIR, "left")
-    retrying = F.coalesce((F.col("last.kind") == "tool-result") & F.col("last.error") & (F.col("n") == 1) & (F.col("at") < F.col("last.seq")), F.lit(False))
+    # Retrying is known to be false after a call or a result without error; true needs one call, earlier than its one errored result.
+    ids = _pairs(ev.where(named)).select(*PAIR, "calls", "results", "call_seq")
+    last = out.withColumn("tool_use_id", F.col("last.tool_use_id")).join(ids, PAIR, "left")
+    proved = (F.col("calls") == 1) & (F.col("results") == 1) & (F.col("call_seq") < F.col("last.seq"))
+    retrying = F.when((F.col("last.kind") == "tool-call") | ~F.col("last.error"), F.lit(False)).when(F.col("last.error") & proved, F.lit(True))
     uncertain = F.coalesce("doubtful", F.lit(0)) + F.col("unnamed")
-    old, live = F.col("pending_at") < now - F.expr("INTERVAL 2 MINUTES"), (F.col("modified_at") > now - F.expr("INTERVAL 10 MINUTES")) & (F.col("modified_at") <= now)
-    stalled = F.when(F.col("pending_seq").isNull(), F.when(uncertain == 0, F.lit(False))).when(old & live, F.lit(True)).when((uncertain == 0) & F.col("pending_at").isNotNull() & F.col("modified_at").isNotNull() & (F.col("modified_at") <= now), F.lit(False))
+    old, live = F.col("pending_at") < now - F.expr("INTERVAL 2 MINUTES"), F.col("modified_at") > now - F.expr("INTERVAL 10 MINUTES")
+    dated = (F.col("pending_at") <= now) & (F.col("modified_at") <= now)
+    stalled = F.when(F.col("pending_seq").isNull(), F.when(uncertain == 0, F.lit(False))).when(dated & old & live, F.lit(True)).when(dated & (uncertain == 0), F.lit(False))
     return last.select("session_id", "agent_id", "pending_seq", uncertain.cast("long").alias("uncertain_calls"), retrying.alias("retrying"), stalled.alias("stalled"))
 
 
@@ -122,23 +124,39 @@ def consecutive_runs(events: DataFrame) -> DataFrame:
     return calls.groupBy("session_id", "agent_id", "run").agg(F.first("tool").alias("tool"), F.min("seq").alias("start"), F.count("*").alias("length"), F.count_if(F.coalesce("bad", F.lit(False))).alias("errors"))
 
 
-def diagnose(events: DataFrame) -> DataFrame:
-    """Sessions that loop: the latest run of two or more equal calls with an error is a retry storm, else the latest
-    of three or more is a loop. Writing tools repeat in ordinary work and do not count."""
-    runs = consecutive_runs(events).where((F.col("length") >= 2) & ~F.lower("tool").isin("edit", "write", "multiedit", "notebookedit"))
-    kind = F.when(F.col("errors") > 0, "retry-storm").when(F.col("length") >= 3, "looping")
-    found = runs.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("rank", F.when(F.col("kind") == "retry-storm", 1).otherwise(0))
-    best = found.groupBy("session_id").agg(F.max(F.struct("rank", "start", "kind", "tool", "length", "errors")).alias("b"))
-    return best.select("session_id", "b.kind", "b.tool", F.col("b.length").alias("count"), F.col("b.errors").alias("errors"))
+def _clean(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
+def target(text: Column) -> Column:
+    """What a call was about, in short: of a path its last two parts, 60 characters at most."""
+    s = _clean(text)
+    parts = F.filter(F.split(s, r"[\\/]"), lambda x: x != "")
+    short = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, -2, 2), "/")).otherwise(s)
+    return F.when(F.length(short) > 60, F.concat(F.substring(short, 1, 59), F.lit("…"))).otherwise(short)
 
 
-def story_blocks(turns: DataFrame) -> DataFrame:
-    """A conversation's blocks: each prompt, and the replies up to the next."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = turns.withColumn("block", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w))
-    return rows.groupBy("conv_id", "block").agg(
-        F.min("turn").alias("start"), F.count("*").alias("messages"), F.count_if(F.col("role") == "assistant").alias("replies"), F.sum(F.length("text")).cast("long").alias("chars"),
+def diagnose(events: DataFrame) -> DataFrame:
+    """What broke a session, where the arithmetic shows it: (session_id, kind, tool, target, count, errors).
+
+    stalled: the last call has an id, no result and nothing after it, in a session that records results. Else the latest run of two or
+    more equal calls with an error is a retry-storm, else the latest of three or more is looping. Writing tools repeat in ordinary work
+    and do not count."""
+    is_call = (F.col("kind") == "tool-call") & F.col("tool").isNotNull()
+    moves = F.col("kind").isin("tool-call", "tool-result", "assistant-text")
+    ends = events.groupBy("session_id").agg(
+        F.count_if(is_call).alias("calls"), F.max(F.when(is_call, F.struct("seq", "tool", "tool_use_id", target(F.col("text")).alias("target")))).alias("call"), F.max(F.when(moves, F.col("seq"))).alias("moved"),
+        F.bool_or(F.col("kind") == "tool-result").alias("sees"),
     )
+    stalled = ends.where((F.col("calls") >= 2) & F.col("sees") & (F.coalesce("call.tool_use_id", F.lit("")) != "") & (F.col("moved") == F.col("call.seq")))
+    stalled = stalled.select("session_id", F.lit(2).alias("rank"), F.col("call.seq").alias("start"), F.lit("stalled").alias("kind"), "call.tool", "call.target", F.lit(1).cast("long").alias("count"), F.lit(0).cast("long").alias("errors"))
+    runs = consecutive_runs(events).where((F.col("length") >= 2) & ~F.lower("tool").isin("edit", "write", "multiedit", "notebookedit"))
+    kind = F.when(F.col("errors") > 0, "retry-storm").when(F.col("length") >= 3, "looping")
+    first = events.select("session_id", F.col("seq").alias("start"), target(F.col("text")).alias("target"))
+    found = runs.withColumn("kind", kind).where("kind IS NOT NULL").join(first, ["session_id", "start"])
+    found = found.select("session_id", F.when(F.col("kind") == "retry-storm", 1).otherwise(0).alias("rank"), "start", "kind", "tool", "target", F.col("length").alias("count"), "errors")
+    best = found.unionByName(stalled).groupBy("session_id").agg(F.max(F.struct("rank", "start", "kind", "tool", "target", "count", "errors")).alias("b"))
+    return best.select("session_id", "b.kind", "b.tool", "b.target", "b.count", "b.errors")
 
 
 def timeline(spans: DataFrame, events: DataFrame) -> DataFrame:
@@ -150,14 +168,28 @@ def timeline(spans: DataFrame, events: DataFrame) -> DataFrame:
     return rows.select("seq", "session_id", F.round(100 * (ms("ts") - ms("t0")) / span, 4).alias("offset_pct"), F.round(100 * F.col("duration_ms") / span, 4).alias("width_pct"))
 
 
-def agent_status(events: DataFrame, now: Column) -> DataFrame:
-    """failed, stalled, working or idle of each agent as of now, in this order of precedence."""
-    last = events.where("agent_id <> ''").groupBy("session_id", "agent_id").agg(F.max(F.struct("seq", "kind", "error")).alias("last"), F.max("ts").alias("last_at"))
-    recent = F.col("last_at") > now - F.expr("INTERVAL 10 MINUTES")
-    failed = F.coalesce(F.col("last.error"), F.lit(False))
-    pending = (F.col("last.kind") == "tool-call") & (F.col("last_at") < now - F.expr("INTERVAL 2 MINUTES"))
-    state = F.when(failed & ~F.coalesce(recent, F.lit(False)), "failed").when(pending & recent, "stalled").when(recent, "working").otherwise("idle")
-    return last.select("session_id", "agent_id", "last_at", state.alias("status"))
+def agent_status(events: DataFrame, now: Column, finished: DataFrame | None = None) -> DataFrame:
+    """retrying, failed, stalled, done, working or idle of each agent as of now, in this order of precedence.
+
+    retrying: an errored result with nothing of the agent's since, in the last ten minutes; failed where it is older. stalled: a call
+    of over two minutes without a result. finished (session_id, agent_id) are helpers whose result came back. working: active in the last 20 seconds."""
+    named = events.where("agent_id <> ''")
+    last = named.groupBy("session_id", "agent_id").agg(F.max(F.struct("seq", "kind", F.coalesce("error", F.lit(False)).alias("error"))).alias("last"), F.max("ts").alias("last_at"))
+    results = named.where("kind = 'tool-result' AND tool_use_id IS NOT NULL").select("session_id", "tool_use_id").distinct()
+    pending = named.where("kind = 'tool-call' AND tool_use_id IS NOT NULL").join(results, ["session_id", "tool_use_id"], "left_anti").groupBy("session_id", "agent_id").agg(F.max_by("ts", "seq").alias("since"))
+    calls = named.where("kind IN ('tool-call', 'tool-result')").groupBy("session_id", "agent_id").agg(F.max(F.struct("seq", "kind", F.coalesce("error", F.lit(False)).alias("error"))).alias("step"))
+    rows = last.join(pending, ["session_id", "agent_id"], "left").join(calls, ["session_id", "agent_id"], "left")
+    done = F.lit(False)
+    if finished is not None:
+        rows, done = rows.join(finished.withColumn("_done", F.lit(True)), ["session_id", "agent_id"], "left"), F.coalesce("_done", F.lit(False)) & (F.col("agent_id") != "main")
+    recent = F.coalesce((F.col("last_at") > now - F.expr("INTERVAL 10 MINUTES")) & (F.col("last_at") <= now), F.lit(False))
+    retrying = F.coalesce((F.col("step.kind") == "tool-result") & F.col("step.error"), F.lit(False))
+    state = (
+        F.when(retrying, F.when(recent, "retrying").otherwise("failed")).when(F.col("last.error") & (done | ~recent), "failed")
+        .when((F.col("since") < now - F.expr("INTERVAL 2 MINUTES")) & ~done, "stalled").when(done, "done")
+        .when((F.col("last_at") > now - F.expr("INTERVAL 20 SECONDS")) & (F.col("last_at") <= now), "working").otherwise("idle")
+    )
+    return rows.select("session_id", "agent_id", "last_at", state.alias("status"))
 
 
 def tool_rollup(events: DataFrame) -> DataFrame:

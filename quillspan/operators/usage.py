@@ -68,8 +68,8 @@ def session_totals(priced: DataFrame) -> DataFrame:
     )
 
 
-def dimension(name: str) -> Column:
-    """The key of a grouping dimension over usage joined with its session's catalog row."""
+def dimension(name: str, child_provider: str = "claude") -> Column:
+    """The key of a grouping dimension over sessions with their usage, null without it."""
     return {
         "project": F.col("project"),
         "machine": F.col("machine_id"),
@@ -79,26 +79,40 @@ def dimension(name: str) -> Column:
         "week": F.date_format(monday(F.col("ts")), "yyyy-MM-dd"),
         "month": F.date_format("ts", "yyyy-MM"),
         "year": F.date_format("ts", "yyyy"),
-        "agentKind": F.when(F.col("agent_id") == "", "unattributed")
-        .when((F.col("agent_id") == F.col("native_agent_id")) & (F.col("native_agent_id") != ""), "child-agent")
-        .when((F.col("agent_id") == "main") & (F.col("parent_native_id") == ""), "main")
-        .when(F.col("agent_id") == "main", "child-thread")
+        "agentKind": F.when(F.coalesce("agent_id", F.lit("")) == "", "unattributed")
+        .when((F.col("provider") == child_provider) & (F.col("agent_id") == F.col("native_agent_id")) & (F.col("native_agent_id") != ""), "child-agent")
+        .when((F.col("agent_id") == "main") & (F.col("parent_native_id") != ""), "child-thread")
+        .when(F.col("agent_id") == "main", "main")
         .otherwise("unclassified"),
     }[name]
 
 
-def grouped_usage(priced: DataFrame, catalog: DataFrame, by: str) -> DataFrame:
-    """Usage by one of nine dimensions with its pricing coverage; key '' is unknown."""
-    joined = priced.join(catalog.select(F.col("id").alias("session_id"), "project", "machine_id", "provider", "native_agent_id", "parent_native_id"), "session_id")
-    out = joined.groupBy(F.coalesce(dimension(by), F.lit("")).alias("key")).agg(
-        F.countDistinct("session_id").alias("sessions"), F.count("*").alias("observations"), *sums(*TOKENS, "priced_tokens", "unattributed_tokens"),
+def grouped_usage(priced: DataFrame, sessions: DataFrame, by: str, child_provider: str = "claude", start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Sessions and their usage by one of nine dimensions with its pricing coverage; key '' is unknown.
+
+    Sessions without usage count too, unless a time range (half open) asks for usage in it. priced may hold superseded rows: only
+    those of a session's current projection join it."""
+    keys = ["session_id", *PROJECTION]
+    own = sessions.select(F.col("id").alias("session_id"), *PROJECTION, "project", "machine_id", "provider", "native_agent_id", "parent_native_id")
+    joined = own.join(priced.select("id", *keys, "agent_id", "model", "kind", "ts", *TOKENS, "priced_tokens", "cost"), keys, "left")
+    if start is not None:
+        joined = joined.where(F.col("ts") >= start)
+    if end is not None:
+        joined = joined.where(F.col("ts") < end)
+    nameless = F.when((F.col("model") == "") | (F.col("kind") == "incomplete-attribution"), all_tokens()).otherwise(0)
+    out = joined.withColumn("unattributed_tokens", nameless).groupBy(F.coalesce(dimension(by, child_provider), F.lit("")).alias("key")).agg(
+        F.countDistinct("session_id").alias("sessions"), F.count("id").alias("observations"), *sums(*TOKENS, "priced_tokens", "unattributed_tokens"),
         F.round(F.sum("cost"), 4).alias("cost"),
     )
-    recorded = all_tokens()
-    state = coverage_state(recorded, F.lit(0), F.col("priced_tokens"), F.col("unattributed_tokens"))
+    state = coverage_state(all_tokens(), F.lit(0), F.col("priced_tokens"), F.col("unattributed_tokens"))
     return out.withColumn("coverage", state)
 
 
+def groups_after(groups: DataFrame, after: str, limit: int = 100) -> DataFrame:
+    """A page of groups by key, those beyond the last key seen."""
+    return groups.where(F.col("key") > after).orderBy("key").limit(limit)
+
+
 def session_models(usage: DataFrame) -> DataFrame:
     """Per session and model: agents, observations, buckets, and whether the model is known."""
     out = usage.groupBy("session_id", "model").agg(F.countDistinct("agent_id").alias("agents"), F.count("*").alias("observations"), *sums(*TOKENS))
@@ -112,37 +126,86 @@ def first_report(usage: DataFrame) -> DataFrame:
 
 
 def merged_reports(usage: DataFrame) -> DataFrame:
-    """Each provider message once, later reports merged in: the last value that is present of each bucket.
+    """Each provider message once, later reports merged in: of each field the last value among reports that have it in present.
 
-    A bucket is present where it is above zero, the model where it is named; the kind is message-final once all five are known."""
+    A zero that is present counts as a value; a field that no report has keeps zero, or '' for the model. The kind is message-final once
+    all five fields are known and the model is named."""
     key = ["session_id", "agent_id", "message_id"]
     at = F.struct(F.coalesce("ts", F.lit("0001-01-01").cast("timestamp_ntz")), "id")
-    present = {t: F.when(F.col(t) > 0, F.col(t)) for t in TOKENS} | {"model": F.nullif(F.col("model"), F.lit(""))}
-    aggs = [F.max_by(F.when(v.isNotNull(), v), F.when(v.isNotNull(), at)).alias(k) for k, v in present.items()]
-    out = usage.groupBy(*key).agg(*aggs, F.count("*").alias("reports"), F.max("ts").alias("ts"), F.bool_and(F.col("kind") == "message-without-id").alias("_no_id"))
-    known = F.col("model").isNotNull()
-    for t in TOKENS:
-        known = known & F.col(t).isNotNull()
-    kind = F.when(F.col("_no_id"), "message-without-id").when(known, "message-final").otherwise("message-partial")
-    return out.withColumn("kind", kind).withColumns({t: F.coalesce(t, F.lit(0)).cast("long") for t in TOKENS}).withColumn("model", F.coalesce("model", F.lit(""))).drop("_no_id")
+    has = {t: F.array_contains("present", t) for t in (*TOKENS, "model")}
+    aggs = [F.max_by(F.when(h, F.col(t)), F.when(h, at)).alias(t) for t, h in has.items()]
+    known = [F.bool_or(h).alias(f"_{t}") for t, h in has.items()]
+    out = usage.groupBy(*key).agg(*aggs, *known, F.count("*").alias("reports"), F.max("ts").alias("ts"), F.bool_and(F.col("kind") == "message-without-id").alias("_no_id"))
+    whole = F.col("model") != ""
+    for t in has:
+        whole = whole & F.col(f"_{t}")
+    kind = F.when(F.col("_no_id"), "message-without-id").when(whole, "message-final").otherwise("message-partial")
+    return out.withColumn("kind", kind).withColumns({t: F.coalesce(t, F.lit(0)).cast("long") for t in TOKENS}).withColumn("model", F.coalesce("model", F.lit(""))).drop("_no_id", *[f"_{t}" for t in has])
+
+
+COUNTED = ("incomplete-attribution", "cumulative-delta", "reported-last-call")
+
+
+def _counter(path: str) -> Column:
+    return F.get_json_object("evidence", path)
+
+
+def counted(usage: DataFrame, sessions: DataFrame, provider: str = "codex") -> DataFrame:
+    """Observations from cumulative counters whose evidence is whole, with their session's identity and the evidence without its offset.
 
+    Those of the main agent in its thread's own scope, of a known time, with tokens and without a presence mask; a model is named
+    exactly where the kind says that it is known."""
+    s = sessions.where(F.col("provider") == provider).select(F.col("id").alias("session_id"), "machine_id", "provider", "native_id", "source_id", "forked_from_id")
+    rows = usage.drop("source_id").join(s, "session_id")
+    named = (F.col("model") != "") == (F.col("kind") != "incomplete-attribution")
+    sound = (_counter("$.offset").cast("long") >= 0) & _counter("$.previousCounter").isNotNull() & (_counter("$.counter.output").cast("long") >= 0)
+    keep = (F.col("agent_id") == "main") & (F.col("counter_scope") == F.concat(F.lit("thread:"), "native_id")) & F.col("ts").isNotNull() & (all_tokens() > 0) & (F.size("present") == 0)
+    fields = F.map_filter(F.from_json("evidence", "map<string,string>"), lambda k, _: k != "offset")
+    same = F.to_json(F.array_sort(F.map_entries(fields)))
+    return rows.where(keep & F.col("kind").isin(*COUNTED) & named & sound).withColumn("same", same)
 
-def duplicate_usage(usage: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Observations of two sessions of one native identity and machine that agree in every value.
 
-    One row for each observation with twins: the twin's session where there is exactly one, the owner (the smaller session)
+def duplicate_usage(usage: DataFrame, sessions: DataFrame, provider: str = "codex") -> DataFrame:
+    """Counter observations that another source of the same thread and machine repeats in every value.
+
+    One row for each with a twin: the twin's session where there is exactly one, the owner (the smaller session)
     and the state: matched, or ambiguous from three on."""
-    s = sessions.select(F.col("id").alias("session_id"), "machine_id", "provider", "native_id")
-    tokens = all_tokens()
-    rows = usage.where((F.col("agent_id") == "main") & F.col("ts").isNotNull() & (tokens > 0)).join(s, "session_id")
-    value = ["machine_id", "provider", "native_id", "ts", "model", "kind", *TOKENS]
-    groups = rows.groupBy(*value).agg(F.count("*").alias("candidates"), F.min("session_id").alias("owner"), F.max("session_id").alias("other"), F.countDistinct("session_id").alias("n"))
-    groups = groups.where("n > 1")
+    rows = counted(usage, sessions, provider)
+    value = ["machine_id", "native_id", "ts", "model", "kind", *TOKENS, "same"]
+    groups = rows.groupBy(*value).agg(
+        F.count("*").alias("candidates"), F.min("session_id").alias("owner"), F.max("session_id").alias("other"), F.countDistinct("session_id").alias("n"), F.countDistinct("source_id").alias("sources"),
+    ).where("n > 1 AND sources > 1")
     out = rows.join(groups, value)
     twin = F.when((F.col("candidates") == 2) & (F.col("n") == 2), F.when(F.col("session_id") == F.col("owner"), F.col("other")).otherwise(F.col("owner")))
     return out.select("id", "session_id", "owner", twin.alias("twin_session"), F.when(twin.isNotNull(), "matched").otherwise("ambiguous").alias("state"))
 
 
+def fork_baselines(usage: DataFrame, sessions: DataFrame, provider: str = "codex") -> DataFrame:
+    """Forked threads whose first counter is a counter of the thread that they were forked from: (session_id, parent_session, parent_id, tokens, state).
+
+    A child's first counter stands in one or two observations, those whose previous counter is empty: summed up they must be the
+    whole counter. No match means unverified, never independent."""
+    rows = counted(usage, sessions, provider)
+    number = lambda name: F.coalesce(_counter(f"$.counter.{name}").cast("long"), F.lit(0)).alias(f"c_{name}")
+    names = ("input", "cache", "cacheWrite", "output")
+    rows = rows.select("*", *map(number, names), (F.coalesce(_counter("$.previousCounter.input").cast("long"), F.lit(0)) + F.coalesce(_counter("$.previousCounter.output").cast("long"), F.lit(0)) == 0).alias("first"))
+    counter = [f"c_{n}" for n in names]
+    first = rows.where("first AND forked_from_id <> '' AND forked_from_id <> native_id").groupBy("session_id", "machine_id", "source_id", "forked_from_id", *counter).agg(
+        F.count("*").alias("parts"), F.countDistinct("kind").alias("kinds"), *[F.sum(t).alias(t) for t in TOKENS], F.min("id").alias("child_id"),
+    )
+    whole = (F.col("tokens_in") == F.col("c_input") - F.col("c_cache") - F.col("c_cacheWrite")) & (F.col("tokens_cache") == F.col("c_cache")) & (F.col("tokens_write") == F.col("c_cacheWrite")) & (F.col("tokens_out") == F.col("c_output"))
+    parents = rows.select("machine_id", F.col("native_id").alias("forked_from_id"), *counter, F.col("session_id").alias("parent_session"), F.col("id").alias("parent_id"), F.col("source_id").alias("parent_source"))
+    best = first.where(whole & (F.col("parts") <= 2) & (F.col("parts") == F.col("kinds"))).join(parents, ["machine_id", "forked_from_id", *counter]).where("parent_source <> source_id").groupBy("session_id").agg(F.min(F.struct("parent_session", "parent_id")).alias("p"), F.first(all_tokens()).alias("tokens"))
+    out = first.select("session_id").distinct().join(best, "session_id", "left")
+    return out.select("session_id", "p.parent_session", "p.parent_id", F.col("tokens").cast("long").alias("tokens"), F.when(F.col("p").isNotNull(), "matched").otherwise("unverified").alias("state"))
+
+
+def select_exclusions(proofs: DataFrame) -> DataFrame:
+    """The observations to leave out of counted totals, of proofs (id, owner_id): one owner each, and none whose owner is itself left out."""
+    one = proofs.where("id <> owner_id").groupBy("id").agg(F.min("owner_id").alias("owner_id"), F.countDistinct("owner_id").alias("n")).where("n = 1").drop("n")
+    return one.join(one.select(F.col("id").alias("owner_id")), "owner_id", "left_anti").select("id", "owner_id")
+
+
 def contribution_totals(usage: DataFrame, excluded: DataFrame) -> DataFrame:
     """Recorded, excluded and counted tokens: counted = recorded - active exclusions (excluded: id)."""
     flagged = usage.join(excluded.select("id").distinct().withColumn("_x", F.lit(True)), "id", "left")

@@ -37,6 +37,15 @@ class Inputs:
     def priced(self) -> DataFrame:
         return usage_ops.price(self.usage, self.tables.rates)
 
+    @functools.cached_property
+    def all_priced(self) -> DataFrame:
+        """Superseded rows too, for what joins the sessions' projections itself."""
+        return usage_ops.price(self.tables.usage, self.tables.rates)
+
+    @functools.cached_property
+    def identities(self) -> DataFrame:
+        return cat_ops.identities(self.tables.sessions, self.tables.metadata)
+
     @functools.cached_property
     def catalog(self) -> DataFrame:
         return cat_ops.catalog(self.tables.sessions, self.tables.metadata, usage_ops.session_totals(self.priced))

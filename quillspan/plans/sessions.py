@@ -49,8 +49,8 @@ register(
 register(
     "indexing_progress",
     lambda x: ops.indexing_progress(x.tables.sources),
-    """SELECT count(*) AS sources, count(*) FILTER (WHERE indexed_offset >= durable_offset AND diagnostics = 0) AS ready, count(*) FILTER (WHERE indexed_offset < durable_offset) AS awaiting,
-    count(*) FILTER (WHERE indexed_offset >= durable_offset AND diagnostics > 0) AS blocked, CAST(sum(durable_offset - indexed_offset) AS BIGINT) AS bytes_left FROM log_sources""",
+    """SELECT count(*) AS sources, count(*) FILTER (WHERE NOT rebuilding AND indexed_offset >= durable_offset AND diagnostics = 0) AS ready, count(*) FILTER (WHERE NOT rebuilding AND indexed_offset < durable_offset) AS awaiting,
+    count(*) FILTER (WHERE NOT rebuilding AND indexed_offset >= durable_offset AND diagnostics > 0) AS blocked, count(*) FILTER (WHERE rebuilding) AS rebuilding, CAST(sum(durable_offset - indexed_offset) AS BIGINT) AS bytes_left FROM log_sources""",
 )
 register(
     "lineage",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quillspan.operators import usage as ops
 from quillspan.plans.base import ALL, BIG, TOKEN_SUMS, coverage, register
 
@@ -14,16 +16,20 @@ _KEYS = {
     "week": "strftime(date_trunc('week', ts), '%Y-%m-%d')",
     "month": "strftime(ts, '%Y-%m')",
     "year": "strftime(ts, '%Y')",
-    "agentKind": """CASE WHEN agent_id = '' THEN 'unattributed' WHEN agent_id = native_agent_id AND native_agent_id <> '' THEN 'child-agent' WHEN agent_id = 'main' AND parent_native_id = '' THEN 'main'
-        WHEN agent_id = 'main' THEN 'child-thread' ELSE 'unclassified' END""",
+    "agentKind": """CASE WHEN coalesce(agent_id, '') = '' THEN 'unattributed' WHEN provider = 'alpha' AND agent_id = native_agent_id AND native_agent_id <> '' THEN 'child-agent' WHEN agent_id = 'main' AND parent_native_id <> '' THEN 'child-thread'
+        WHEN agent_id = 'main' THEN 'main' ELSE 'unclassified' END""",
 }
+_NAMELESS = f"CASE WHEN model = '' OR kind = 'incomplete-attribution' THEN {ALL.replace('tokens_', 'p.tokens_')} ELSE 0 END"
+_GROUPS = lambda key, keep="true": f"""SELECT *, {coverage(ALL)} AS coverage FROM (SELECT coalesce({key}, '') AS key, count(DISTINCT c.id) AS sessions, count(p.id) AS observations, {", ".join(BIG("p." + t, t) for t in ("tokens_in", "tokens_cache", "tokens_write", "tokens_out", "priced_tokens"))}, {BIG(_NAMELESS, "unattributed_tokens")},
+        round(sum(cost), 4) AS cost FROM (SELECT id, project, machine_id, provider, native_agent_id, parent_native_id FROM cat) c LEFT JOIN priced p ON p.session_id = c.id WHERE {keep} GROUP BY 1)"""
 for _by, _key in _KEYS.items():
-    register(
-        "usage_by_" + ("agent_kind" if _by == "agentKind" else _by),
-        lambda x, by=_by: ops.grouped_usage(x.priced, x.catalog, by),
-        f"""SELECT *, {coverage(ALL)} AS coverage FROM (SELECT coalesce({_key}, '') AS key, count(DISTINCT p.session_id) AS sessions, count(*) AS observations, {", ".join(BIG("p." + t, t) for t in ("tokens_in", "tokens_cache", "tokens_write", "tokens_out", "priced_tokens", "unattributed_tokens"))},
-        round(sum(cost), 4) AS cost FROM priced p JOIN (SELECT id, project, machine_id, provider, native_agent_id, parent_native_id FROM cat) c ON p.session_id = c.id GROUP BY 1)""",
-    )
+    register("usage_by_" + ("agent_kind" if _by == "agentKind" else _by), lambda x, by=_by: ops.grouped_usage(x.all_priced, x.identities, by, "alpha"), _GROUPS(_key))
+register(
+    "usage_by_model_in_range",
+    lambda x: ops.grouped_usage(x.all_priced, x.identities, "model", "alpha", F.lit("1996-01-01").cast("timestamp_ntz"), F.lit("1997-01-01").cast("timestamp_ntz")),
+    _GROUPS("model", "ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1997-01-01'"),
+)
+register("usage_by_day_next_page", lambda x: ops.groups_after(ops.grouped_usage(x.all_priced, x.identities, "day", "alpha"), "1994-06-01"), f"SELECT * FROM ({_GROUPS(_KEYS['day'])}) WHERE key > '1994-06-01' ORDER BY key LIMIT 100")
 
 register(
     "session_pricing",
@@ -52,39 +58,68 @@ register(
     lambda x: ops.first_report(x.usage).select("id", "session_id", "agent_id", "message_id", "ts", "tokens_in", "tokens_out"),
     "SELECT id, session_id, agent_id, message_id, ts, tokens_in, tokens_out FROM usage QUALIFY row_number() OVER (PARTITION BY session_id, agent_id, message_id ORDER BY ts NULLS LAST, id) = 1",
 )
-_LAST = lambda x, of: f"arg_max({x}, struct_pack(t := ts, i := id)) FILTER (WHERE {of})"
+_FIELDS = ("tokens_in", "tokens_cache", "tokens_write", "tokens_out", "model")
+_LAST = lambda x: f"arg_max({x}, struct_pack(t := coalesce(ts, TIMESTAMP '0001-01-01'), i := id)) FILTER (WHERE contains(present_mask, '{x}'))"
 register(
     "merged_reports",
-    lambda x: ops.merged_reports(x.usage),
-    f"""SELECT session_id, agent_id, message_id, {", ".join(f"CAST(coalesce(m_{t}, 0) AS BIGINT) AS {t}" for t in ("tokens_in", "tokens_cache", "tokens_write", "tokens_out"))}, coalesce(m_model, '') AS model, reports, ts,
-    CASE WHEN no_id THEN 'message-without-id' WHEN m_model IS NOT NULL AND m_tokens_in IS NOT NULL AND m_tokens_cache IS NOT NULL AND m_tokens_write IS NOT NULL AND m_tokens_out IS NOT NULL THEN 'message-final' ELSE 'message-partial' END AS kind
-    FROM (SELECT session_id, agent_id, message_id, {", ".join(f"{_LAST(t, f'{t} > 0')} AS m_{t}" for t in ("tokens_in", "tokens_cache", "tokens_write", "tokens_out"))}, {_LAST("model", "model <> ''")} AS m_model, count(*) AS reports, max(ts) AS ts,
+    lambda x: ops.merged_reports(x.usage.withColumn("present", F.split("present_mask", ","))),
+    f"""SELECT session_id, agent_id, message_id, {", ".join(f"CAST(coalesce(m_{t}, 0) AS BIGINT) AS {t}" for t in _FIELDS[:4])}, coalesce(m_model, '') AS model, reports, ts,
+    CASE WHEN no_id THEN 'message-without-id' WHEN m_model <> '' AND {" AND ".join(f"h_{t}" for t in _FIELDS)} THEN 'message-final' ELSE 'message-partial' END AS kind
+    FROM (SELECT session_id, agent_id, message_id, {", ".join(f"{_LAST(t)} AS m_{t}, bool_or(contains(present_mask, '{t}')) AS h_{t}" for t in _FIELDS)}, count(*) AS reports, max(ts) AS ts,
         bool_and(kind = 'message-without-id') AS no_id FROM usage GROUP BY 1, 2, 3)""",
 )
-_DUPLICATES = f"""dup_rows AS (SELECT u.*, s.machine_id, s.provider, s.native_id FROM usage u JOIN sessions s ON u.session_id = s.id WHERE u.agent_id = 'main' AND u.ts IS NOT NULL AND {ALL} > 0),
-dup_groups AS (SELECT machine_id, provider, native_id, ts, model, kind, tokens_in, tokens_cache, tokens_write, tokens_out, count(*) AS candidates, min(session_id) AS owner, max(session_id) AS other, count(DISTINCT session_id) AS n
-    FROM dup_rows GROUP BY ALL HAVING count(DISTINCT session_id) > 1),
-duplicates AS (SELECT id, session_id, owner, CASE WHEN candidates = 2 AND n = 2 THEN CASE WHEN session_id = owner THEN other ELSE owner END END AS twin_session, CASE WHEN candidates = 2 AND n = 2 THEN 'matched' ELSE 'ambiguous' END AS state
-    FROM dup_rows JOIN dup_groups USING (machine_id, provider, native_id, ts, model, kind, tokens_in, tokens_cache, tokens_write, tokens_out))"""
 
+#: Usage as cumulative counters give it, over (id, session_id, native_id, message_id, ts, model and tokens).
+_COUNTER = {
+    "kind": "CASE WHEN model = '' THEN 'incomplete-attribution' WHEN tokens_in % 20 = 0 THEN 'reported-last-call' ELSE 'cumulative-delta' END",
+    "counter_scope": "concat('thread:', native_id)",
+    "evidence": """concat('{"offset":', session_id, ',"previousCounter":{"input":', CASE WHEN message_id LIKE '%:1' THEN 0 ELSE 1 END, ',"output":0},"counter":{"input":', tokens_in + tokens_cache + tokens_write, ',"cache":', tokens_cache, ',"cacheWrite":', tokens_write, ',"output":', tokens_out, '}}')""",
+}
 
-def _mirrored(x):
-    """Usage where a session that carries its neighbour's native id also repeats the neighbour's observations, as a
-    resumed transcript does: what reconciliation is for."""
-    s = x.tables.sessions.selectExpr("id AS other_id", "concat('n', id) AS own_native", "native_id").where("own_native <> native_id").selectExpr("other_id", "CAST(substring(native_id, 2) AS BIGINT) AS session_id")
-    copies = x.usage.join(s, "session_id").withColumn("session_id", s["other_id"]).drop("other_id")
-    return x.usage.unionByName(copies.selectExpr("* EXCEPT (id)", "concat(id, '/', session_id) AS id"))
 
+def _threads(x):
+    """All sessions as threads of one provider on one machine."""
+    return x.tables.sessions.withColumns({"provider": F.lit("beta"), "machine_id": F.lit("m")})
 
-_MIRRORED = """mirrored AS (SELECT * FROM usage UNION ALL BY NAME
-    SELECT u.* REPLACE (s.id AS session_id, concat(u.id, '/', s.id) AS id) FROM usage u JOIN sessions s ON s.native_id <> concat('n', s.id) AND CAST(substr(s.native_id, 2) AS BIGINT) = u.session_id)"""
-_DUPLICATES = _DUPLICATES.replace("FROM usage u", "FROM mirrored u")
-register("duplicate_usage", lambda x: ops.duplicate_usage(_mirrored(x), x.tables.sessions), "SELECT * FROM duplicates", _MIRRORED, _DUPLICATES)
+
+def _counters(x):
+    """Usage as counters, where a session that carries its neighbour's native id also repeats the neighbour's observations, as a
+    resumed transcript does, and a fork begins with a counter of the thread that it left."""
+    usage = x.usage.drop("kind")
+    s = x.tables.sessions.selectExpr("id AS other_id", "native_id", "forked_from_id")
+    again = s.where("native_id <> concat('n', other_id)").selectExpr("other_id", "CAST(substring(native_id, 2) AS BIGINT) AS session_id")
+    forks = s.where("forked_from_id <> ''").selectExpr("other_id", "CAST(substring(forked_from_id, 2) AS BIGINT) AS session_id")
+    copy = lambda rows, to: rows.join(to, "session_id").withColumns({"id": F.concat("id", F.lit("/"), "other_id"), "session_id": F.col("other_id"), "source_id": F.concat(F.lit("s"), "other_id")}).drop("other_id")
+    rows = usage.unionByName(copy(usage, again)).unionByName(copy(usage.where("message_id LIKE '%:1'").withColumn("model", F.lit("")), forks))
+    native = s.select(F.col("other_id").alias("session_id"), "native_id")
+    return rows.join(native, "session_id").selectExpr("*", *[f"{v} AS {k}" for k, v in _COUNTER.items()]).drop("native_id").withColumn("present", F.array().cast("array<string>"))
+
+
+_COUNTERS = f"""counters AS (SELECT r.* EXCLUDE (kind), s.native_id, s.forked_from_id, {", ".join(f"{v} AS {k}" for k, v in _COUNTER.items())}, tokens_in + tokens_cache + tokens_write + tokens_out AS total
+    FROM (SELECT * FROM usage UNION ALL BY NAME SELECT u.* REPLACE (s.id AS session_id, concat(u.id, '/', s.id) AS id, 's' || s.id AS source_id) FROM usage u JOIN sessions s ON s.native_id <> concat('n', s.id) AND CAST(substr(s.native_id, 2) AS BIGINT) = u.session_id
+        UNION ALL BY NAME SELECT u.* REPLACE (s.id AS session_id, concat(u.id, '/', s.id) AS id, 's' || s.id AS source_id, '' AS model) FROM usage u JOIN sessions s ON s.forked_from_id <> '' AND CAST(substr(s.forked_from_id, 2) AS BIGINT) = u.session_id WHERE u.message_id LIKE '%:1') r
+    JOIN sessions s ON s.id = r.session_id)"""
+_SOUND = "(SELECT *, message_id LIKE '%:1' AS first FROM counters WHERE agent_id = 'main' AND ts IS NOT NULL AND total > 0)"
+_DUPLICATES = f"""duplicates AS (SELECT id, session_id, owner, CASE WHEN candidates = 2 AND n = 2 THEN CASE WHEN session_id = owner THEN other ELSE owner END END AS twin_session, CASE WHEN candidates = 2 AND n = 2 THEN 'matched' ELSE 'ambiguous' END AS state
+    FROM {_SOUND} JOIN (SELECT native_id, ts, model, kind, tokens_in, tokens_cache, tokens_write, tokens_out, first, count(*) AS candidates, min(session_id) AS owner, max(session_id) AS other, count(DISTINCT session_id) AS n FROM {_SOUND} GROUP BY ALL HAVING count(DISTINCT session_id) > 1)
+    USING (native_id, ts, model, kind, tokens_in, tokens_cache, tokens_write, tokens_out, first))"""
+register("duplicate_usage", lambda x: ops.duplicate_usage(_counters(x), _threads(x), "beta"), "SELECT * FROM duplicates", _COUNTERS, _DUPLICATES)
+register(
+    "fork_baselines",
+    lambda x: ops.fork_baselines(_counters(x), _threads(x), "beta"),
+    f"""SELECT session_id, m.parent_session, m.parent_id, CAST(m.tokens AS BIGINT) AS tokens, CASE WHEN m.session_id IS NULL THEN 'unverified' ELSE 'matched' END AS state FROM (SELECT DISTINCT session_id FROM {_SOUND} WHERE first AND forked_from_id <> '') LEFT JOIN
+    (SELECT c.session_id, arg_min(p.session_id, struct_pack(s := p.session_id, i := p.id)) AS parent_session, arg_min(p.id, struct_pack(s := p.session_id, i := p.id)) AS parent_id, any_value(c.total) AS tokens
+        FROM (SELECT *, count(*) OVER (PARTITION BY session_id, tokens_in + tokens_cache + tokens_write, tokens_cache, tokens_write, tokens_out) AS parts FROM {_SOUND} WHERE first AND forked_from_id <> '') c JOIN {_SOUND} p ON p.native_id = c.forked_from_id
+        AND p.tokens_in + p.tokens_cache + p.tokens_write = c.tokens_in + c.tokens_cache + c.tokens_write AND p.tokens_cache = c.tokens_cache AND p.tokens_write = c.tokens_write AND p.tokens_out = c.tokens_out WHERE c.parts = 1 GROUP BY 1) m USING (session_id)""",
+    _COUNTERS,
+)
+_PROOFS = lambda x: ops.select_exclusions(ops.duplicate_usage(_counters(x), _threads(x), "beta").where("state = 'matched' AND session_id <> owner").selectExpr("id", "concat(substring_index(id, '/', 1)) AS owner_id"))
+register("usage_exclusions", _PROOFS, "SELECT id, split_part(id, '/', 1) AS owner_id FROM duplicates WHERE state = 'matched' AND session_id <> owner AND contains(id, '/')", _COUNTERS, _DUPLICATES)
 register(
     "contribution_totals",
-    lambda x: ops.contribution_totals(_mirrored(x), ops.duplicate_usage(_mirrored(x), x.tables.sessions).where("state = 'matched' AND session_id <> owner")),
-    f"""SELECT *, recorded - excluded AS counted FROM (SELECT {BIG(ALL, "recorded")}, CAST(coalesce(sum({ALL}) FILTER (WHERE id IN (SELECT id FROM duplicates WHERE state = 'matched' AND session_id <> owner)), 0) AS BIGINT) AS excluded FROM mirrored)""",
-    _MIRRORED,
+    lambda x: ops.contribution_totals(_counters(x), _PROOFS(x)),
+    f"""SELECT *, recorded - excluded AS counted FROM (SELECT {BIG(ALL, "recorded")}, CAST(coalesce(sum({ALL}) FILTER (WHERE id IN (SELECT id FROM duplicates WHERE state = 'matched' AND session_id <> owner AND contains(id, '/'))), 0) AS BIGINT) AS excluded FROM counters)""",
+    _COUNTERS,
     _DUPLICATES,
 )
 register(

@@ -24,6 +24,7 @@ SESSION_COLUMNS = {
     "native_id": "concat('n', CASE WHEN o_orderkey % 50 = 1 THEN o_orderkey - 1 ELSE o_orderkey END)",
     "parent_native_id": "CASE WHEN o_orderkey % 4 = 3 THEN concat('n', o_orderkey - 1) WHEN o_orderkey % 4 = 2 THEN 'n-none' ELSE '' END",
     "native_agent_id": "CASE WHEN o_orderkey % 4 = 3 THEN concat('agent-', o_orderkey % 5) ELSE '' END",
+    "forked_from_id": "CASE WHEN o_orderkey % 50 = 2 THEN concat('n', o_orderkey - 2) ELSE '' END",
     "last_activity": "CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_orderdate END",
     "event_count": "CAST(o_orderkey % 40 AS BIGINT)",
     "completeness": "CASE WHEN o_orderkey % 9 = 0 THEN 'partial' ELSE 'complete' END",
@@ -47,6 +48,9 @@ USAGE_COLUMNS = {
     "part": "l_partkey",
     "kind": "CASE l_returnflag WHEN 'A' THEN 'message-final' WHEN 'N' THEN 'message-partial' ELSE 'message-without-id' END",
     "ts": "l_shipdate",
+    # The fields that a report gives, zero or not.
+    "present_mask": """CASE WHEN l_returnflag = 'N' THEN CASE l_linenumber % 3 WHEN 0 THEN 'tokens_in,model' WHEN 1 THEN 'tokens_cache,tokens_out' ELSE 'tokens_in,tokens_cache,tokens_write,model' END
+        ELSE 'tokens_in,tokens_cache,tokens_write,tokens_out,model' END""",
     "tokens_in": "CAST(floor(l_quantity) AS BIGINT) * 10",
     "tokens_cache": "CAST(floor(l_extendedprice) AS BIGINT)",
     "tokens_write": "CAST(floor(l_discount * 100) AS BIGINT)",
@@ -84,6 +88,7 @@ SOURCE_COLUMNS = {
     "path": "concat('/logs/', id % 7, '/Session', id, '.jsonl')",
     "durable_offset": "CAST(1000 + id AS BIGINT)",
     "indexed_offset": "CAST(1000 + id - CASE WHEN id % 10 = 3 THEN 5 ELSE 0 END AS BIGINT)",
+    "rebuilding": "id % 31 = 0",
     "diagnostics": "CASE WHEN id % 23 = 0 THEN 1 ELSE 0 END",
     "modified_at": "CASE WHEN id % 29 = 0 THEN NULL ELSE last_at END",
 }

@@ -1 +1 @@
-"""sources of the engine."""
+"""Readers of transcripts and spans, and writers of sessions."""

@@ -141,7 +141,7 @@ def rollout_events(lines: DataFrame) -> DataFrame:
 
 
 _COUNTERS = ("input", "cache", "cache_write", "output")
-_DELTA = "source_id string, at_key string, scope string, part string, model string, kind string, tokens_in long, tokens_cache long, tokens_write long, tokens_out long"
+DELTA = "source_id string, at_key string, scope string, part string, model string, kind string, tokens_in long, tokens_cache long, tokens_write long, tokens_out long"
 
 
 def counter_reports(lines: DataFrame) -> DataFrame:
@@ -165,50 +165,60 @@ def counter_reports(lines: DataFrame) -> DataFrame:
     return rows.select("source_id", "at", scope.alias("scope"), F.coalesce(p("model"), F.when(scope == own_scope, F.col("context")), F.lit("")).alias("model"), _timestamp("v").alias("ts"), *numbers)
 
 
+def deltas_of(reports: pd.DataFrame, key: tuple[str, str], high: tuple | None, model: str | None) -> tuple[tuple | None, str | None, list[tuple]]:
+    """The usage that reports of one scope add, in their order, with the high-water counter and model before and after them."""
+
+    def fits(d: tuple) -> bool:
+        return min(d) >= 0 and d[1] <= d[0] and d[2] <= d[0] - d[1]
+
+    out: list[tuple] = []
+    for r in reports.to_dict("records"):
+        total, last = (tuple(None if pd.isna(x) else int(x) for x in (r[f"{kind}_{c}"] for c in _COUNTERS)) for kind in ("total", "last"))
+        head = (key[0], r["at_key"], key[1])
+        note = lambda code, head=head: out.append((*head, "counter", "", code, 0, 0, 0, 0))
+        add = lambda part, m, kind, d, head=head: out.append((*head, part, m, kind, d[0] - d[1] - d[2], d[1], d[2], d[3])) if d[0] or d[3] else None
+        if None in total or not fits(total):
+            note("invalid-usage-counter")
+            continue
+        if total == high:
+            continue
+        rise = tuple(x - y for x, y in zip(total, high or (0, 0, 0, 0)))
+        if not fits(rise):
+            note("counter-discontinuity")
+            continue
+        known = r["model"] and high is not None and model == r["model"]
+        rest = tuple(x - y for x, y in zip(rise, last)) if r["model"] and None not in last and fits(last) else None
+        high, model = total, r["model"]
+        if known:
+            add("delta", model, "cumulative-delta", rise)
+        elif rest is not None and fits(rest):
+            add("prior", "", "incomplete-attribution", rest)
+            add("last", model, "reported-last-call", last)
+        else:
+            add("delta", "", "incomplete-attribution", rise)
+    return high, model, out
+
+
 def counter_deltas(reports: DataFrame) -> DataFrame:
     """Usage from cumulative counters, scope by scope in order: the rise since the highest report so far.
 
     An equal report adds nothing. A report that falls, or whose cache no longer fits, is kept as a diagnostic and the
     high-water mark stays. The first report and one under another model are split: a last call that fits is attributed,
     the rest is incomplete-attribution. Rows of a scope are read as a sorted stream and never held together."""
-    at_key = F.to_json(F.struct("at"))
-    rows = reports.withColumn("at_key", at_key).repartition("source_id", "scope").sortWithinPartitions("source_id", "scope", "at")
-
-    def fits(d: tuple) -> bool:
-        return min(d) >= 0 and d[1] <= d[0] and d[2] <= d[0] - d[1]
+    rows = reports.withColumn("at_key", F.to_json(F.struct("at"))).repartition("source_id", "scope").sortWithinPartitions("source_id", "scope", "at")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = high = model = None
         for batch in batches:
             out = []
-            for r in batch.itertuples(index=False):
-                if (r.source_id, r.scope) != key:
-                    key, high, model = (r.source_id, r.scope), None, None
-                number = lambda kind, r=r: tuple(None if pd.isna(x) else int(x) for x in (getattr(r, f"{kind}_{c}") for c in _COUNTERS))
-                total, last = number("total"), number("last")
-                add = lambda part, m, kind, d, r=r: out.append((r.source_id, r.at_key, r.scope, part, m, kind, d[0] - d[1] - d[2], d[1], d[2], d[3])) if d[0] or d[3] else None
-                if None in total or not fits(total):
-                    out.append((r.source_id, r.at_key, r.scope, "counter", "", "invalid-usage-counter", 0, 0, 0, 0))
-                    continue
-                if total == high:
-                    continue
-                rise = tuple(x - y for x, y in zip(total, high or (0, 0, 0, 0)))
-                if not fits(rise):
-                    out.append((r.source_id, r.at_key, r.scope, "counter", "", "counter-discontinuity", 0, 0, 0, 0))
-                    continue
-                known = r.model and high is not None and model == r.model
-                rest = tuple(x - y for x, y in zip(rise, last)) if r.model and None not in last and fits(last) else None
-                high, model = total, r.model
-                if known:
-                    add("delta", r.model, "cumulative-delta", rise)
-                elif rest is not None and fits(rest):
-                    add("prior", "", "incomplete-attribution", rest)
-                    add("last", r.model, "reported-last-call", last)
-                else:
-                    add("delta", "", "incomplete-attribution", rise)
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in _DELTA.split(", ")])
-
-    return rows.drop("at", "ts").mapInPandas(read, _DELTA)
+            for own, part in batch.groupby(["source_id", "scope"], sort=False):
+                if own != key:
+                    key, high, model = own, None, None
+                high, model, found = deltas_of(part, key, high, model)
+                out += found
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in DELTA.split(", ")])
+
+    return rows.drop("at", "ts").mapInPandas(read, DELTA)
 
 
 def scaled_to_total(windows: DataFrame, totals: DataFrame) -> DataFrame:

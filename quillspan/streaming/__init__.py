@@ -1 +1 @@
-"""streaming of the engine."""
+"""Streams of transcripts, usage and events."""
