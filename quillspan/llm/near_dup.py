@@ -16,7 +16,7 @@ keys, ordered from rare to frequent over the corpus, a document needs all but th
 sets of keys that share so many must meet there), and keys of widely shared passages are not used unless
 they fill much of a document. No pair within the threshold is lost, however frequent a key is.
 
-Candidates. Each key's members are first compared with one member, its hub: that with the fewest
+Candidates. A set of which more shingles are its own than the similarity allows is like no other and drops out. Each key's members are first compared with one member, its hub: that with the fewest
 shingles of its own, of edited copies the nearest to their origin. Confirmed links are closed to
 components, and keys whose members are all in one component are done. When what is left is small, or a
 round no longer halves it, every remaining pair of members of different components is compared: in keys
@@ -256,7 +256,6 @@ def _links(members: DataFrame, rows: DataFrame, width: int, least: int) -> DataF
     """Enough confirmed links (a, b) between representatives to connect whatever is linked."""
     reps = members.where("key IS NOT NULL AND row = rep").select("rep", "n", "sig")
     profiles = settle(_prefixes(reps), "profiles")
-    keys = profiles.select("rep", "n", "common", F.explode("ks").alias("k"))
     if profiles.isEmpty():
         return None
 
@@ -270,7 +269,9 @@ def _links(members: DataFrame, rows: DataFrame, width: int, least: int) -> DataF
     texts = rows.select(F.col("row").alias("rep"), "text").join(small(profiles.select("rep")), "rep")
     sets = settle(texts.select("rep", as_set("text").alias("s")).select("rep", "s.set", "s.counts"), "sets")
     found_too = settle(_found_elsewhere(sets), "found")
-    keys = settle(keys.join(found_too.select("rep", "r"), "rep"), "keys")
+    # Sets with too many shingles of their own are like no other, whatever keys they share.
+    hopeful = profiles.join(found_too.select("rep", "r"), "rep").where(100 * F.col("r") >= least * F.col("n"))
+    keys = settle(hopeful.select("rep", "n", "common", "r", F.explode("ks").alias("k")), "keys")
     links, before = None, float("inf")
     labelled = keys.withColumn("c", F.col("rep"))
     for turn in range(MAX_ROUNDS + 1):
