@@ -21,6 +21,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
-from .common import fresh_path, read
+from .common import BROADCAST_ROWS, fresh_path, read, settle
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes long, payload binary"
 #: Fixed WARC header names of the columns.
@@ -115,6 +116,7 @@ class WarcDataSource(DataSource):
 class WarcWriter(DataSourceWriter):
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
+        self.job = uuid.uuid4().hex
 
     def write(self, rows: Iterator) -> Written:
         from pyspark import TaskContext
@@ -123,22 +125,29 @@ class WarcWriter(DataSourceWriter):
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.warc.gz"
         fs, base = file_system(self.path)
         fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base}/_{name}", compression=None) as out:
+        with fs.open_output_stream(f"{base}/_{self.job}-{name}", compression=None) as out:
             for row in rows:
                 out.write(member(record_bytes(row.asDict())))
-        return Written(f"{base}/_{name}", f"{base}/{name}")
+        return Written(f"{base}/_{self.job}-{name}", f"{base}/{name}")
 
     def commit(self, messages: list) -> None:
         fs, _ = file_system(self.path)
         for m in messages:
             if m is not None:
                 fs.move(m.hidden, m.final)
+        self._clear()
 
     def abort(self, messages: list) -> None:
-        fs, _ = file_system(self.path)
-        for m in messages:
-            if m is not None:
-                fs.delete_file(m.hidden)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Delete what this job's failed or repeated attempts left under hidden names."""
+        from pyarrow import fs as pafs
+
+        fs, base = file_system(self.path)
+        for x in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+            if x.base_name.startswith(f"_{self.job}-"):
+                fs.delete_file(x.path)
 
 
 class WarcReader(DataSourceReader):
@@ -208,13 +217,17 @@ class WarcReader(DataSourceReader):
                 return
             head = _parse(block)
             length = int(head.pop("content-length", 0) or 0)
+            kind = head.pop("content-type", None) or ""
             if self._wants(head):
-                http = source.until(_END) or b""
-                told = [x.split(b":", 1)[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                before, told = 0, []
+                if kind.lower().startswith("application/http"):  # other blocks are the payload as they stand
+                    http = source.until(_END) or b""
+                    before = len(http) + len(_END)
+                    told = [x.split(b":", 1)[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
                 body = None
                 if self.with_payload and head["record_type"] != "revisit":
-                    body = source.take(length - len(http) - len(_END))
-                yield head | {"payload_bytes": int(told[0]) if told else length - len(http) - len(_END), "payload": body}
+                    body = source.take(length - before)
+                yield head | {"payload_bytes": int(told[0]) if told else length - before, "payload": body}
             at = source.end(len(block) + len(_END) + length + len(_END))
 
 
@@ -226,8 +239,8 @@ def _parse(block: bytes) -> dict:
         name = name.strip().lower()
         if name in names:
             found[names[name]] = value.strip()
-        elif name == "content-length":
-            found["content-length"] = value.strip()
+        elif name in ("content-length", "content-type"):
+            found[name] = value.strip()
     return found
 
 
@@ -320,9 +333,15 @@ def archive_pages(pages: DataFrame, least_bytes: int = 1000, date: str = "2024-0
     page_id is a response and the others revisit it; smaller ones are all responses."""
     raw = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     p = pages.select("page_id", "url", raw.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    # Grouped with a map-side maximum; the texts meet it in a join whose hot partitions Spark splits.
+    # Only digests of several pages matter; payloads are not shuffled by them.
     groups = p.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("c")).where("c > 1")
-    p = p.join(groups.select("digest", "first_id").hint("shuffle_hash"), "digest", "left")
+    groups = settle(groups.select("digest", "first_id"), "digests")
+    if groups.count() <= BROADCAST_ROWS:
+        p = p.join(F.broadcast(groups), "digest", "left")
+    else:
+        # Narrow rows meet the digests, and pages their own row, by page: no key is shared by many of them.
+        marks = p.select("page_id", "digest").join(groups, "digest").distinct().withColumnsRenamed({"page_id": "_page", "digest": "_digest"})
+        p = p.join(marks, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").drop("_page", "_digest")
     again = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     return p.select(
@@ -342,18 +361,22 @@ def page_of(urn: str) -> Column:
     return F.nullif(F.regexp_extract(urn, r"^<urn:page:(-?\d*)>$", 1), F.lit("")).cast("long")
 
 
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of an archive of pages.
+
+    Responses are read with their payloads, which are digested again. Revisits are read for their headers alone: the
+    reader passes over every response without inflating it."""
+    full = read_warc(spark, path).where("record_type = 'response'")
+    again = read_warc(spark, path, "none").where("record_type = 'revisit'")
+    head = lambda df, size, digest: df.select(page_of("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", page_of("refers_to").alias("refers_to"))
+    full = head(full, F.octet_length("payload").cast("long"), F.sha1("payload"))
+    return full.unionByName(head(again, F.col("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "")))
+
+
 def op8(spark, sf_dir) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_warc(archive_pages(read(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
-    got = read_warc(spark, path).where(F.col("record_type").isin("response", "revisit"))
-    full = F.col("record_type") == "response"
-    return got.select(
-        page_of("record_id").alias("page_id"),
-        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(full, F.sha1("payload")).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
-        "record_type",
-        page_of("refers_to").alias("refers_to"),
-    )
+    return digests(spark, path)
 
 
 ORACLE_SQL = """
