@@ -8,7 +8,7 @@ Jaccard similarity, sum of min weights / sum of max weights. A fingerprint is SA
 hashed bits in hex; ``likeness`` is the share that agrees, less chance hits.
 
 Each text is compared with the next one in falling doc_id. That order is made by cutting the ids at
-quantiles into buckets (the driver holds two numbers a bucket), one shuffle of the texts by bucket,
+quantiles into buckets (the driver holds one number a bucket), one shuffle of the texts by bucket,
 and a sorted scan of each bucket that ends in a copy of the next bucket's first row.
 
 Defined results: a null text is empty; an empty bag has the fingerprint of a term of its own, so empty
@@ -25,21 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import mix, read, settle, small
+
 SAMPLES = 128
 #: Weighted terms whose draws a worker keeps; 6 bytes a sample each.
 CACHE_TERMS = 100_000
 _LOWEST = -(2**63)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: near-uniform bits from distinct numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Bytes of text for which a partition is made, and buckets that the driver holds cuts for.
+PARTITION_BYTES, MAX_BUCKETS = 16 << 20, 100_000
 
 
 class Sampler:
@@ -47,7 +44,7 @@ class Sampler:
 
     def __init__(self, samples: int = SAMPLES, cache_terms: int = CACHE_TERMS):
         self.samples, self.cache_terms = samples, cache_terms
-        self.salt = _mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.salt = mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self._reset(1024)
 
     def _reset(self, rows: int) -> None:
@@ -57,15 +54,15 @@ class Sampler:
 
     def draws(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ln of what is minimised, and the 16 bits of (term, t), for each term and sample."""
-        h = _mix(term[:, None] ^ self.salt[None, :])
-        g = _mix(h + np.uint64(0x9E3779B97F4A7C15))
+        h = mix(term[:, None] ^ self.salt[None, :])
+        g = mix(h + np.uint64(0x9E3779B97F4A7C15))
         unit = lambda x, bits: ((x & np.uint64((1 << bits) - 1)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << bits)
         c = -(np.log(unit(h, 32)) + np.log(unit(h >> np.uint64(32), 32)))
         r = -(np.log(unit(g, 24)) + np.log(unit(g >> np.uint64(24), 24)))
         beta = unit(g >> np.uint64(48), 16)
         r = np.maximum(r, np.float32(1e-6))
         t = np.floor(np.log(weight.astype(np.float32))[:, None] / r + beta)
-        code = _mix(h ^ (t.astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) >> np.uint64(48)
+        code = mix(h ^ (t.astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) >> np.uint64(48)
         return np.log(np.maximum(c, np.float32(1e-30))) - r * (t - beta + 1), code.astype(np.uint16)
 
     def _learn(self, new: list[tuple[bytes, int]]) -> None:
@@ -140,9 +137,15 @@ def edited_text(text: str, following: str) -> str:
 def compare_with_next(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to it and to the next text."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_LOWEST)).alias("_key"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = [i / (8 * partitions) for i in range(1, 8 * partitions)]
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(_LOWEST)).alias("_key"))
+    # As many buckets as the texts' bytes need, and several for each partition, so that long texts even out.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    if size is None:
+        return spark.createDataFrame([], _SCHEMA)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    buckets = min(8 * partitions, MAX_BUCKETS)
+    quantiles = [i / buckets for i in range(1, buckets)]
     cuts = np.array(sorted(set(rows.select(F.percentile_approx("_key", quantiles, 100_000)).first()[0] or [])), np.int64)
 
     @pandas_udf("long")
@@ -150,17 +153,12 @@ def compare_with_next(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         return pd.Series(len(cuts) - np.searchsorted(cuts, keys.to_numpy()))  # 0 has the largest ids
 
     rows = rows.withColumn("_bucket", bucket_of("_key"))
-    firsts = sorted((b, k) for b, k in rows.groupBy("_bucket").agg(F.max("_key")).collect())  # a row a bucket
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
-    if not firsts:
-        return spark.createDataFrame([], _SCHEMA)
-    ends = (
-        docs.where(F.coalesce("doc_id", F.lit(_LOWEST)).isin([k for _, k in firsts]))
-        .groupBy(F.coalesce("doc_id", F.lit(_LOWEST)).alias("_key"))
-        .agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
-    )
-    target = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    ends = ends.select("text", "_key", target[F.col("_key")].cast("long").alias("_bucket"), F.lit(1).alias("_end"))
+    # A bucket ends with the first row of the next one; the last bucket with that of the first. One row a bucket.
+    firsts = settle(rows.groupBy("_bucket").agg(F.max("_key").alias("_key")), "bucket-ends")
+    order = Window.orderBy("_bucket")
+    before = F.coalesce(F.lag("_bucket").over(order), F.max("_bucket").over(Window.partitionBy()))
+    ends = rows.drop("_bucket").join(small(firsts.withColumn("_bucket", before)), "_key").groupBy("_key", "_bucket").agg(F.max("text").alias("text"))
+    ends = ends.select("text", "_key", "_bucket", F.lit(1).alias("_end"))
     dealt = rows.drop("doc_id").withColumn("_end", F.lit(0)).unionByName(ends).repartition(partitions, "_bucket")
     dealt = dealt.sortWithinPartitions("_bucket", "_end", F.desc("_key"), F.desc("text"))
 
@@ -195,6 +193,4 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def op2(spark, sf_dir) -> DataFrame:
-    from .common import read
-
     return compare_with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))

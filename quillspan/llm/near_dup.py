@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import read, settle, small
+from .common import mix, read, settle, small
 
 VALUES, ERRORS, CHUNK = 128, 50, 4
 #: The least number of keys that signatures within ERRORS share: one error in each chunk leaves it a key, a second takes that too.
@@ -66,12 +66,6 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _PRIME32 = np.uint32(0x9E3779B1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles; A-Z are lower-cased."""
     if not isinstance(text, str):
@@ -83,7 +77,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     n = min(width, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
-        out = _mix(out * _PRIME + h[k : len(h) - n + 1 + k])
+        out = mix(out * _PRIME + h[k : len(h) - n + 1 + k])
     return np.unique(out)
 
 

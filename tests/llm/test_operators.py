@@ -331,6 +331,40 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
     assert all(r.payload is None for r in warc.read_warc(spark, str(tmp_path / "w"), "none").collect())
 
 
+def test_warc_reader_skips_payloads_and_reads_other_blocks(spark, tmp_path, monkeypatch):
+    """Unwanted records are never inflated past their headers; blocks that are no HTTP messages are payloads as they stand."""
+    body = bytes(np.random.default_rng(1).integers(0, 256, 200_000, dtype=np.uint8))
+    rows = [{"record_type": t, "record_id": f"<urn:{i}>", "target_uri": None, "date": "d", "payload_digest": "d", "refers_to": None, "payload_bytes": len(body), "payload": body} for i, t in enumerate(["response", "revisit", "response"])]
+    plain = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 13\r\n\r\na: b\r\n\r\nc: d\n\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(warc.member(warc.record_bytes(r)) for r in rows) + warc.member(plain))
+    inflated = []
+    more = warc._Member._more
+    monkeypatch.setattr(warc._Member, "_more", lambda self: inflated.append(1) or more(self))
+    reader = warc.WarcReader({"path": str(tmp_path), "payload": "none"})
+    reader.wanted = [("record_type", "in", ("revisit",))]
+    found = [b for p in reader.partitions() for b in reader.read(p)]
+    assert sum(b.num_rows for b in found) == 1 and len(inflated) <= 6
+    inflated.clear()
+    got = {r["record_id"]: r for p in warc.WarcReader({"path": str(tmp_path)}).partitions() for b in warc.WarcReader({"path": str(tmp_path)}).read(p) for r in b.to_pylist()}
+    assert got["<urn:0>"]["payload"] == body and got["<urn:1>"]["payload"] is None and len(inflated) > 20
+    assert got[None]["payload"] == b"a: b\r\n\r\nc: d\n"
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_warc_of_pages_by_either_join(spark, odd, monkeypatch, limit):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", limit)
+    long = "x" * 1200
+    rows = [(1, "u", long), (2, "u", long), (2, "v", long), (3, None, "short"), (4, "u", "short"), (None, "u", long), (5, "u", None), (6, "u", "y" * 1000)]
+    ship(spark)
+    path = f"{odd}/warc-{limit}"
+    warc.write_warc(warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")), path)
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.digests(spark, path).collect())
+    assert got == [(0, 1200, "revisit", 2), (1, 1200, "revisit", 2), (2, 1200, "response", 0), (2, 1200, "response", 0), (3, 5, "response", 0), (4, 5, "response", 0), (5, 0, "response", 0), (6, 1000, "response", 0)]
+    import os
+
+    assert not [f for f in os.listdir(path) if f.startswith("_") and "part" in f]
+
+
 def test_bpe_agrees_with_the_tiktoken_library(spark, odd):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         raw = f.read()
