@@ -53,8 +53,9 @@ def grams(text: str | None) -> np.ndarray:
     if len(c) < 3:
         return np.zeros(0, np.int64)
     one = c[1:-1]
-    two = c[:-1] << 21 | c[1:]
-    three = (c[:-2] << 42 | c[1:-1] << 21 | c[2:])[one != 0]  # no blank in the middle
+    d = np.maximum(c, 1)  # a blank is 1, so that n-grams of different lengths never share a number
+    two = d[:-1] << 21 | d[1:]
+    three = (d[:-2] << 42 | d[1:-1] << 21 | d[2:])[one != 0]  # no blank in the middle
     return np.concatenate([one[one != 0], two, three])
 
 
