@@ -5,8 +5,10 @@ target stops at ``most`` times its source's size and the excess is shared again
 above. The targets are votes: blocks of ``block`` words go to the highest quotients votes / (2 k - 1),
 ties to the earlier source. A source's documents are dealt into shards by a seeded hash, and its blocks
 are apportioned to the shards by their words in the same way. Inside a shard the documents stand in a
-seeded order and form one stream of words, which is read from its start, again and again, until the
-shard's quota is used up: a document is taken as often as that covers it, in whole or in part.
+seeded order and form one stream of words, cut into blocks. A quota of a whole stream or more takes all of it, once or
+twice; of the rest, blocks are selected one by one: a seeded permutation of the block numbers, n -> (a n + c) mod
+blocks with a prime a, puts exactly the quota's number of blocks first. Each document can tell its own blocks, so
+selection needs no sort and no join.
 
 A source however large is cut into up to ``max_shards`` shards, so no window holds more than one
 shard's documents. Of the quotients only those are made that can be among the last seats, about three
@@ -22,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, settle, words
+from .common import SPACE, WORD, let, read, settle, words
 
 #: Fixed weights of the sources in order.
 WEIGHTS = (3, 1, 2)
-SHARE, MOST, BLOCK, SHARD_WORDS, MAX_SHARDS, SEED = 1.5, 2, 16, 65536, 4096, "mix-1"
+SHARE, MOST, BLOCK, SHARD_WORDS, MAX_SHARDS, SEED = 1.5, 2, 64, 65536, 4096, "mix-1"
+#: Fixed primes of the permutations; a shard has fewer blocks.
+PRIMES = (1000000007, 1000000009, 1000000021, 1000000033)
 
 
 def with_size(docs: DataFrame) -> DataFrame:
@@ -94,25 +98,50 @@ def _with_shard(sized: DataFrame, sources: DataFrame, seed: str) -> DataFrame:
     return out.withColumn("_shard", F.pmod(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), F.col("_shards")))
 
 
-def mix(sized: DataFrame, sources: DataFrame, shards: DataFrame, seed: str = SEED) -> DataFrame:
-    """sized (doc_id, source, size and more) with source_size, target and taken."""
+def _selected(block: int = BLOCK, seed: str = SEED) -> Column:
+    """The blocks of its shard's stream that a document with _start, _end, _words and _quota shares with the selection."""
+    blocks = F.ceil(F.col("_words") / block).cast("long")
+    wanted = F.round((F.col("_quota") % F.col("_words")) / block).cast("long")
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), "_source", F.lit(":"), F.col("_shard").cast("string"))), 1, 8), 16, 10).cast("long")
+    prime = F.element_at(F.array(*map(F.lit, PRIMES)), (h % len(PRIMES) + 1).cast("int"))
+    own = F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block))
+    mine = F.filter(own, lambda b: F.pmod(b * prime + h, blocks) < wanted)
+    return F.when((F.col("_end") > F.col("_start")) & (wanted > 0), mine).otherwise(F.array().cast("array<bigint>"))
+
+
+def mix(sized: DataFrame, sources: DataFrame, shards: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
+    """sized (doc_id, source, size and more) with source_size, target, taken, _passes (over the whole document) and _spans: the
+    word ranges (at, n) of the selected blocks."""
     dealt = _with_shard(sized, sources, seed).join(shards, ["_source", "_shard"], "left")
     upto = Window.partitionBy("_source", "_shard").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    dealt = dealt.withColumn("_end", F.sum("size").over(upto))
-    part = F.greatest(F.lit(0), F.least(F.col("_end"), F.col("_quota") % F.col("_words")) - (F.col("_end") - F.col("size")))
-    taken = F.when(F.col("_words") > 0, F.floor(F.col("_quota") / F.col("_words")) * F.col("size") + part).otherwise(0)
-    return dealt.withColumn("taken", taken.cast("long")).select(*sized.columns, "source_size", "target", "taken")
+    dealt = dealt.withColumn("_end", F.sum("size").over(upto)).withColumn("_start", F.col("_end") - F.col("size"))
+    at = lambda b: F.greatest(F.col("_start"), b * block)
+    spans = F.transform(_selected(block, seed), lambda b: F.struct((at(b) - F.col("_start")).alias("at"), (F.least(F.col("_end"), (b + 1) * block) - at(b)).alias("n")))
+    dealt = dealt.withColumns({"_passes": F.when(F.col("_words") > 0, F.floor(F.col("_quota") / F.col("_words"))).otherwise(0).cast("long"), "_spans": spans})
+    part = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    return dealt.withColumn("taken", (F.col("_passes") * F.col("size") + part).cast("long")).select(*sized.columns, "source_size", "target", "taken", "_passes", "_spans")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them, in their own columns: a row for each whole pass over a
-    document, and one with its first words for a part of a pass; those that it never takes go."""
+    document, and one with its selected blocks, spacing and lines as they stand and a line break where blocks are apart; those that it never takes go."""
     sized = with_size(docs)
     plan = quotas(settle(sized.select("doc_id", "source", "size"), "mix-sizes"))
     taken = mix(sized, *plan).where("taken > 0")
-    passes = taken.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
-    left = F.col("taken") - (F.col("_pass") - 1) * F.col("size")
-    text = F.when(left >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), 1, left.cast("int")), " "))
+    whole = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_passes")), lambda _: F.array().cast("array<struct<at:bigint,n:bigint>>"))
+    whole = F.when(F.col("_passes") > 0, whole).otherwise(F.array().cast("array<array<struct<at:bigint,n:bigint>>>"))
+    takes = F.concat(whole, F.when(F.size("_spans") > 0, F.array("_spans")).otherwise(F.array().cast("array<array<struct<at:bigint,n:bigint>>>")))
+    passes = taken.withColumn("_take", F.explode(takes))
+    pieces = F.regexp_extract_all("text", F.lit(SPACE.replace("+", "*") + WORD), F.lit(0))
+    words_of = lambda w, x: F.array_join(F.slice(w, (x["at"] + 1).cast("int"), x["n"].cast("int")), "")
+
+    def block(w: Column, x: Column, i: Column) -> Column:
+        before = F.get("_take", i - 1)
+        apart = (i > 0) & (before["at"] + before["n"] != x["at"])
+        return F.when(apart, F.concat(F.lit("\n"), F.regexp_replace(words_of(w, x), "^" + SPACE, ""))).otherwise(words_of(w, x))
+
+    cut = let(pieces, lambda w: F.array_join(F.transform("_take", lambda x, i: block(w, x, i)), ""))
+    text = F.when(F.size("_take") == 0, F.col("text")).otherwise(F.regexp_replace(cut, "^" + SPACE, ""))
     passes = passes.withColumn("text", text)
     return (passes.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else passes).select(*docs.columns)
 
@@ -143,6 +172,9 @@ p AS (SELECT s, shard, CAST(sum(size) AS BIGINT) AS words, max(blocks) AS blocks
 pq AS (SELECT s, shard, blocks, row_number() OVER (PARTITION BY s ORDER BY words / (2 * k - 1) DESC, shard) AS r
     FROM (SELECT s, shard, words, blocks, unnest(range(1, blocks + 3)) AS k FROM p WHERE words > 0)),
 z AS (SELECT p.s, p.shard, p.words, least({BLOCK} * coalesce(c, 0), 2 * p.words) AS quota FROM p LEFT JOIN (SELECT s, shard, count(*) AS c FROM pq WHERE r <= blocks GROUP BY s, shard) USING (s, shard)),
-f AS (SELECT e.*, words, quota, sum(size) OVER (PARTITION BY e.s, e.shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS fin FROM e JOIN z ON e.s = z.s AND e.shard = z.shard)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN words = 0 THEN 0 ELSE (quota // words) * size + greatest(0, least(fin, quota % words) - (fin - size)) END AS BIGINT) AS taken FROM f
+f AS (SELECT e.*, words, quota, sum(size) OVER (PARTITION BY e.s, e.shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS fin FROM e JOIN z ON e.s = z.s AND e.shard = z.shard),
+g AS (SELECT *, CAST(ceil(words / {BLOCK}) AS BIGINT) AS blocks_of, CAST(round((quota % words) / {BLOCK}) AS BIGINT) AS wanted, CAST('0x' || substr(md5('{SEED}:' || s || ':' || shard), 1, 8) AS BIGINT) AS k FROM f)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN words = 0 THEN 0 ELSE (quota // words) * size + CASE WHEN size = 0 OR wanted = 0 THEN 0 ELSE coalesce(list_sum(list_transform(
+    list_filter(range(CAST((fin - size) // {BLOCK} AS BIGINT), CAST((fin - 1) // {BLOCK} + 1 AS BIGINT)), lambda b: (b * {list(PRIMES)}[k % {len(PRIMES)} + 1] + k) % blocks_of < wanted),
+    lambda b: least(fin, (b + 1) * {BLOCK}) - greatest(fin - size, b * {BLOCK}))), 0) END END AS BIGINT) AS taken FROM g
 """
