@@ -101,14 +101,7 @@ def scan(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFr
 
 
 def op4(spark, sf_dir) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    where = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 1000)), F.concat(F.lit("p"), F.floor(F.col("doc_id") / 50) % 20), F.concat("doc_id", F.lit(".txt")))
-    templates = spark.createDataFrame(sorted(TEMPLATES.items()), "name string, text string")
-    return scan(docs.withColumn("path", where), templates).select("doc_id", "path", "license", "score", "origin", "from_dir")
-
-
-def op4_tree(spark, sf_dir) -> DataFrame:
-    """op4 over a tree of four depths: by (doc_id div 7) mod 4 a document lies in its source, in dN, in pM or in qK below that."""
+    """documents as a tree of four depths: by (doc_id div 7) mod 4 a document lies in its source, in dN, in pM or in qK below that."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     at = lambda depth, name: F.when(F.pmod(F.floor(F.col("doc_id") / 7), F.lit(4)) >= depth, name)
     folders = (F.concat(F.lit("d"), F.floor(F.col("doc_id") / 1000)), F.concat(F.lit("p"), F.floor(F.col("doc_id") / 50) % 20), F.concat(F.lit("q"), F.floor(F.col("doc_id") / 10) % 5))
@@ -118,7 +111,7 @@ def op4_tree(spark, sf_dir) -> DataFrame:
 
 
 _VALUES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(TEMPLATES.items()))
-ORACLE_SQL = rf"""
+_FLAT_SQL = rf"""
 WITH tpl(name, text) AS (VALUES {_VALUES}),
 tt AS (SELECT name, term, count(*) AS tf FROM (SELECT name, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM tpl) GROUP BY ALL),
 df AS (SELECT term, ln((1.0 + {len(TEMPLATES)}) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term),
@@ -140,8 +133,8 @@ SELECT f.doc_id, f.dir || '/' || f.doc_id || '.txt' AS path, coalesce(own.b.name
     CASE WHEN own.doc_id IS NULL THEN near.x.up END AS from_dir
 FROM f LEFT JOIN own ON own.doc_id = f.doc_id LEFT JOIN near ON near.dir = f.dir"""
 
-#: The same over the tree of four depths.
-TREE_SQL = ORACLE_SQL.replace(
+#: Over the tree of four depths.
+ORACLE_SQL = _FLAT_SQL.replace(
     "'/d' || (doc_id // 1000) || '/p' || (doc_id // 50 % 20)",
     "CASE WHEN doc_id // 7 % 4 >= 1 THEN '/d' || (doc_id // 1000) ELSE '' END || CASE WHEN doc_id // 7 % 4 >= 2 THEN '/p' || (doc_id // 50 % 20) ELSE '' END || CASE WHEN doc_id // 7 % 4 >= 3 THEN '/q' || (doc_id // 10 % 5) ELSE '' END",
 ).replace("unnest([1, 2, 3])", "unnest(range(1, len(string_split(dir, '/')) + 1))")

@@ -20,11 +20,9 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {
     "op1_tool_calls": tool_calls.op1,
-    "op1_messages": tool_calls.op1_messages,
     "op2_fingerprints": _shipped(fingerprints.op2),
     "op3_html_extraction": _shipped(html_extraction.op3),
     "op4_license_scan": license_scan.op4,
-    "op4_license_tree": license_scan.op4_tree,
     "op5_source_mix": source_mix.op5,
     "op6_language_id": _shipped(language_id.op6),
     "op7_quality_rules": quality_rules.op7,
@@ -35,9 +33,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_tool_calls": tool_calls.ORACLE_SQL,
-    "op1_messages": tool_calls.MESSAGES_SQL,
     "op4_license_scan": license_scan.ORACLE_SQL,
-    "op4_license_tree": license_scan.TREE_SQL,
     "op5_source_mix": source_mix.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,

@@ -149,17 +149,12 @@ def _schemas(spark) -> DataFrame:
 
 
 def op1(spark, sf_dir) -> DataFrame:
-    """The user and assistant turns only; ``op1_messages`` has every row."""
-    return link(*tool_view(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), _schemas(spark))
-
-
-def op1_messages(spark, sf_dir) -> DataFrame:
     """A message for each row of conversations."""
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return link(*tool_view(turns), _schemas(spark)).unionByName(other_turns(turns))
 
 
-ORACLE_SQL = r"""
+_LINKED_SQL = r"""
 WITH RECURSIVE u AS (SELECT conv_id, turn, text, ['lookup', 'search', 'translate'][(conv_id + turn) % 3 + 1] AS tool, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM conversations WHERE role = 'user'),
 a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
 lv AS (SELECT conv_id, turn, 0 AS level FROM u WHERE NOT EXISTS (SELECT 1 FROM u p JOIN a ON a.conv_id = p.conv_id AND a.turn = p.turn + 1 WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
@@ -176,8 +171,8 @@ SELECT a.conv_id, a.turn, 'result', 'call_' || a.conv_id || '_' || (a.turn - 1),
     '{' || CASE WHEN a.text IS NULL THEN '' ELSE '"content":' || CAST(to_json(a.text) AS VARCHAR) || ',' END || '"id":"call_' || a.conv_id || '_' || (a.turn - 1) || '","type":"result"}'
 FROM a LEFT JOIN u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 LEFT JOIN lv ON lv.conv_id = u.conv_id AND lv.turn = u.turn"""
 
-MESSAGES_SQL = (
-    ORACLE_SQL
+ORACLE_SQL = (
+    _LINKED_SQL
     + r"""
 UNION ALL
 SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'system' ELSE 'other' END, NULL, NULL, 'message', CAST(0 AS BIGINT), '',
