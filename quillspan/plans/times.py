@@ -6,8 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from quillspan.operators import timeview as ops
-from quillspan.plans.base import ALL, BIG, DAY, register
+from quillspan.operators import economics, timeview as ops
+from quillspan.plans.base import AGENTS, ALL, BIG, DAY, TIER, register
 
 START, END = dt.date(1997, 7, 1), dt.date(1998, 7, 31)
 
@@ -39,7 +39,7 @@ register(
     _CALENDAR,
 )
 _RHYTHM = f"""starts AS (SELECT c.id, errors, incomplete, {ALL} AS tokens, least(h.first_at, u.first_usage) AS start FROM cat c LEFT JOIN health h ON h.session_id = c.id LEFT JOIN (SELECT session_id, min(ts) AS first_usage FROM usage GROUP BY 1) u ON u.session_id = c.id),
-slots AS (SELECT 'hour' AS kind, CAST(i AS INT) AS slot FROM range(24) r(i) UNION ALL SELECT 'weekday', CAST(i AS INT) FROM range(7) r(i) UNION ALL SELECT 'undated', 0),
+slots AS (SELECT 'hour' AS kind, CAST(i AS INT) AS slot FROM range(24) r(i) UNION ALL SELECT 'weekday', CAST(i AS INT) FROM range(7) r(i) UNION ALL SELECT 'undated', 0 UNION ALL SELECT 'outside', 0),
 placed AS (SELECT *, 'hour' AS kind, hour(start) AS slot FROM starts WHERE start IS NOT NULL UNION ALL SELECT *, 'weekday', isodow(start) - 1 FROM starts WHERE start IS NOT NULL UNION ALL SELECT *, 'undated', 0 FROM starts WHERE start IS NULL),
 rhythm AS (SELECT kind, slot, count(id) AS sessions, count(*) FILTER (WHERE errors > 0) AS with_errors, count(*) FILTER (WHERE incomplete > 0) AS with_incomplete, {BIG("tokens")} FROM slots LEFT JOIN placed USING (kind, slot) GROUP BY 1, 2)"""
 register("rhythm", _rhythm, "SELECT * FROM rhythm", _RHYTHM)
@@ -59,12 +59,61 @@ register(
     FROM (SELECT *, CASE WHEN night_n > 0 THEN 100 * night_e / night_n END AS nr, CASE WHEN day_n > 0 THEN 100 * day_e / day_n END AS dr FROM (SELECT {_SIDES} FROM rhythm WHERE kind = 'hour'))""",
     _RHYTHM,
 )
+_RINGS = lambda keep, at="last_activity": f"""SELECT strftime(w, '%Y-%m-%d') AS week, count(c.id) AS sessions, count(*) FILTER (WHERE errors > 0) AS with_errors, {BIG(ALL, "tokens")}, round(sum(cost_estimate), 2) AS cost
+    FROM (SELECT unnest(generate_series(greatest(first, last - INTERVAL 63 DAY), last, INTERVAL 7 DAY)) AS w FROM (SELECT CAST(date_trunc('week', max({at})) AS TIMESTAMP) AS last, CAST(date_trunc('week', min({at})) AS TIMESTAMP) AS first FROM cat WHERE {keep}) WHERE last IS NOT NULL)
+    LEFT JOIN (SELECT cat.*, errors FROM cat LEFT JOIN health h ON h.session_id = cat.id WHERE {keep}) c ON date_trunc('week', {at}) = w GROUP BY 1"""
+register("rings", lambda x: _dated(ops.rings(x.catalog, x.health), "week"), _RINGS("NOT archived"))
+_TIERS = """tiers AS (SELECT session_id AS id, CAST(coalesce(sum(priced_tokens) FILTER (WHERE tier <> 'unknown'), 0) AS BIGINT) AS tier_tokens, sum(cost) FILTER (WHERE tier <> 'unknown') AS classified_cost, sum(CASE WHEN tier IN ('flagship', 'premium') THEN cost WHEN tier <> 'unknown' THEN 0 END) AS top_cost
+    FROM priced WHERE rate_id IS NOT NULL GROUP BY 1)"""
+#: Berlin's summer times in the years that the queries in a zone look at, in UTC.
+_BERLIN = "(last_activity + CASE WHEN last_activity >= TIMESTAMP '1997-03-30 01:00:00' AND last_activity < TIMESTAMP '1997-10-26 01:00:00' OR last_activity >= TIMESTAMP '1998-03-29 01:00:00' AND last_activity < TIMESTAMP '1998-10-25 01:00:00' THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END)"
+
+
+def _shifted(x):
+    """The catalog of the zone's years, with activity spread over the hours of the day."""
+    at = F.col("last_activity") + F.make_dt_interval(F.lit(0), F.col("id").cast("int") % 24, F.col("id").cast("int") % 60)
+    return x.catalog.withColumn("last_activity", at).where("last_activity >= TIMESTAMP_NTZ '1997-02-01' AND last_activity < TIMESTAMP_NTZ '1998-12-01'")
+
+
+_SHIFTED = "cat_z AS (SELECT * FROM (SELECT * REPLACE (last_activity + INTERVAL 1 HOUR * (id % 24) + INTERVAL 1 MINUTE * (id % 60) AS last_activity) FROM cat) WHERE last_activity >= TIMESTAMP '1997-02-01' AND last_activity < TIMESTAMP '1998-12-01')"
+register("rings_in_zone", lambda x: _dated(ops.rings(_shifted(x), x.health, tz="Europe/Berlin", project="assigned"), "week"), _RINGS("NOT archived AND project = 'assigned'", _BERLIN).replace("FROM cat ", "FROM cat_z cat "), _SHIFTED)
+_ZONE_DAYS = (dt.date(1997, 9, 20), dt.date(1998, 4, 10))
+register(
+    "calendar_in_zone",
+    lambda x: _dated(ops.calendar(_shifted(x), x.health, ops.civil_days(x.spark, *_ZONE_DAYS, "Europe/Berlin"), "Europe/Berlin", ops.session_tiers(x.priced)), "day").select("day", "sessions", "tokens", "errors", "top_cost", "tier_tokens"),
+    f"""SELECT strftime(d, '%Y-%m-%d') AS day, count(c.id) AS sessions, {BIG(ALL, "tokens")}, {BIG("errors")}, round(sum(top_cost), 4) AS top_cost, {BIG("tier_tokens")} FROM generate_series(TIMESTAMP '{_ZONE_DAYS[0]}', TIMESTAMP '{_ZONE_DAYS[1]}', INTERVAL 1 DAY) s(d)
+    LEFT JOIN (SELECT cat_z.*, {_BERLIN} AS here, errors, t.top_cost, t.tier_tokens FROM cat_z LEFT JOIN health h ON h.session_id = cat_z.id LEFT JOIN tiers t ON t.id = cat_z.id) c ON CAST(c.here AS DATE) = CAST(d AS DATE) GROUP BY d""",
+    _SHIFTED,
+    _TIERS,
+)
+_RANGE = ("1996-01-01", "2000-01-01")
+_RANGED = f"""ranged AS (SELECT kind, slot, count(id) AS sessions, {BIG("tokens")}, {BIG("tier_tokens")}, round(sum(classified_cost), 4) AS classified_cost, round(sum(top_cost), 4) AS top_cost FROM slots LEFT JOIN (SELECT p.*, t.tier_tokens, t.classified_cost, t.top_cost FROM (
+    SELECT * FROM placed WHERE kind = 'undated' OR start >= TIMESTAMP '{_RANGE[0]}' AND start < TIMESTAMP '{_RANGE[1]}' UNION ALL BY NAME SELECT * REPLACE ('outside' AS kind, 0 AS slot) FROM placed WHERE kind = 'hour' AND NOT (start >= TIMESTAMP '{_RANGE[0]}' AND start < TIMESTAMP '{_RANGE[1]}')) p
+    LEFT JOIN tiers t ON t.id = p.id) USING (kind, slot) GROUP BY 1, 2)"""
+
+
+def _ranged(x):
+    bounds = [F.lit(d).cast("timestamp_ntz") for d in _RANGE]
+    return ops.rhythm(x.catalog, x.health, x.usage.groupBy("session_id").agg(F.min("ts").alias("first_usage")), "UTC", *bounds, ops.session_tiers(x.priced))
+
+
+register("rhythm_in_range", lambda x: _ranged(x).select("kind", "slot", "sessions", "tokens", "tier_tokens", "classified_cost", "top_cost"), "SELECT * FROM ranged", _RHYTHM, _TIERS, _RANGED)
+register(
+    "rhythm_top_tier",
+    lambda x: ops.rhythm_metric(_ranged(x).withColumn("tier_tokens", F.when(F.col("slot") % 2 == 0, F.col("tokens")).otherwise(F.col("tier_tokens"))), "topTier"),
+    """SELECT kind, slot, rate, judged, CASE WHEN sessions = 0 THEN 'none' WHEN NOT judged THEN 'dim' WHEN rate > 66 THEN 'red' WHEN rate >= 33 THEN 'amber' ELSE 'green' END AS level
+    FROM (SELECT *, sessions >= 3 AND tokens > 0 AND (slot % 2 = 0 OR tier_tokens = tokens) AND rate IS NOT NULL AS judged FROM (SELECT *, CASE WHEN classified_cost > 0 THEN CAST(floor(100 * top_cost / classified_cost + 0.5) AS BIGINT) END AS rate FROM ranged))""",
+    _RHYTHM,
+    _TIERS,
+    _RANGED,
+)
+_TIER_NAMES = ("flagship", "premium", "mid", "cheap", "unknown")
 register(
-    "rings",
-    lambda x: _dated(ops.rings(x.catalog, x.health), "week"),
-    f"""SELECT strftime(w, '%Y-%m-%d') AS week, count(c.id) AS sessions, count(*) FILTER (WHERE errors > 0) AS with_errors, {BIG(ALL, "tokens")}, round(sum(cost_estimate), 2) AS cost
-    FROM (SELECT unnest(generate_series(last - INTERVAL 63 DAY, last, INTERVAL 7 DAY)) AS w FROM (SELECT CAST(date_trunc('week', max(last_activity)) AS TIMESTAMP) AS last FROM cat WHERE NOT archived) WHERE last IS NOT NULL)
-    LEFT JOIN (SELECT cat.*, errors FROM cat LEFT JOIN health h ON h.session_id = cat.id WHERE NOT archived) c ON date_trunc('week', c.last_activity) = w GROUP BY 1""",
+    "top_tier_metric",
+    lambda x: ops.top_tier_metric(economics.tier_mix(x.named_usage).join(x.tables.sessions.selectExpr("id AS session_id", "last_activity"), "session_id").where("last_activity IS NOT NULL"), F.date_format("last_activity", "yyyy-MM")),
+    f"""SELECT bucket, n, rate, n >= 3 AND rate IS NOT NULL AS judged FROM (SELECT bucket, count(*) AS n, CASE WHEN sum(total) > 0 THEN least(100.0, round(100 * sum(top) / sum(total))) END AS rate FROM (SELECT session_id, strftime(s.last_activity, '%Y-%m') AS bucket, round(coalesce(sum(cost) FILTER (WHERE tier IN ('flagship')), 0), 4) + round(coalesce(sum(cost) FILTER (WHERE tier = 'premium'), 0), 4) AS top,
+        {" + ".join(f"round(coalesce(sum(cost) FILTER (WHERE tier = '{t}'), 0), 4)" for t in _TIER_NAMES)} AS total FROM (SELECT *, {TIER} AS tier FROM named WHERE agent_id <> '' AND model <> '') JOIN sessions s ON s.id = session_id WHERE s.last_activity IS NOT NULL GROUP BY 1, 2) GROUP BY 1)""",
+    *AGENTS,
 )
 register(
     "bucket_metric",
