@@ -111,3 +111,27 @@ def millis_between(start: Column, end: Column) -> Column:
     """Whole milliseconds, each instant cut to milliseconds first."""
     at = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / 1000)
     return (at(end) - at(start)).cast("long")
+
+
+def json_flag(json: Column, path: str) -> Column:
+    """A field that is JSON true or false; null where it is missing, null, or of another type such as the text "true"."""
+    v = F.try_parse_json(json)
+    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+
+
+def json_type(json: Column, path: str) -> Column:
+    """The type of a field as VARIANT names it; null where it is missing."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), path, "variant"))
+
+
+def utc_text(text: Column) -> Column:
+    """A time with its offset as text of fixed width in UTC, to the microsecond; '' where it is none, or the year 1 that stands for none."""
+    whole = text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:\d{2})$")
+    at = F.to_utc_timestamp(F.try_to_timestamp(text), F.current_timezone())
+    shown = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return F.coalesce(F.when(whole & (F.year(at) > 1), shown), F.lit(""))
+
+
+def preview(text: Column, most: int = 500) -> Column:
+    """The start of a text, with a mark where more follows."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import datetime as dt
+import hashlib
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.columns import TOKENS, all_tokens, coverage_state, effective_project, effective_title
@@ -21,6 +24,7 @@ class SessionQuery:
     provider: str | None = None
     project: str | None = None
     unassigned: bool = False
+    assignment: str | None = None
     archived: bool | None = None
     text: str = ""
     start: dt.datetime | None = None
@@ -31,19 +35,20 @@ class SessionQuery:
             raise ValueError("conflicting project filters")
         if self.start and self.end and self.start >= self.end:
             raise ValueError("empty time range")
-        if len(self.text) > 4096:
-            raise ValueError("search text too long")
+        if len(self.text) > 4096 or len(self.assignment or "") > 1024:
+            raise ValueError("search text or assignment too long")
 
 
 def identities(sessions: DataFrame, metadata: DataFrame) -> DataFrame:
     """One row for each session with its effective project and title, and its projection's keys."""
-    out = sessions.join(metadata.withColumnRenamed("session_id", "id"), "id", "left")
+    out = sessions.join(metadata.withColumnRenamed("session_id", "id"), "id", "left").withColumn("assignment", F.coalesce("project", F.lit("")))
     return out.withColumns({"project": effective_project(), "title": effective_title()})
 
 
-def catalog(sessions: DataFrame, metadata: DataFrame, totals: DataFrame) -> DataFrame:
-    """One narrow row for each session: identity, effective names, tokens and price."""
+def catalog(sessions: DataFrame, metadata: DataFrame, totals: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """One narrow row for each session: identity, effective names, tokens and price, and its machine's label where labels (machine_id, label) are given."""
     out = identities(sessions, metadata).join(totals.withColumnRenamed("session_id", "id"), "id", "left")
+    out = out.join(labels, "machine_id", "left") if labels is not None else out.withColumn("label", F.lit(None).cast("string"))
     zero = [*TOKENS, "priced_tokens", "unattributed_tokens", "observations"]
     flags = {k: F.coalesce(k, F.lit(False)) for k in ("archived", "pinned")}
     return out.withColumns({k: F.coalesce(k, F.lit(0)) for k in zero} | flags).withColumn("pricing_known", F.col("observations") > 0).drop("own_project", "name", "project_override")
@@ -56,10 +61,12 @@ def matches(q: SessionQuery) -> Column:
             keep = keep & (F.col(column) == value)
     if q.unassigned:
         keep = keep & (F.col("project") == "")
+    if q.assignment is not None:
+        keep = keep & (F.col("assignment") == q.assignment)
     if q.archived is not None:
         keep = keep & (F.col("archived") == q.archived)
     if q.text:
-        keep = keep & F.lower(F.concat_ws(" ", "title", "project", "machine_id", "provider", "native_id", F.col("id").cast("string"))).contains(q.text.lower())
+        keep = keep & F.lower(F.concat_ws(" ", "title", "project", "machine_id", "label", "provider", "native_id", F.col("id").cast("string"), "note")).contains(q.text.lower())
     if q.start:
         keep = keep & (F.col("last_activity") >= F.lit(q.start).cast("timestamp_ntz"))
     if q.end:
@@ -85,6 +92,47 @@ def list_sessions(cat: DataFrame, q: SessionQuery, sort: str = "activity", desce
     return rows.orderBy(F.desc("pinned"), order, "id").limit(min(limit, LARGEST_PAGE))
 
 
+def without_evidence(cat: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Sessions whose current projection has no row in checkpoints (source_id, generation, revision): what is still to be read."""
+    return cat.join(checkpoints.select("source_id", "generation", "revision"), ["source_id", "generation", "revision"], "left_anti")
+
+
+def cursor(**place) -> str:
+    """An opaque place in a list: JSON in base64 for URLs, without padding."""
+    return base64.urlsafe_b64encode(json.dumps(place, sort_keys=True, separators=(",", ":"), default=str).encode()).decode().rstrip("=")
+
+
+def place_of(text: str, *names: str) -> dict:
+    """The place of a cursor; ValueError where it is none or lacks a name."""
+    try:
+        place = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
+    except (ValueError, UnicodeDecodeError) as e:
+        raise ValueError("invalid cursor") from e
+    if not isinstance(place, dict) or any(n not in place for n in names):
+        raise ValueError("invalid cursor")
+    return place
+
+
+class ListChanged(ValueError):
+    """A list is no longer what a cursor was made for."""
+
+
+def snapshot(rows: DataFrame) -> str:
+    """A hash of a list's rows, whatever their order: sums of two hashes and the count."""
+    columns = [F.to_json(F.struct(*rows.columns))]
+    sums = rows.agg(F.count("*"), *[F.sum(F.xxhash64(*columns, F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]).first()
+    return hashlib.sha256(repr(tuple(sums)).encode()).hexdigest()
+
+
+def page_of(rows: DataFrame, order: list, limit: int, after: str | None = None) -> tuple[DataFrame, str]:
+    """A page of an ordered list and the cursor of the next; ListChanged where the list is not that of the cursor."""
+    now = snapshot(rows)
+    place = place_of(after, "snapshot", "offset") if after else {"snapshot": now, "offset": 0}
+    if place["snapshot"] != now:
+        raise ListChanged("the list has changed; start again")
+    return rows.orderBy(*order).offset(place["offset"]).limit(limit), cursor(snapshot=now, offset=place["offset"] + limit)
+
+
 def totals(cat: DataFrame, q: SessionQuery) -> DataFrame:
     """One row of fleet totals with the coverage state."""
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
@@ -121,10 +169,14 @@ def source_only_machines(sources: DataFrame, cat: DataFrame) -> DataFrame:
     return sources.select("machine_id").distinct().join(cat.select("machine_id").distinct(), "machine_id", "left_anti")
 
 
-def search_sources(sources: DataFrame, text: str = "", machine: str | None = None, after: tuple | None = None, limit: int = PAGE) -> DataFrame:
-    """Sources by (machine, path) whose path has the text, letters A-Z folded; after is the last row's pair."""
+def search_sources(sources: DataFrame, text: str = "", machine: str | None = None, after: tuple | None = None, limit: int = PAGE, titles: DataFrame | None = None) -> DataFrame:
+    """Sources by (machine, path) whose path, or title of titles (source_id, title), has the text, letters A-Z folded; after is the last row's pair."""
     fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = sources.where(fold(F.col("path")).contains(fold(F.lit(text))))
+    has = fold(F.col("path")).contains(fold(F.lit(text)))
+    if titles is not None:
+        sources = sources.join(titles.select("source_id", "title"), "source_id", "left")
+        has = has | fold(F.coalesce("title", F.lit(""))).contains(fold(F.lit(text)))
+    rows = sources.where(has)
     if machine:
         rows = rows.where(F.col("machine_id") == machine)
     if after:
@@ -157,11 +209,15 @@ def lineage(sessions: DataFrame) -> DataFrame:
 def quiet_machines(cat: DataFrame, now: Column) -> DataFrame:
     """Machines whose silence is longer than their own rhythm: twice the 90th percentile gap between sessions, 30 minutes
     at least and 6 hours at most; a verdict needs 5 sessions over 7 days."""
-    from pyspark.sql import Window
-
     ms = F.floor(F.unix_micros(F.col("last_activity").cast("timestamp")) / 1000)
-    w = Window.partitionBy("machine_id").orderBy("t", "id")
-    rows = cat.where("last_activity IS NOT NULL").select("machine_id", "id", ms.alias("t")).withColumn("gap", F.col("t") - F.lag("t").over(w))
+    # Gaps inside a day come from a window a machine and day; those between days from the ends of each day, a row a day.
+    day = ["machine_id", "day"]
+    rows = cat.where("last_activity IS NOT NULL").select("machine_id", F.to_date("last_activity").alias("day"), "id", ms.alias("t"))
+    inside = rows.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy(*day).orderBy("t", "id")))
+    ends = rows.groupBy(*day).agg(F.min("t").alias("first"), F.max("t").alias("end"))
+    between = ends.withColumn("between", F.col("first") - F.lag("end").over(Window.partitionBy("machine_id").orderBy("day"))).select(*day, F.col("first").alias("t"), "between")
+    firsts = inside.where("gap IS NULL").drop("gap").join(between, [*day, "t"]).withColumnRenamed("between", "gap")
+    rows = inside.where("gap IS NOT NULL").unionByName(firsts)
     out = rows.groupBy("machine_id").agg(
         F.count("*").alias("sessions"), (F.max("t") - F.min("t")).alias("span_ms"), F.max("t").alias("last"), F.median("gap").alias("median_gap_ms"),
         F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY gap)").cast("long").alias("p90_gap_ms"),

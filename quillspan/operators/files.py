@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quillspan.functions import detect
+from quillspan.functions.workers import ship
 
 LEAST_SESSIONS, NEWEST_SESSIONS = 5, 150
 
@@ -96,19 +97,20 @@ def unsaved_candidates(sessions: DataFrame, events: DataFrame, machine: str | No
     return ranked.where("position = 1").drop("position")
 
 
-@pandas_udf("state string, rule string, paths array<string>, path_count long, command string")
-def undo_calls(tool: pd.Series, text: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t, x in zip(tool, text):
-        state, hit = detect.undo_of_call(t, x)
-        rows.append((state, *(hit[k] if hit else None for k in ("rule", "paths", "path_count", "command"))))
-    return pd.DataFrame(rows, columns=["state", "rule", "paths", "path_count", "command"]).astype({"path_count": "Int64"})
-
-
 def undo_history(events: DataFrame) -> DataFrame:
     """Attempts to undo work with git in tool calls (tool, input): (seq, session_id, ts, state, rule, paths, path_count, command).
 
     Calls that could not be read are kept with their state; a cheap look for the word comes before any parsing."""
+    ship(events.sparkSession)
+
+    @pandas_udf("state string, rule string, paths array<string>, path_count long, command string")
+    def undo_calls(tool: pd.Series, text: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, x in zip(tool, text):
+            state, hit = detect.undo_of_call(t, x)
+            rows.append((state, *(hit[k] if hit else None for k in ("rule", "paths", "path_count", "command"))))
+        return pd.DataFrame(rows, columns=["state", "rule", "paths", "path_count", "command"]).astype({"path_count": "Int64"})
+
     calls = events.where("kind = 'tool-call' AND input LIKE '%git%'")
     found = calls.select("seq", "session_id", "source_id", "ts", undo_calls("tool", "input").alias("u")).select("seq", "session_id", "source_id", "ts", "u.*")
     return found.where("rule IS NOT NULL OR state IN ('incomplete-shell', 'unsupported-input')")
@@ -135,11 +137,12 @@ def undo_summary(undone: DataFrame) -> DataFrame:
     return undone.groupBy(F.coalesce("rule", F.lit("")).alias("rule")).agg(F.count("*").alias("calls"), F.countDistinct("session_id").alias("sessions"))
 
 
-@pandas_udf("array<struct<kind:string,line:int,fragment:string>>")
-def secrets_found(text: pd.Series) -> pd.Series:
-    return pd.Series([[{"kind": k, "line": n, "fragment": f} for k, n, f in detect.secrets_in(t)[1]] for t in text])
-
-
 def secrets_in_files(files: DataFrame) -> DataFrame:
     """Credentials in written files (path, content): (path, kind, line, fragment), four characters of each at most."""
+    ship(files.sparkSession)
+
+    @pandas_udf("array<struct<kind:string,line:int,fragment:string>>")
+    def secrets_found(text: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": k, "line": n, "fragment": f} for k, n, f in detect.secrets_in(t)[1]] for t in text])
+
     return files.select("path", F.explode(secrets_found("content")).alias("s")).select("path", "s.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quillspan.functions import detect
-from quillspan.functions.columns import flow_tool
+from quillspan.functions.columns import flow_role, flow_tool, model_tier
+from quillspan.functions.workers import ship
 
 #: Fixed file names and messages of the hook evidence.
 EDITING = ("Edit", "Write", "MultiEdit", "NotebookEdit")
@@ -28,7 +30,6 @@ def trace_steps(calls: DataFrame) -> DataFrame:
     return out.select("seq", "session_id", "agent_id", "state", F.when(F.col("state") == "known", F.sha2(F.concat(F.lit("step\n"), "tool", F.lit("\n"), compact), 256)).alias("signature"))
 
 
-@pandas_udf("array<struct<a:int,b:int,state:string>>")
 def _aligned(left: pd.Series, right: pd.Series) -> pd.Series:
     def one(a, b) -> list[dict]:
         rows = []
@@ -45,12 +46,13 @@ def align_runs(steps: DataFrame, pairs: DataFrame, most: int = detect.MAX_STEPS)
     """Pairs of agents' runs (left_session, left_agent, right_session, right_agent) aligned step by step: rows same, different or unknown.
 
     Steps are those of trace_steps(); the first most of each run are compared, and whole tells whether these are all."""
+    ship(steps.sparkSession)
     order = Window.partitionBy("session_id", "agent_id").orderBy("seq")
     first = steps.withColumn("n", F.row_number().over(order)).withColumn("all", F.count("*").over(Window.partitionBy("session_id", "agent_id"))).where(F.col("n") <= most)
     runs = first.groupBy("session_id", "agent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "signature"))), lambda x: x["signature"]).alias("steps"), (F.first("all") <= most).alias("whole"))
     side = lambda s: runs.select(F.col("session_id").alias(f"{s}_session"), F.col("agent_id").alias(f"{s}_agent"), F.col("steps").alias(f"{s}_steps"), F.col("whole").alias(f"{s}_whole"))
     both = pairs.join(side("left"), ["left_session", "left_agent"]).join(side("right"), ["right_session", "right_agent"])
-    out = both.withColumn("rows", _aligned("left_steps", "right_steps"))
+    out = both.withColumn("rows", pandas_udf(_aligned, "array<struct<a:int,b:int,state:string>>")("left_steps", "right_steps"))
     return out.select(*pairs.columns, (F.col("left_whole") & F.col("right_whole")).alias("whole"), F.posexplode("rows").alias("position", "r")).select(*pairs.columns, "whole", "position", "r.a", "r.b", "r.state")
 
 
@@ -69,10 +71,24 @@ def divergence_pairs(agents: DataFrame) -> DataFrame:
     return best.select("left_session", "left_agent", "b.right_session", "b.right_agent")
 
 
+def spawn_pairs(helpers: DataFrame, spawns: DataFrame) -> DataFrame:
+    """The spawn call of each helper (session_id, agent_id, first_at): that whose child id begins its own, else the next by time that is free.
+
+    spawns: session_id, call_id, child_id ('' for unknown), ts. Helpers and calls left over stand in time order side by side."""
+    by_id = helpers.join(spawns.where("child_id <> ''"), "session_id").where(F.col("agent_id").startswith(F.col("child_id")))
+    exact = by_id.groupBy("session_id", "agent_id").agg(F.min(F.struct("ts", "call_id"))["call_id"].alias("call_id"))
+    free = spawns.join(exact.select("session_id", "call_id").distinct(), ["session_id", "call_id"], "left_anti")
+    rest = helpers.join(exact, ["session_id", "agent_id"], "left_anti")
+    place = lambda t, i: F.row_number().over(Window.partitionBy("session_id").orderBy(F.col(t).asc_nulls_first(), i))
+    paired = rest.withColumn("n", place("first_at", "agent_id")).join(free.select("session_id", "call_id", place("ts", "call_id").alias("n")), ["session_id", "n"], "left")
+    return exact.withColumn("by", F.lit("id")).unionByName(paired.select("session_id", "agent_id", "call_id", F.when(F.col("call_id").isNotNull(), "order").otherwise("none").alias("by")))
+
+
 def retries(events: DataFrame) -> DataFrame:
     """Tool calls (seq, session_id, agent_id, tool, retry): how often in a row an agent called a tool again right after its error.
 
     Rows of an agent are read as a sorted stream; only the running counts are held."""
+    ship(events.sparkSession)
     schema = "seq long, session_id long, agent_id string, tool string, retry long"
     calls = events.where("kind = 'tool-call' AND tool_use_id IS NOT NULL").groupBy("session_id", "tool_use_id").agg(F.min_by("tool", "seq").alias("failed_tool"))
     rows = events.where("kind IN ('tool-call', 'tool-result')").join(calls, ["session_id", "tool_use_id"], "left").select("seq", "session_id", "agent_id", "kind", "tool", F.coalesce("error", F.lit(False)).alias("error"), "failed_tool")
@@ -232,6 +248,7 @@ def recent_calls(calls: DataFrame, limit: int = 400) -> DataFrame:
 
 def permission_preview(calls: DataFrame, rule: str) -> DataFrame:
     """recent_calls() with whether a permission rule covers each; null where the rule's form does not decide."""
+    ship(calls.sparkSession)
 
     @pandas_udf("boolean")
     def covers(tool: pd.Series, kind: pd.Series, argument: pd.Series) -> pd.Series:
@@ -245,10 +262,6 @@ def rule_report(clauses: list[tuple[str, str, str]], events: DataFrame, agents:
 
     ban: sessions with calls; broken by a call of the tool. order: agents that ran the second tool; broken without the first before it.
     tier: sessions with such a role under a known model; broken by a model above the tier."""
-    from functools import reduce
-
-    from quillspan.functions.columns import flow_role, model_tier
-
     spark = events.sparkSession
     calls = events.where("kind = 'tool-call'")
     out = [spark.createDataFrame([], "clause int, kind string, a string, b string, applicable long, broken long, unjudged long")]

@@ -232,3 +232,31 @@ def rate_conflicts(rates: DataFrame) -> DataFrame:
     overlap = (F.col("b.effective_to").isNull() | (F.col("a.effective_from") < F.col("b.effective_to"))) & (F.col("a.effective_to").isNull() | (F.col("b.effective_from") < F.col("a.effective_to")))
     same = (F.col("a.context") == F.col("b.context")) & (F.col("a.model") == F.col("b.model")) & (F.col("a.rate_id") < F.col("b.rate_id"))
     return a.join(b, same & overlap).select(F.col("a.rate_id").alias("left_id"), F.col("b.rate_id").alias("right_id"), F.col("a.model").alias("model"))
+
+
+RATE = "struct<id:string,model:string,aliases:array<string>,context:string,tier:string,source:string,effectiveFrom:timestamp_ntz,effectiveTo:timestamp_ntz,input:double,cacheRead:double,cacheWrite:double,output:double>"
+
+
+def read_rates(catalogs: DataFrame) -> DataFrame:
+    """The rates of catalogs (catalog_id, json): one row for each model and alias of a rate."""
+    rows = catalogs.select("catalog_id", F.explode(F.from_json("json", f"struct<rates:array<{RATE}>>")["rates"]).alias("r"))
+    names = F.array_distinct(F.concat(F.array("r.model"), F.coalesce("r.aliases", F.array().cast("array<string>"))))
+    fields = {"rate_id": "id", "context": "context", "tier": "tier", "source": "source", "effective_from": "effectiveFrom", "effective_to": "effectiveTo", "input": "input", "cache_read": "cacheRead", "cache_write": "cacheWrite", "output": "output"}
+    return rows.select("catalog_id", F.explode(names).alias("model"), *[F.col(f"r.{f}").alias(c) for c, f in fields.items()])
+
+
+def rate_problems(rates: DataFrame) -> DataFrame:
+    """(rate_id, problem) of rates that a catalog must not hold; a valid catalog gives no row and no rate_conflicts()."""
+    prices = ("input", "cache_read", "cache_write", "output")
+    nan = lambda c: F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    checks = {
+        "identity": (F.coalesce("rate_id", F.lit("")) == "") | (F.coalesce("model", F.lit("")) == "") | (F.coalesce("context", F.lit("")) == "") | F.col("effective_from").isNull(),
+        "tier": ~F.coalesce("tier", F.lit("")).isin("", "unknown", "flagship", "premium", "mid", "cheap"),
+        "interval": F.col("effective_to") <= F.col("effective_from"),
+        "missing-price": F.greatest(*[F.col(c).isNull().cast("int") for c in prices]) == 1,
+        "invalid-price": F.greatest(*[((F.col(c) < 0) | nan(c)).cast("int") for c in prices]) == 1,
+    }
+    one = [F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]
+    found = rates.select("rate_id", F.explode(F.filter(F.array(*one), lambda x: x.isNotNull())).alias("problem"))
+    again = rates.groupBy("rate_id", "model").agg(F.count("*").alias("n")).where("n > 1").select("rate_id", F.lit("duplicate").alias("problem"))
+    return found.unionByName(again).distinct()

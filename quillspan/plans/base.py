@@ -104,7 +104,7 @@ SHARED = (
     CASE WHEN model = '' OR kind IN ('incomplete-attribution', 'message-partial', 'message-without-id') THEN {ALL} ELSE 0 END AS unattributed_tokens
     FROM (SELECT u.*, p.* EXCLUDE (model, ts), rate_id IS NOT NULL AND kind NOT IN ('incomplete-attribution', 'message-partial') AS ok FROM usage u LEFT JOIN price_at p ON u.model = p.model AND u.ts = p.ts) u)""",
     f"""totals AS (SELECT session_id, {TOKEN_SUMS}, {BIG("priced_tokens")}, {BIG("unattributed_tokens")}, sum(cost) AS cost_estimate, count(*) AS observations FROM priced GROUP BY session_id)""",
-    """cat AS (SELECT s.id, s.source_id, s.machine_id, s.provider, s.native_id, s.parent_native_id, s.native_agent_id, s.last_activity, s.event_count, s.completeness, coalesce(m.archived, false) AS archived, coalesce(m.pinned, false) AS pinned,
+    """cat AS (SELECT s.id, s.source_id, s.machine_id, s.provider, s.native_id, s.parent_native_id, s.native_agent_id, s.last_activity, s.event_count, s.completeness, s.title AS own_title, coalesce(m.project, '') AS assignment, m.note, s.generation, s.revision, coalesce(m.archived, false) AS archived, coalesce(m.pinned, false) AS pinned,
     CASE WHEN m.project_override THEN coalesce(m.project, '') ELSE coalesce(nullif(coalesce(m.project, ''), ''), coalesce(s.own_project, '')) END AS project, coalesce(nullif(m.name, ''), s.title) AS title,
     coalesce(tokens_in, 0) AS tokens_in, coalesce(tokens_cache, 0) AS tokens_cache, coalesce(tokens_write, 0) AS tokens_write, coalesce(tokens_out, 0) AS tokens_out, coalesce(priced_tokens, 0) AS priced_tokens,
     coalesce(unattributed_tokens, 0) AS unattributed_tokens, cost_estimate, coalesce(observations, 0) AS observations

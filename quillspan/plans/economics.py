@@ -161,3 +161,11 @@ register(
     FULL JOIN (SELECT machine_id, count(*) AS sessions, max(last_activity) AS latest FROM cat GROUP BY 1) h USING (machine_id)""",
     *AGENTS,
 )
+_MEASURE = f"""SELECT {{at}} AS "at", known_cost, recorded_tokens, priced_tokens FROM (SELECT round(sum(cost_estimate), 4) AS known_cost, {BIG(ALL, "recorded_tokens")}, {BIG("priced_tokens")} FROM cat)"""
+for _name, _at, _timed in (("due", "2002-01-01 00:00:00", True), ("asked", "1900-01-01 00:00:00", False)):
+    # The timer may only add a point 20 hours after the last; whoever asks gets one at once.
+    register(
+        f"economics_capture_{_name}",
+        lambda x, at=_at, timed=_timed: ops.capture(_history(x), ops.economics_costs(x.catalog).select("known_cost", "recorded_tokens", "priced_tokens"), F.lit(at).cast("timestamp_ntz"), timed=timed),
+        _MEASURE.format(at=f"TIMESTAMP '{_at}'"),
+    )

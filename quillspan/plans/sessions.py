@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from quillspan.functions.columns import flow_role, identity, json_flag, json_type, utc_text
 from quillspan.operators import catalog as ops
 from quillspan.operators.catalog import SessionQuery
 from quillspan.plans.base import ALL, BIG, NOW, coverage, now, register
@@ -24,7 +27,7 @@ register(
 register(
     "sessions_search",
     lambda x: x.catalog.where(ops.matches(SessionQuery(text="RENAMED", start=dt.datetime(1993, 1, 1), end=dt.datetime(1997, 1, 1)))).select(*_PAGE),
-    f"SELECT {', '.join(_PAGE)} FROM cat WHERE contains(lower(concat_ws(' ', title, project, machine_id, provider, native_id, id)), 'renamed') AND last_activity >= TIMESTAMP '1993-01-01' AND last_activity < TIMESTAMP '1997-01-01'",
+    f"SELECT {', '.join(_PAGE)} FROM cat WHERE contains(lower(concat_ws(' ', title, project, machine_id, provider, native_id, id, note)), 'renamed') AND last_activity >= TIMESTAMP '1993-01-01' AND last_activity < TIMESTAMP '1997-01-01'",
 )
 register(
     "sessions_filtered",
@@ -67,3 +70,48 @@ register(
     FROM (SELECT machine_id, count(*) AS sessions, max(t) - min(t) AS span_ms, max(t) AS last, median(gap) AS median_gap_ms, CAST(quantile_disc(gap, 0.9) AS BIGINT) AS p90_gap_ms
         FROM (SELECT machine_id, t, t - lag(t) OVER (PARTITION BY machine_id ORDER BY t, id) AS gap FROM (SELECT machine_id, id, epoch_ms(last_activity) AS t FROM cat WHERE last_activity IS NOT NULL)) GROUP BY 1)""",
 )
+
+def cat_with_labels(x):
+    """The catalog with labels for a third of the machines."""
+    from quillspan.operators.usage import session_totals
+
+    labels = x.tables.sessions.select("machine_id").distinct().where("length(machine_id) % 3 = 2").selectExpr("machine_id", "concat('Rack ', length(machine_id)) AS label")
+    return ops.catalog(x.tables.sessions, x.tables.metadata, session_totals(x.priced), labels)
+
+
+for _name, _text, _keep in (("notes", "see note 3", "contains(lower(note), 'see note 3')"), ("labels", "RACK 8", "length(machine_id) = 8")):
+    register(f"sessions_search_{_name}", lambda x, text=_text: cat_with_labels(x).where(ops.matches(SessionQuery(text=text))).select(*_PAGE), f"SELECT {', '.join(_PAGE)} FROM cat WHERE {_keep}")
+register("sessions_assigned", lambda x: x.catalog.where(ops.matches(SessionQuery(assignment="assigned", archived=True))).select(*_PAGE), f"SELECT {', '.join(_PAGE)} FROM cat WHERE assignment = 'assigned' AND archived")
+register(
+    "sessions_without_evidence",
+    lambda x: ops.without_evidence(x.catalog, x.tables.sources.selectExpr("source_id", "generation", "1 AS revision")).select(*_PAGE),
+    f"SELECT {', '.join(_PAGE)} FROM cat WHERE source_id NOT IN (SELECT source_id FROM log_sources)",
+)
+register(
+    "search_source_titles",
+    lambda x: ops.search_sources(x.tables.sources, "HIGH", titles=x.tables.sessions.select("source_id", "title"), limit=500).select("source_id", "machine_id", "path", "title"),
+    "SELECT l.source_id, l.machine_id, l.path, s.title FROM log_sources l LEFT JOIN sessions s USING (source_id) WHERE contains(lower(l.path), 'high') OR contains(lower(coalesce(s.title, '')), 'high') ORDER BY l.machine_id, l.path LIMIT 500",
+)
+
+
+def _second_page(x):
+    rows = ops.grouped(x.catalog, "machine_id")
+    order = [F.desc("sessions"), F.col("key")]
+    _, after = ops.page_of(rows, order, 7)
+    return ops.page_of(rows, order, 7, after)[0]
+
+
+register("machines_second_page", _second_page, f"SELECT machine_id AS key, {_GROUPED} ORDER BY sessions DESC, key LIMIT 7 OFFSET 7")
+_JSON = "CASE seq % 6 WHEN 0 THEN '{\"error\":true}' WHEN 1 THEN '{\"error\":false}' WHEN 2 THEN '{\"error\":\"true\"}' WHEN 3 THEN '{\"error\":null}' WHEN 4 THEN '{}' ELSE '{\"error\":' END"
+register(
+    "json_error_states",
+    lambda x: x.tables.events.selectExpr("seq", f"{_JSON} AS data").select("seq", json_flag(F.col("data"), "$.error").alias("error"), json_type(F.col("data"), "$.error").alias("type")),
+    "SELECT seq, CASE seq % 6 WHEN 0 THEN true WHEN 1 THEN false END AS error, CASE seq % 6 WHEN 0 THEN 'BOOLEAN' WHEN 1 THEN 'BOOLEAN' WHEN 2 THEN 'STRING' WHEN 3 THEN 'VOID' END AS type FROM all_events",
+)
+register(
+    "utc_texts",
+    lambda x: x.tables.events.select("seq", utc_text(F.expr("CASE seq % 6 WHEN 0 THEN '2024-03-01T10:00:00+02:00' WHEN 1 THEN '2024-03-01T10:00:00.5Z' WHEN 2 THEN 'yesterday' WHEN 3 THEN '0001-01-01T00:00:00Z' WHEN 4 THEN '2024-13-01T00:00:00Z' ELSE '2024-03-01T00:30:00.123456789+05:30' END")).alias("at")),
+    "SELECT seq, CASE seq % 6 WHEN 0 THEN '2024-03-01T08:00:00.000000Z' WHEN 1 THEN '2024-03-01T10:00:00.500000Z' WHEN 5 THEN '2024-02-29T19:00:00.123456Z' ELSE '' END AS at FROM all_events".replace(" AS at ", ' AS "at" '),
+)
+register("flow_roles", lambda x: x.names.select("session_id", "agent_id", flow_role(F.col("name")).alias("role")), "SELECT session_id, agent_id, CASE WHEN name = '' THEN 'Unnamed helper identity' WHEN name LIKE 'scout%' THEN 'scout' WHEN name LIKE 'reviewer%' THEN 'reviewer ·' ELSE name END AS role FROM names")
+register("identities", lambda x: x.tables.sessions.select("id", identity(F.col("machine_id"), F.col("native_id")).alias("sha")), "SELECT id, sha256(strlen(machine_id) || ':' || machine_id || ',' || strlen(native_id) || ':' || native_id || ',') AS sha FROM sessions")

@@ -150,3 +150,19 @@ register(
         FROM agent_events WHERE kind = 'tool-call' AND tool IN ('tool2', 'tool3')) WHERE tool = 'tool3' GROUP BY 1) UNION ALL {_TIER_ROW(2, "scout")} UNION ALL {_TIER_ROW(3, "builder")})""",
     *AGENTS,
 )
+
+
+def _helpers(x):
+    return x.events.where("agent_id <> '' AND agent_id <> 'main'").groupBy("session_id", F.concat("agent_id", F.lit("-x")).alias("agent_id")).agg(F.min("ts").alias("first_at"))
+
+
+register(
+    "spawn_pairs",
+    lambda x: ops.spawn_pairs(_helpers(x), x.events.where("kind = 'tool-call' AND seq % 3 > 0").selectExpr("session_id", "concat('c', lpad(seq, 9, '0')) AS call_id", "CASE WHEN seq % 5 = 1 THEN concat('agent-', seq % 3) ELSE '' END AS child_id", "ts")),
+    """SELECT session_id, agent_id, call_id, CASE WHEN n IS NULL THEN 'id' WHEN call_id IS NULL THEN 'none' ELSE 'order' END AS "by" FROM (SELECT session_id, agent_id, call_id, NULL AS n FROM exact UNION ALL BY NAME
+        SELECT r.session_id, r.agent_id, f.call_id, r.n FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first_at NULLS FIRST, agent_id) AS n FROM helpers WHERE (session_id, agent_id) NOT IN (SELECT (session_id, agent_id) FROM exact)) r
+        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts NULLS FIRST, call_id) AS n FROM spawns WHERE (session_id, call_id) NOT IN (SELECT (session_id, call_id) FROM exact)) f ON f.session_id = r.session_id AND f.n = r.n)""",
+    "helpers AS (SELECT session_id, agent_id || '-x' AS agent_id, min(ts) AS first_at FROM agent_events WHERE agent_id <> '' AND agent_id <> 'main' GROUP BY agent_events.session_id, agent_events.agent_id)",
+    "spawns AS (SELECT session_id, 'c' || lpad(CAST(seq AS VARCHAR), 9, '0') AS call_id, CASE WHEN seq % 5 = 1 THEN 'agent-' || (seq % 3) ELSE '' END AS child_id, ts FROM agent_events WHERE kind = 'tool-call' AND seq % 3 > 0)",
+    "exact AS (SELECT h.session_id, h.agent_id, arg_min(s.call_id, struct_pack(t := coalesce(s.ts, TIMESTAMP '0001-01-01'), c := s.call_id)) AS call_id FROM helpers h JOIN spawns s ON s.session_id = h.session_id AND s.child_id <> '' AND starts_with(h.agent_id, s.child_id) GROUP BY 1, 2)",
+)

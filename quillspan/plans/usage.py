@@ -128,3 +128,7 @@ register(
     """SELECT a.rate_id AS left_id, b.rate_id AS right_id, a.model FROM rates a JOIN rates b ON a.context = b.context AND a.model = b.model AND a.rate_id < b.rate_id
     AND (b.effective_to IS NULL OR a.effective_from < b.effective_to) AND (a.effective_to IS NULL OR b.effective_from < a.effective_to)""",
 )
+_CATALOG = """'{"rates":[{"id":"a","model":"m1","aliases":["m1-latest","m1"],"context":"standard","tier":"mid","source":"s","effectiveFrom":"2024-01-01 00:00:00","input":1,"cacheRead":0.1,"cacheWrite":1.25,"output":5},{"id":"b","model":"m2","context":"standard","tier":"odd","effectiveFrom":"2024-01-01 00:00:00","effectiveTo":"2023-01-01 00:00:00","input":-1,"cacheRead":0.1,"output":5}]}'"""
+_RATES = lambda x: ops.read_rates(x.spark.sql(f"SELECT 'c' AS catalog_id, {_CATALOG} AS json"))
+register("read_rates", lambda x: _RATES(x).select("catalog_id", "rate_id", "model", "tier", "input", "cache_write", "output"), "SELECT 'c' AS catalog_id, * FROM (VALUES ('a', 'm1', 'mid', 1.0::DOUBLE, 1.25::DOUBLE, 5.0::DOUBLE), ('a', 'm1-latest', 'mid', 1.0, 1.25, 5.0), ('b', 'm2', 'odd', -1.0, NULL, 5.0)) v(rate_id, model, tier, input, cache_write, output)")
+register("rate_problems", lambda x: ops.rate_problems(_RATES(x).unionByName(_RATES(x).where("model = 'm1'"))), "SELECT * FROM (VALUES ('b', 'tier'), ('b', 'interval'), ('b', 'missing-price'), ('b', 'invalid-price'), ('a', 'duplicate')) v(rate_id, problem)")

@@ -34,6 +34,7 @@ METADATA_COLUMNS = {
     "archived": "o_orderkey % 13 = 0",
     "pinned": "o_orderkey % 17 = 0",
     "name": "CASE WHEN o_orderkey % 19 = 0 THEN concat('Renamed ', o_orderkey) ELSE '' END",
+    "note": "CASE WHEN o_orderkey % 23 = 0 THEN concat('See Note ', o_orderkey % 7) ELSE '' END",
     "project": "CASE WHEN o_orderkey % 5 = 0 THEN 'assigned' ELSE '' END",
     "project_override": "o_orderkey % 10 = 0",
 }

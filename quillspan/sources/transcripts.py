@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions.workers import ship
+
 #: Fixed names of the usage fields and of the columns that hold them.
 USAGE_FIELDS = {"input_tokens": "tokens_in", "cache_read_input_tokens": "tokens_cache", "cache_creation_input_tokens": "tokens_write", "output_tokens": "tokens_out"}
 EVENT = ("source_id", "at", "place", "agent_id", "kind", "ts", "text", "tool", "tool_use_id", "error")
@@ -148,8 +150,6 @@ def counter_reports(lines: DataFrame) -> DataFrame:
     """(source_id, at, scope, model, total and last counters) of the token counts of rollout transcripts.
 
     The model is that of the count, else the last that its source named before it; the scope is the count's thread, else the source."""
-    from pyspark.sql import Window
-
     parsed, _ = _parsed(lines)
     p = lambda name: F.nullif(_text("v", f"$.payload.{name}"), F.lit(""))
     is_count = (_text("v", "$.type") == "event_msg") & (_text("v", "$.payload.type") == "token_count")
@@ -205,6 +205,7 @@ def counter_deltas(reports: DataFrame) -> DataFrame:
     An equal report adds nothing. A report that falls, or whose cache no longer fits, is kept as a diagnostic and the
     high-water mark stays. The first report and one under another model are split: a last call that fits is attributed,
     the rest is incomplete-attribution. Rows of a scope are read as a sorted stream and never held together."""
+    ship(reports.sparkSession)
     rows = reports.withColumn("at_key", F.to_json(F.struct("at"))).repartition("source_id", "scope").sortWithinPartitions("source_id", "scope", "at")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillspan.functions.columns import TOKENS
+from quillspan.functions.workers import ship
 from quillspan.sources import transcripts
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -68,6 +69,7 @@ class MergeReports(StatefulProcessor):
 
 def merged_stream(usage: DataFrame) -> DataFrame:
     """A stream of usage reports (id, session_id, agent_id, message_id, ts, kind, model, tokens, present) as the merged report of each message, again whenever it changes."""
+    ship(usage.sparkSession)
     grouped = usage.groupBy("session_id", "agent_id", "message_id")
     return grouped.transformWithStateInPandas(MergeReports(), outputStructType=_MERGED, outputMode="Update", timeMode="None")
 
@@ -98,6 +100,7 @@ class CounterDeltas(StatefulProcessor):
 
 def delta_stream(reports: DataFrame) -> DataFrame:
     """A stream of counter reports (source_id, scope, at_key, model, counters) as the usage that each adds."""
+    ship(reports.sparkSession)
     return reports.groupBy("source_id", "scope").transformWithStateInPandas(CounterDeltas(), outputStructType=transcripts.DELTA, outputMode="Append", timeMode="None")
 
 
