@@ -103,6 +103,12 @@ def name_cost(model: Column) -> Column:
     return (fresh * price_in + F.col("tokens_out") * price_out) / 1e6
 
 
+def money(amount: Column | str, digits: int = 4) -> Column:
+    """A sum of dollars rounded half up as a decimal number, so that the noise of sums decides no cent."""
+    amount = F.col(amount) if isinstance(amount, str) else amount
+    return F.round(amount.cast("decimal(30,8)"), digits).cast("double")
+
+
 def monday(ts: Column) -> Column:
     return F.to_date(F.date_trunc("week", ts))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.columns import TOP_TIERS, all_tokens, flow_role, flow_tool, millis_between, model_tier, top_tier
+from quillspan.functions.columns import TOP_TIERS, all_tokens, flow_role, flow_tool, millis_between, model_tier, money, top_tier
 
 #: Fixed rough prices of a million output tokens by tier, for what a cheaper tier would have cost.
 TIER_RATE = {"flagship": 50.0, "premium": 25.0, "mid": 15.0, "cheap": 5.0}
@@ -143,7 +143,7 @@ def delegation(agents: DataFrame) -> DataFrame:
 def flat_delegation(sessions: DataFrame, least: float = 20, least_sub: float = 10) -> DataFrame:
     """Sessions of delegation() that gave their work to agents as dear as their own, and what the middle tier would have cost."""
     rows = sessions.where((F.col("main_cost") + F.col("sub_cost") > least) & (F.col("sub_cost") > least_sub) & (F.col("sub_top_cost") / F.col("sub_cost") > 0.7))
-    return rows.select("session_id", "agents", F.round("sub_cost", 4).alias("sub_cost"), F.round("sub_top_cost", 4).alias("sub_top_cost"), F.round(F.col("sub_top_cost") * TIER_RATE["mid"] / TIER_RATE["premium"], 4).alias("at_mid_tier"))
+    return rows.select("session_id", "agents", money("sub_cost").alias("sub_cost"), money("sub_top_cost").alias("sub_top_cost"), money(F.col("sub_top_cost") * TIER_RATE["mid"] / TIER_RATE["premium"]).alias("at_mid_tier"))
 
 
 def hoarding(sessions: DataFrame, least: float = 20, least_sub: float = 10) -> DataFrame:

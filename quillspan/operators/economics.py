@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.columns import TOKENS, TOP_TIERS, all_tokens, model_tier, name_prices
+from quillspan.functions.columns import TOKENS, TOP_TIERS, all_tokens, model_tier, money, name_prices
 
 LANES = ("cost_input", "cost_cache_read", "cost_cache_write", "cost_output")
 #: Fixed bounds of the lifetime buckets, in replies of an agent.
@@ -58,7 +58,7 @@ def economics_costs(cat: DataFrame) -> DataFrame:
     out = cat.agg(
         F.count("*").alias("sessions"), _long(all_tokens()).alias("recorded_tokens"), _long("priced_tokens").alias("priced_tokens"), F.round(F.sum("cost_estimate"), 4).alias("known_cost"),
         F.count_if(known).alias("sessions_with_breakdown"), _long(F.when(known, F.col("priced_tokens"))).alias("broken_down_tokens"),
-        *[F.round(F.coalesce(F.sum(c), F.lit(0.0)), 4).alias(c) for c in LANES],
+        *[money(F.coalesce(F.sum(c), F.lit(0.0))).alias(c) for c in LANES],
     )
     return out.withColumns(
         {
@@ -196,7 +196,7 @@ def model_breakdown(usage: DataFrame) -> DataFrame:
     ).withColumn("tier", model_tier(F.col("model")))
     mix = rows.groupBy("session_id").agg(F.sum("cost").alias("all"), F.sum(F.when(F.col("tier").isin(*TOP_TIERS), F.col("cost")).otherwise(0.0)).alias("top"))
     share = F.when(F.col("all") > 0, F.round(F.col("top") / F.col("all"), 3))
-    return rows.join(mix, "session_id").select("session_id", "model", "tier", "agents", F.round("cost", 4).alias("cost"), "tokens_out", share.alias("top_tier_share"))
+    return rows.join(mix, "session_id").select("session_id", "model", "tier", "agents", money("cost").alias("cost"), "tokens_out", share.alias("top_tier_share"))
 
 
 def tier_mix(usage: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def tier_mix(usage: DataFrame) -> DataFrame:
     tier = model_tier(F.col("model"))
     tiers = ("flagship", "premium", "mid", "cheap", "unknown")
     rows = usage.where("agent_id <> '' AND model <> ''")
-    return rows.groupBy("session_id").agg(*[F.round(F.coalesce(F.sum(F.when(tier == t, F.col("cost"))), F.lit(0.0)), 4).alias(t) for t in tiers])
+    return rows.groupBy("session_id").agg(*[money(F.coalesce(F.sum(F.when(tier == t, F.col("cost"))), F.lit(0.0))).alias(t) for t in tiers])
 
 
 def session_summaries(cat: DataFrame, agents: DataFrame, usage: DataFrame, now: Column) -> DataFrame:
@@ -215,7 +215,7 @@ def session_summaries(cat: DataFrame, agents: DataFrame, usage: DataFrame, now:
     recent = F.coalesce((F.col("last_at") > now - F.expr("INTERVAL 10 MINUTES")) & (F.col("last_at") <= now), F.lit(False))
     return rows.select(
         "id", "title", "machine_id", "project", F.coalesce("agents", F.lit(0)).alias("agents"), F.coalesce("errors", F.lit(0)).alias("errors"), "tokens_in", "tokens_out",
-        F.round("cost", 4).alias("cost"), F.when(F.col("cost") > 0, F.round(F.col("top") / F.col("cost"), 3)).alias("top_tier_share"), recent.alias("active"),
+        money("cost").alias("cost"), F.when(F.col("cost") > 0, F.round(F.col("top") / F.col("cost"), 3)).alias("top_tier_share"), recent.alias("active"),
     )
 
 

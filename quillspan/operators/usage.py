@@ -195,9 +195,9 @@ def fork_baselines(usage: DataFrame, sessions: DataFrame, provider: str = "codex
     )
     whole = (F.col("tokens_in") == F.col("c_input") - F.col("c_cache") - F.col("c_cacheWrite")) & (F.col("tokens_cache") == F.col("c_cache")) & (F.col("tokens_write") == F.col("c_cacheWrite")) & (F.col("tokens_out") == F.col("c_output"))
     parents = rows.select("machine_id", F.col("native_id").alias("forked_from_id"), *counter, F.col("session_id").alias("parent_session"), F.col("id").alias("parent_id"), F.col("source_id").alias("parent_source"))
-    best = first.where(whole & (F.col("parts") <= 2) & (F.col("parts") == F.col("kinds"))).join(parents, ["machine_id", "forked_from_id", *counter]).where("parent_source <> source_id").groupBy("session_id").agg(F.min(F.struct("parent_session", "parent_id")).alias("p"), F.first(all_tokens()).alias("tokens"))
+    best = first.where(whole & (F.col("parts") <= 2) & (F.col("parts") == F.col("kinds"))).join(parents, ["machine_id", "forked_from_id", *counter]).where("parent_source <> source_id").groupBy("session_id").agg(F.min(F.struct("parent_session", "parent_id", all_tokens().cast("long").alias("tokens"))).alias("p"))
     out = first.select("session_id").distinct().join(best, "session_id", "left")
-    return out.select("session_id", "p.parent_session", "p.parent_id", F.col("tokens").cast("long").alias("tokens"), F.when(F.col("p").isNotNull(), "matched").otherwise("unverified").alias("state"))
+    return out.select("session_id", "p.parent_session", "p.parent_id", "p.tokens", F.when(F.col("p").isNotNull(), "matched").otherwise("unverified").alias("state"))
 
 
 def select_exclusions(proofs: DataFrame) -> DataFrame:

@@ -91,6 +91,7 @@ _T = ("tokens_in", "tokens_cache", "tokens_write", "tokens_out")
 DAY = "yyyy-MM-dd"
 ALL = "(tokens_in + tokens_cache + tokens_write + tokens_out)"
 BIG = lambda x, name=None: f"CAST(coalesce(sum({x}), 0) AS BIGINT) AS {name or x}"
+MONEY = lambda x: f"CAST(round(CAST({x} AS DECIMAL(30,8)), 4) AS DOUBLE)"
 TOKEN_SUMS = ", ".join(BIG(t) for t in _T)
 
 #: Common tables of the oracle, on top of the views.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspan.operators import behavior as ops
-from quillspan.plans.base import AGENTS, ROLE, TIER, register
+from quillspan.plans.base import AGENTS, MONEY, ROLE, TIER, register
 
 _COUNTS = "count(*) AS events, count(*) FILTER (WHERE error) AS errors, count(*) FILTER (WHERE kind = 'tool-result' AND error IS NULL) AS unknowns, count(*) FILTER (WHERE kind = 'indexing-error') AS indexing, min(ts) AS first_at, max(ts) AS last_at"
 _INCOMPLETE = "s.completeness NOT IN ('complete', 'indexed-source') OR so.source_id IS NULL OR so.indexed_offset < so.durable_offset"
@@ -59,15 +59,15 @@ register(
 )
 register(
     "delegation",
-    lambda x: ops.delegation(x.agents).selectExpr("session_id", "agents", *[f"round({c}, 4) AS {c}" for c in ("main_cost", "sub_cost", "sub_top_cost", "top_cost")]),
-    "SELECT session_id, agents, round(main_cost, 4) AS main_cost, round(sub_cost, 4) AS sub_cost, round(sub_top_cost, 4) AS sub_top_cost, round(top_cost, 4) AS top_cost FROM delegation",
+    lambda x: ops.delegation(x.agents).selectExpr("session_id", "agents", *[f"CAST(round(CAST({c} AS DECIMAL(30,8)), 4) AS DOUBLE) AS {c}" for c in ("main_cost", "sub_cost", "sub_top_cost", "top_cost")]),
+    "SELECT session_id, agents, " + ", ".join(f"{MONEY(c)} AS {c}" for c in ("main_cost", "sub_cost", "sub_top_cost", "top_cost")) + " FROM delegation",
     *AGENTS,
     _DELEGATION,
 )
 register(
     "flat_delegation",
     lambda x: ops.flat_delegation(ops.delegation(x.agents)),
-    "SELECT session_id, agents, round(sub_cost, 4) AS sub_cost, round(sub_top_cost, 4) AS sub_top_cost, round(sub_top_cost * 15 / 25, 4) AS at_mid_tier FROM delegation WHERE main_cost + sub_cost > 20 AND sub_cost > 10 AND sub_top_cost / sub_cost > 0.7",
+    f"SELECT session_id, agents, {MONEY('sub_cost')} AS sub_cost, {MONEY('sub_top_cost')} AS sub_top_cost, {MONEY('sub_top_cost * 15 / 25')} AS at_mid_tier FROM delegation WHERE main_cost + sub_cost > 20 AND sub_cost > 10 AND sub_top_cost / sub_cost > 0.7",
     *AGENTS,
     _DELEGATION,
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspan.operators import economics as ops
-from quillspan.plans.base import AGENTS, ALL, BIG, NOW, TIER, now, register
+from quillspan.plans.base import AGENTS, ALL, BIG, MONEY, NOW, TIER, now, register
 
 _LANES = ("cost_input", "cost_cache_read", "cost_cache_write", "cost_output")
 _LANE_CAT = f"lanes AS (SELECT c.*, {', '.join('x.' + c for c in _LANES)} FROM cat c LEFT JOIN (SELECT session_id, {', '.join(f'sum({c}) AS {c}' for c in _LANES)} FROM priced GROUP BY 1) x ON x.session_id = c.id)"
@@ -13,7 +13,7 @@ register(
     "economics_costs",
     lambda x: ops.economics_costs(x.catalog),
     f"""SELECT *, sessions - sessions_with_breakdown AS sessions_without_breakdown, recorded_tokens - priced_tokens AS unpriced_tokens, priced_tokens - broken_down_tokens AS priced_without_breakdown FROM (SELECT count(*) AS sessions, {BIG(ALL, "recorded_tokens")}, {BIG("priced_tokens")},
-    round(sum(cost_estimate), 4) AS known_cost, count(cost_input) AS sessions_with_breakdown, {BIG("CASE WHEN cost_input IS NOT NULL THEN priced_tokens END", "broken_down_tokens")}, {", ".join(f"round(coalesce(sum({c}), 0), 4) AS {c}" for c in _LANES)} FROM lanes)""",
+    round(sum(cost_estimate), 4) AS known_cost, count(cost_input) AS sessions_with_breakdown, {BIG("CASE WHEN cost_input IS NOT NULL THEN priced_tokens END", "broken_down_tokens")}, {", ".join(MONEY(f"coalesce(sum({c}), 0)") + f" AS {c}" for c in _LANES)} FROM lanes)""",
     _LANE_CAT,
 )
 _BUCKET = lambda n: f"CASE WHEN {n} = 0 THEN -1 WHEN {n} <= 2 THEN 0 WHEN {n} <= 5 THEN 1 WHEN {n} <= 10 THEN 2 WHEN {n} <= 20 THEN 3 WHEN {n} <= 40 THEN 4 WHEN {n} <= 80 THEN 5 WHEN {n} <= 160 THEN 6 ELSE 7 END"
@@ -79,7 +79,7 @@ _MODELS = f"""models AS (SELECT session_id, model, any_value({TIER}) AS tier, co
 register(
     "model_breakdown",
     lambda x: ops.model_breakdown(x.named_usage),
-    """SELECT session_id, model, tier, agents, round(cost, 4) AS cost, tokens_out, CASE WHEN total > 0 THEN round(top / total, 3) END AS top_tier_share
+    f"""SELECT session_id, model, tier, agents, {MONEY("cost")} AS cost, tokens_out, CASE WHEN total > 0 THEN round(top / total, 3) END AS top_tier_share
     FROM models JOIN (SELECT session_id, sum(cost) AS total, sum(CASE WHEN tier IN ('flagship', 'premium') THEN cost ELSE 0 END) AS top FROM models GROUP BY 1) USING (session_id)""",
     *AGENTS,
     _MODELS,
@@ -87,7 +87,7 @@ register(
 register(
     "tier_mix",
     lambda x: ops.tier_mix(x.named_usage),
-    "SELECT session_id, " + ", ".join(f"round(coalesce(sum(cost) FILTER (WHERE tier = '{t}'), 0), 4) AS {t}" for t in ("flagship", "premium", "mid", "cheap", "unknown")) + " FROM models GROUP BY 1",
+    "SELECT session_id, " + ", ".join(MONEY(f"coalesce(sum(cost) FILTER (WHERE tier = '{t}'), 0)") + f" AS {t}" for t in ("flagship", "premium", "mid", "cheap", "unknown")) + " FROM models GROUP BY 1",
     *AGENTS,
     _MODELS,
 )
@@ -121,7 +121,7 @@ register(
 register(
     "session_summaries",
     lambda x: ops.session_summaries(x.catalog, x.agents, x.named_usage, now()),
-    f"""SELECT id, title, machine_id, project, coalesce(agents, 0) AS agents, CAST(coalesce(errors, 0) AS BIGINT) AS errors, tokens_in, tokens_out, round(cost, 4) AS cost, CASE WHEN cost > 0 THEN round(top / cost, 3) END AS top_tier_share,
+    f"""SELECT id, title, machine_id, project, coalesce(agents, 0) AS agents, CAST(coalesce(errors, 0) AS BIGINT) AS errors, tokens_in, tokens_out, {MONEY("cost")} AS cost, CASE WHEN cost > 0 THEN round(top / cost, 3) END AS top_tier_share,
     coalesce(last_at > TIMESTAMP '{NOW}' - INTERVAL 10 MINUTE AND last_at <= TIMESTAMP '{NOW}', false) AS active FROM cat LEFT JOIN (SELECT session_id, count(*) AS agents, sum(errors) AS errors, max(last_at) AS last_at FROM agents GROUP BY 1) a ON a.session_id = id
     LEFT JOIN (SELECT session_id, sum(cost) AS cost, sum(CASE WHEN tier IN ('flagship', 'premium') THEN cost ELSE 0 END) AS top FROM (SELECT session_id, cost, {TIER} AS tier FROM named WHERE agent_id <> '' AND model <> '') GROUP BY 1) m ON m.session_id = id""",
     *AGENTS,

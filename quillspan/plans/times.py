@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quillspan.operators import economics, timeview as ops
-from quillspan.plans.base import AGENTS, ALL, BIG, DAY, TIER, register
+from quillspan.plans.base import AGENTS, ALL, BIG, DAY, MONEY, TIER, register
 
 START, END = dt.date(1997, 7, 1), dt.date(1998, 7, 31)
 
@@ -111,8 +111,8 @@ _TIER_NAMES = ("flagship", "premium", "mid", "cheap", "unknown")
 register(
     "top_tier_metric",
     lambda x: ops.top_tier_metric(economics.tier_mix(x.named_usage).join(x.tables.sessions.selectExpr("id AS session_id", "last_activity"), "session_id").where("last_activity IS NOT NULL"), F.date_format("last_activity", "yyyy-MM")),
-    f"""SELECT bucket, n, rate, n >= 3 AND rate IS NOT NULL AS judged FROM (SELECT bucket, count(*) AS n, CASE WHEN sum(total) > 0 THEN least(100.0, round(100 * sum(top) / sum(total))) END AS rate FROM (SELECT session_id, strftime(s.last_activity, '%Y-%m') AS bucket, round(coalesce(sum(cost) FILTER (WHERE tier IN ('flagship')), 0), 4) + round(coalesce(sum(cost) FILTER (WHERE tier = 'premium'), 0), 4) AS top,
-        {" + ".join(f"round(coalesce(sum(cost) FILTER (WHERE tier = '{t}'), 0), 4)" for t in _TIER_NAMES)} AS total FROM (SELECT *, {TIER} AS tier FROM named WHERE agent_id <> '' AND model <> '') JOIN sessions s ON s.id = session_id WHERE s.last_activity IS NOT NULL GROUP BY 1, 2) GROUP BY 1)""",
+    f"""SELECT bucket, n, rate, n >= 3 AND rate IS NOT NULL AS judged FROM (SELECT bucket, count(*) AS n, CASE WHEN sum(total) > 0 THEN least(100.0, round(100 * sum(top) / sum(total))) END AS rate FROM (SELECT session_id, strftime(s.last_activity, '%Y-%m') AS bucket, {MONEY("coalesce(sum(cost) FILTER (WHERE tier = 'flagship'), 0)")} + {MONEY("coalesce(sum(cost) FILTER (WHERE tier = 'premium'), 0)")} AS top,
+        {" + ".join(MONEY(f"coalesce(sum(cost) FILTER (WHERE tier = '{t}'), 0)") for t in _TIER_NAMES)} AS total FROM (SELECT *, {TIER} AS tier FROM named WHERE agent_id <> '' AND model <> '') JOIN sessions s ON s.id = session_id WHERE s.last_activity IS NOT NULL GROUP BY 1, 2) GROUP BY 1)""",
     *AGENTS,
 )
 register(

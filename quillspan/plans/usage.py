@@ -108,7 +108,7 @@ register(
     "fork_baselines",
     lambda x: ops.fork_baselines(_counters(x), _threads(x), "beta"),
     f"""SELECT session_id, m.parent_session, m.parent_id, CAST(m.tokens AS BIGINT) AS tokens, CASE WHEN m.session_id IS NULL THEN 'unverified' ELSE 'matched' END AS state FROM (SELECT DISTINCT session_id FROM {_SOUND} WHERE first AND forked_from_id <> '') LEFT JOIN
-    (SELECT c.session_id, arg_min(p.session_id, struct_pack(s := p.session_id, i := p.id)) AS parent_session, arg_min(p.id, struct_pack(s := p.session_id, i := p.id)) AS parent_id, any_value(c.total) AS tokens
+    (SELECT c.session_id, arg_min(p.session_id, struct_pack(s := p.session_id, i := p.id)) AS parent_session, arg_min(p.id, struct_pack(s := p.session_id, i := p.id)) AS parent_id, arg_min(c.total, struct_pack(s := p.session_id, i := p.id)) AS tokens
         FROM (SELECT *, count(*) OVER (PARTITION BY session_id, tokens_in + tokens_cache + tokens_write, tokens_cache, tokens_write, tokens_out) AS parts FROM {_SOUND} WHERE first AND forked_from_id <> '') c JOIN {_SOUND} p ON p.native_id = c.forked_from_id
         AND p.tokens_in + p.tokens_cache + p.tokens_write = c.tokens_in + c.tokens_cache + c.tokens_write AND p.tokens_cache = c.tokens_cache AND p.tokens_write = c.tokens_write AND p.tokens_out = c.tokens_out WHERE c.parts = 1 GROUP BY 1) m USING (session_id)""",
     _COUNTERS,
