@@ -235,11 +235,16 @@ def test_html_copied_pages_are_one_page_of_the_site(spark):
 
 
 def test_licenses_come_from_the_nearest_directory(spark):
-    files = [("a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "code " * 20), ("a/y.py", "code"), ("z/q.py", None), (None, "code")]
-    templates = spark.createDataFrame(sorted(license_scan.TEMPLATES.items()), "name string, text string")
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + license_scan.FULL_TEXTS["MIT"]
+    wrapped = "code\n# This work is licensed under the GNU General\n# Public License, version 3.\n" + "code " * 40
+    files = [
+        ("a/NOTES", "Licensed under the Apache License, Version 2.0."), ("a/b/LICENSE", mit), ("a/b/c/x.py", "code " * 20), ("a/y.py", "code"), ("z/q.py", None), (None, "code"), ("COPYING", license_scan.FULL_TEXTS["ISC"]), ("w.py", wrapped), ("LICENSE.md", "nothing to see"),
+    ]
+    templates = spark.createDataFrame(license_scan.template_rows(), "name string, variant string, text string")
     got = {r.path: (r.license, r.origin, r.from_dir) for r in license_scan.scan(spark.createDataFrame(files, "path string, text string"), templates).collect()}
     assert got == {
-        "a/LICENSE": ("Apache-2.0", "own", None), "a/b/LICENSE": ("MIT", "own", None), "a/b/c/x.py": ("MIT", "inherited", "a/b"), "a/y.py": ("Apache-2.0", "inherited", "a"), "z/q.py": (None, "none", None), None: (None, "none", None),
+        "a/NOTES": ("Apache-2.0", "own", None), "a/b/LICENSE": ("MIT", "own", None), "a/b/c/x.py": ("MIT", "inherited", "a/b"), "a/y.py": ("Apache-2.0", "inherited", "a"), "z/q.py": ("ISC", "inherited", ""), None: (None, "none", None),
+        "COPYING": ("ISC", "own", None), "w.py": ("GPL-3.0", "own", None), "LICENSE.md": ("ISC", "inherited", ""),
     }
 
 
