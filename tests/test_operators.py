@@ -41,7 +41,23 @@ def test_diagnosis_prefers_a_retry_storm(spark):
     rows = [ev(i, "tool-call", i, f"a{i}", text="same") for i in range(1, 4)] + [ev(9, "tool-result", 9, "a2", True)]
     rows += [ev(i, "tool-call", i, f"b{i}", text="loop") for i in range(20, 24)]
     row = spans.diagnose(spark.createDataFrame(rows, EVENT)).first()
+    assert (row.kind, row.tool, row.target, row["count"], row.errors) == ("stalled", "Bash", "loop", 1, 0)
+    row = spans.diagnose(spark.createDataFrame([*rows, ev(30, "assistant-text", 30, None)], EVENT)).first()
     assert (row.kind, row["count"], row.errors) == ("retry-storm", 3, 1)
+    row = spans.diagnose(spark.createDataFrame([r for r in [*rows, ev(30, "assistant-text", 30, None)] if r[0] > 9], EVENT)).first()
+    assert (row.kind, row["count"], row.errors) == ("looping", 4, 0)
+
+
+def test_retrying_is_null_unless_proved(spark):
+    cases = {
+        "proved": [ev(1, "tool-call", 1, "a"), ev(2, "tool-result", 2, "a", True)], "twice": [ev(1, "tool-call", 1, "a"), ev(2, "tool-result", 2, "a", False), ev(3, "tool-result", 3, "a", True)],
+        "unsaid": [ev(1, "tool-call", 1, "a"), ev(2, "tool-result", 2, "a", None)], "fine": [ev(1, "tool-call", 1, "a"), ev(2, "tool-result", 2, "a", False)], "called": [ev(1, "tool-result", 1, "a", True), ev(2, "tool-call", 2, "b")],
+    }
+    sources = spark.createDataFrame([("s1", at(9))], "source_id string, modified_at timestamp_ntz")
+    got = {k: spans.agent_lifecycle(spark.createDataFrame(v, EVENT), sources, F.lit(at(10)).cast("timestamp_ntz")).first() for k, v in cases.items()}
+    assert {k: r.retrying for k, r in got.items()} == {"proved": True, "twice": None, "unsaid": None, "fine": False, "called": False}
+    later = spans.agent_lifecycle(spark.createDataFrame([ev(1, "tool-call", 11, "a")], EVENT), sources, F.lit(at(10)).cast("timestamp_ntz")).first()
+    assert later.stalled is None
 
 
 def test_prices_are_null_on_overlap_and_for_partial_messages(spark):
@@ -57,10 +73,32 @@ def test_prices_are_null_on_overlap_and_for_partial_messages(spark):
 
 
 def test_merge_keeps_the_last_value_that_is_present(spark):
-    rows = [("1", 1, "main", "m", "x", "message-partial", at(0), 5, 7, 0, 1), ("2", 1, "main", "m", "", "message-partial", at(1), 0, 9, 2, 3)]
-    u = spark.createDataFrame(rows, "id string, session_id long, agent_id string, message_id string, model string, kind string, ts timestamp_ntz, tokens_in long, tokens_cache long, tokens_write long, tokens_out long")
-    r = usage.merged_reports(u).first()
-    assert (r.model, r.tokens_in, r.tokens_cache, r.tokens_write, r.tokens_out, r.kind, r.reports) == ("x", 5, 9, 2, 3, "message-final", 2)
+    rows = [("1", 1, "main", "m", "x", "message-partial", at(0), 5, 7, 0, 1, ["tokens_in", "tokens_cache", "tokens_out", "model"]), ("2", 1, "main", "m", "", "message-partial", at(1), 0, 9, 2, 3, ["tokens_cache", "tokens_write", "tokens_out"])]
+    schema = "id string, session_id long, agent_id string, message_id string, model string, kind string, ts timestamp_ntz, tokens_in long, tokens_cache long, tokens_write long, tokens_out long, present array<string>"
+    merged = lambda rows: (lambda r: (r.model, r.tokens_in, r.tokens_cache, r.tokens_write, r.tokens_out, r.kind, r.reports))(usage.merged_reports(spark.createDataFrame(rows, schema)).first())
+    assert merged(rows) == ("x", 5, 9, 2, 3, "message-final", 2)
+    # A zero that is present is a value.
+    assert merged([*rows, ("3", 1, "main", "m", "", "message-partial", at(2), 0, 0, 0, 0, ["tokens_cache"])]) == ("x", 5, 0, 2, 3, "message-final", 3)
+    assert merged(rows[1:]) == ("", 0, 9, 2, 3, "message-partial", 1)
+
+
+def test_duplicates_need_counters_of_two_sources(spark):
+    sessions = spark.createDataFrame([(k, "m", "codex", "n", f"s{k}" if k < 3 else "s1", "") for k in (1, 2, 3)], "id long, machine_id string, provider string, native_id string, source_id string, forked_from_id string")
+    schema = "id string, session_id long, source_id string, agent_id string, model string, kind string, ts timestamp_ntz, tokens_in long, tokens_cache long, tokens_write long, tokens_out long, present array<string>, counter_scope string, evidence string"
+    row = lambda i, s, kind="cumulative-delta", model="x", offset=7, out=3: (i, s, f"s{s}", "main", model, kind, at(0), 1, 0, 0, out, [], "thread:n", f'{{"offset":{offset},"previousCounter":{{"input":0}},"counter":{{"output":3}}}}')
+    found = lambda rows: sorted((r.id, r.owner, r.twin_session, r.state) for r in usage.duplicate_usage(spark.createDataFrame(rows, schema), sessions).collect())
+    assert found([row("a", 1), row("b", 2, offset=9)]) == [("a", 1, 2, "matched"), ("b", 1, 1, "matched")]
+    assert found([row("a", 1), row("b", 2, out=4)]) == found([row("a", 1, "message-final"), row("b", 2, "message-final")]) == found([row("a", 1, model=""), row("b", 2, model="")]) == []
+    assert found([row("a", 1), row("b", 3)]) == []  # one source
+
+
+def test_sessions_without_usage_are_in_the_groups(spark):
+    sessions = spark.createDataFrame([(1, "p"), (2, "p")], "id long, project string").selectExpr("*", "'s' AS source_id", "1 AS generation", "1 AS revision", "'m' AS machine_id", "'claude' AS provider", "'' AS native_agent_id", "'' AS parent_native_id")
+    rows = [("a", 1, 1, "m1"), ("b", 1, 0, "m1")]
+    priced = spark.createDataFrame(rows, "id string, session_id long, revision int, model string").selectExpr("*", "'s' AS source_id", "1 AS generation", "'main' AS agent_id", "'message-final' AS kind", "TIMESTAMP_NTZ '2024-01-01' AS ts",
+        "1L AS tokens_in", "0L AS tokens_cache", "0L AS tokens_write", "0L AS tokens_out", "1L AS priced_tokens", "0.5D AS cost")
+    got = lambda by: {(r.key, r.sessions, r.observations, r.cost) for r in usage.grouped_usage(priced, sessions, by).collect()}
+    assert got("project") == {("p", 2, 1, 0.5)} and got("model") == {("m1", 1, 1, 0.5), ("", 1, 0, None)} and got("agentKind") == {("main", 1, 1, 0.5), ("unattributed", 1, 0, None)}
 
 
 def test_civil_days_follow_the_zone(spark):
