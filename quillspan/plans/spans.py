@@ -93,7 +93,7 @@ register(
     "agent_status",
     lambda x: ops.agent_status(x.events.where(f"ts IS NULL OR ts <= TIMESTAMP_NTZ '{_LATER}'"), F.lit(_LATER).cast("timestamp_ntz"), x.events.where(_FINISHED).select("session_id", "agent_id").distinct()),
     f"""WITH e AS (SELECT * FROM agent_events WHERE agent_id <> '' AND (ts IS NULL OR ts <= TIMESTAMP '{_LATER}')), l AS (SELECT session_id, agent_id, max(seq) AS last, max(ts) AS last_at, max(seq) FILTER (WHERE kind IN ('tool-call', 'tool-result')) AS step FROM e GROUP BY 1, 2),
-    p AS (SELECT session_id, agent_id, arg_max(ts, seq) AS since FROM e WHERE kind = 'tool-call' AND tool_use_id IS NOT NULL AND (session_id, tool_use_id) NOT IN (SELECT (session_id, tool_use_id) FROM e WHERE kind = 'tool-result' AND tool_use_id IS NOT NULL) GROUP BY 1, 2)
+    p AS (SELECT session_id, agent_id, arg_max(struct_pack(t := ts), seq).t AS since FROM e WHERE kind = 'tool-call' AND tool_use_id IS NOT NULL AND (session_id, tool_use_id) NOT IN (SELECT (session_id, tool_use_id) FROM e WHERE kind = 'tool-result' AND tool_use_id IS NOT NULL) GROUP BY 1, 2)
     SELECT session_id, agent_id, last_at, CASE WHEN retrying THEN CASE WHEN recent THEN 'retrying' ELSE 'failed' END WHEN bad AND (done OR NOT recent) THEN 'failed' WHEN since < TIMESTAMP '{_LATER}' - INTERVAL 2 MINUTE AND NOT done THEN 'stalled' WHEN done THEN 'done'
         WHEN last_at > TIMESTAMP '{_LATER}' - INTERVAL 20 SECOND THEN 'working' ELSE 'idle' END AS status
     FROM (SELECT l.session_id, l.agent_id, l.last_at, coalesce(s.kind = 'tool-result' AND s.error, false) AS retrying, coalesce(l.last_at > TIMESTAMP '{_LATER}' - INTERVAL 10 MINUTE, false) AS recent, coalesce(e.error, false) AS bad, p.since,
