@@ -54,7 +54,7 @@ from pyspark.sql.functions import pandas_udf
 from .common import read, settle
 
 DECAY = 0.9
-LEVELS = 3
+LEVELS = 1
 PRIOR_PAGES = 20
 GAP = 0.08
 #: Levels that hold less than this share of a host's text do not fill a gap.

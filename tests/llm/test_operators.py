@@ -176,9 +176,10 @@ def test_style_tree_by_brute_force(spark):
         below = set()
         for text, n in zip(blocks, around):
             chars[host, n.key] += len(text)
-            while n is not None:
-                below |= {(n.key, x.strip()) for x in text.replace(".", ".\n").split("\n") if x.strip()}
-                n = n.parent
+            for _ in range(html_extraction.LEVELS + 1):
+                if n is not None:
+                    below |= {(n.key, x.strip()) for x in text.replace(".", ".\n").split("\n") if x.strip()}
+                    n = n.parent
         for k, x in below:
             contents[host, k][x] += 1
 
