@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, settle, small, words
+from .common import let, read, settle, small, words
 
 LEAST = 0.6
 SALTS = 8
@@ -112,11 +112,14 @@ def _ancestors(directory: Column) -> Column:
 
 def _headers(text: Column) -> Column:
     """The lines with a telling word, each with the line after it and whether that is one, too."""
-    lines = F.split(text, "\n")
     told = lambda x: F.coalesce(x.rlike(TELLING), F.lit(False))
-    rows = F.transform(lines, lambda x, i: F.struct(F.btrim(x).alias("line"), F.coalesce(F.btrim(F.get(lines, i + 1)), F.lit("")).alias("next"), told(F.get(lines, i + 1)).alias("told")))
+
+    def marked(lines: Column) -> Column:
+        rows = F.transform(lines, lambda x, i: F.struct(F.btrim(x).alias("line"), F.coalesce(F.btrim(F.get(lines, i + 1)), F.lit("")).alias("next"), told(F.get(lines, i + 1)).alias("told")))
+        return F.filter(rows, lambda r: told(r["line"]))
+
     none = F.array().cast("array<struct<line:string,next:string,told:boolean>>")
-    return F.when(text.rlike(TELLING), F.filter(rows, lambda r: told(r["line"]))).otherwise(none)
+    return F.when(text.rlike(TELLING), let(F.split(text, "\n"), marked)).otherwise(none)
 
 
 def scan(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
