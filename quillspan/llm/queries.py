@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, html_extraction, language_id, license_scan, near_dup, quality_rules, source_mix, tool_calls, warc
+from . import byte_bpe, fingerprints, html_extraction, language_id, license_scan, near_dup, personal_data, quality_rules, source_divergence, source_mix, token_alignment, tool_calls, warc
 from .common import ship
 
 
@@ -29,6 +29,9 @@ QUERIES = {
     "op8_warc": _shipped(warc.op8),
     "op9_byte_bpe": _shipped(byte_bpe.op9),
     "op10_near_dup": _shipped(near_dup.op10),
+    "op11_source_divergence": _shipped(source_divergence.op11),
+    "op12_personal_data": _shipped(personal_data.op12),
+    "op13_token_alignment": _shipped(token_alignment.op13),
 }
 
 ORACLE = {
@@ -37,4 +40,5 @@ ORACLE = {
     "op5_source_mix": source_mix.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
+    "op11_source_divergence": source_divergence.ORACLE_SQL,
 }
