@@ -21,11 +21,14 @@ nothing. A branch goes from a page where its element and all elements below it l
 After the tree come marks. Some elements are never main text whatever their site does, such as readers' comments, which no
 two pages share: those whose tag or class says menu, header, footer, sidebar, notice, advert, form, comment
 section, script or style. Where a page marks its main part (article or main), only that part is read.
+Inside it a class counts only where the tree agrees, or where all of it names comments or an advert.
 A name on a wrapper says nothing of what it wraps. So such a mark does not count on an element that holds more
 than MOST of the page's text (ALMOST_ALL, where a tag or a word means only links or readers' text), unless the
 site style tree agrees; nor around a marked part, unless most of such parts' text stands outside of the noise,
-as with an article among teasers. Where the marks would empty a page that has text, they are ignored; a page that
-the tree alone empties has an empty text.
+as with an article among teasers. A menu, a footer, a sidebar or a form without paragraphs that is closed by its own
+tag is noise however much it holds. Where names alone would empty a page they are ignored; tags and the tree may.
+Only script, style, textarea, title, iframe, noembed and noframes have content that is no markup; one that is never closed takes
+the characters up to the next tag, and nothing behind.
 
 Counts are added up by Spark with partial sums, so a host with a third of all pages costs no single
 task more. The nodes found unimportant are sent once to every worker while they are few (the number is
@@ -69,8 +72,10 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav object ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp template svg math canvas audio video".split())
+#: Elements whose content is no markup; all others are read.
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
 NOISE_TAGS = frozenset("nav footer aside form menu dialog select button fieldset option head search".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 article main".split())
 CLOSES_P = BLOCKS - frozenset("body html button option optgroup legend caption".split())
 SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol menu dl table article section div body main td th blockquote".split())
@@ -81,7 +86,10 @@ NOISE_WORDS = frozenset(
     "subscribe subscription signup login search form comment comments disqus reply replies respond discussion reactions share sharing social related recommended "
     "pagination pager skip toolbar complementary contentinfo alert disclaimer paywall".split()
 )
+#: Names that mark readers' comments or an advert also inside a marked main part, where they are the whole name.
+EXACT_NAME = re.compile(r"(?:(?:user|reader|post|article)s?-?)?comments?(?:-?(?:list|section|area|thread|form|box))?|disqus(?:[_-]thread)?|ads?|adverts?|advertisements?|adsbygoogle", re.I)
 #: Those that no site gives to a wrapper of its main text.
+CLOSED_TAGS = frozenset("nav footer aside".split())
 STRONG_TAGS = frozenset("nav footer menu dialog select button option head".split())
 STRONG_WORDS = frozenset("comment comments disqus reply replies respond discussion reactions breadcrumb breadcrumbs pagination pager".split())
 _TOKEN = re.compile(
@@ -93,6 +101,11 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PIECE = re.compile(r"(?<=[.!?;:])\s+|\s*[·•|–—]\s*")
 
 
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+#: A mark that counts only where the site style tree agrees.
+AGREED = 1e-9
+
+
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes) in order; kind is text, open or close. Raw elements are left out."""
     at = 0
@@ -104,8 +117,12 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
         if name := m[2]:
             name = name.lower()
             if name in RAW and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                end = _ENDS[name].search(html, at)
+                if end:
+                    at = end.end()
+                else:  # never closed: what comes before the next tag is its content
+                    following = html.find("<", at)
+                    at = following if following >= 0 else len(html)
             else:
                 yield "open", name, m[3]
         elif m[1]:
@@ -117,10 +134,12 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 class Node:
     """An open or closed block element."""
 
-    __slots__ = ("tag", "parent", "key", "noise", "start", "end", "children", "article", "main", "own")
+    __slots__ = ("tag", "parent", "key", "noise", "start", "end", "children", "article", "main", "own", "by_tag", "text")
 
-    def __init__(self, tag: str, parent: Node | None, label: str, noise: float, start: int):
+    def __init__(self, tag: str, parent: Node | None, label: str, noise: float, start: int, by_tag: bool = False):
         self.tag, self.parent, self.noise, self.start, self.end, self.children, self.own = tag, parent, noise, start, -1, [], False
+        self.by_tag = by_tag  # noise by its tag, whatever its names say
+        self.text = False  # holds a paragraph, a heading or a marked part
         self.key = _hash(f"{parent.key if parent else ''}>{label}")
         self.article = tag == "article" or parent is not None and parent.article
         self.main = tag == "main" or parent is not None and parent.main
@@ -135,21 +154,28 @@ def _hash(x: str) -> int:
     return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _named(tag: str, attributes: str, inside_article: bool) -> tuple[str, float]:
-    """The element's part of a path, and up to which share of the page's text its names make it noise (0: not at all)."""
-    noise = tag in NOISE_TAGS or tag == "header" and not inside_article
-    strong = tag in STRONG_TAGS
+def _named(tag: str, attributes: str, up: Node | None) -> tuple[str, float, bool]:
+    """The element's part of a path, up to which share of the page's text its marks make it noise (0: not at all), and whether its tag does."""
+    by_tag = tag in NOISE_TAGS or tag == "header" and not (up is not None and up.article)
+    inside = up is not None and (up.article or up.main)
+    noise = (ALMOST_ALL if tag in STRONG_TAGS else MOST) if by_tag else 0.0
     label = tag
     if attributes:
         for kind, a, b, c in _NAME.findall(attributes):
             value = a or b or c
-            words = {x.lower() for x in _WORD.findall(value)}
-            noise = noise or bool(words & NOISE_WORDS) and tag not in ("html", "body", "article", "main")
-            strong = strong or bool(words & STRONG_WORDS)
             label += f"{'.' if kind.lower() == 'class' else '#'}{re.sub(r'[0-9]+', '', value).strip()}"
-        hidden = "hidden" in attributes and bool(re.search(r"(?:^|\s)hidden(?:[\s=]|$)", attributes))
-        noise, strong = noise or hidden, strong or hidden
-    return label, (ALMOST_ALL if strong else MOST) if noise else 0.0
+            if tag in ("html", "body", "article", "main"):
+                continue
+            words = {x.lower() for x in _WORD.findall(value)}
+            if not words.isdisjoint(NOISE_WORDS):
+                strong = not words.isdisjoint(STRONG_WORDS)
+                if inside and not any(map(EXACT_NAME.fullmatch, value.split())):
+                    noise = max(noise, AGREED)
+                else:
+                    noise = max(noise, ALMOST_ALL if strong else MOST)
+        if "hidden" in attributes and re.search(r"(?:^|\s)hidden(?:[\s=]|$)", attributes):
+            noise = ALMOST_ALL
+    return label, noise, by_tag
 
 
 def parse(html: str | None) -> tuple[list[str], list[Node | None], list[Node]]:
@@ -204,8 +230,12 @@ def parse(html: str | None) -> tuple[list[str], list[Node | None], list[Node]]:
                         if stack[k].tag in SCOPES or stack[k].tag == "tr" and name in ("td", "th") or not any(is_open[x] for x in SAME[name]):
                             break
                 up = stack[-1] if stack else None
-                label, noise = _named(name, attributes, up is not None and up.article)
-                node = Node(name, up, label, noise, len(blocks))
+                label, noise, by_tag = _named(name, attributes, up)
+                node = Node(name, up, label, noise, len(blocks), by_tag)
+                if name in TEXT_TAGS:
+                    while up is not None and not up.text:
+                        up.text, up = True, up.parent
+                    up = node.parent
                 if up is not None:
                     up.children.append(name)
                 nodes.append(node)
@@ -222,6 +252,8 @@ def parse(html: str | None) -> tuple[list[str], list[Node | None], list[Node]]:
                 k = len(stack) - 1
                 while stack[k].tag != name:
                     k -= 1
+                if stack[k].by_tag and (name in CLOSED_TAGS or name == "form" and not stack[k].text):
+                    stack[k].noise = 1.0  # closed as it should be: noise however much it holds
                 close(k)
             else:
                 flush()
@@ -242,16 +274,18 @@ def main_text(html: str | None, low: set[int]) -> str:
                 high.add(n.parent)
     bad: dict[Node | None, bool] = {None: False}  # inside noise
     bad_inside: dict[Node | None, bool] = {None: False}  # inside noise that lies in the marked part
+    bad_tag: dict[Node | None, bool] = {None: False}  # inside noise by its tag
     for n in nodes:
         own = bool(n.noise) and (upto[n.end] - upto[n.start] <= n.noise * upto[-1] or n not in high)
         bad[n] = bad[n.parent] or own
         bad_inside[n] = n.inside and bad_inside[n.parent] or own and (n.article or n.main)
+        bad_tag[n] = bad_tag[n.parent] or own and n.by_tag
     left = [k for k, n in enumerate(around) if n is None or n in high]
-    return "\n".join(blocks[k] for k in _main_part(around, sizes, left, bad, bad_inside))
+    return "\n".join(blocks[k] for k in _main_part(around, sizes, left, bad, bad_inside, bad_tag))
 
 
-def _main_part(around: list[Node | None], sizes: list[int], left: list[int], bad: dict, bad_inside: dict) -> list[int]:
-    """Of the blocks left, those of the marked main part, or of the page where none is marked, without noise; all where all is noise."""
+def _main_part(around: list[Node | None], sizes: list[int], left: list[int], bad: dict, bad_inside: dict, bad_tag: dict) -> list[int]:
+    """Of the blocks left, those of the marked main part, or of the page where none is marked, without noise; where names alone would leave nothing they do not count."""
     size = lambda part: sum(sizes[k] for k in part)
     clean = [k for k in left if not bad[around[k]]]
     marked = {tag: [k for k in left if around[k] is not None and getattr(around[k], tag)] for tag in ("article", "main")}
@@ -260,7 +294,8 @@ def _main_part(around: list[Node | None], sizes: list[int], left: list[int], bad
         outer = set(clean).intersection(part)
         if outer and 2 * size(outer) >= size(part):
             return sorted(outer)
-    return inner["article"] or inner["main"] or clean or marked["article"] or marked["main"] or left
+    named = [k for k in left if not bad_tag[around[k]]]
+    return inner["article"] or inner["main"] or clean or named
 
 
 def host_of(url: Column) -> Column:

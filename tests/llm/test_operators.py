@@ -125,7 +125,10 @@ def test_html_marks_neither_empty_a_page_nor_let_teasers_in():
     teasers = "<aside><article><p>teaser</p></article></aside>"
     assert html_extraction.main_text(f"<article><p>Main text of it.</p></article>{teasers}", set()) == "Main text of it."
     assert html_extraction.main_text(f"<main><p>Main text of it.</p>{teasers}</main>", set()) == "Main text of it."
-    assert html_extraction.main_text("<nav><p>one</p></nav><footer><p>two</p></footer>", set()) == "one\ntwo"
+    for empty in ("<nav><p>one</p></nav><footer><p>two</p></footer>", "<nav><a>Home</a><a>About</a></nav>", "<form><label>Email</label><input></form>", "<article><nav>one</nav></article>"):
+        assert html_extraction.main_text(empty, set()) == ""
+    assert html_extraction.main_text("<nav><a>Home</a><p>The nav is never closed.</p>", set()) == "Home\nThe nav is never closed."
+    assert html_extraction.main_text("<div class=side><p>only names</p></div>", set()) == "only names"
     wide = "<div class=side><p>Text that the site repeats</p></div><p>own</p>"
     assert html_extraction.main_text(wide, set()) == "Text that the site repeats\nown"
     low = {n.key for n in html_extraction.parse(wide)[2][:2]}
@@ -133,6 +136,23 @@ def test_html_marks_neither_empty_a_page_nor_let_teasers_in():
     assert html_extraction.main_text("<div class=side><p>all of it</p></div>", low) == ""
 
 
+@pytest.mark.parametrize(
+    "inner, kept",
+    [
+        ("<video src=x>", ""), ("<video src=x>no player</video>", "no player\n"), ("<svg>", ""), ("<svg><title>icon</title><path d=x /></svg>", ""), ("<audio>", ""), ("<canvas>", ""), ("<noscript>", ""), ("<template>", ""),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p>", "a x=2 b\n"), ("<figure class=header-image><img src=x><figcaption>a caption</figcaption></figure>", "a caption\n"),
+        ("<div class=form-theory><p>forms</p></div>", "forms\n"), ("<p class=related>related</p>", "related\n"), ("<h2 id=footer-notes>notes</h2>", "notes\n"), ("<ul class='menu list'><li>soup<li>fish</ul>", "soup\nfish\n"),
+        ("<script>if (a < b) x('</p>')</script>", ""), ("<script>x = 1", ""), ("<style>p{}", ""), ("<title>", ""), ("<iframe src=x>old</iframe>", ""), ("<!-- <p>no</p> -->", ""),
+        ("<div class=comments><p>a reader</p></div>", ""), ("<section id=comment-list>a reader</section>", ""), ("<div class='box ad'>buy</div>", ""), ("<aside>side</aside>", ""), ("<form><label>mail</label><input></form>", ""),
+        ("<nav>parts</nav>", ""), ("<header><h1>head</h1></header>", "head\n"), ("<table><tr><td>1<td>2<tr><th>3</table>", "1\n2\n3\n"),
+    ],
+)
+def test_html_articles_stay_whole(inner, kept):
+    """Void, raw and unclosed elements, formulas, captions and names inside a marked part, written by hand."""
+    page = f"<head><title>t</title></head><body><nav><a>Home</a></nav><article><p>one</p>{inner}<p>two</p><p>three</p></article><footer>f</footer></body>"
+    assert html_extraction.main_text(page, set()) == f"one\n{kept}two\nthree"
+
+
 def test_html_of_any_depth():
     deep = "<div>x " * 100_000 + "</p>" * 100_000
     blocks, _, nodes = html_extraction.parse(deep)
