@@ -1,11 +1,16 @@
 """WARC archives as a PySpark Python data source: ``warc``, for reading and writing.
 
-Reading plans one partition for each pack of files. Every record is a gzip member of its own (or stands
-uncompressed); its headers are parsed first, the pushed predicates on header columns are asked, and
-the payload of a record that is not wanted is neither inflated nor decoded: the reader seeks past it by
-the member's length, which the writer keeps in the gzip header's ``sl`` extra field, and inflates to
-find the end only in archives that lack it. Options: ``payload`` = ``all`` (the default) or ``none``;
-``packBytes``, the size to which small files are packed.
+Reading plans one partition for each pack of files, and several for a large compressed file, cut at members: a
+partition has the members that start in its range of bytes. As a rule every record is a gzip member of its own (or stands
+uncompressed); a member with several records is read to its end. A record's headers are parsed first, the pushed
+predicates on header columns are asked, and the payload of a record that is not wanted is neither inflated nor decoded: the
+reader seeks past it by the member's length, which the writer keeps in the gzip header's ``sl`` extra field, and
+inflates to find the end only in archives that lack it. Options: ``payload`` = ``all`` (the default) or ``none``;
+``packBytes``, the size to which small files are packed and large ones cut; ``damaged`` = ``raise`` (the default) or ``report``.
+
+An archive that is cut off, or has bytes that are no record, fails with its path and offset. With ``report`` such a
+place is a row of record_type ``damaged`` (target_uri the file, payload_bytes the offset), and reading goes on at the
+next member. Blank lines between members are passed over.
 
 Pushed predicates: =, IN, IS [NOT] NULL and STARTSWITH on the header columns; others stay with Spark.
 
@@ -20,6 +25,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -83,11 +89,15 @@ def member(raw: bytes, level: int = 1) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 12) + extra + data + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
+class Damaged(ValueError):
+    """What is wrong with an archive at some place."""
+
+
 @dataclass
 class Files(InputPartition):
-    """The files that one task reads."""
+    """The files, or the ranges of files, that one task reads."""
 
-    paths: list[str] = field(default_factory=list)
+    ranges: list[tuple[str, int, int]] = field(default_factory=list)
 
 
 @dataclass
@@ -155,6 +165,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"].rstrip("/")
         self.with_payload = options.get("payload", "all") != "none"
         self.pack_bytes = int(options.get("packbytes", options.get("packBytes", 32 << 20)))
+        self.report = options.get("damaged", "raise") == "report"
         self.wanted: list[tuple] = []
 
     def pushFilters(self, filters: list) -> Iterator:
@@ -178,12 +189,17 @@ class WarcReader(DataSourceReader):
         found = [x for x in fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)) if x.is_file and not x.base_name.startswith(("_", "."))]
         packs, size = [Files()], 0
         for x in sorted(found, key=lambda x: x.path):
-            if packs[-1].paths and size + x.size > self.pack_bytes:
+            if x.size > self.pack_bytes and _compressed(fs, x.path):
+                cuts = [*range(0, x.size, self.pack_bytes), x.size]
+                packs += [Files([(x.path, a, b)]) for a, b in zip(cuts, cuts[1:])] + [Files()]
+                size = 0
+                continue
+            if packs[-1].ranges and size + x.size > self.pack_bytes:
                 packs.append(Files())
                 size = 0
-            packs[-1].paths.append(x.path)
+            packs[-1].ranges.append((x.path, 0, x.size))
             size += x.size
-        return packs
+        return [p for p in packs if p.ranges] or packs[:1]
 
     def _wants(self, head: dict) -> bool:
         for column, test, value in self.wanted:
@@ -195,9 +211,9 @@ class WarcReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         fs, _ = file_system(self.path)
         rows, held = [], 0
-        for path in partition.paths:
+        for path, start, stop in partition.ranges:
             with fs.open_input_file(path) as f:
-                for row in self._records(f):
+                for row in self._records(f, path, start, stop):
                     rows.append(row)
                     held += len(row["payload"] or b"")
                     if held > 8 << 20 or len(rows) >= 4096:
@@ -206,29 +222,93 @@ class WarcReader(DataSourceReader):
         if rows:
             yield _batch(rows)
 
-    def _records(self, f) -> Iterator[dict]:
+    def _records(self, f, path: str, start: int, stop: int) -> Iterator[dict]:
+        """The records of the members that start in a range."""
         size = f.size()
-        at = 0
-        while at < size:
+        at = start if start == 0 else _next_member(f, start, stop)
+        while at is not None and at < min(stop, size):
             f.seek(at)
-            source = _Member(f, at) if f.read(2) == b"\x1f\x8b" else _Plain(f, at)
+            first = f.read(64)
+            blank = len(first) - len(first.lstrip(b"\r\n"))
+            if blank:
+                at += blank
+                continue
+            try:
+                if not first.startswith((_GZIP, b"WARC/")):
+                    raise Damaged("no record starts here")
+                source = _Member(f, at) if first.startswith(_GZIP) else _Plain(f, at)
+                yield from self._of(source)
+                at = source.end()
+            except (Damaged, zlib.error) as why:
+                if not self.report:
+                    raise Damaged(f"{path}: {why}, at byte {at}") from why
+                row = dict.fromkeys(HEADERS) | {"record_type": "damaged", "target_uri": path, "payload_bytes": at, "payload": None}
+                if self._wants(row):
+                    yield row
+                at = _next_member(f, at + 1, size)
+
+    def _of(self, source: _Plain) -> Iterator[dict]:
+        """The wanted records of a member, or the one at a plain offset."""
+        while True:
             block = source.until(_END)
-            if block is None:
-                return
+            if block is None or not block.startswith(b"WARC/"):
+                raise Damaged("a record's headers have no end" if block is None else "no record's headers")
             head = _parse(block)
-            length = int(head.pop("content-length", 0) or 0)
+            if not (head.get("content-length") or "").isdigit():
+                raise Damaged("a record without its length")
+            length = int(head.pop("content-length"))
             kind = head.pop("content-type", None) or ""
+            read, row = 0, None
             if self._wants(head):
-                before, told = 0, []
+                told = []
                 if kind.lower().startswith("application/http"):  # other blocks are the payload as they stand
-                    http = source.until(_END) or b""
-                    before = len(http) + len(_END)
+                    http = source.until(_END)
+                    read = len(http or b"") + len(_END)
+                    if http is None or read > length:
+                        raise Damaged("an HTTP message whose headers have no end")
                     told = [x.split(b":", 1)[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                body = None
+                body, size = None, length - read
                 if self.with_payload and head["record_type"] != "revisit":
-                    body = source.take(length - before)
-                yield head | {"payload_bytes": int(told[0]) if told else length - before, "payload": body}
-            at = source.end(len(block) + len(_END) + length + len(_END))
+                    body = source.take(size)
+                    if len(body) < size:
+                        raise Damaged("a record is cut off")
+                    read = length
+                row = head | {"payload_bytes": int(told[0]) if told and told[0].strip().isdigit() else size, "payload": body}
+            more = source.leave(len(block) + len(_END) + length, length - read)
+            if row is not None:
+                yield row
+            if not more:
+                return
+
+
+_GZIP = b"\x1f\x8b"
+
+
+def _compressed(fs, path: str) -> bool:
+    with fs.open_input_file(path) as f:
+        return f.read(2) == _GZIP
+
+
+def _next_member(f, at: int, stop: int, chunk: int = 1 << 16) -> int | None:
+    """The first offset from at, before stop, at which a gzip member or a plain record starts."""
+    size = f.size()
+    while at < stop:
+        f.seek(at)
+        data = f.read(chunk + 64)
+        marks = [at + m.start() for m in re.finditer(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n[A-Za-z]", data)]
+        for k in marks:
+            if at <= k < min(at + chunk, stop):
+                f.seek(k)
+                head = f.read(4096)
+                try:
+                    if head.startswith(b"WARC/1") or zlib.decompressobj(31).decompress(head, 64).startswith(b"WARC/"):
+                        return k
+                except zlib.error:
+                    pass
+        at += chunk
+        if at >= size:
+            break
+    return None
 
 
 def _parse(block: bytes) -> dict:
@@ -254,7 +334,7 @@ class _Plain:
     """An uncompressed record at an offset."""
 
     def __init__(self, f, at: int):
-        self.f, self.at = f, at
+        self.f, self.at, self.after = f, at, at
         f.seek(at)
         self.held = b""
 
@@ -265,19 +345,31 @@ class _Plain:
 
     def until(self, mark: bytes) -> bytes | None:
         """What stands before the mark, reading no further than needed."""
-        while (k := self.held.find(mark)) < 0:
+        seen = 0
+        while (k := self.held.find(mark, seen)) < 0:
+            seen = max(0, len(self.held) - len(mark) + 1)
             if not self._more():
                 return None
         out, self.held = self.held[:k], self.held[k + len(mark) :]
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.held) < n and self._more():
-            pass
-        return self.held[:n]
+        parts, left = [], n
+        while left and (self.held or self._more()):
+            parts.append(self.held[:left])
+            self.held = self.held[left:]
+            left -= len(parts[-1])
+        return b"".join(parts)
+
+    def leave(self, length: int, unread: int) -> bool:
+        """Go past a record of a length of which some is unread; whether more records follow in the same member."""
+        self.after += length + len(_END)
+        if self.at + length > self.f.size():
+            raise Damaged("a record is cut off")
+        return False
 
-    def end(self, length: int) -> int:
-        return self.at + length
+    def end(self) -> int:
+        return self.after
 
 
 class _Member(_Plain):
@@ -285,29 +377,48 @@ class _Member(_Plain):
 
     def __init__(self, f, at: int):
         super().__init__(f, at)
-        self.length = None
+        self.length = self.full = None
         head = f.read(12)
-        if head[3] & 4:
+        if len(head) == 12 and head[3] & 4:
             extra = f.read(struct.unpack("<H", head[10:12])[0])
             if extra[:2] == b"sl" and len(extra) >= 12:
-                self.length = struct.unpack("<I", extra[4:8])[0]
+                self.length, self.full = struct.unpack("<II", extra[4:12])
+        if self.length and at + self.length > f.size():
+            raise Damaged("a member is cut off")
         f.seek(at)
         self.z = zlib.decompressobj(31)
-        self.fed = 0
+        self.fed = self.passed = 0
         self.rest = b""
 
     def _more(self) -> bool:
         if self.z.eof:
             return False
         data = self.rest or self.f.read(16384)
-        if not data and not self.z.unconsumed_tail:
-            return False
+        if not data:
+            raise Damaged("a member is cut off")
         self.fed += 0 if self.rest else len(data)
         self.held += self.z.decompress(data, 65536)
         self.rest = self.z.unconsumed_tail
         return True
 
-    def end(self, length: int) -> int:
+    def leave(self, length: int, unread: int) -> bool:
+        self.passed += length + len(_END)
+        if self.full is not None and self.passed & 0xFFFFFFFF == self.full:
+            return False  # the member's only or last record: what is unread of it stays compressed
+        left = unread + len(_END)
+        while left and (self.held or self._more()):
+            gone = min(left, len(self.held))
+            self.held, left = self.held[gone:], left - gone
+        if left > len(_END):
+            raise Damaged("a record is cut off")
+        while not self.held.lstrip(b"\r\n"):
+            self.held = b""
+            if not self._more():
+                return False
+        self.held = self.held.lstrip(b"\r\n")
+        return True
+
+    def end(self) -> int:
         if self.length:
             return self.at + self.length
         while self._more():
@@ -321,11 +432,11 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select(*[x.split()[0] for x in SCHEMA.split(", ")]).write.format("warc").mode("append").save(path)
 
 
-def read_warc(spark: SparkSession, path: str, payload: str = "all") -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: str = "all", **options: str) -> DataFrame:
     """The records under path; filters on header columns are pushed into the reader."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("payload", payload).load(path)
+    return spark.read.format("warc").option("payload", payload).options(**options).load(path)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z") -> DataFrame:

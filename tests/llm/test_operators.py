@@ -403,6 +403,49 @@ def test_warc_of_pages_by_either_join(spark, odd, monkeypatch, limit):
     assert not [f for f in os.listdir(path) if f.startswith("_") and "part" in f]
 
 
+def archive_of(k: int) -> list[bytes]:
+    """Six records, without compression; every second is large."""
+    rng = np.random.default_rng(k)
+    rows = []
+    for i in range(6):
+        body = rng.integers(97, 123, 20_000 if i % 2 else 50, dtype=np.uint8).tobytes()
+        rows.append(warc.record_bytes(dict.fromkeys(warc.HEADERS) | {"record_type": "response", "record_id": f"<urn:page:{i}>", "target_uri": f"u{i}", "payload": body, "payload_bytes": len(body)}))
+    return rows
+
+
+def read_archive(path, raw: bytes, pack: int = 1 << 20, **options) -> list[tuple]:
+    path.write_bytes(raw)
+    reader = warc.WarcReader({"path": str(path.parent), "packBytes": str(pack)} | options)
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    return [(r["record_type"], r["target_uri"], len(r["payload"] or b""), r["payload_bytes"]) for r in rows]
+
+
+def test_archives_are_read_whole_or_fail(tmp_path):
+    """One record a member with and without its length, all in one member, plain, mixed, blank lines between; cuts and stray bytes."""
+    import gzip
+
+    records = archive_of(1)
+    want = [("response", f"u{i}", n, n) for i, n in enumerate([50, 20_000] * 3)]
+    told, single = [warc.member(r) for r in records], [gzip.compress(r) for r in records]
+    whole = {"told": b"".join(told), "single": b"".join(single), "one": gzip.compress(b"".join(records)), "plain": b"".join(records), "mixed": b"".join(told[:2] + records[2:4] + single[4:]), "blank": b"\r\n\r\n".join(told), "twos": gzip.compress(b"".join(records[:2])) + warc.member(b"".join(records[2:]))}
+    for k, (name, raw) in enumerate(whole.items()):
+        folder = tmp_path / name
+        folder.mkdir()
+        path = folder / "x.warc.gz"
+        assert read_archive(path, raw) == want, name
+        assert read_archive(path, raw, pack=7000) == want, name  # a large file in ranges
+        assert [r[:2] for r in read_archive(path, raw, payload="none")] == [r[:2] for r in want]
+        cut = raw[: len(raw) - len(raw) // 5]
+        with pytest.raises(warc.Damaged, match="at byte"):
+            read_archive(path, cut)
+        assert [r for r in read_archive(path, cut, damaged="report") if r[0] == "damaged"]
+    stray = told[0] + b"stray bytes" + b"".join(told[1:])
+    with pytest.raises(warc.Damaged, match=f"at byte {len(told[0])}"):
+        read_archive(path, stray)
+    reported = read_archive(path, stray, damaged="report")
+    assert [r for r in reported if r[0] != "damaged"] == want and [r for r in reported if r[0] == "damaged"] == [("damaged", str(path), 0, len(told[0]))]
+
+
 def test_bpe_agrees_with_the_tiktoken_library(spark, odd):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         raw = f.read()
