@@ -1,10 +1,12 @@
 """Source divergence audit by mergeable radix tries.
 
-Each partition counts its terms in a byte trie for each language, whose leaves hold the number of documents and a
-counter for each source. Tries that have grown to LEAVES counters are written out in byte order, which is the order of
-UTF-8, and begun anew, so that a task's memory is bounded. The tries are merged by prefix range: Spark deals all leaves
-out by ranges of (language, term) and sorts them, and each range is read as a stream in which the parts of a leaf follow
-each other. Only leaves with enough documents go on.
+Each partition counts its terms in a byte trie for each language. A trie branches on the first PREFIX bytes; below such a
+node hang its leaves, the rest of each term in byte order, which is the order of UTF-8, with the number of documents
+and a counter for each source. Such a subtree is one row. Tries that have grown to LEAVES counters are written out and
+begun anew, so that a task's memory is bounded. Subtrees are merged by prefix range: Spark deals them out by ranges of
+(language, prefix) and sorts them, and a task reads its range as a stream, merges the subtrees of one node, which
+follow each other, and lets only leaves with enough documents go on. Merged subtrees are subtrees again: of a node with very
+many, what has come so far is merged before the rest. A corpus of very many terms takes a longer PREFIX.
 
 The kept leaves are then walked in blocks of at most about BLOCK terms of a language, against tiles of at most TILE of
 its sources: a block streams the sums of each pair of sources and its ten best candidates of each source, ties by term.
@@ -23,11 +25,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,177 +39,186 @@ from .common import read, settle, small
 #: Documents of a language that a kept term is in at least, and candidates of a source that are returned.
 LEAST_DOCS = 10
 TOP = 10
-#: Counters of a task's tries, terms of a block, sources of a tile.
-LEAVES = 250_000
+#: Counters of a task's tries, bytes on which a trie branches, leaves that are merged at a time, and of one node.
+LEAVES = 300_000
+PREFIX = 3
+MERGED, MERGED_NODE = 400_000, 2_000_000
+#: Terms of a block, sources of a tile.
 BLOCK = 8192
 TILE = 256
 
 _TERM = re.compile(rb"[a-z\x80-\xff]+")  # of bytes whose A-Z are lower-cased already
+_SUBTREE = "lang string, prefix binary, size long, names array<string>, suffixes binary, numbers binary"
 _LEAF = "lang string, term string, docs long, sources array<string>, counts array<long>"
 _FOUND = "lang string, source string, part string, item string, value long"
 
 
-class Trie:
-    """A radix trie of byte strings, whose leaves have the numbers 0, 1, ... in the order of their coming.
+class Subtree(NamedTuple):
+    """The leaves below a node: their suffixes one after the other, and of each its length, its documents and how many of
+    the counters (source, count), which stand in the order of the leaves, are its own. Sources are numbers in names."""
 
-    A node is [label, children by first byte, leaf number or -1]."""
+    names: list[str]
+    suffixes: bytes
+    lengths: np.ndarray
+    docs: np.ndarray
+    sizes: np.ndarray
+    sources: np.ndarray
+    counts: np.ndarray
 
-    def __init__(self) -> None:
-        self.root: list = [b"", {}, -1]
-        self.size = 0
-
-    def add(self, term: bytes) -> int:
-        node, at = self.root, 0
-        while at < len(term):
-            child = node[1].get(term[at])
-            if child is None:
-                node[1][term[at]] = child = [term[at:], {}, -1]
-                node, at = child, len(term)
-                break
-            label = child[0]
-            if term.startswith(label, at):
-                node, at = child, at + len(label)
-                continue
-            same = 1
-            while at + same < len(term) and label[same] == term[at + same]:
-                same += 1
-            upper = [label[:same], {label[same]: child}, -1]
-            child[0] = label[same:]
-            node[1][term[at]] = upper
-            node, at = upper, at + same
-        if node[2] < 0:
-            node[2] = self.size
-            self.size += 1
-        return node[2]
-
-    def walk(self) -> Iterator[tuple[bytes, int]]:
-        """(term, leaf number) in byte order."""
-        stack = [(b"", self.root)]
-        while stack:
-            prefix, (label, children, leaf) = stack.pop()
-            here = prefix + label
-            if leaf >= 0:
-                yield here, leaf
-            stack += [(here, children[b]) for b in sorted(children, reverse=True)]
+    @classmethod
+    def unpack(cls, size: int, names: list[str], suffixes: bytes, numbers: bytes) -> Subtree:
+        x = np.frombuffer(numbers, "<i8")
+        return cls(names, suffixes, *np.split(x, [size, 2 * size, 3 * size, (len(x) + 3 * size) // 2]))
+
+    def pack(self) -> tuple:
+        return len(self.docs), self.names, self.suffixes, np.concatenate(self[2:]).astype("<i8").tobytes()
 
 
 class Counts:
-    """One language's trie and counters; index spares known terms the way down."""
+    """One language's terms: documents of each, and occurrences of each in each source."""
 
     def __init__(self) -> None:
-        self.trie = Trie()
-        self.index: dict[bytes, int] = {}
-        self.docs: list[int] = []
-        self.counters: dict[int, int] = {}
-
-    def count(self, source: int, text: bytes) -> None:
-        index, docs, counters = self.index, self.docs, self.counters
-        for term, n in Counter(_TERM.findall(text.lower())).items():
-            leaf = index.get(term)
-            if leaf is None:
-                leaf = index[term] = self.trie.add(term)
-                docs.append(0)
-            docs[leaf] += 1
-            key = leaf << 32 | source
-            counters[key] = counters.get(key, 0) + n
-
-    def leaves(self, lang: str, sources: list[str], rows: int = 4096) -> Iterator[pa.RecordBatch]:
-        """The leaves in byte order, each with its sources and counts."""
-        walked = list(self.trie.walk())
-        place = np.empty(len(walked), np.int64)
-        place[[leaf for _, leaf in walked]] = np.arange(len(walked))
-        keys = np.fromiter(self.counters, np.int64, len(self.counters))
-        counts = np.fromiter(self.counters.values(), np.int64, len(self.counters))
-        at = place[keys >> 32]
-        order = np.argsort(at, kind="stable")
-        at, counts = at[order], counts[order]
-        names = pa.array(sources, pa.string()).take(pa.array(keys[order] & 0xFFFFFFFF))
-        ends = np.searchsorted(at, np.arange(len(walked) + 1)).astype(np.int32)
-        docs = np.array(self.docs, np.int64)[[leaf for _, leaf in walked]]
-        terms = pa.array([t for t, _ in walked], pa.binary()).cast(pa.string())
-        for a in range(0, len(walked), rows):
-            b = min(a + rows, len(walked))
-            cut = ends[a : b + 1] - ends[a]
-            lists = [pa.ListArray.from_arrays(pa.array(cut), x[ends[a] : ends[b]]) for x in (names, pa.array(counts))]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (b - a), pa.string()), terms[a:b], pa.array(docs[a:b]), *lists], names=["lang", "term", "docs", "sources", "counts"])
-
-
-def _count(most: int):
+        self.docs: Counter = Counter()
+        self.sources: dict[str, Counter] = {}
+
+    def count(self, source: str, text: bytes) -> None:
+        terms = _TERM.findall(text.lower())
+        self.docs.update(set(terms))
+        self.sources.setdefault(source, Counter()).update(terms)
+
+    @property
+    def size(self) -> int:
+        return sum(map(len, self.sources.values()))
+
+    def trie(self, depth: int) -> Iterator[tuple[bytes, Subtree]]:
+        """The trie's nodes at a depth in byte order, each with its subtree."""
+        terms = sorted(self.docs)
+        place = dict(zip(terms, range(len(terms))))
+        docs = np.fromiter(map(self.docs.__getitem__, terms), np.int64, len(terms))
+        names = [s for s, c in self.sources.items() if c]
+        leaf = np.fromiter(chain.from_iterable(map(place.__getitem__, self.sources[s]) for s in names), np.int64)
+        source = np.repeat(np.arange(len(names)), [len(self.sources[s]) for s in names])
+        counts = np.fromiter(chain.from_iterable(self.sources[s].values() for s in names), np.int64)
+        order = np.argsort(leaf, kind="stable")
+        leaf, source, counts = leaf[order], source[order], counts[order]
+        sizes = np.bincount(leaf, minlength=len(terms))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        nodes = [t[:depth] for t in terms]
+        cuts = [0, *(k for k in range(1, len(nodes)) if nodes[k] != nodes[k - 1]), len(nodes)] if nodes else [0]
+        suffixes = [t[depth:] for t in terms]
+        lengths = np.fromiter(map(len, suffixes), np.int64, len(terms))
+        for a, b in zip(cuts, cuts[1:]):
+            own = slice(ends[a], ends[b])
+            yield nodes[a], Subtree(names, b"".join(suffixes[a:b]), lengths[a:b], docs[a:b], sizes[a:b], source[own], counts[own])
+
+
+def _count(most: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Leaves of the tries of (lang, source, text); tries with more than so many counters are written out."""
+        """The subtrees of the terms of (lang, source, text); tries with more than so many counters are written out."""
         tries: dict[str, Counts] = {}
-        sources: dict[str, int] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            names = list(sources)
             for lang, counts in tries.items():
-                if counts.docs:
-                    yield from counts.leaves(lang, names)
+                nodes = counts.trie(depth)
+                while some := list(islice(nodes, 2048)):
+                    columns = zip(*((lang, node, *subtree.pack()) for node, subtree in some))
+                    yield _record_batch(_SUBTREE, columns)
             tries.clear()
-            sources.clear()
 
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tries.setdefault(lang, Counts()).count(sources.setdefault(source, len(sources)), text)
-            if sum(len(c.counters) for c in tries.values()) > most:
+                tries.setdefault(lang, Counts()).count(source, text)
+            if sum(c.size for c in tries.values()) > most:
                 yield from flush()
         yield from flush()
 
     return run
 
 
-def _merge(least: int):
+_TYPES = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+
+
+def _record_batch(schema: str, columns) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields)]
+    return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
+
+
+class _Merged:
+    """Subtrees of some nodes as one: node, suffix (a place in the dictionary) and documents of each leaf, and the counters (leaf, source, count)."""
+
+    def __init__(self, nodes: list[int], subtrees: list[Subtree]):
+        many = [len(t.docs) for t in subtrees]
+        join = lambda k: np.concatenate([t[k] for t in subtrees])
+        ends = np.concatenate([[0], np.cumsum(join(2))]).astype(np.int64)
+        suffixes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(t.suffixes for t in subtrees))]).dictionary_encode()
+        self.dictionary = suffixes.dictionary
+        keys = np.repeat(np.array(nodes, np.int64), many) * len(self.dictionary) + suffixes.indices.to_numpy()
+        distinct, at = np.unique(keys, return_inverse=True)
+        self.node, self.suffix = np.divmod(distinct, max(1, len(self.dictionary)))
+        self.docs = np.zeros(len(distinct), np.int64)
+        np.add.at(self.docs, at, join(3))
+        number: dict[str, int] = {}
+        of = [np.array([number.setdefault(n, len(number)) for n in t.names], np.int64)[t.sources] for t in subtrees]
+        self.names = list(number)
+        self.leaf, self.source, self.count = np.repeat(at, join(4)), np.concatenate(of), join(6)
+
+    def sums(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counters (leaf, source, count) of the wanted leaves, by leaf."""
+        some = wanted[self.leaf]
+        keys, at = np.unique(self.leaf[some] * max(1, len(self.names)) + self.source[some], return_inverse=True)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, at, self.count[some])
+        return *np.divmod(keys, max(1, len(self.names))), counts
+
+    def subtree(self) -> Subtree:
+        """The subtree of the one node there is."""
+        leaf, source, counts = self.sums(np.ones(len(self.docs), bool))
+        suffixes = self.dictionary.take(pa.array(self.suffix)).to_pylist()
+        return Subtree(self.names, b"".join(suffixes), np.array(list(map(len, suffixes)), np.int64), self.docs, np.bincount(leaf, minlength=len(self.docs)), source, counts)
+
+    def kept(self, nodes: list[tuple[str, bytes]], least: int) -> pa.RecordBatch:
+        wanted = self.docs >= least
+        leaf, source, counts = self.sums(wanted)
+        some = np.flatnonzero(wanted)
+        ends = pa.array(np.append(np.searchsorted(leaf, some), len(leaf)).astype(np.int32))
+        terms = [nodes[n][1] + x for n, x in zip(self.node[some].tolist(), self.dictionary.take(pa.array(self.suffix[some])).to_pylist())]
+        names = pa.array(self.names, pa.string()).take(pa.array(source))
+        langs = [nodes[n][0] for n in self.node[some].tolist()]
+        return _record_batch(_LEAF, [langs, pa.array(terms, pa.binary()).cast(pa.string()), self.docs[some], pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(counts))])
+
+
+def _merge(least: int, merged: int = MERGED, merged_node: int = MERGED_NODE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Leaves whose parts follow each other, summed; those in too few documents go."""
-        open_key, open_docs, open_counts = None, 0, Counter()
-        for batch in batches:
-            lang, term, docs, sources, counts = batch.columns
-            if not batch.num_rows:
-                continue
-            differs = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
-            first = np.concatenate([[0], np.flatnonzero(differs) + 1])
-            sums = np.add.reduceat(docs.to_numpy(), first)
-            ends = np.append(first[1:], batch.num_rows)
-            done = []
-            for k, (a, b) in enumerate(zip(first.tolist(), ends.tolist())):
-                edge = k == 0 or b == batch.num_rows  # may go on in a neighbouring batch
-                if not edge and sums[k] < least:
-                    continue
-                key, own = (lang[a].as_py(), term[a].as_py()), Counter()
-                if edge and key == open_key:
-                    own, sums[k] = open_counts, sums[k] + open_docs
-                elif edge:
-                    if open_key is not None and open_docs >= least:
-                        done.append((*open_key, open_docs, open_counts))
-                    open_key = None
-                for names, numbers in zip(sources[a:b].to_pylist(), counts[a:b].to_pylist()):
-                    for s, n in zip(names, numbers):
-                        own[s] += n
-                if b == batch.num_rows:
-                    open_key, open_docs, open_counts = key, int(sums[k]), own
-                else:
-                    if sums[k] >= least:
-                        done.append((*key, int(sums[k]), own))
-                    open_key = None if edge else open_key
-            yield _leaf_batch(done)
-        if open_key is not None and open_docs >= least:
-            yield _leaf_batch([(*open_key, open_docs, open_counts)])
+        """The leaves in enough documents, of subtrees in the order of their nodes."""
+        held: list[tuple[tuple, Subtree]] = []
 
-    return run
+        def close(rows: list) -> Iterator[pa.RecordBatch]:
+            if rows:
+                nodes = list(dict.fromkeys(node for node, _ in rows))
+                number = dict(zip(nodes, range(len(nodes))))
+                yield _Merged([number[node] for node, _ in rows], [t for _, t in rows]).kept(nodes, least)
 
+        for batch in batches:
+            for lang, node, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(((lang, node), Subtree.unpack(*packed)))
+            if sum(len(t.docs) for _, t in held) > merged:
+                last = held[-1][0]
+                first = next(k for k, (node, _) in enumerate(held) if node == last)
+                yield from close(held[:first])
+                held = held[first:]
+                if sum(len(t.docs) for _, t in held) > merged_node:
+                    held = [(last, _Merged([0] * len(held), [t for _, t in held]).subtree())]
+        yield from close(held)
 
-def _leaf_batch(rows: list[tuple]) -> pa.RecordBatch:
-    lang, term, docs, counters = zip(*rows) if rows else ((), (), (), ())
-    types = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-    columns = (lang, term, docs, [list(c) for c in counters], [list(c.values()) for c in counters])
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["lang", "term", "docs", "sources", "counts"])
+    return run
 
 
-def term_counts(docs: DataFrame, least: int = LEAST_DOCS, leaves: int = LEAVES) -> DataFrame:
+def term_counts(docs: DataFrame, least: int = LEAST_DOCS, leaves: int = LEAVES, prefix: int = PREFIX) -> DataFrame:
     """(lang, term, docs, sources, counts) of the terms in at least so many documents of a language; docs has lang, source, text without nulls."""
-    parts = docs.select("lang", "source", F.encode("text", "utf-8").alias("text")).mapInArrow(_count(leaves), _LEAF)
-    parts = settle(parts, "tries")  # the ranges are found from the leaves, not by counting twice
-    return parts.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merge(least), _LEAF)
+    parts = docs.select("lang", "source", F.encode("text", "utf-8").alias("text")).mapInArrow(_count(leaves, prefix), _SUBTREE)
+    parts = settle(parts, "tries")  # the ranges are found from the subtrees, not by counting twice
+    return parts.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix").mapInArrow(_merge(least), _LEAF)
 
 
 def _share(count: np.ndarray, whole: np.ndarray) -> np.ndarray:

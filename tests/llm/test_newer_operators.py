@@ -21,18 +21,30 @@ def docs_of(spark, rows):
     return spark.createDataFrame(rows, DOCS)
 
 
-def test_tries_keep_byte_order_and_counts():
+def test_tries_keep_byte_order_and_merge():
+    """Subtrees of any depth, packed and merged in any order and in steps, hold what a plain count holds."""
     rng = random.Random(3)
-    terms = ["".join(rng.choice("abé\U0001f600") for _ in range(rng.randint(1, 6))).encode() for _ in range(4000)]
-    trie = source_divergence.Trie()
-    numbers = {t: trie.add(t) for t in terms}
-    assert [t for t, _ in trie.walk()] == sorted(set(terms)) and dict(trie.walk()) == numbers
-    counts = source_divergence.Counts()
-    for k, t in enumerate(terms):
-        counts.count(k % 3, b" ".join([t.upper(), t, b"0", t]))
-    rows = [r for b in counts.leaves("x", ["s0", "s1", "s2"], 7) for r in b.to_pylist()]
-    assert [r["term"].encode() for r in rows] == sorted({t.lower() for t in terms} | {t.upper().lower() for t in terms})
-    assert sum(sum(r["counts"]) for r in rows) == 3 * len(terms)
+    say = lambda n: b" ".join("".join(rng.choice("abCé\U0001f600") for _ in range(rng.randint(1, 6))).encode() for _ in range(n))
+    texts = [(f"s{k % 3}", say(rng.randint(0, 40))) for k in range(300)]
+    docs, counts = Counter(), Counter()
+    for source, text in texts:
+        terms = re.findall(rb"[a-z\x80-\xff]+", text.lower())
+        docs.update(set(terms))
+        counts.update((t, source) for t in terms)
+    for depth, merged, merged_node in ((1, 50, 20), (3, 10**6, 10**6), (9, 1, 1)):
+        rows = []
+        for k in range(0, 300, 60):
+            tries = source_divergence.Counts()
+            for source, text in texts[k : k + 60]:
+                tries.count(source, text)
+            nodes = list(tries.trie(depth))
+            assert [n for n, _ in nodes] == sorted({n for n, _ in nodes})
+            rows += [("x", node, *subtree.pack()) for node, subtree in nodes]
+        rows.sort(key=lambda r: r[1])
+        batches = [source_divergence._record_batch(source_divergence._SUBTREE, zip(*rows[k : k + 7])) for k in range(0, len(rows), 7)]
+        got = [r for b in source_divergence._merge(2, merged, merged_node)(iter(batches)) for r in b.to_pylist()]
+        assert {r["term"].encode(): r["docs"] for r in got} == {t: n for t, n in docs.items() if n >= 2} and len({r["term"] for r in got}) == len(got)
+        assert {(r["term"].encode(), s): n for r in got for s, n in zip(r["sources"], r["counts"])} == {(t, s): n for (t, s), n in counts.items() if docs[t] >= 2}
 
 
 def test_divergence_in_small_blocks_tiles_and_tries(spark):
