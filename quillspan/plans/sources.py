@@ -79,10 +79,12 @@ def _items(x) -> DataFrame:
 
 
 def _bodies(x) -> DataFrame:
-    """The events table as OTLP bodies, a span each, with attributes of three conventions."""
+    """The events table as OTLP bodies, a span each, with attributes of three conventions; some names come twice, some values are lists or zero."""
     value = """concat('{"resourceSpans":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"svc', session_id % 3, '"}}]},"scopeSpans":[{"spans":[{"spanId":"', seq, '","name":"step","startTimeUnixNano":"', 1700000000000000000 + seq * 1000, '","endTimeUnixNano":"',
-        1700000000000000000 + seq * 2000, '","status":{"code":', CASE WHEN error THEN 2 ELSE 1 END, '},"attributes":[', CASE seq % 3 WHEN 0 THEN concat('{"key":"gen_ai.request.model","value":{"stringValue":"m"}},{"key":"gen_ai.usage.input_tokens","value":{"intValue":"', seq, '"}},{"key":"agent.name","value":{"stringValue":"a"}}')
-        WHEN 1 THEN '{"key":"openinference.span.kind","value":{"stringValue":"TOOL"}},{"key":"llm.model_name","value":{"stringValue":"m2"}},{"key":"tool.name","value":{"stringValue":"grep"}},{"key":"input.value","value":{"stringValue":"x"}}' ELSE '' END, ']}]}]}]}')"""
+        1700000000000000000 + seq * 2000, '","status":{"code":', CASE WHEN error THEN 2 ELSE 1 END, '},"attributes":[', CASE seq % 3
+        WHEN 0 THEN concat('{"key":"gen_ai.request.model","value":{"stringValue":"old"}},{"key":"gen_ai.request.model","value":{"stringValue":"m"}},{"key":"gen_ai.usage.input_tokens","value":{"intValue":"', CASE WHEN seq % 2 = 0 THEN 0 ELSE seq END,
+            '"}},{"key":"llm.token_count.prompt","value":{"intValue":"', seq, '"}},{"key":"agent.name","value":{"stringValue":"a"}}', CASE WHEN seq % 2 = 0 THEN ',{"key":"gen_ai.prompt","value":{"arrayValue":{"values":[{"stringValue":"do"},{"intValue":"7"},{"boolValue":true}]}}},{"key":"output.value","value":{"stringValue":"done"}}' ELSE '' END)
+        WHEN 1 THEN '{"key":"openinference.span.kind","value":{"stringValue":"TOOL"}},{"key":"llm.model_name","value":{"stringValue":"m2"}},{"key":"tool.name","value":{"stringValue":"grep"}},{"key":"input.value","value":{"stringValue":"x"}},{"key":"retry.count","value":{"intValue":"2"}}' ELSE '' END, ']}]}]}]}')"""
     return x.tables.events.selectExpr(f"{value} AS body")
 
 
@@ -93,6 +95,15 @@ register(
     CASE seq % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'm2' END AS model, CASE seq % 3 WHEN 1 THEN 'grep' WHEN 2 THEN 'step' END AS tool, CASE seq % 3 WHEN 1 THEN 'x' WHEN 2 THEN '' END AS arguments, make_timestamp(1700000000000000 + seq) AS started_at, make_timestamp(1700000000000000 + 2 * seq) AS ended_at,
     CASE WHEN seq % 3 = 0 THEN seq ELSE 0 END AS tokens_in, CAST(0 AS BIGINT) AS tokens_out, coalesce(error, false) AS error FROM all_events""",
 )
+register(
+    "otlp_events",
+    lambda x: ops.span_events(_bodies(x)),
+    """SELECT 'otel:svc' || (session_id % 3) AS session_id, CAST(seq AS VARCHAR) AS span_id, CASE WHEN seq % 3 = 0 THEN 'sub:a' ELSE 'main' END AS agent_id, CASE WHEN k = 1 THEN 1 ELSE 0 END AS place,
+    CASE WHEN seq % 3 > 0 THEN 'tool-call' WHEN seq % 2 = 0 AND k = 0 THEN 'user-text' ELSE 'assistant-text' END AS kind, make_timestamp(1700000000000000 + CASE WHEN seq % 3 > 0 OR seq % 2 = 0 AND k = 0 THEN seq ELSE 2 * seq END) AS ts,
+    CASE WHEN seq % 3 = 1 THEN 'x' WHEN seq % 3 = 2 THEN '' WHEN seq % 2 = 1 THEN 'step (m)' WHEN k = 0 THEN 'do, 7, true' ELSE 'done' END AS text, CASE seq % 3 WHEN 1 THEN 'grep' WHEN 2 THEN 'step' END AS tool,
+    CASE WHEN seq % 3 > 0 OR seq % 2 = 1 OR k = 1 THEN coalesce(error, false) END AS error, CASE WHEN seq % 3 = 1 THEN CAST(2 AS BIGINT) END AS retry
+    FROM all_events JOIN (VALUES (0), (1)) v(k) ON k = 0 OR seq % 3 = 0 AND seq % 2 = 0""",
+)
 register(
     "scaled_windows",
     lambda x: ops.scaled_to_total(x.usage.selectExpr("source_id", "agent_id", "tokens_out AS tokens").groupBy("source_id", "agent_id").agg(F.sum("tokens").alias("tokens")), x.usage.selectExpr("source_id", "tokens_in AS total")),

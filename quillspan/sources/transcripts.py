@@ -66,8 +66,8 @@ def _timestamp(v: str) -> Column:
 
 
 def _parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lines that are JSON objects with v, and an event for each other line that is not blank."""
-    rows = lines.where(F.btrim("value") != "").withColumn("v", F.try_parse_json("value"))
+    """The lines that are JSON objects with v, and an event for each other line that is not blank; a null line is one too long to read."""
+    rows = lines.where("value IS NULL OR btrim(value) <> ''").withColumn("v", F.try_parse_json("value"))
     good = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     bad = rows.where(~good).select("source_id", "at", F.lit(0).alias("place"), F.lit("main").alias("agent_id"), F.lit("indexing-error").alias("kind"), F.lit(None).cast("timestamp_ntz").alias("ts"),
         F.lit("malformed record").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("tool", "tool_use_id")], F.lit(None).cast("boolean").alias("error"))
@@ -146,23 +146,33 @@ _COUNTERS = ("input", "cache", "cache_write", "output")
 DELTA = "source_id string, at_key string, scope string, part string, model string, kind string, tokens_in long, tokens_cache long, tokens_write long, tokens_out long"
 
 
-def counter_reports(lines: DataFrame) -> DataFrame:
-    """(source_id, at, scope, model, total and last counters) of the token counts of rollout transcripts.
+def counter_fields(lines: DataFrame) -> DataFrame:
+    """What counters are read from, a narrow row for each line of four kinds: (source_id, at, counted, named, owner, thread, model, ts, total and last counters).
 
-    The model is that of the count, else the last that its source named before it; the scope is the count's thread, else the source."""
+    named is the model that a line names for what follows it, owner the thread that a source says it is."""
     parsed, _ = _parsed(lines)
     p = lambda name: F.nullif(_text("v", f"$.payload.{name}"), F.lit(""))
-    is_count = (_text("v", "$.type") == "event_msg") & (_text("v", "$.payload.type") == "token_count")
-    named = F.when(is_count, F.lit(None)).when(_text("v", "$.payload.type") == "model_reroute", p("to_model")).when(_text("v", "$.type").isin("session_meta", "turn_context"), p("model"))
-    so_far = Window.partitionBy("source_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    owner = F.when(_text("v", "$.type") == "session_meta", p("id"))
-    rows = parsed.withColumns({"context": F.last(named, ignorenulls=True).over(so_far), "owner": F.first(owner, ignorenulls=True).over(so_far)}).where(is_count)
+    rows = parsed.withColumns({"type": F.coalesce(_text("v", "$.type"), F.lit("")), "item": F.coalesce(_text("v", "$.payload.type"), F.lit(""))})
+    rows = rows.where("type IN ('session_meta', 'turn_context') OR item = 'model_reroute' OR type = 'event_msg' AND item = 'token_count'")
+    counted = (F.col("type") == "event_msg") & (F.col("item") == "token_count")
+    named = F.when(counted, F.lit(None)).when(F.col("item") == "model_reroute", p("to_model")).otherwise(p("model"))
     count = lambda kind, name: _count("v", f"$.payload.info.{kind}.{name}")
     fields = {"input": "input_tokens", "cache": "cached_input_tokens", "cache_write": "cache_write_input_tokens", "output": "output_tokens"}
     numbers = [F.coalesce(count(kind, f), F.lit(0) if c in ("cache", "cache_write") else F.lit(None)).alias(f"{short}_{c}") for short, kind in (("total", "total_token_usage"), ("last", "last_token_usage")) for c, f in fields.items()]
+    return rows.select("source_id", "at", counted.alias("counted"), named.alias("named"), F.when(F.col("type") == "session_meta", p("id")).alias("owner"), p("thread_id").alias("thread"), p("model").alias("model"), _timestamp("v").alias("ts"), *numbers)
+
+
+def counter_reports(lines: DataFrame) -> DataFrame:
+    """(source_id, at, scope, model, total and last counters) of the token counts of rollout transcripts.
+
+    The model is that of the count, else the last that its source named before it; the scope is the count's thread, else the source."""
+    rows = counter_fields(lines)
+    so_far = Window.partitionBy("source_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"context": F.last("named", ignorenulls=True).over(so_far), "owner": F.first("owner", ignorenulls=True).over(so_far)}).where("counted")
     own_scope = F.coalesce("owner", "source_id")
-    scope = F.coalesce(p("thread_id"), own_scope)
-    return rows.select("source_id", "at", scope.alias("scope"), F.coalesce(p("model"), F.when(scope == own_scope, F.col("context")), F.lit("")).alias("model"), _timestamp("v").alias("ts"), *numbers)
+    scope = F.coalesce("thread", own_scope)
+    numbers = [f"{kind}_{c}" for kind in ("total", "last") for c in _COUNTERS]
+    return rows.select("source_id", "at", scope.alias("scope"), F.coalesce("model", F.when(scope == own_scope, F.col("context")), F.lit("")).alias("model"), "ts", *numbers)
 
 
 def deltas_of(reports: pd.DataFrame, key: tuple[str, str], high: tuple | None, model: str | None) -> tuple[tuple | None, str | None, list[tuple]]:
@@ -232,7 +242,8 @@ def scaled_to_total(windows: DataFrame, totals: DataFrame) -> DataFrame:
 
 # --- spans ---------------------------------------------------------------------------------------------
 
-_VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
+_SCALAR = "stringValue:string,intValue:string,doubleValue:double,boolValue:boolean"
+_VALUE = f"struct<{_SCALAR},arrayValue:struct<values:array<struct<{_SCALAR}>>>>"
 _ATTRIBUTES = f"array<struct<key:string,value:{_VALUE}>>"
 SPANS = (
     f"resourceSpans array<struct<resource:struct<attributes:{_ATTRIBUTES}>,scopeSpans:array<struct<spans:array<struct<traceId:string,spanId:string,name:string,"
@@ -248,31 +259,57 @@ ATTRIBUTES = {
     "tool": ("gen_ai.tool.name", "tool.name"),
     "arguments": ("gen_ai.tool.call.arguments", "tool.parameters", "input.value", "gen_ai.tool.description"),
     "operation": ("gen_ai.operation.name",),
+    "prompt": ("gen_ai.prompt", "gen_ai.input.messages", "input.value", "llm.input_messages.0.message.content"),
+    "completion": ("gen_ai.completion", "gen_ai.output.messages", "gen_ai.response.text", "output.value", "llm.output_messages.0.message.content"),
+    "retry": ("retry.count", "gen_ai.request.retry_count"),
 }
+_KNOWN = sorted({n for names in ATTRIBUTES.values() for n in names} | {"service.name"})
 
 
 def _as_map(attributes: Column) -> Column:
-    value = lambda a: F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["doubleValue"].cast("string"), a["value"]["boolValue"].cast("string"))
-    unique = F.filter(attributes, lambda a, i: a["key"].isNotNull() & (F.array_position(F.transform(attributes, lambda b: b["key"]), a["key"]) == i + 1))
-    return F.coalesce(F.map_from_entries(F.transform(unique, lambda a: F.struct(a["key"], value(a)))), F.create_map().cast("map<string,string>"))
+    """The known attributes by name; of a name that is repeated the last value counts, a list is its values joined by commas."""
+    scalar = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
+    value = lambda v: F.coalesce(scalar(v), F.array_join(F.transform(v["arrayValue"]["values"], lambda x: F.coalesce(scalar(x), F.lit(""))), ", "))
+    known = F.reverse(F.filter(attributes, lambda a: a["key"].isin(*_KNOWN)))
+    last = F.filter(known, lambda a, i: F.array_position(F.transform(known, lambda b: b["key"]), a["key"]) == i + 1)
+    return F.coalesce(F.map_from_entries(F.transform(last, lambda a: F.struct(a["key"], value(a["value"])))), F.create_map().cast("map<string,string>"))
 
 
-def spans(bodies: DataFrame) -> DataFrame:
-    """Spans of OTLP bodies (body): agent, model call or tool call, times, tokens and error."""
+def _span_rows(bodies: DataFrame) -> DataFrame:
+    """One row a span of OTLP bodies (body), with what is read from its attributes; an empty text or a zero gives way to the next name."""
     traces = bodies.select(F.explode(F.from_json("body", SPANS)["resourceSpans"]).alias("r"))
     scopes = traces.select(_as_map(F.col("r.resource.attributes")).alias("res"), F.explode("r.scopeSpans").alias("s"))
     rows = scopes.select("res", F.explode("s.spans").alias("x")).select("res", "x", _as_map(F.col("x.attributes")).alias("a"))
     first = lambda name: F.coalesce(*[F.nullif(F.try_element_at("a", F.lit(k)), F.lit("")) for k in ATTRIBUTES[name]])
+    number = lambda name: F.coalesce(*[F.nullif(F.try_element_at("a", F.lit(k)).try_cast("double"), F.lit(0.0)) for k in ATTRIBUTES[name]], F.lit(0.0)).cast("long")
     kind, model = F.upper(F.coalesce(first("span_kind"), F.lit(""))), first("model")
     operation = F.lower(F.coalesce(first("operation"), F.col("x.name"), F.lit("")))
     is_model = (kind == "LLM") | (~kind.rlike("TOOL|RETRIEVER|EMBEDDING") & (model.isNotNull() | operation.rlike("chat|completion|generate")))
     at = lambda c: F.timestamp_micros((F.col(c).cast("decimal(38,0)") / 1000).cast("long")).cast("timestamp_ntz")
-    tokens = lambda name: F.when(is_model, F.coalesce(first(name).cast("double"), F.lit(0.0))).otherwise(0.0).cast("long")
-    agent = first("agent")
+    agent, name = first("agent"), F.nullif(F.col("x.name"), F.lit(""))
     return rows.select(
-        F.concat(F.lit("otel:"), F.coalesce(F.try_element_at("res", F.lit("service.name")), F.lit("otel-agent"))).alias("session_id"), F.col("x.spanId").alias("span_id"),
+        F.concat(F.lit("otel:"), F.coalesce(F.nullif(F.try_element_at("res", F.lit("service.name")), F.lit("")), F.lit("otel-agent"))).alias("session_id"), F.col("x.spanId").alias("span_id"),
         F.when(agent.isNull(), "main").otherwise(F.concat(F.lit("sub:"), agent)).alias("agent_id"), F.when(is_model, "model-call").otherwise("tool-call").alias("kind"), model.alias("model"),
-        F.when(~is_model, F.coalesce(first("tool"), F.col("x.name"), F.lit("span"))).alias("tool"), F.when(~is_model, F.coalesce(first("arguments"), F.lit(""))).alias("arguments"),
-        at("x.startTimeUnixNano").alias("started_at"), at("x.endTimeUnixNano").alias("ended_at"), tokens("tokens_in").alias("tokens_in"), tokens("tokens_out").alias("tokens_out"),
-        F.coalesce(F.col("x.status.code") == 2, F.lit(False)).alias("error"),
+        F.when(~is_model, F.coalesce(first("tool"), name, F.lit("span"))).alias("tool"), F.when(~is_model, F.coalesce(first("arguments"), F.lit(""))).alias("arguments"),
+        at("x.startTimeUnixNano").alias("started_at"), at("x.endTimeUnixNano").alias("ended_at"), F.when(is_model, number("tokens_in")).otherwise(0).alias("tokens_in"), F.when(is_model, number("tokens_out")).otherwise(0).alias("tokens_out"),
+        F.coalesce(F.col("x.status.code") == 2, F.lit(False)).alias("error"), F.when(is_model, first("prompt")).alias("prompt"),
+        F.when(is_model, F.coalesce(first("completion"), F.concat(F.coalesce(F.col("x.name"), F.lit("")), F.lit(" ("), F.coalesce(model, F.lit("LLM")), F.lit(")")))).alias("completion"),
+        F.when(~is_model, F.nullif(number("retry"), F.lit(0))).alias("retry"),
     )
+
+
+def spans(bodies: DataFrame) -> DataFrame:
+    """Spans of OTLP bodies (body): agent, model call or tool call, times, tokens and error."""
+    return _span_rows(bodies).drop("prompt", "completion", "retry")
+
+
+def span_events(bodies: DataFrame) -> DataFrame:
+    """Events of OTLP bodies: a model call's prompt, where it has one, and its completion at the call's end; a tool call with its arguments and retries."""
+    at_end = F.coalesce("ended_at", "started_at")
+    none = F.lit(None)
+    event = lambda kind, ts, text, tool, error, retry: F.struct(F.lit(kind).alias("kind"), ts.alias("ts"), text.alias("text"), tool.cast("string").alias("tool"), error.cast("boolean").alias("error"), retry.cast("long").alias("retry"))
+    said = event("user-text", F.col("started_at"), F.col("prompt"), none, none, none)
+    answer = event("assistant-text", at_end, F.col("completion"), none, F.col("error"), none)
+    call = event("tool-call", F.col("started_at"), F.col("arguments"), F.col("tool"), F.col("error"), F.col("retry"))
+    events = F.when(F.col("kind") == "tool-call", F.array(call)).when(F.col("prompt").isNull(), F.array(answer)).otherwise(F.array(said, answer))
+    return _span_rows(bodies).select("session_id", "span_id", "agent_id", F.posexplode(events).alias("place", "e")).select("session_id", "span_id", "agent_id", "place", "e.*")

@@ -20,18 +20,10 @@ from quillspan.sources import transcripts
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def transcript_stream(spark: SparkSession, path: str, files_a_batch: int = 256) -> DataFrame:
-    """New transcript files under path as lines (source_id, at, value), a bounded number of files a batch."""
-    lines = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_a_batch).text(path)
-    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    return lines.select(F.col("_metadata.file_path").alias("source_id"), at.alias("at"), "value")
-
-
 def unique_events(events: DataFrame) -> DataFrame:
-    """Events (dedupe_key, source_id, ...) without those whose key their source had before; events without a key all stay."""
+    """Events (dedupe_key, source_id, ...) without those whose key their source had before; events without a key all stay and leave no state."""
     keyed = F.coalesce("dedupe_key", F.lit("")) != ""
-    key = F.when(keyed, F.col("dedupe_key")).otherwise(F.expr("uuid()"))
-    return events.withColumn("_key", key).dropDuplicates(["source_id", "_key"]).drop("_key")
+    return events.where(keyed).dropDuplicates(["source_id", "dedupe_key"]).unionByName(events.where(~keyed))
 
 
 _MERGED = "session_id long, agent_id string, message_id string, " + ", ".join(f"{t} long" for t in TOKENS) + ", model string, kind string, reports long"
@@ -75,33 +67,90 @@ def merged_stream(usage: DataFrame) -> DataFrame:
 
 
 _HIGH = ("input", "cache", "cache_write", "output")
+#: How long a source may rest before its counters are given up.
+REST_MS = 30 * 86_400_000
+
 
+class RolloutDeltas(StatefulProcessor):
+    """Reads the narrow rows of a rollout in the order of (generation, offset) and keeps what later rows need: the model
+    last named, the thread that owns the source, and each scope's high-water counter; see counter_deltas for the rules.
 
-class CounterDeltas(StatefulProcessor):
-    """Keeps each scope's high-water counter and model; see counter_deltas for the rules.
+    A new generation starts with nothing. A source that rests for rest_ms leaves only a mark that its counters are gone:
+    should it go on, each scope's next report is a diagnostic that sets the counter anew, so that nothing counts twice."""
 
-    Reports of a scope that come in one batch are taken in order; an earlier report that comes later is a fall."""
+    def __init__(self, rest_ms: int):
+        self.rest_ms = rest_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("high", ", ".join(f"{n} long" for n in _HIGH) + ", model string")
+        self.handle = handle
+        self.source = handle.getValueState("source", "generation long, context string, owner string, given_up boolean, timer long")
+        self.scopes = handle.getMapState("scopes", "scope string", ", ".join(f"{n} long" for n in _HIGH) + ", model string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("at_key", kind="stable")
-        held = self.state.get() if self.state.exists() else None
+        frame = pd.concat(list(rows)).sort_values(["generation", "offset"], kind="stable")
+        generation, context, owner, given_up, timer = self.source.get() if self.source.exists() else (-1, None, None, False, None)
+        text = lambda v: v if isinstance(v, str) and v else None
+        out: list[tuple] = []
+        for own, part in frame.groupby("generation", sort=True):
+            own = int(own)
+            if own < generation:
+                continue
+            if own > generation:
+                generation, context, owner, given_up = own, None, None, False
+                self.scopes.clear()
+            found = []
+            for r in part.to_dict("records"):
+                owner = owner or text(r["owner"])
+                if not r["counted"]:
+                    context = text(r["named"]) or context
+                    continue
+                own_scope = owner or key[0]
+                scope = text(r["thread"]) or own_scope
+                found.append(r | {"scope": scope, "model": text(r["model"]) or (scope == own_scope and context) or "", "at_key": f"{generation:010d}:{int(r['offset']):020d}"})
+            if not found:
+                continue
+            for scope, reports in pd.DataFrame(found).groupby("scope", sort=False):
+                out += self._read(key[0], scope, reports, given_up)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = int(timer_values.getCurrentProcessingTimeInMs()) + self.rest_ms
+        self.handle.registerTimer(timer)
+        self.source.update((generation, context, owner, given_up, timer))
+        out.sort(key=lambda r: r[1])
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in transcripts.DELTA.split(", ")])
+
+    def _read(self, source: str, scope: str, reports: pd.DataFrame, given_up: bool) -> list[tuple]:
+        held = self.scopes.getValue((scope,)) if self.scopes.containsKey((scope,)) else None
         high, model = (tuple(held[:4]), held[4]) if held is not None else (None, None)
-        high, model, out = transcripts.deltas_of(frame, key, high, model)
+        out: list[tuple] = []
+        if given_up and high is None:
+            first = reports.iloc[0]
+            totals = [first[f"total_{c}"] for c in _HIGH]
+            if not any(pd.isna(x) for x in totals):
+                high, model = tuple(int(x) for x in totals), first["model"]
+                out.append((source, first["at_key"], scope, "counter", "", "counter-given-up", 0, 0, 0, 0))
+        high, model, more = transcripts.deltas_of(reports, (source, scope), high, model)
         if high is not None:
-            self.state.update((*high, model))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in transcripts.DELTA.split(", ")])
+            self.scopes.updateValue((scope,), (*high, model))
+        return out + more
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        generation, context, owner, _, _ = self.source.get()
+        self.scopes.clear()
+        self.source.update((generation, context, owner, True, None))
+        yield pd.DataFrame([], columns=[x.split()[0] for x in transcripts.DELTA.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def delta_stream(reports: DataFrame) -> DataFrame:
-    """A stream of counter reports (source_id, scope, at_key, model, counters) as the usage that each adds."""
-    ship(reports.sparkSession)
-    return reports.groupBy("source_id", "scope").transformWithStateInPandas(CounterDeltas(), outputStructType=transcripts.DELTA, outputMode="Append", timeMode="None")
+def delta_stream(lines: DataFrame, rest_ms: int = REST_MS) -> DataFrame:
+    """A stream of rollout lines (source_id, at = generation and offset, value) as the usage that each count adds.
+
+    Sources are keys, so a row's context is read with it; at_key sorts as the rows do."""
+    ship(lines.sparkSession)
+    rows = transcripts.counter_fields(lines).withColumns({"generation": F.col("at.generation").cast("long"), "offset": F.col("at.offset")}).drop("at", "ts")
+    return rows.groupBy("source_id").transformWithStateInPandas(RolloutDeltas(rest_ms), outputStructType=transcripts.DELTA, outputMode="Append", timeMode="ProcessingTime")
 
 
 def running_totals(events: DataFrame) -> DataFrame:

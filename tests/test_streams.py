@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.operators import usage
 from quillspan.plans import base, sources as plans, views
 from quillspan.sources import export, transcripts
-from quillspan.streaming import usage as streams
+from quillspan.streaming import follow, usage as streams
 from tests.conftest import DATA
 
 
@@ -39,16 +39,147 @@ def test_merged_reports_of_a_stream_are_those_of_a_batch(spark, x, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_counters_of_a_stream_are_those_of_a_batch(spark, x, tmp_path):
+@pytest.fixture
+def quiet(spark):
+    """Timers run with batches that have data, so that a query comes to rest."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
-    reports = transcripts.counter_reports(plans._counter_lines(x)).where("source_id < 's14'").drop("ts").withColumn("at_key", F.format_string("%020d/%d", "at.block", "at.line"))
-    want = sorted((r.source_id, r.kind, r.part, r.tokens_in, r.tokens_out) for r in transcripts.counter_deltas(reports.drop("at_key")).collect())
-    # Files by time: what a scope reports later comes in a later batch.
-    for i, part in enumerate((reports.where("at.block < 400"), reports.where("at.block >= 400"))):
-        part.drop("at").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    stream = spark.readStream.schema(reports.drop("at").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    got = run(streams.delta_stream(stream), tmp_path, "append", spark)
-    assert sorted((r.source_id, r.kind, r.part, r.tokens_in, r.tokens_out) for r in got.collect()) == want
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def test_counters_of_growing_files_are_those_of_a_batch(spark, x, quiet, tmp_path):
+    """Rollouts that grow by pieces, cut anywhere, with models, owners and threads, against the batch over the whole files."""
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    lines = plans._counter_lines(x).where("source_id < 's14'").orderBy("source_id", "at").collect()
+    whole: dict[str, list[str]] = {}
+    for r in lines:
+        whole.setdefault(f"rollout-{r.source_id}.jsonl", []).append(r.value)
+    for k, (name, values) in enumerate(sorted(whole.items())):
+        head = [{"type": "turn_context", "payload": {"model": f"named{k}"}}] + [{"type": "session_meta", "payload": {"id": f"t{k}"}}] * (k % 2)
+        plain = [json.loads(v) for v in values]
+        for i, v in enumerate(plain):
+            if i % 3 == 0:
+                del v["payload"]["model"]
+            if i % 11 == 10:
+                v["payload"]["thread_id"] = "other"
+        whole[name] = [*map(json.dumps, head + plain[:5]), "not json", *map(json.dumps, [{"type": "event_msg", "payload": {"type": "model_reroute", "to_model": "rerouted"}}] + plain[5:])]
+    out, check = f"{tmp_path}/out", f"{tmp_path}/check"
+    written = dict.fromkeys(whole, 0)
+    raw = {name: ("\n".join(v) + "\n").encode() for name, v in whole.items()}
+    for step in range(3):
+        for k, (name, data) in enumerate(raw.items()):
+            upto = len(data) if step == 2 else len(data) * (step + 1) // 3 + 7 * k
+            with open(folder / name, "ab") as f:
+                f.write(data[written[name] : upto])
+            written[name] = max(written[name], upto)
+        stream = streams.delta_stream(follow.transcript_stream(spark, str(folder), f"{tmp_path}/journal", maxBytes=20_000, partitionBytes=5000))
+        query = stream.writeStream.foreachBatch(streams.append_once(out)).option("checkpointLocation", check).start()
+        query.processAllAvailable()
+        query.stop()
+    want = transcripts.counter_deltas(transcripts.counter_reports(transcripts.read_lines(spark, str(folder)))).collect()
+    row = lambda r: (r.source_id.split("/")[-1], r.scope.split("/")[-1], r.part, r.model, r.kind, r.tokens_in, r.tokens_cache, r.tokens_out)
+    got = streams.changes(spark, out)
+    assert sorted(map(row, got.collect())) == sorted(map(row, want)) and {r.kind for r in want} >= {"cumulative-delta", "reported-last-call", "incomplete-attribution"}
+    assert got.select("batch").distinct().count() > 3
+    keys = [r.at_key for r in got.where("source_id LIKE '%-s1.jsonl'").orderBy("batch", "at_key").collect()]
+    assert keys == sorted(keys)
+
+
+def test_counters_that_were_given_up_do_not_count_twice(spark, quiet, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    count = lambda n: json.dumps({"type": "event_msg", "payload": {"type": "token_count", "model": "m", "info": {"total_token_usage": {"input_tokens": n, "output_tokens": n}}}}) + "\n"
+    stream = streams.delta_stream(follow.transcript_stream(spark, str(folder), f"{tmp_path}/journal"), rest_ms=1)
+    query = None
+    for name, numbers in (("a", (5, 9)), ("b", (1,)), ("b", (2,)), ("a", (20, 26))):
+        with open(folder / f"rollout-{name}.jsonl", "a") as f:
+            f.write("".join(map(count, numbers)))
+        query = query or stream.writeStream.foreachBatch(streams.append_once(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/check").start()
+        query.processAllAvailable()
+    query.stop()
+    rows = [(r.kind, r.tokens_in) for r in streams.changes(spark, f"{tmp_path}/out").where("source_id LIKE '%-a.jsonl'").orderBy("at_key").collect()]
+    assert rows == [("incomplete-attribution", 5), ("cumulative-delta", 4), ("counter-given-up", 0), ("cumulative-delta", 6)]
+
+
+def followed(spark, tmp_path, **options) -> list[tuple]:
+    """Go on with the stream until nothing is left, and give all rows so far."""
+    lines = follow.transcript_stream(spark, str(tmp_path / "logs"), str(tmp_path / "journal"), **options)
+    query = lines.writeStream.foreachBatch(streams.append_once(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/check").start()
+    query.processAllAvailable()
+    query.stop()
+    rows = streams.changes(spark, f"{tmp_path}/out").collect()
+    return sorted((r.source_id.split("/")[-1], r["at"].generation, r["at"].offset, r.value) for r in rows)
+
+
+def test_lines_of_growing_files_come_once(spark, tmp_path):
+    """Appending, an unfinished line, truncating, replacing, a new file, a restart without new data and one batch run again."""
+    (tmp_path / "logs" / "deep").mkdir(parents=True)
+    a, b = tmp_path / "logs" / "a.jsonl", tmp_path / "logs" / "deep" / "b.jsonl"
+    a.write_bytes(b"one\ntwo\r\nunfin")
+    want = [("a.jsonl", 0, 0, "one"), ("a.jsonl", 0, 4, "two")]
+    assert followed(spark, tmp_path) == want
+    assert followed(spark, tmp_path) == want
+    with open(a, "ab") as f:
+        f.write(b"ished\n\nlast\n")
+    b.write_bytes(b"\xff\n" + b"x" * 90 + b"\n")
+    (tmp_path / "logs" / "c.txt").write_text("no transcript\n")
+    want += [("a.jsonl", 0, 9, "unfinished"), ("a.jsonl", 0, 20, ""), ("a.jsonl", 0, 21, "last"), ("b.jsonl", 0, 0, "\ufffd"), ("b.jsonl", 0, 2, None)]
+    key = lambda r: (*r[:3], str(r[3]))
+    assert followed(spark, tmp_path, maxRecordBytes=80) == sorted(want, key=key)
+    a.write_bytes(b"new\n")
+    b.write_bytes(b"other\n" + b"y" * 200 + b"\n")  # as long or longer: its first bytes tell
+    want += [("a.jsonl", 1, 0, "new"), ("b.jsonl", 1, 0, "other"), ("b.jsonl", 1, 6, None)]
+    got = followed(spark, tmp_path, maxRecordBytes=80)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    # The last batch was written but not confirmed: it is run again from the same plan, though there is more by now.
+    commits = sorted((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    commits[-1].unlink()
+    (tmp_path / "check" / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    with open(a, "ab") as f:
+        f.write(b"more\n")
+    want.append(("a.jsonl", 1, 4, "more"))
+    got = followed(spark, tmp_path, maxRecordBytes=80)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    newest = follow.newest_generation(streams.changes(spark, f"{tmp_path}/out"))
+    assert sorted(r.value or "" for r in newest.collect()) == ["", "more", "new", "other"]
+
+
+def test_batches_of_lines_are_bounded(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    for k in range(4):
+        (tmp_path / "logs" / f"{k}.jsonl").write_text("".join(f"{k} line {i}\n" for i in range(25)))
+    got = followed(spark, tmp_path, maxRecords=30, partitionBytes=50)
+    assert len(got) == 100 and len(set(got)) == 100
+    sizes = [r["count"] for r in streams.changes(spark, f"{tmp_path}/out").groupBy("batch").count().collect()]
+    assert max(sizes) == 30 and len(sizes) == 4
+    reader = follow.GrowingLinesReader({"path": str(tmp_path / "logs"), "journal": str(tmp_path / "j2"), "maxBytes": "100"})
+    offsets = [reader.latestOffset()["plan"] for _ in range(40)]
+    read = [r for p in reader.partitions({"plan": 0}, {"plan": offsets[-1]}) for batch in reader.read(p) for r in batch.to_pylist()]
+    assert len(read) == 100 and offsets[:3] == [1, 2, 3]
+    reader.commit({"plan": offsets[-1]})
+    again = follow.GrowingLinesReader({"path": str(tmp_path / "logs"), "journal": str(tmp_path / "j2")})
+    assert again.latestOffset() == reader.latestOffset() and again.partitions({"plan": offsets[-1]}, again.latestOffset()) == []
+
+
+def test_events_of_growing_files_are_those_of_a_batch(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    said = [{"type": "user", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "user", "content": f"say {k}"}} for k in range(9)]
+    said += [{"type": "assistant", "message": {"id": "m", "role": "assistant", "model": "x", "usage": {"input_tokens": 3}, "content": [{"type": "tool_use", "id": "c", "name": "Read", "input": {"a": 1}}]}}]
+    path = tmp_path / "logs" / "s.jsonl"
+    path.write_text("\n".join(map(json.dumps, said[:4])) + "\n{broken\n")
+    for part in (said[4:7], said[7:]):
+        events = transcripts.message_events(follow.transcript_stream(spark, str(tmp_path / "logs"), str(tmp_path / "journal")))
+        query = events.writeStream.foreachBatch(streams.append_once(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/check").start()
+        query.processAllAvailable()
+        with open(path, "a") as f:
+            f.write("\n".join(map(json.dumps, part)) + "\n")
+        query.processAllAvailable()
+        query.stop()
+    row = lambda r: (r.place, r.agent_id, r.kind, r.text, r.tool, r.tool_use_id)
+    want = transcripts.message_events(transcripts.read_lines(spark, str(tmp_path / "logs"))).collect()
+    assert sorted(map(row, streams.changes(spark, f"{tmp_path}/out").collect()), key=str) == sorted(map(row, want), key=str)
 
 
 def test_totals_duplicates_and_runs(spark, x, tmp_path):
