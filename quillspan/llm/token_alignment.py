@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import read, settle
 
 #: Entries of a worker's cache of stretches, and the longest stretch that is kept there.
-CACHE_STRETCHES = 150_000
+CACHE_STRETCHES = 120_000
 LONG = 48
+#: Stretches that are encoded as one text.
+RUN = 256
 #: Id pairs that are sent to every executor.
 FREQUENT = 1 << 18
 
@@ -69,57 +72,82 @@ class Aligner:
         self.blank = self.b.piece_to_id("▁")
         apart = not any(re.search(r"\S ", p.replace("▁", " ")) for p in pieces)
         self.cut = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*").findall if apart else lambda text: [text]
-        self.cache: dict[str, tuple] = {}
-
-    def _ids(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch(stretches, add_special_tokens=False)]
-        b = self.b.encode([s[1:] for s in stretches], num_threads=1)  # B adds the space itself
-        return a, [[self.blank] if s == " " else ids for s, ids in zip(stretches, b)]
+        ids = range(max(len(self.a_bytes), len(pieces)))
+        self.width = len(ids)
+        self.marked = [f"{mark}{i}" for mark in ",;|" for i in ids]
+        self.fresh: dict[str, tuple] = {}  # the cache: stretches of late, and those before them
+        self.old: dict[str, tuple] = {}
+
+    def _encode(self, runs: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of texts that start with a space."""
+        a = [e.ids for e in self.a.encode_batch_fast(runs, add_special_tokens=False)]
+        b = self.b.encode([s[1:] for s in runs], num_threads=1)  # B adds the space itself
+        return a, [[self.blank] if s == " " else ids for s, ids in zip(runs, b)]
 
     def align(self, stretches: list[str]) -> list[tuple | None]:
-        """(n_a, n_b, n_groups, n_links, groups, id pairs of the links) of each stretch, which starts with a space; None where bytes differ."""
-        a, b = self._ids(stretches)
-        raw = [s.encode() for s in stretches]
-        good = [b"".join([self.a_bytes[i] for i in x]) == r and b"".join([self.b_bytes[i] for i in y]) == r for x, y, r in zip(a, b, raw)]
-        kept = [k for k, g in enumerate(good) if g]
-        out: list[tuple | None] = [None] * len(stretches)
+        """(n_a << 32 | n_b, groups each after a semicolon, id pairs of the links as int64) of each stretch; None where bytes differ.
+
+        Stretches are encoded by runs, since a space after a character that is no white space parts them again."""
+        runs: list[list[str]] = [[]]
+        for s in stretches:
+            if len(runs[-1]) >= RUN or runs[-1] and runs[-1][-1][-1].isspace():
+                runs.append([])
+            runs[-1].append(s)
+        found = dict(self._runs([r for r in runs if r]))
+        return [found.get(s) for s in stretches]
+
+    def _runs(self, runs: list[list[str]]) -> Iterator[tuple[str, tuple]]:
+        if not runs:
+            return
+        texts = list(map("".join, runs))
+        a, b = self._encode(texts)
+        whole = [b"".join(map(self.a_bytes.__getitem__, x)) == b"".join(map(self.b_bytes.__getitem__, y)) == t.encode() for x, y, t in zip(a, b, texts)]
+        yield from self._runs([[s] for run, good in zip(runs, whole) if not good and len(run) > 1 for s in run])
+        kept = [k for k, good in enumerate(whole) if good]
         if not kept:
-            return out
-        flat_a, flat_b = (np.concatenate([np.array(x[k], np.int64) for k in kept]) for x in (a, b))
+            return
+        own = [s for k in kept for s in runs[k]]
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x[k] for k in kept), np.int64) for x in (a, b))
         owner_a, owner_b = np.repeat(np.arange(len(flat_a)), self.a_len[flat_a]), np.repeat(np.arange(len(flat_b)), self.b_len[flat_b])
         new_a, new_b = (np.concatenate([[True], x[1:] != x[:-1]]) for x in (owner_a, owner_b))
-        link = np.flatnonzero(new_a | new_b)
-        cuts = np.flatnonzero(new_a & new_b)
-        pairs = flat_a[owner_a[link]] << 32 | flat_b[owner_b[link]]
-        first = np.concatenate([[0], np.cumsum([len(raw[k]) for k in kept])])
-        link_at, cut_at = np.searchsorted(link, first), np.searchsorted(cuts, first)
-        a_at, b_at = (np.append(x[cuts], len(y)).tolist() for x, y in ((owner_a, flat_a), (owner_b, flat_b)))
-        text_a, text_b = (list(map(str, x.tolist())) for x in (flat_a, flat_b))
-        join = ",".join
-        groups = [f"{join(text_a[a_at[g] : a_at[g + 1]])}|{join(text_b[b_at[g] : b_at[g + 1]])}" for g in range(len(cuts))]
-        for j, k in enumerate(kept):
-            g, h, p, q = cut_at[j], cut_at[j + 1], link_at[j], link_at[j + 1]
-            out[k] = (len(a[k]), len(b[k]), int(h - g), int(q - p), ";".join(groups[g:h]), pairs[p:q].copy())
-        return out
+        link, cuts = np.flatnonzero(new_a | new_b), np.flatnonzero(new_a & new_b)
+        pairs = (flat_a[owner_a[link]] << 32 | flat_b[owner_b[link]]).tobytes()
+        first = np.concatenate([[0], np.cumsum([len(s.encode()) for s in own])])
+        link_at, cut_at = (8 * np.searchsorted(link, first)).tolist(), np.searchsorted(cuts, first)
+        a_at, b_at = np.append(owner_a[cuts], len(flat_a)), np.append(owner_b[cuts], len(flat_b))
+        # The ids in the order of the groups, A's before B's in each, each with the mark before it.
+        group_a, group_b = (np.repeat(np.arange(len(cuts)), np.diff(x)) for x in (a_at, b_at))
+        codes = np.empty(len(flat_a) + len(flat_b), np.int64)
+        codes[np.arange(len(flat_a)) + b_at[group_a]] = flat_a + self.width * np.isin(np.arange(len(flat_a)), a_at)
+        codes[np.arange(len(flat_b)) + a_at[group_b + 1]] = flat_b + 2 * self.width * np.isin(np.arange(len(flat_b)), b_at)
+        shown = list(map(self.marked.__getitem__, codes.tolist()))
+        text_at, number = (a_at + b_at)[cut_at].tolist(), (a_at << 32 | b_at)[cut_at]
+        for s, n, p, q, x, y in zip(own, np.diff(number).tolist(), text_at, text_at[1:], link_at, link_at[1:]):
+            yield s, (n, "".join(shown[p:q]), pairs[x:y])
 
     def texts(self, texts: list[str | None]) -> list[tuple]:
         """The whole texts' numbers, groups and link pairs."""
         split = [self.cut(" " + t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_STRETCHES:
-            self.cache.clear()
-        known = self.cache
-        missing = list({s for some in split for s in some if s not in known})
-        fresh = dict(zip(missing, self.align(missing)))
-        known.update((s, x) for s, x in fresh.items() if len(s) <= LONG)
-        fresh.update((s, known[s]) for some in split for s in some if s not in fresh)
+        if len(self.fresh) > CACHE_STRETCHES:
+            self.fresh, self.old = {}, self.fresh
+        wanted = set().union(*split) - self.fresh.keys()
+        again = wanted & self.old.keys()
+        self.fresh.update((s, self.old[s]) for s in again)
+        missing = list(wanted - again)
+        here = dict(zip(missing, self.align(missing)))
+        self.fresh.update((s, x) for s, x in here.items() if len(s) <= LONG)
+        long = {s: x for s, x in here.items() if len(s) > LONG}
+        find = self.fresh.__getitem__ if not long else lambda s: long[s] if s in long else self.fresh[s]
         out = []
         for some in split:
-            parts = [fresh[s] for s in some]
+            parts = list(map(find, some))
             if not parts or None in parts:
                 out.append(_EMPTY)
                 continue
-            n_a, n_b, n_groups, n_links, groups, pairs = zip(*parts)
-            out.append((sum(n_a), sum(n_b), sum(n_groups), sum(n_links), ";".join(groups), np.concatenate(pairs)))
+            n, groups, pairs = zip(*parts)
+            total, raw = sum(n), b"".join(pairs)
+            groups = "".join(groups)[1:]
+            out.append((total >> 32, total & 0xFFFFFFFF, groups.count("|"), len(raw) // 8, groups, np.frombuffer(raw, np.int64)))
         return out
 
 
