@@ -54,6 +54,11 @@ def catalog(sessions: DataFrame, metadata: DataFrame, totals: DataFrame, labels:
     return out.withColumns({k: F.coalesce(k, F.lit(0)) for k in zero} | flags).withColumn("pricing_known", F.col("observations") > 0).drop("own_project", "name", "project_override")
 
 
+def searched_text() -> Column:
+    """The folded text of a catalog row in which substrings are looked for."""
+    return F.lower(F.concat_ws(" ", "title", "project", "machine_id", "label", "provider", "native_id", F.col("id").cast("string"), "note"))
+
+
 def matches(q: SessionQuery) -> Column:
     keep = F.lit(True)
     for column, value in (("machine_id", q.machine), ("provider", q.provider), ("project", q.project)):
@@ -66,7 +71,7 @@ def matches(q: SessionQuery) -> Column:
     if q.archived is not None:
         keep = keep & (F.col("archived") == q.archived)
     if q.text:
-        keep = keep & F.lower(F.concat_ws(" ", "title", "project", "machine_id", "label", "provider", "native_id", F.col("id").cast("string"), "note")).contains(q.text.lower())
+        keep = keep & searched_text().contains(q.text.lower())
     if q.start:
         keep = keep & (F.col("last_activity") >= F.lit(q.start).cast("timestamp_ntz"))
     if q.end:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -91,10 +94,10 @@ def unsaved_candidates(sessions: DataFrame, events: DataFrame, machine: str | No
     file = ["machine_id", "project", "path", "working_directory"]
     edits = events.where("kind = 'tool-call' AND path IS NOT NULL").join(keys, "session_id").withColumn("working_directory", F.when(absolute, "").otherwise(F.coalesce("working_directory", F.lit(""))))
     touches = edits.groupBy("session_id", *file).agg(F.max("ts").alias("last_touched"))
-    whole = Window.partitionBy(*file)
-    order = whole.orderBy(F.col("last_touched").desc_nulls_last(), "session_id")
-    ranked = touches.withColumns({"sessions": F.count("*").over(whole), "position": F.row_number().over(order)})
-    return ranked.where("position = 1").drop("position")
+    # The latest session of a file, of equal times that with the smallest id; both add up before the shuffle.
+    place = F.struct(F.col("last_touched").isNull().alias("never"), (-F.unix_micros(F.col("last_touched").cast("timestamp"))).alias("ago"), "session_id", "last_touched")
+    files = touches.groupBy(*file).agg(F.min(place).alias("latest"), F.count("*").alias("sessions"))
+    return files.select("latest.session_id", *file, "latest.last_touched", "sessions")
 
 
 def undo_history(events: DataFrame) -> DataFrame:
@@ -117,11 +120,31 @@ def undo_history(events: DataFrame) -> DataFrame:
 
 
 def prior_edits(undone: DataFrame, events: DataFrame, limit: int = 20) -> DataFrame:
-    """The newest edits of the same source before each undo: (undo_seq, seq, path, tool)."""
-    edits = events.where("kind = 'tool-call' AND path IS NOT NULL").select("source_id", F.col("seq").alias("edit_seq"), "path", "tool")
-    rows = undone.where("rule IS NOT NULL").select("source_id", F.col("seq").alias("undo_seq")).join(edits, "source_id").where("edit_seq < undo_seq")
-    order = Window.partitionBy("undo_seq").orderBy(F.desc("edit_seq"))
-    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).select("undo_seq", F.col("edit_seq").alias("seq"), "path", "tool")
+    """The newest edits of the same source before each undo: (undo_seq, seq, path, tool).
+
+    Edits and undos of a source are read as one sorted stream, of which the last edits are held: each row is handled once,
+    however many undos a source has."""
+    rows_of = lambda df, undo, path, tool: df.select("source_id", "seq", F.lit(undo).alias("undo"), path.alias("path"), tool.alias("tool")).where("source_id IS NOT NULL")
+    none = F.lit(None).cast("string")
+    edits = rows_of(events.where("kind = 'tool-call' AND path IS NOT NULL"), False, F.col("path"), F.col("tool"))
+    undos = rows_of(undone.where("rule IS NOT NULL"), True, none, none)
+    stream = edits.unionByName(undos).repartition("source_id").sortWithinPartitions("source_id", "seq", F.desc("undo"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, last = None, deque(maxlen=limit)
+        for batch in batches:
+            out = []
+            for own, seq, undo, path, tool in batch.itertuples(index=False, name=None):
+                if own != source:
+                    source = own
+                    last.clear()
+                if undo:
+                    out += [(seq, *edit) for edit in last]
+                else:
+                    last.append((seq, path, tool))
+            yield pd.DataFrame(out, columns=["undo_seq", "seq", "path", "tool"])
+
+    return stream.mapInPandas(read, "undo_seq long, seq long, path string, tool string")
 
 
 def undo_by_project(undone: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -138,11 +161,18 @@ def undo_summary(undone: DataFrame) -> DataFrame:
 
 
 def secrets_in_files(files: DataFrame) -> DataFrame:
-    """Credentials in written files (path, content): (path, kind, line, fragment), four characters of each at most."""
+    """Credentials in written files (path, content): (path, state, capped, kind, line, fragment), four characters of each at most.
+
+    A file that was not scanned (missing, too large or binary) is one row with its state; a scanned file without findings is none.
+    capped says that the most findings were reached and there may be more. Texts without one of the shapes' beginnings never reach Python."""
     ship(files.sparkSession)
 
-    @pandas_udf("array<struct<kind:string,line:int,fragment:string>>")
-    def secrets_found(text: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "line": n, "fragment": f} for k, n, f in detect.secrets_in(t)[1]] for t in text])
+    @pandas_udf("struct<state:string,capped:boolean,found:array<struct<kind:string,line:int,fragment:string>>>")
+    def scan(text: pd.Series) -> pd.DataFrame:
+        rows = [detect.secrets_in(t if isinstance(t, str) else None) for t in text]
+        return pd.DataFrame({"state": [s for s, _, _ in rows], "capped": [c for _, _, c in rows], "found": [[{"kind": k, "line": n, "fragment": f} for k, n, f in found] for _, found, _ in rows]})
 
-    return files.select("path", F.explode(secrets_found("content")).alias("s")).select("path", "s.*")
+    text = F.col("content")
+    worth = text.isNull() | (F.octet_length(text) > detect.MAX_SCAN) | text.contains("\0") | text.rlike(detect.SECRET_BEGINNINGS)
+    found = files.where(worth).select("path", scan("content").alias("s")).where("s.state <> 'scanned' OR size(s.found) > 0")
+    return found.select("path", "s.state", "s.capped", F.explode_outer("s.found").alias("f")).select("path", "state", "capped", "f.*")

@@ -57,11 +57,14 @@ def align_runs(steps: DataFrame, pairs: DataFrame, most: int = detect.MAX_STEPS)
 
 
 def divergence_pairs(agents: DataFrame) -> DataFrame:
-    """For each failed helper with a distinctive task the latest clean run of the same task in another session.
-
-    agents: session_id, agent_id, task_hash (null: too vague), outcome, ended_at."""
-    bad = agents.where("outcome IN ('failed', 'stalled') AND task_hash IS NOT NULL")
-    culprit = bad.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy(F.when(F.col("outcome") == "failed", 0).otherwise(1), "agent_id"))).where("n = 1")
+    """For the helper of a session that is to blame the latest clean run of the same task in another session.
+
+    To blame is one that failed, else one that stalled, else the only one that was given a task.
+    agents: session_id, agent_id, task_hash (null: no task of its own to tell by), outcome, ended_at."""
+    tasks = agents.where("task_hash IS NOT NULL")
+    blame = F.when(F.col("outcome") == "failed", 0).when(F.col("outcome") == "stalled", 1).otherwise(2)
+    first = tasks.groupBy("session_id").agg(F.min(F.struct(blame.alias("blame"), "agent_id", "task_hash")).alias("c"), F.count("*").alias("helpers"))
+    culprit = first.where("c.blame < 2 OR helpers = 1").select("session_id", "c.agent_id", "c.task_hash")
     good = agents.where("outcome = 'succeeded' AND task_hash IS NOT NULL").groupBy("task_hash", "session_id").agg(F.max(F.struct("ended_at", "agent_id")).alias("g"))
     # Two sessions a task hold the latest run that is not the culprit's own.
     latest = Window.partitionBy("task_hash").orderBy(F.col("g.ended_at").desc_nulls_last(), "session_id")

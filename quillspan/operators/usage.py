@@ -146,58 +146,69 @@ def merged_reports(usage: DataFrame) -> DataFrame:
 COUNTED = ("incomplete-attribution", "cumulative-delta", "reported-last-call")
 
 
-def _counter(path: str) -> Column:
-    return F.get_json_object("evidence", path)
+_COUNTS = "input:string,cache:string,cacheWrite:string,output:string"
 
 
 def counted(usage: DataFrame, sessions: DataFrame, provider: str = "codex") -> DataFrame:
-    """Observations from cumulative counters whose evidence is whole, with their session's identity and the evidence without its offset.
+    """Observations from cumulative counters whose evidence is whole, with their session's identity, the evidence without its offset (same), and its counters c and previous p.
 
     Those of the main agent in its thread's own scope, of a known time, with tokens and without a presence mask; a model is named
     exactly where the kind says that it is known."""
     s = sessions.where(F.col("provider") == provider).select(F.col("id").alias("session_id"), "machine_id", "provider", "native_id", "source_id", "forked_from_id")
-    rows = usage.drop("source_id").join(s, "session_id")
     named = (F.col("model") != "") == (F.col("kind") != "incomplete-attribution")
-    sound = (_counter("$.offset").cast("long") >= 0) & _counter("$.previousCounter").isNotNull() & (_counter("$.counter.output").cast("long") >= 0)
-    keep = (F.col("agent_id") == "main") & (F.col("counter_scope") == F.concat(F.lit("thread:"), "native_id")) & F.col("ts").isNotNull() & (all_tokens() > 0) & (F.size("present") == 0)
+    keep = (F.col("agent_id") == "main") & F.col("ts").isNotNull() & (all_tokens() > 0) & (F.size("present") == 0) & F.col("kind").isin(*COUNTED) & named
+    rows = usage.drop("source_id").where(keep).join(s, "session_id").where(F.col("counter_scope") == F.concat(F.lit("thread:"), "native_id"))
+    e = F.from_json("evidence", f"offset string, counter struct<{_COUNTS}>, previousCounter struct<{_COUNTS}>")
     fields = F.map_filter(F.from_json("evidence", "map<string,string>"), lambda k, _: k != "offset")
-    same = F.to_json(F.array_sort(F.map_entries(fields)))
-    return rows.where(keep & F.col("kind").isin(*COUNTED) & named & sound).withColumn("same", same)
+    numbers = lambda c: F.struct(*[F.coalesce(F.col(f"e.{c}.{n}").try_cast("long"), F.lit(0)).alias(n) for n in ("input", "cache", "cacheWrite", "output")])
+    rows = rows.withColumn("e", e).where((F.col("e.offset").try_cast("long") >= 0) & F.col("e.previousCounter").isNotNull() & (F.col("e.counter.output").try_cast("long") >= 0))
+    return rows.withColumns({"same": F.to_json(F.array_sort(F.map_entries(fields))), "offset": F.col("e.offset").try_cast("long"), "c": numbers("counter"), "p": numbers("previousCounter")}).drop("e")
+
+
+def _value_key(*columns: str) -> Column:
+    """128 bits that stand for the values of some columns."""
+    return F.unhex(F.md5(F.to_json(F.struct(*columns))))
 
 
 def duplicate_usage(usage: DataFrame, sessions: DataFrame, provider: str = "codex") -> DataFrame:
     """Counter observations that another source of the same thread and machine repeats in every value.
 
     One row for each with a twin: the twin's session where there is exactly one, the owner (the smaller session)
-    and the state: matched, or ambiguous from three on."""
-    rows = counted(usage, sessions, provider)
-    value = ["machine_id", "native_id", "ts", "model", "kind", *TOKENS, "same"]
-    groups = rows.groupBy(*value).agg(
-        F.count("*").alias("candidates"), F.min("session_id").alias("owner"), F.max("session_id").alias("other"), F.countDistinct("session_id").alias("n"), F.countDistinct("source_id").alias("sources"),
-    ).where("n > 1 AND sources > 1")
-    out = rows.join(groups, value)
-    twin = F.when((F.col("candidates") == 2) & (F.col("n") == 2), F.when(F.col("session_id") == F.col("owner"), F.col("other")).otherwise(F.col("owner")))
+    and the state: matched, or ambiguous from three on. Values meet by 128 bits of them; only narrow rows are shuffled."""
+    value = ("machine_id", "native_id", "ts", "model", "kind", *TOKENS, "same")
+    rows = counted(usage, sessions, provider).select("id", "session_id", "source_id", _value_key(*value).alias("v"))
+    groups = rows.groupBy("v").agg(
+        F.count("*").alias("candidates"), F.min("session_id").alias("owner"), F.max("session_id").alias("other"), F.min("source_id").alias("s1"), F.max("source_id").alias("s2"),
+    ).where("owner < other AND s1 < s2").drop("s1", "s2")
+    out = rows.join(groups, "v")
+    twin = F.when(F.col("candidates") == 2, F.when(F.col("session_id") == F.col("owner"), F.col("other")).otherwise(F.col("owner")))
     return out.select("id", "session_id", "owner", twin.alias("twin_session"), F.when(twin.isNotNull(), "matched").otherwise("ambiguous").alias("state"))
 
 
-def fork_baselines(usage: DataFrame, sessions: DataFrame, provider: str = "codex") -> DataFrame:
+def fork_baselines(usage: DataFrame, sessions: DataFrame, provider: str = "codex", sources: DataFrame | None = None) -> DataFrame:
     """Forked threads whose first counter is a counter of the thread that they were forked from: (session_id, parent_session, parent_id, tokens, state).
 
-    A child's first counter stands in one or two observations, those whose previous counter is empty: summed up they must be the
-    whole counter. No match means unverified, never independent."""
+    A child's first counter stands in one or two observations of like evidence, an unattributed and a last call, whose previous
+    counter is zero in every part: summed up they must be the whole counter. Where sources (source_id, indexed_offset) are
+    given, both sides must lie inside what was published of their source. No match means unverified, never independent."""
     rows = counted(usage, sessions, provider)
-    number = lambda name: F.coalesce(_counter(f"$.counter.{name}").cast("long"), F.lit(0)).alias(f"c_{name}")
+    if sources is not None:
+        rows = rows.join(sources.select("source_id", "indexed_offset"), "source_id").where("offset < indexed_offset")
     names = ("input", "cache", "cacheWrite", "output")
-    rows = rows.select("*", *map(number, names), (F.coalesce(_counter("$.previousCounter.input").cast("long"), F.lit(0)) + F.coalesce(_counter("$.previousCounter.output").cast("long"), F.lit(0)) == 0).alias("first"))
-    counter = [f"c_{n}" for n in names]
-    first = rows.where("first AND forked_from_id <> '' AND forked_from_id <> native_id").groupBy("session_id", "machine_id", "source_id", "forked_from_id", *counter).agg(
-        F.count("*").alias("parts"), F.countDistinct("kind").alias("kinds"), *[F.sum(t).alias(t) for t in TOKENS], F.min("id").alias("child_id"),
+    zero = F.lit(True)
+    for n in names:
+        zero = zero & (F.col(f"p.{n}") == 0)
+    begins = F.col("kind").isin("incomplete-attribution", "reported-last-call") & (F.col("forked_from_id") != "") & (F.col("forked_from_id") != F.col("native_id"))
+    first = rows.where(zero & begins).groupBy("session_id").agg(
+        F.first("machine_id").alias("machine_id"), F.first("source_id").alias("source_id"), F.first("forked_from_id").alias("forked_from_id"), F.min("c").alias("c"), F.min("same").alias("least"), F.max("same").alias("most"),
+        F.count("*").alias("parts"), F.min("kind").alias("k1"), F.max("kind").alias("k2"), *[F.sum(t).alias(t) for t in TOKENS],
     )
-    whole = (F.col("tokens_in") == F.col("c_input") - F.col("c_cache") - F.col("c_cacheWrite")) & (F.col("tokens_cache") == F.col("c_cache")) & (F.col("tokens_write") == F.col("c_cacheWrite")) & (F.col("tokens_out") == F.col("c_output"))
-    parents = rows.select("machine_id", F.col("native_id").alias("forked_from_id"), *counter, F.col("session_id").alias("parent_session"), F.col("id").alias("parent_id"), F.col("source_id").alias("parent_source"))
-    best = first.where(whole & (F.col("parts") <= 2) & (F.col("parts") == F.col("kinds"))).join(parents, ["machine_id", "forked_from_id", *counter]).where("parent_source <> source_id").groupBy("session_id").agg(F.min(F.struct("parent_session", "parent_id", all_tokens().cast("long").alias("tokens"))).alias("p"))
-    out = first.select("session_id").distinct().join(best, "session_id", "left")
-    return out.select("session_id", "p.parent_session", "p.parent_id", "p.tokens", F.when(F.col("p").isNotNull(), "matched").otherwise("unverified").alias("state"))
+    whole = (F.col("tokens_in") == F.col("c.input") - F.col("c.cache") - F.col("c.cacheWrite")) & (F.col("tokens_cache") == F.col("c.cache")) & (F.col("tokens_write") == F.col("c.cacheWrite")) & (F.col("tokens_out") == F.col("c.output"))
+    alike = (F.col("least") == F.col("most")) & ((F.col("parts") == 1) | (F.col("parts") == 2) & (F.col("k1") != F.col("k2")))
+    parents = rows.select("machine_id", F.col("native_id").alias("forked_from_id"), "c", F.col("session_id").alias("parent_session"), F.col("id").alias("parent_id"), F.col("source_id").alias("parent_source"))
+    best = first.where(whole & alike).join(parents, ["machine_id", "forked_from_id", "c"]).where("parent_source <> source_id").groupBy("session_id").agg(F.min(F.struct("parent_session", "parent_id", all_tokens().cast("long").alias("tokens"))).alias("m"))
+    out = first.select("session_id").join(best, "session_id", "left")
+    return out.select("session_id", "m.parent_session", "m.parent_id", "m.tokens", F.when(F.col("m").isNotNull(), "matched").otherwise("unverified").alias("state"))
 
 
 def select_exclusions(proofs: DataFrame) -> DataFrame:

@@ -95,15 +95,19 @@ register("undo_summary", lambda x: ops.undo_summary(ops.undo_history(_calls(x)))
 
 
 def _written(x):
-    """Files whose content holds a made-up credential in every fifth row."""
+    """Files whose content holds a made-up credential in every fifth row; some are not to be scanned, some hold more than are listed."""
     tail = "Q7mZ2kP9Q7mZ2kP9Q7mZ2kP9Q7mZ2kP9Q7mZ2kP9"
-    content = F.when(F.col("seq") % 5 == 0, F.concat(F.lit("first line\n\nkey AKIA"), F.lit("Q7MZ2KP9R4NT6VW8\n"))).when(F.col("seq") % 5 == 1, F.lit(f"EXAMPLE ghp_{tail[:36]}")).when(F.col("seq") % 5 == 2, F.lit(f"ghp_{tail[:36]}")).otherwise("text")
+    content = (
+        F.when(F.col("seq") % 5 == 0, F.concat(F.lit("first line\n\nkey AKIA"), F.lit("Q7MZ2KP9R4NT6VW8\n"))).when(F.col("seq") % 5 == 1, F.lit(f"EXAMPLE ghp_{tail[:36]}")).when(F.col("seq") % 5 == 2, F.lit(f"ghp_{tail[:36]}"))
+        .when(F.col("seq") % 35 == 3, F.repeat(F.lit("x"), 600_000)).when(F.col("seq") % 35 == 8, F.lit("a\0b")).when(F.col("seq") % 35 == 13, F.repeat(F.lit(f"ghp_{tail[:36]}\n"), 7)).when(F.col("seq") % 35 == 18, F.lit(None)).otherwise("text")
+    )
     return x.events.where("path IS NOT NULL").select(F.concat("path", F.lit("#"), "seq").alias("path"), content.alias("content"))
 
 
 register(
     "secrets_in_files",
     lambda x: ops.secrets_in_files(_written(x)),
-    """SELECT path || '#' || seq AS path, CASE seq % 5 WHEN 0 THEN 'An Amazon Web Services key' ELSE 'A GitHub token' END AS kind, CASE seq % 5 WHEN 0 THEN 3 ELSE 1 END AS line, CASE seq % 5 WHEN 0 THEN 'AKIA…' ELSE 'ghp_…' END AS fragment
-    FROM agent_events WHERE path IS NOT NULL AND seq % 5 IN (0, 2)""",
+    """SELECT path || '#' || seq AS path, CASE seq % 35 WHEN 3 THEN 'too-large' WHEN 8 THEN 'binary' WHEN 18 THEN 'missing' ELSE 'scanned' END AS state, seq % 35 = 13 AS capped, CASE WHEN seq % 5 = 0 THEN 'An Amazon Web Services key' WHEN seq % 35 = 13 OR seq % 5 = 2 THEN 'A GitHub token' END AS kind,
+    CASE WHEN seq % 5 = 0 THEN 3 WHEN seq % 5 = 2 THEN 1 WHEN seq % 35 = 13 THEN k END AS line, CASE WHEN seq % 5 = 0 THEN 'AKIA…' WHEN seq % 35 = 13 OR seq % 5 = 2 THEN 'ghp_…' END AS fragment
+    FROM agent_events JOIN range(1, 6) r(k) ON k = 1 OR seq % 35 = 13 WHERE path IS NOT NULL AND (seq % 5 IN (0, 2) OR seq % 35 IN (3, 8, 13, 18))""",
 )

@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quillspan.functions.columns import flow_role, identity, json_flag, json_type, utc_text
-from quillspan.operators import catalog as ops
+from quillspan.functions.storage import fresh_path
+from quillspan.operators import catalog as ops, index
 from quillspan.operators.catalog import SessionQuery
 from quillspan.plans.base import ALL, BIG, NOW, coverage, now, register
 
@@ -81,6 +82,16 @@ def cat_with_labels(x):
 
 for _name, _text, _keep in (("notes", "see note 3", "contains(lower(note), 'see note 3')"), ("labels", "RACK 8", "length(machine_id) = 8")):
     register(f"sessions_search_{_name}", lambda x, text=_text: cat_with_labels(x).where(ops.matches(SessionQuery(text=text))).select(*_PAGE), f"SELECT {', '.join(_PAGE)} FROM cat WHERE {_keep}")
+
+
+def _by_grams(x, text):
+    """The sessions that contain a text, by the index of their grams."""
+    rows = x.catalog.withColumn("folded", ops.searched_text())
+    grams = index.gram_index(x.spark, fresh_path(x.spark, "grams"), rows.selectExpr("id", "folded AS text"), span=512, buckets=16)
+    return index.containing(grams, rows, F.col("folded"), text).select(*_PAGE)
+
+
+register("sessions_search_indexed", lambda x: _by_grams(x, "RENAMED"), f"SELECT {', '.join(_PAGE)} FROM cat WHERE contains(lower(concat_ws(' ', title, project, machine_id, provider, native_id, id, note)), 'renamed')")
 register("sessions_assigned", lambda x: x.catalog.where(ops.matches(SessionQuery(assignment="assigned", archived=True))).select(*_PAGE), f"SELECT {', '.join(_PAGE)} FROM cat WHERE assignment = 'assigned' AND archived")
 register(
     "sessions_without_evidence",

@@ -4,25 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspan.operators import text as ops
+from quillspan.functions.storage import fresh_path
+from quillspan.operators import index, text as ops
 from quillspan.plans.base import register
 
 _LINE = "' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'), ' ') || ' '"
 register(
     "search_events",
     lambda x: ops.search_events(x.events, 'view "k 5"', after=20, limit=50).select("seq", "session_id", "kind", "text"),
-    f"SELECT seq, session_id, kind, text FROM agent_events WHERE seq > 20 AND contains({_LINE}, ' view ') AND contains({_LINE}, ' k 5 ') ORDER BY seq LIMIT 50",
+    _EVENTS := f"SELECT seq, session_id, kind, text FROM agent_events WHERE seq > 20 AND contains({_LINE}, ' view ') AND contains({_LINE}, ' k 5 ') ORDER BY seq LIMIT 50",
 )
 register(
     "search_events_any",
     lambda x: ops.search_events(x.events, "step1 signup", every=False, kinds=("tool-call", "user-text"), limit=80).select("seq", "session_id", "kind", "text"),
-    f"SELECT seq, session_id, kind, text FROM agent_events WHERE kind IN ('tool-call', 'user-text') AND (contains({_LINE}, ' step1 ') OR contains({_LINE}, ' signup ')) ORDER BY seq LIMIT 80",
+    _ANY := f"SELECT seq, session_id, kind, text FROM agent_events WHERE kind IN ('tool-call', 'user-text') AND (contains({_LINE}, ' step1 ') OR contains({_LINE}, ' signup ')) ORDER BY seq LIMIT 80",
 )
 _WORDS = "w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents)"
 register(
     "related_texts",
     lambda x: ops.related(x.tables.texts.select(F.col("doc_id").alias("id"), "text"), "the license of this work", 20),
-    """SELECT id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 6) AS score FROM (SELECT id, n, t, tf, count(*) OVER (PARTITION BY t) AS df FROM (SELECT id, len(w) AS n, t, count(*) AS tf FROM (SELECT id, w, unnest(w) AS t FROM w)
+    _RELATED := """SELECT id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 6) AS score FROM (SELECT id, n, t, tf, count(*) OVER (PARTITION BY t) AS df FROM (SELECT id, len(w) AS n, t, count(*) AS tf FROM (SELECT id, w, unnest(w) AS t FROM w)
         WHERE t IN ('the', 'license', 'of', 'this', 'work') GROUP BY ALL)), (SELECT count(*) AS docs, avg(len(w)) AS mean FROM w) GROUP BY id ORDER BY score DESC, id LIMIT 20""",
     _WORDS,
 )
@@ -34,14 +35,49 @@ register(
 )
 register(
     "task_search",
-    lambda x: ops.task_search(x.tables.turns.where("role = 'user'").select(F.expr("conv_id * 1000 + turn").alias("id"), F.col("text").alias("task")), "how do they please list the best of them", 25),
-    """SELECT id, round(s / sqrt(n), 6) AS score FROM (SELECT id, n, sum(tf * (ln((docs + 1) / (df + 1)) + 1)) AS s FROM (SELECT *, count(*) OVER (PARTITION BY t) AS df FROM (SELECT id, len(w) AS n, t, count(*) AS tf FROM (SELECT id, w, unnest(w) AS t FROM k) WHERE t IN ('how', 'do', 'they', 'please', 'list', 'best', 'them') GROUP BY ALL)),
+    lambda x: ops.task_search(x.tables.turns.where("role = 'user'").select(F.expr("conv_id * 1000 + turn").alias("id"), F.col("text").alias("task")), "how do they then list no more than the best of them into it, not please", 25),
+    """SELECT id, round(s / sqrt(n), 6) AS score FROM (SELECT id, n, sum(tf * (ln((docs + 1) / (df + 1)) + 1)) AS s FROM (SELECT *, count(*) OVER (PARTITION BY t) AS df FROM (SELECT id, len(w) AS n, t, count(*) AS tf FROM (SELECT id, w, unnest(w) AS t FROM k) WHERE t IN ('how', 'do', 'they', 'list', 'more', 'best', 'them', 'please') GROUP BY ALL)),
         (SELECT count(*) AS docs FROM k) GROUP BY id, n) ORDER BY score DESC, id LIMIT 25""",
-    """k AS (SELECT * FROM (SELECT conv_id * 1000 + turn AS id, list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_.]{1,}'), lambda t: t NOT IN ('the', 'a', 'an', 'and', 'or', 'of', 'to', 'in', 'on', 'for', 'with', 'by', 'from', 'at', 'as', 'is', 'are', 'be', 'it', 'this', 'that')) AS w
+    """k AS (SELECT * FROM (SELECT conv_id * 1000 + turn AS id, list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_.]{1,}'), lambda t: t NOT IN ('the', 'a', 'an', 'and', 'or', 'of', 'to', 'in', 'on', 'for', 'with', 'by', 'from', 'at', 'as', 'is', 'are', 'be', 'it', 'this', 'that', 'into', 'then', 'than', 'not', 'no')) AS w
         FROM conversations WHERE role = 'user') WHERE len(w) > 0)""",
 )
 
 
+
+
+def _indexed(x, docs, **options):
+    return index.text_index(x.spark, fresh_path(x.spark, "index"), docs, **options)
+
+
+def _events_by_index(x, query, every=True, kinds=(), after=0, limit=100):
+    """search_events() by the index of the events' texts."""
+    rows = x.events.where(F.col("kind").isin(*kinds)) if kinds else x.events
+    found = _indexed(x, x.events.select(F.col("seq").alias("id"), "text"), span=512, buckets=16).search(query, every)
+    return rows.where(F.col("seq") > after).join(found.withColumnRenamed("id", "seq"), "seq", "left_semi").orderBy("seq").limit(limit).select("seq", "session_id", "kind", "text")
+
+
+register("search_events_indexed", lambda x: _events_by_index(x, 'view "k 5"', after=20, limit=50), _EVENTS)
+register("search_events_any_indexed", lambda x: _events_by_index(x, "step1 signup", every=False, kinds=("tool-call", "user-text"), limit=80), _ANY)
+register(
+    "related_texts_indexed",
+    lambda x: _indexed(x, x.tables.texts.select(F.col("doc_id").alias("id"), "text"), span=256, buckets=16).best("the license of this work", 20)[0],
+    _RELATED,
+    _WORDS,
+)
+
+
+def _two_segments(x):
+    """The same from two segments that were merged."""
+    docs = x.tables.texts.select(F.col("doc_id").alias("id"), "text")
+    own = _indexed(x, docs.where("id % 3 > 0"), span=256, buckets=16)
+    own.add(docs.where("id % 3 = 0").select("id", ops.tokens(F.col("text")).alias("terms")), 2)
+    own.merge([1, 2], 3)
+    return own.best("the license of this work", 20)[0]
+
+
+register("related_texts_merged", _two_segments, _RELATED, _WORDS)
+
+
 def _delegations(x):
     """User turns as delegated jobs: seven instructions that recur, some too short, some without one."""
     prompt = "concat('Check  part ', turn % 7, ' of the work', CASE WHEN turn % 5 = 0 THEN '' ELSE ' in full detail and report back what you found in it' END)"

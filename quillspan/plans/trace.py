@@ -27,7 +27,8 @@ def _runs(x):
 
 _RUNS = """runs_of AS (SELECT session_id, agent_id, max(ts) AS ended_at, CASE WHEN agent_id = 'main' THEN NULL ELSE 'task' || (session_id % 5) END AS task_hash, CASE WHEN count(*) FILTER (WHERE error) > 2 THEN 'failed' WHEN count(*) FILTER (WHERE error) = 0 THEN 'succeeded' ELSE 'stalled' END AS outcome
     FROM agent_events WHERE agent_id <> '' GROUP BY 1, 2),
-div_pairs AS (SELECT c.session_id AS left_session, c.agent_id AS left_agent, g.session_id AS right_session, g.agent_id AS right_agent FROM (SELECT * FROM runs_of WHERE outcome IN ('failed', 'stalled') AND task_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY outcome, agent_id) = 1) c
+div_pairs AS (SELECT c.session_id AS left_session, c.agent_id AS left_agent, g.session_id AS right_session, g.agent_id AS right_agent FROM (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS helpers FROM runs_of WHERE task_hash IS NOT NULL) WHERE outcome IN ('failed', 'stalled') OR helpers = 1
+        QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY CASE outcome WHEN 'failed' THEN 0 WHEN 'stalled' THEN 1 ELSE 2 END, agent_id) = 1) c
     JOIN (SELECT * FROM runs_of WHERE outcome = 'succeeded' AND task_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task_hash, session_id ORDER BY ended_at DESC NULLS LAST, agent_id DESC) = 1) g ON g.task_hash = c.task_hash AND g.session_id <> c.session_id
     QUALIFY row_number() OVER (PARTITION BY c.session_id, c.agent_id ORDER BY g.ended_at DESC NULLS LAST, g.session_id) = 1)"""
 register("divergence_pairs", lambda x: ops.divergence_pairs(_runs(x)), "SELECT * FROM div_pairs", _RUNS)

@@ -107,11 +107,12 @@ register("duplicate_usage", lambda x: ops.duplicate_usage(_counters(x), _threads
 register(
     "fork_baselines",
     lambda x: ops.fork_baselines(_counters(x), _threads(x), "beta"),
-    f"""SELECT session_id, m.parent_session, m.parent_id, CAST(m.tokens AS BIGINT) AS tokens, CASE WHEN m.session_id IS NULL THEN 'unverified' ELSE 'matched' END AS state FROM (SELECT DISTINCT session_id FROM {_SOUND} WHERE first AND forked_from_id <> '') LEFT JOIN
-    (SELECT c.session_id, arg_min(p.session_id, struct_pack(s := p.session_id, i := p.id)) AS parent_session, arg_min(p.id, struct_pack(s := p.session_id, i := p.id)) AS parent_id, arg_min(c.total, struct_pack(s := p.session_id, i := p.id)) AS tokens
-        FROM (SELECT *, count(*) OVER (PARTITION BY session_id, tokens_in + tokens_cache + tokens_write, tokens_cache, tokens_write, tokens_out) AS parts FROM {_SOUND} WHERE first AND forked_from_id <> '') c JOIN {_SOUND} p ON p.native_id = c.forked_from_id
-        AND p.tokens_in + p.tokens_cache + p.tokens_write = c.tokens_in + c.tokens_cache + c.tokens_write AND p.tokens_cache = c.tokens_cache AND p.tokens_write = c.tokens_write AND p.tokens_out = c.tokens_out WHERE c.parts = 1 GROUP BY 1) m USING (session_id)""",
+    f"""SELECT session_id, m.parent_session, m.parent_id, CAST(m.total AS BIGINT) AS tokens, CASE WHEN m.session_id IS NULL THEN 'unverified' ELSE 'matched' END AS state FROM (SELECT session_id FROM forks) LEFT JOIN
+    (SELECT f.session_id, any_value(f.total) AS total, arg_min(p.session_id, struct_pack(s := p.session_id, i := p.id)) AS parent_session, arg_min(p.id, struct_pack(s := p.session_id, i := p.id)) AS parent_id
+        FROM forks f JOIN {_SOUND} p ON p.native_id = f.forked_from_id AND p.tokens_in + p.tokens_cache + p.tokens_write = c_in AND p.tokens_cache = c_cache AND p.tokens_write = c_write AND p.tokens_out = c_out WHERE parts = 1 GROUP BY 1) m USING (session_id)""",
     _COUNTERS,
+    f"""forks AS (SELECT session_id, any_value(forked_from_id) AS forked_from_id, count(*) AS parts, min(tokens_in + tokens_cache + tokens_write) AS c_in, min(tokens_cache) AS c_cache, min(tokens_write) AS c_write, min(tokens_out) AS c_out, sum(total) AS total
+        FROM {_SOUND} WHERE first AND kind <> 'cumulative-delta' AND forked_from_id <> '' GROUP BY session_id)""",
 )
 _PROOFS = lambda x: ops.select_exclusions(ops.duplicate_usage(_counters(x), _threads(x), "beta").where("state = 'matched' AND session_id <> owner").selectExpr("id", "concat(substring_index(id, '/', 1)) AS owner_id"))
 register("usage_exclusions", _PROOFS, "SELECT id, split_part(id, '/', 1) AS owner_id FROM duplicates WHERE state = 'matched' AND session_id <> owner AND contains(id, '/')", _COUNTERS, _DUPLICATES)
