@@ -4,15 +4,15 @@ Sources in code point order, null last, weigh 3, 1, 2 and so on, and share ``sha
 target stops at ``most`` times its source's size and the excess is shared again by weight until none is
 above. The targets are votes: blocks of ``block`` words go to the highest quotients votes / (2 k - 1),
 ties to the earlier source. A source's documents are dealt into shards by a seeded hash, and its blocks
-are apportioned to the shards by their words in the same way. Inside a shard the documents stand in a
-seeded order and form one stream of words, cut into blocks. A quota of a whole stream or more takes all of it, once or
-twice; of the rest, blocks are selected one by one: a seeded permutation of the block numbers, n -> (a n + c) mod
-blocks with a prime a, puts exactly the quota's number of blocks first. Each document can tell its own blocks, so
-selection needs no sort and no join.
+are apportioned by their words in the same way to bundles of ``bundle`` shards, and a bundle's to its shards. Inside a
+shard the documents stand in a seeded order and form one stream of words, cut into blocks. A quota of a whole stream or
+more takes all of it, once or twice; of the rest, the blocks with the smallest seeded hashes are selected, exactly as many as
+the quota has. A shard's row keeps the last hash that is selected, so that each document can tell its own blocks.
 
-A source however large is cut into up to ``max_shards`` shards, so no window holds more than one
-shard's documents. Of the quotients only those are made that can be among the last seats, about three
-for each source or shard: divisors n / 2 seats above and below bracket the result.
+Shards have about ``shard_words`` words however large a source is, so no window holds more than one shard's documents, one
+bundle's shards or one source's bundles. Of the quotients only those are made that can be among the last seats, about
+three for each source, bundle or shard: divisors n / 2 seats above and below bracket the result. The level of the
+targets is found by rounds over the sources, each one sum: sources above their cap leave, and the rest share what is left.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source; repeated
 rows are taken one by one; a null doc_id hashes as the empty text; an empty table gives an empty result;
@@ -28,9 +28,7 @@ from .common import SPACE, WORD, let, read, settle, words
 
 #: Fixed weights of the sources in order.
 WEIGHTS = (3, 1, 2)
-SHARE, MOST, BLOCK, SHARD_WORDS, MAX_SHARDS, SEED = 1.5, 2, 64, 65536, 4096, "mix-1"
-#: Fixed primes of the permutations; a shard has fewer blocks.
-PRIMES = (1000000007, 1000000009, 1000000021, 1000000033)
+SHARE, MOST, BLOCK, SHARD_WORDS, BUNDLE, SEED = 1.5, 2, 64, 65536, 2048, "mix-1"
 
 
 def with_size(docs: DataFrame) -> DataFrame:
@@ -48,18 +46,18 @@ def _hash(seed: str) -> Column:
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """_source, source_size, target of each source in sized (source, size)."""
     sources = sized.groupBy(_source_key().alias("_source")).agg(F.sum("size").alias("source_size"))
-    by_name, whole = Window.orderBy("_source"), Window.partitionBy()
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
-    sources = sources.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * most)
-    by_ratio = Window.orderBy(F.col("_cap") / F.col("_w"), "_source")
-    upto, onward = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    left = F.sum("source_size").over(whole) * F.lit(share) - F.coalesce(F.sum("_cap").over(upto), F.lit(0))
-    sources = sources.withColumn("_level", left / F.sum("_w").over(onward))
-    free = F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_cap") / F.col("_w"))
-    # The first source in ratio order that its share leaves below the cap fixes the level for all.
-    sources = sources.withColumn("_level", F.min_by("_level", free).over(whole))
-    target = F.least(F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap").cast("double")), F.col("_cap").cast("double"))
-    return sources.select("_source", "source_size", target.alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(Window.orderBy("_source")) - 1) % len(weights) + 1)
+    sources = settle(sources.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * most), "mix-weights")
+    level = None
+    while True:
+        below = F.lit(True) if level is None else F.col("_w") * level <= F.col("_cap")
+        row = sources.agg(F.sum("source_size").alias("all"), F.sum(F.when(below, F.col("_w"))).alias("w"), F.coalesce(F.sum(F.when(~below, F.col("_cap"))), F.lit(0)).alias("full")).first()
+        reached = (row.all * share - row.full) / row.w if row.w else level  # sums of whole numbers: exact, in any order
+        if reached == level:
+            break
+        level = reached
+    cap = F.col("_cap").cast("double")
+    return sources.select("_source", "source_size", (cap if level is None else F.least(F.col("_w") * level, cap)).alias("target"))
 
 
 def apportion(parts: DataFrame, group: list[str], key: str, votes: str, seats: str) -> DataFrame:
@@ -78,35 +76,41 @@ def apportion(parts: DataFrame, group: list[str], key: str, votes: str, seats: s
     return out.select(*parts.columns, "_seats")
 
 
-def quotas(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, shard_words=SHARD_WORDS, max_shards=MAX_SHARDS, seed=SEED) -> tuple[DataFrame, DataFrame]:
-    """(sources, shards) for sized (doc_id, source, size): targets and shard counts; words of each shard's quota."""
+def quotas(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, shard_words=SHARD_WORDS, bundle=BUNDLE, seed=SEED) -> tuple[DataFrame, DataFrame]:
+    """(sources, shards) for sized (doc_id, source, size): targets and shard counts; of each shard its words, its quota and the last hash of its selected blocks."""
     sources = targets(sized, weights, share, most).withColumn("_all", F.lit(0))
     sources = sources.withColumn("_blocks", F.round(F.sum("target").over(Window.partitionBy("_all")) / block).cast("long"))
     blocks = apportion(sources, ["_all"], "_source", "target", "_blocks").select("_source", "_seats")
-    shards_of = F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long")
+    shards_of = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
     sources = sources.select("_source", "source_size", "target", shards_of.alias("_shards")).join(blocks, "_source", "left").fillna({"_seats": 0})
     sources = settle(sources, "mix-sources")
     parts = _with_shard(sized, sources, seed).groupBy("_source", "_shard").agg(F.sum("size").alias("_words"), F.first("_seats").alias("_blocks"))
-    quota = F.least(F.col("_seats") * block, F.col("_words") * most)
-    shards = apportion(parts, ["_source"], "_shard", "_words", "_blocks").select("_source", "_shard", "_words", quota.alias("_quota"))
-    return sources, shards
+    parts = settle(parts.withColumn("_bundle", F.floor(F.col("_shard") / bundle).cast("long")), "mix-parts")
+    bundles = parts.groupBy("_source", "_bundle").agg(F.sum("_words").alias("_words"), F.first("_blocks").alias("_blocks"))
+    bundles = apportion(bundles, ["_source"], "_bundle", "_words", "_blocks").select("_source", "_bundle", F.col("_seats").alias("_blocks"))
+    shards = apportion(parts.drop("_blocks").join(bundles, ["_source", "_bundle"]), ["_source", "_bundle"], "_shard", "_words", "_blocks")
+    shards = shards.withColumn("_quota", F.least(F.col("_seats") * block, F.col("_words") * most))
+    wanted = F.round((F.col("_quota") % F.col("_words")) / block).cast("int")
+    hashes = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_words") / block).cast("long") - 1), lambda b: _block_hash(b, seed))
+    last = F.when(wanted > 0, F.get(F.sort_array(hashes), wanted - 1))
+    return sources, settle(shards.select("_source", "_shard", "_words", "_quota", last.alias("_last")), "mix-shards")
 
 
 def _with_shard(sized: DataFrame, sources: DataFrame, seed: str) -> DataFrame:
     """Sources are few beside documents; as the join's smaller side they are not shuffled with a hot key."""
     out = sized.withColumn("_source", _source_key()).withColumn("_h", _hash(seed)).join(sources, "_source")
-    return out.withColumn("_shard", F.pmod(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), F.col("_shards")))
+    return out.withColumn("_shard", F.pmod(F.conv(F.substring("_h", 1, 15), 16, 10).cast("long"), F.col("_shards")))
+
+
+def _block_hash(b: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed + ":"), F.col("_source"), F.lit(":"), F.col("_shard").cast("string"), F.lit(":"), b.cast("string")))
 
 
 def _selected(block: int = BLOCK, seed: str = SEED) -> Column:
-    """The blocks of its shard's stream that a document with _start, _end, _words and _quota shares with the selection."""
-    blocks = F.ceil(F.col("_words") / block).cast("long")
-    wanted = F.round((F.col("_quota") % F.col("_words")) / block).cast("long")
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), "_source", F.lit(":"), F.col("_shard").cast("string"))), 1, 8), 16, 10).cast("long")
-    prime = F.element_at(F.array(*map(F.lit, PRIMES)), (h % len(PRIMES) + 1).cast("int"))
+    """The blocks of its shard's stream that a document with _start, _end and _last shares with the selection."""
     own = F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block))
-    mine = F.filter(own, lambda b: F.pmod(b * prime + h, blocks) < wanted)
-    return F.when((F.col("_end") > F.col("_start")) & (wanted > 0), mine).otherwise(F.array().cast("array<bigint>"))
+    mine = F.filter(own, lambda b: _block_hash(b, seed) <= F.col("_last"))
+    return F.when((F.col("_end") > F.col("_start")) & F.col("_last").isNotNull(), mine).otherwise(F.array().cast("array<bigint>"))
 
 
 def mix(sized: DataFrame, sources: DataFrame, shards: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
@@ -163,18 +167,24 @@ rounds AS (
         (1.5 * (sum(source_size) OVER ()) - coalesce(sum(2 * source_size) FILTER (WHERE f) OVER (), 0)) / (sum(w) FILTER (WHERE NOT f) OVER ()) END
     FROM (SELECT *, at_cap OR level * w > 2 * source_size AS f FROM rounds WHERE i < 60)),
 t AS (SELECT s, source_size, CASE WHEN at_cap THEN CAST(2 * source_size AS DOUBLE) ELSE least(level * w, CAST(2 * source_size AS DOUBLE)) END AS target,
-    least({MAX_SHARDS}, greatest(1, CAST(ceil(source_size / {SHARD_WORDS}) AS BIGINT))) AS shards FROM rounds WHERE i = 60),
+    greatest(1, CAST(ceil(source_size / {SHARD_WORDS}) AS BIGINT)) AS shards FROM rounds WHERE i = 60),
 q AS (SELECT s, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, s) AS r, round((SELECT sum(target) FROM t) / {BLOCK}) AS seats
     FROM (SELECT s, target, unnest(range(1, CAST(target / {BLOCK} AS BIGINT) + 3)) AS k FROM t WHERE target > 0)),
 b AS (SELECT t.*, coalesce(c, 0) AS blocks FROM t LEFT JOIN (SELECT s, count(*) AS c FROM q WHERE r <= seats GROUP BY s) USING (s)),
-e AS (SELECT d.*, source_size, target, blocks, CAST('0x' || substr(h, 1, 8) AS BIGINT) % shards AS shard FROM d JOIN b USING (s)),
-p AS (SELECT s, shard, CAST(sum(size) AS BIGINT) AS words, max(blocks) AS blocks FROM e GROUP BY s, shard),
-pq AS (SELECT s, shard, blocks, row_number() OVER (PARTITION BY s ORDER BY words / (2 * k - 1) DESC, shard) AS r
-    FROM (SELECT s, shard, words, blocks, unnest(range(1, blocks + 3)) AS k FROM p WHERE words > 0)),
+e AS (SELECT d.*, source_size, target, blocks, CAST('0x' || substr(h, 1, 15) AS BIGINT) % shards AS shard FROM d JOIN b USING (s)),
+p0 AS (SELECT s, shard, shard // {BUNDLE} AS bundle, CAST(sum(size) AS BIGINT) AS words, max(blocks) AS blocks FROM e GROUP BY s, shard),
+u AS (SELECT s, bundle, sum(words) AS words, max(blocks) AS blocks FROM p0 GROUP BY s, bundle),
+uq AS (SELECT s, bundle, blocks, row_number() OVER (PARTITION BY s ORDER BY words / (2 * k - 1) DESC, bundle) AS r FROM (SELECT s, bundle, words, blocks, unnest(range(1, blocks + 3)) AS k FROM u WHERE words > 0)),
+ub AS (SELECT s, bundle, count(*) AS blocks FROM uq WHERE r <= blocks GROUP BY s, bundle),
+p AS (SELECT p0.s, p0.shard, p0.bundle, p0.words, coalesce(ub.blocks, 0) AS blocks FROM p0 LEFT JOIN ub USING (s, bundle)),
+pq AS (SELECT s, shard, blocks, row_number() OVER (PARTITION BY s, bundle ORDER BY words / (2 * k - 1) DESC, shard) AS r
+    FROM (SELECT s, shard, bundle, words, blocks, unnest(range(1, blocks + 3)) AS k FROM p WHERE words > 0)),
 z AS (SELECT p.s, p.shard, p.words, least({BLOCK} * coalesce(c, 0), 2 * p.words) AS quota FROM p LEFT JOIN (SELECT s, shard, count(*) AS c FROM pq WHERE r <= blocks GROUP BY s, shard) USING (s, shard)),
 f AS (SELECT e.*, words, quota, sum(size) OVER (PARTITION BY e.s, e.shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS fin FROM e JOIN z ON e.s = z.s AND e.shard = z.shard),
-g AS (SELECT *, CAST(ceil(words / {BLOCK}) AS BIGINT) AS blocks_of, CAST(round((quota % words) / {BLOCK}) AS BIGINT) AS wanted, CAST('0x' || substr(md5('{SEED}:' || s || ':' || shard), 1, 8) AS BIGINT) AS k FROM f)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN words = 0 THEN 0 ELSE (quota // words) * size + CASE WHEN size = 0 OR wanted = 0 THEN 0 ELSE coalesce(list_sum(list_transform(
-    list_filter(range(CAST((fin - size) // {BLOCK} AS BIGINT), CAST((fin - 1) // {BLOCK} + 1 AS BIGINT)), lambda b: (b * {list(PRIMES)}[k % {len(PRIMES)} + 1] + k) % blocks_of < wanted),
+y AS (SELECT *, CASE WHEN words > 0 AND round((quota % words) / {BLOCK}) > 0 THEN
+    list_sort(list_transform(range(CAST(ceil(words / {BLOCK}) AS BIGINT)), lambda b: md5('{SEED}:' || s || ':' || shard || ':' || b)))[CAST(round((quota % words) / {BLOCK}) AS BIGINT)] END AS last FROM z),
+g AS (SELECT f.*, y.last FROM f JOIN y ON f.s = y.s AND f.shard = y.shard)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN words = 0 THEN 0 ELSE (quota // words) * size + CASE WHEN size = 0 OR last IS NULL THEN 0 ELSE coalesce(list_sum(list_transform(
+    list_filter(range(CAST((fin - size) // {BLOCK} AS BIGINT), CAST((fin - 1) // {BLOCK} + 1 AS BIGINT)), lambda b: md5('{SEED}:' || s || ':' || shard || ':' || b) <= last),
     lambda b: least(fin, (b + 1) * {BLOCK}) - greatest(fin - size, b * {BLOCK}))), 0) END END AS BIGINT) AS taken FROM g
 """
