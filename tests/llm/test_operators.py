@@ -312,6 +312,31 @@ def test_seats_go_to_the_highest_quotients(spark):
     assert got == want
 
 
+def test_mix_of_many_bundles_and_shards(spark):
+    """Small shards and bundles: quotas add up, blocks are as many as the quota has, and are spread over the stream."""
+    docs = spark.createDataFrame([(i, "ab"[i % 7 == 0], 1 + i * 37 % 90) for i in range(3000)], "doc_id long, source string, size long")
+    settings = dict(block=8, shard_words=500, bundle=16)
+    sources, shards = source_mix.quotas(docs, **settings)
+    rows = source_mix.mix(docs, sources, shards, block=8).collect()
+    size, target = {}, {}
+    for r in rows:
+        size[r.source] = r.source_size
+        target[r.source] = r.target
+        assert r.taken <= 2 * r["size"]
+    whole = 1.5 * sum(size.values())
+    assert target == {"a": whole * 3 / 4, "b": whole / 4} if 3 * whole / 4 <= 2 * size["a"] and whole / 4 <= 2 * size["b"] else sum(target.values()) == whole
+    quota = {r._source[1:]: r.q for r in shards.groupBy("_source").agg(F.sum("_quota").alias("q")).collect()}
+    taken = {s: sum(r.taken for r in rows if r.source == s) for s in size}
+    n_shards = {r._source[1:]: r.n for r in shards.groupBy("_source").agg(F.count("*").alias("n")).collect()}
+    assert max(n_shards.values()) > 100
+    for s in size:
+        assert abs(quota[s] - target[s]) <= target[s] / 500 and abs(taken[s] - quota[s]) <= 8 * n_shards[s]
+    spans = [x["at"] for r in rows for x in r._spans]
+    assert len(spans) > 500
+    apart = [b for r in rows if len(r._spans) > 2 for b in {y["at"] - x["at"] for x, y in zip(r._spans, r._spans[1:])}]
+    assert len(set(apart)) > 3  # no lattice
+
+
 def test_language_held_out_accuracy(spark):
     folder = DATA.replace("0.001", "0.01")
     got = language_id.op6(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").where("held_out AND lang IS NOT NULL AND length(text) > 40").toPandas()
@@ -343,9 +368,23 @@ def test_every_turn_is_a_message(spark, odd, tmp_path):
 
 
 def test_quality_cascade_orders_by_rejection_per_cost(spark):
+    """Rules of known work and rejection: one text in two has an x, one in five a y, one in ten a z."""
+    texts = [" ".join(f"w{i}{k}" for k in range(60)) + " " + "x" * (i % 2 == 0) + "y" * (i % 5 == 0) + "z" * (i % 10 == 0) for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rule = quality_rules.Rule
+    rules = (rule("half", "text LIKE '%x%'", "100"), rule("fifth", "text LIKE '%y%'", "10"), rule("tenth", "text LIKE '%z%'", "1000"), rule("none", "false", "7"), rule("never", "false", "7"), rule("cheap", "false", "1"), rule("text", "text LIKE '%y%'", "length(text)"))
+    ranked = quality_rules.order_rules(docs, rules)
+    mean = sum(map(len, texts)) / 100
+    assert [(r.name, c, s) for r, c, s in ranked] == [("fifth", 10.0, 0.2), ("half", 100.0, 0.5), ("text", mean, 0.2), ("tenth", 1000.0, 0.1), ("cheap", 1.0, 0.0), ("never", 7.0, 0.0), ("none", 7.0, 0.0)]
+    assert quality_rules.order_rules(docs.repartition(3), rules[::-1]) == ranked
+    got = {r.doc_id: r.failed_rule for r in quality_rules.quality_rules(docs, rules).collect()}
+    assert got == {i: "fifth" if i % 5 == 0 else "half" if i % 2 == 0 else None for i in range(100)}
+
+
+def test_quality_order_is_the_same_in_every_run(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    ranked = quality_rules.order_rules(docs)
-    assert [s / c for _, c, s in ranked] == sorted((s / c for _, c, s in ranked), reverse=True)
+    orders = [[r.name for r, _, _ in quality_rules.order_rules(d, sample_rows=40)] for d in (docs, docs.repartition(7), docs.orderBy("text").coalesce(2))]
+    assert orders[0] == orders[1] == orders[2]
     a, b = (quality_rules.quality_rules(docs, rules).where("kept").count() for rules in (quality_rules.RULES, quality_rules.RULES[::-1]))
     assert a == b
 
@@ -610,6 +649,41 @@ def test_odd_rows_have_their_values(spark, odd):
     )
 
 
+def languages_by_hand(docs) -> dict[int, str]:
+    """The documents that the language stage keeps, with their languages: the least out-of-place distance, of a score near that of learned texts."""
+    import zlib
+    from collections import Counter
+
+    profiles: dict[str, Counter] = {}
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and r.text is not None:
+            profiles.setdefault(r.lang, Counter()).update(grams_by_hand(r.text))
+    tables = {lang: {g: i for i, g in enumerate(ranks_by_hand(c))} for lang, c in profiles.items()}
+    size, guessed = language_id.PROFILE_SIZE, {}
+    for r in docs:
+        own = ranks_by_hand(Counter(grams_by_hand(r.text)))
+        far = {lang: sum(abs(t[g] - i) if g in t else size for i, g in enumerate(own)) for lang, t in tables.items()}
+        if own:
+            best = min(far, key=lambda lang: (far[lang], lang))
+            guessed[r.doc_id] = best, 1 - min(1.0, far[best] / (size * len(own)))
+    # Accepted: at least half the median score of the learned texts of that language that are guessed right.
+    right: dict[str, list[float]] = {}
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and guessed.get(r.doc_id, ("", 0))[0] == r.lang:
+            right.setdefault(r.lang, []).append(guessed[r.doc_id][1])
+    least = {lang: max(0.1, sorted(x)[(len(x) - 1) // 2] / 2) for lang, x in right.items()}
+    return {i: lang for i, (lang, score) in guessed.items() if score >= least.get(lang, 0.1)}
+
+
+def mix_by_sql(docs):
+    """(doc_id, taken) of some documents by the query's SQL."""
+    con = connect(DATA)
+    con.execute("DROP VIEW documents")
+    con.register("own_documents", docs.toPandas())
+    con.execute("CREATE VIEW documents AS SELECT * FROM own_documents")
+    return con.execute(f"SELECT doc_id, taken FROM ({source_mix.ORACLE_SQL})")
+
+
 def test_pipeline_stages_by_brute_force(spark):
     """Each stage on its own input against a plain version of its rule."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select(*corpus_pipeline.COLUMNS)
@@ -619,14 +693,12 @@ def test_pipeline_stages_by_brute_force(spark):
     want = {r[0] for r in con.execute(f"SELECT doc_id FROM ({quality_rules.rules_sql('documents')}) WHERE kept").fetchall()}
     assert {r.doc_id for r in kept.collect()} == want
     spoken = stages["language ID"](spark, kept, DATA).cache()
-    by_lang = {r.doc_id: r.lang_pred for r in language_id.language_id(kept).collect()}
-    assert {r.doc_id: r.lang for r in spoken.collect()} == {i: p for i, p in by_lang.items() if p != "und"}
+    assert {r.doc_id: r.lang for r in spoken.collect()} == languages_by_hand(kept.collect())
     alone = stages["MinHash near-dedup"](spark, spoken, DATA).cache()
     groups = components_by_brute_force({r.doc_id: r.text for r in spoken.collect()}, 5)
     assert sorted(r.doc_id for r in alone.collect()) == sorted(i for i, c in groups.items() if i == c)
     mixed = stages["mixing sources to target weights"](spark, alone, DATA).cache()
-    sized = source_mix.with_size(alone).drop("text")
-    taken = {r.doc_id: r.taken for r in source_mix.mix(sized, *source_mix.quotas(sized)).collect() if r.taken}
+    taken = {r[0]: r[1] for r in mix_by_sql(alone).fetchall() if r[1]}
     words: dict[int, int] = {}
     for r in mixed.collect():
         words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.encode().split())
