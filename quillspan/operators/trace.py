@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from quillspan.functions import detect
 from quillspan.functions.columns import flow_role, flow_tool, model_tier
+from quillspan.functions.strict import strict_variant
 from quillspan.functions.workers import ship
 
 #: Fixed file names and messages of the hook evidence.
@@ -183,6 +184,42 @@ def model_hook_summary(usage: DataFrame) -> DataFrame:
     return per.groupBy(state.alias("state")).agg(F.count("*").alias("sessions"), F.sum("unknown").cast("long").alias("observations"))
 
 
+def spawned_children(results: DataFrame) -> DataFrame:
+    """results (provider_kind: messages or rollout, record, call_id, native_id, agent_id, ...) with child_native_id and child_state, read from the raw result record.
+
+    A record must be the call's own: of its kind, its session, its caller and its call, with no other call's result beside it
+    (source-record-mismatch). The child's id must stand in the structured result (unsupported-result): never in prose. An object
+    that repeats a key is no object."""
+    ship(results.sparkSession)
+    kind_of = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    is_object = lambda v: kind_of(v).startswith("OBJECT")
+    text = lambda v, path: F.when(kind_of(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+    equals = lambda a, b: F.coalesce(a == b, F.lit(False))
+    r = F.col("_r")
+    rows = results.withColumn("_r", strict_variant(F.col("record")))
+    rows = rows.withColumn("_blocks", F.try_variant_get(r, "$.message.content", "array<variant>"))
+    outer = is_object(r) & (F.coalesce("call_id", F.lit("")) != "")
+    # A message: one tool result, of this call, and beside it the structured result.
+    theirs = equals(text(r, "$.type"), F.lit("user")) & equals(text(r, "$.sessionId"), F.nullif("native_id", F.lit(""))) & equals(F.coalesce(F.nullif(text(r, "$.agentId"), F.lit("")), F.lit("main")), F.col("agent_id"))
+    results_in = F.filter("_blocks", lambda b: equals(text(b, "$.type"), F.lit("tool_result")))
+    readable = is_object(F.try_variant_get(r, "$.message", "variant")) & F.col("_blocks").isNotNull() & (F.size("_blocks") <= 4096) & F.forall("_blocks", is_object)
+    only = (F.size(results_in) == 1) & equals(text(F.get(results_in, 0), "$.tool_use_id"), F.col("call_id"))
+    message_child = text(r, "$.toolUseResult.agentId")
+    # A rollout: the call's output, an object or the text of one.
+    output = F.coalesce(strict_variant(text(r, "$.payload.output")), F.try_variant_get(r, "$.payload.output", "variant"))
+    rows = rows.withColumn("_output", F.when(F.col("provider_kind") == "rollout", output))
+    own = equals(text(r, "$.type"), F.lit("response_item")) & equals(text(r, "$.payload.type"), F.lit("function_call_output")) & equals(text(r, "$.payload.call_id"), F.col("call_id"))
+    rollout = F.col("provider_kind") == "rollout"
+    child = F.when(rollout, text(F.col("_output"), "$.agent_id")).otherwise(message_child)
+    sound = (child != "") & (F.octet_length(child) <= 512) & ~child.contains("\0") & ~child.contains("\ufffd")
+    state = (
+        F.when(~outer | F.when(rollout, ~own).otherwise(~theirs), "source-record-mismatch").when(~rollout & ~readable, "unsupported-result").when(~rollout & ~only, "source-record-mismatch")
+        .when(F.coalesce(sound, F.lit(False)), "known").otherwise("unsupported-result")
+    )
+    out = rows.withColumn("child_state", state).withColumn("child_native_id", F.when(F.col("child_state") == "known", child))
+    return out.drop("_r", "_blocks", "_output")
+
+
 def delegation_children(spawns: DataFrame, sessions: DataFrame) -> DataFrame:
     """The child session of each spawn call (seq, session_id, span_state, child_native_id): only structured ids count.
 
@@ -195,7 +232,7 @@ def delegation_children(spawns: DataFrame, sessions: DataFrame) -> DataFrame:
     rows = spawns.join(parents, "session_id", "left").join(twins, [*who, "parent"], "left").join(children, [*who, "parent", "child_native_id"], "left")
     state = (
         F.when(F.col("span_state") != "matched", F.concat(F.lit("call-result-"), "span_state"))
-        .when(F.coalesce("child_native_id", F.lit("")) == "", "missing-child-identity")
+        .when(F.coalesce("child_native_id", F.lit("")) == "", F.coalesce("child_state", F.lit("missing-child-identity")) if "child_state" in spawns.columns else F.lit("missing-child-identity"))
         .when(F.coalesce("parent", F.lit("")) == "", "missing-parent-identity")
         .when(F.col("parents") > 1, "ambiguous-parent")
         .when(F.col("children").isNull(), "child-not-indexed-or-parent-mismatch")

@@ -6,9 +6,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from quillspan.functions.columns import flow_role, identity, json_flag, json_type, utc_text
+from quillspan.functions.columns import all_tokens, flow_role, identity, json_flag, json_type, utc_text
 from quillspan.functions.storage import fresh_path
-from quillspan.operators import catalog as ops, index
+from quillspan.operators import catalog as ops, index, upkeep
 from quillspan.operators.catalog import SessionQuery
 from quillspan.plans.base import ALL, BIG, NOW, coverage, now, register
 
@@ -43,6 +43,24 @@ register("catalog_totals_machine", lambda x: ops.totals(x.catalog, SessionQuery(
 _GROUPED = f"count(*) AS sessions, max(last_activity) AS latest, {BIG(ALL, 'tokens')}, round(sum(cost_estimate), 2) AS cost_estimate FROM cat GROUP BY 1"
 register("catalog_projects", lambda x: ops.grouped(x.catalog, "project"), f"SELECT project AS key, {_GROUPED}")
 register("catalog_machines", lambda x: ops.grouped(x.catalog, "machine_id"), f"SELECT machine_id AS key, {_GROUPED}")
+
+
+def _by_changes(x):
+    """catalog_machines by changes: an older catalog lacks some sessions, has others with other numbers and some that go; the change is applied twice, and what came first is folded."""
+    new = x.catalog.select("id", "machine_id", "last_activity", all_tokens().cast("decimal(38,12)").alias("tokens"), F.col("cost_estimate").cast("decimal(38,12)").alias("cost"))
+    other = F.col("id") % 5 == 0
+    old = new.where("id % 7 > 0").withColumns({"tokens": F.when(other, F.col("tokens") + 17).otherwise(F.col("tokens")), "cost": F.when(other, F.col("cost") * 2).otherwise(F.col("cost")), "machine_id": F.when(F.col("id") % 11 == 0, "elsewhere").otherwise(F.col("machine_id"))})
+    gone = new.where("id % 3 = 0").withColumns({"id": F.col("id") + 10**12, "last_activity": F.col("last_activity") + F.expr("INTERVAL 9 YEARS")})
+    old = old.unionByName(gone)
+    totals = upkeep.SignedTotals(x.spark, fresh_path(x.spark, "totals"), ("machine_id",), ("tokens", "cost"), "last_activity")
+    totals.apply(upkeep.signed(new.limit(0), old, "id"), 0)
+    totals.apply(upkeep.signed(old, new, "id"), 1)
+    totals.apply(upkeep.signed(old, new, "id"), 1)
+    totals.fold(0)
+    return totals.totals().select(F.col("machine_id").alias("key"), F.col("n").alias("sessions"), F.col("last_activity").alias("latest"), F.col("tokens").cast("long").alias("tokens"), F.round(F.col("cost").cast("double"), 2).alias("cost_estimate"))
+
+
+register("catalog_machines_by_changes", _by_changes, f"SELECT machine_id AS key, {_GROUPED}")
 register("ranked_projects", lambda x: ops.ranked_projects(x.catalog), f"SELECT project AS key, {_GROUPED} ORDER BY sessions DESC, latest DESC NULLS LAST, key LIMIT 100")
 register("source_only_machines", lambda x: ops.source_only_machines(x.tables.sources, x.catalog), "SELECT DISTINCT machine_id FROM log_sources WHERE machine_id NOT IN (SELECT machine_id FROM cat)")
 register(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspan.functions import detect
-from quillspan.operators import spans, trace as ops
+from quillspan.operators import assembly, spans, trace as ops
 from quillspan.plans.base import AGENTS, NOW, TIER, now, register
 
 
@@ -167,3 +167,43 @@ register(
     "spawns AS (SELECT session_id, 'c' || lpad(CAST(seq AS VARCHAR), 9, '0') AS call_id, CASE WHEN seq % 5 = 1 THEN 'agent-' || (seq % 3) ELSE '' END AS child_id, ts FROM agent_events WHERE kind = 'tool-call' AND seq % 3 > 0)",
     "exact AS (SELECT h.session_id, h.agent_id, arg_min(s.call_id, struct_pack(t := coalesce(s.ts, TIMESTAMP '0001-01-01'), c := s.call_id)) AS call_id FROM helpers h JOIN spawns s ON s.session_id = h.session_id AND s.child_id <> '' AND starts_with(h.agent_id, s.child_id) GROUP BY 1, 2)",
 )
+
+
+def _results(x):
+    """Tool calls with the records of their results: well formed ones, other calls' and sessions', repeated keys at several depths, JSON in a text, and prose."""
+    record = """CASE seq % 11
+        WHEN 0 THEN concat('{"type":"user","sessionId":"n', session_id, '","message":{"content":[{"type":"text","text":"x"},{"type":"tool_result","tool_use_id":"c', seq, '"}]},"toolUseResult":{"agentId":"a', seq, '"}}')
+        WHEN 1 THEN concat('{"type":"user","sessionId":"n', session_id, '","message":{"content":[{"type":"tool_result","tool_use_id":"c', seq, '"},{"type":"tool_result","tool_use_id":"c', seq, '"}]},"toolUseResult":{"agentId":"a"}}')
+        WHEN 2 THEN concat('{"type":"user","sessionId":"other","message":{"content":[{"type":"tool_result","tool_use_id":"c', seq, '"}]},"toolUseResult":{"agentId":"a"}}')
+        WHEN 3 THEN concat('{"type":"user","sessionId":"n', session_id, '","message":{"content":[{"type":"tool_result","tool_use_id":"c', seq, '"}]},"toolUseResult":{"agentId":"a","agentId":"b"}}')
+        WHEN 4 THEN concat('{"type":"user","sessionId":"n', session_id, '","message":{"content":[{"type":"tool_result","tool_use_id":"c', seq, '","note":{"k":1,"k":2}}]},"toolUseResult":{"agentId":"a', seq, '"}}')
+        WHEN 5 THEN concat('{"type":"user","type":"user","sessionId":"n', session_id, '"}')
+        WHEN 6 THEN concat('{"type":"response_item","payload":{"type":"function_call_output","call_id":"c', seq, '","output":"{\\\\"agent_id\\\\":\\\\"t', seq, '\\\\"}"}}')
+        WHEN 7 THEN concat('{"type":"response_item","payload":{"type":"function_call_output","call_id":"c', seq, '","output":{"agent_id":"t', seq, '"}}}')
+        WHEN 8 THEN concat('{"type":"response_item","payload":{"type":"function_call_output","call_id":"c', seq, '","output":"{\\\\"agent_id\\\\":\\\\"t\\\\",\\\\"agent_id\\\\":\\\\"u\\\\"}"}}')
+        WHEN 9 THEN concat('{"type":"response_item","payload":{"type":"function_call_output","call_id":"c', seq, '","output":"the agent is t9"}}')
+        ELSE concat('{"type":"response_item","payload":{"type":"function_call_output","call_id":"d', seq, '","output":{"agent_id":"t"}}}') END"""
+    return x.events.where("kind = 'tool-call'").selectExpr("seq", "session_id", "concat('c', seq) AS call_id", "concat('n', session_id) AS native_id", "'main' AS agent_id", "CASE WHEN seq % 11 < 6 THEN 'messages' ELSE 'rollout' END AS provider_kind", f"{record} AS record")
+
+
+register(
+    "spawned_children",
+    lambda x: ops.spawned_children(_results(x)).select("seq", "session_id", "child_state", "child_native_id"),
+    """SELECT seq, session_id, CASE WHEN seq % 11 IN (0, 4, 6, 7) THEN 'known' WHEN seq % 11 IN (1, 2, 5, 10) THEN 'source-record-mismatch' ELSE 'unsupported-result' END AS child_state,
+    CASE WHEN seq % 11 IN (0, 4) THEN 'a' || seq WHEN seq % 11 IN (6, 7) THEN 't' || seq END AS child_native_id FROM agent_events WHERE kind = 'tool-call'""",
+)
+
+
+def _files(x):
+    """Each session's events as those of a main file and two helpers' files; some have no time, many the same."""
+    events = x.events.selectExpr("seq", "session_id", "concat('f', session_id, '-', seq % 3) AS source_id", "struct(seq AS line) AS at", "0 AS place", "agent_id", "CASE WHEN seq % 17 > 0 THEN date_trunc('hour', ts) END AS ts")
+    files = events.select("source_id", "session_id").distinct().selectExpr("source_id", "session_id", "CASE WHEN source_id LIKE '%-0' THEN 'main' ELSE 'subagent' END AS kind", "concat('sub:', source_id) AS agent_id")
+    return events.drop("session_id"), files
+
+
+register(
+    "assembled_sessions",
+    lambda x: assembly.assemble(*_files(x)).selectExpr("seq", "session_id", "agent_id", "global_seq"),
+    """SELECT seq, session_id, CASE WHEN seq % 3 = 0 THEN agent_id ELSE 'sub:f' || session_id || '-' || (seq % 3) END AS agent_id,
+    row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN seq % 17 > 0 THEN date_trunc('hour', ts) END NULLS LAST, seq % 3 > 0, seq % 3, seq) - 1 AS global_seq FROM agent_events""",
+)

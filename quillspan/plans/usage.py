@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspan.operators import usage as ops
+from quillspan.operators import upkeep, usage as ops
 from quillspan.plans.base import ALL, BIG, TOKEN_SUMS, coverage, register
 
 _KEYS = {
@@ -29,6 +29,18 @@ register(
     lambda x: ops.grouped_usage(x.all_priced, x.identities, "model", "alpha", F.lit("1996-01-01").cast("timestamp_ntz"), F.lit("1997-01-01").cast("timestamp_ntz")),
     _GROUPS("model", "ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1997-01-01'"),
 )
+
+
+def _half_stale(x, by):
+    """Usage by a dimension from parts of which every second session's are of an older revision, with other numbers."""
+    old = F.col("session_id") % 2 == 0
+    parts = upkeep.usage_parts(x.all_priced).withColumns({"revision": F.when(old, F.col("revision") - 1).otherwise(F.col("revision")), "tokens_in": F.when(old, F.col("tokens_in") * 2).otherwise(F.col("tokens_in"))})
+    covered = upkeep.projections(x.identities).withColumn("revision", F.when(old, F.col("revision") - 1).otherwise(F.col("revision")))
+    return upkeep.grouped_by_parts(upkeep.current_parts(parts, covered, x.all_priced, x.identities), x.identities, by)
+
+
+for _by in upkeep.PART_DIMENSIONS:
+    register(f"usage_by_{_by}_from_parts", lambda x, by=_by: _half_stale(x, by), _GROUPS(_KEYS[_by]))
 register("usage_by_day_next_page", lambda x: ops.groups_after(ops.grouped_usage(x.all_priced, x.identities, "day", "alpha"), "1994-06-01"), f"SELECT * FROM ({_GROUPS(_KEYS['day'])}) WHERE key > '1994-06-01' ORDER BY key LIMIT 100")
 
 register(

@@ -153,6 +153,38 @@ def delta_stream(lines: DataFrame, rest_ms: int = REST_MS) -> DataFrame:
     return rows.groupBy("source_id").transformWithStateInPandas(RolloutDeltas(rest_ms), outputStructType=transcripts.DELTA, outputMode="Append", timeMode="ProcessingTime")
 
 
+_SIGNED = "key string, sign int, value string"
+
+
+class Versions(StatefulProcessor):
+    """Keeps the current version of each key and gives, for every change, the version that goes (-1) and the one that comes (+1).
+
+    Rows are versions by number; a row of a smaller number than the current one comes too late and changes nothing. A row
+    without a value deletes its key; its number stays, so that an older version cannot bring it back."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("version", "number long, value string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        number, value = self.state.get() if self.state.exists() else (-1, None)
+        before = value
+        for n, v in sorted(((int(n), v if isinstance(v, str) else None) for frame in rows for n, v in zip(frame["number"], frame["value"])), key=lambda x: x[0]):
+            if n >= number:
+                number, value = n, v
+        self.state.update((number, value))
+        out = [(key[0], s, v) for s, v in ((-1, before), (1, value)) if v is not None] if before != value else []
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in _SIGNED.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def change_stream(versions: DataFrame) -> DataFrame:
+    """A stream of versions (key, number, value: JSON, null to delete) as signed values, for SignedTotals.apply() batch by batch."""
+    ship(versions.sparkSession)
+    return versions.groupBy("key").transformWithStateInPandas(Versions(), outputStructType=_SIGNED, outputMode="Append", timeMode="None")
+
+
 def running_totals(events: DataFrame) -> DataFrame:
     """Counts of events, calls and errors by session and agent, kept up to date as events come (update mode)."""
     return events.groupBy("session_id", "agent_id").agg(

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.operators import usage
+from quillspan.operators import upkeep, usage
 from quillspan.plans import base, sources as plans, views
 from quillspan.sources import export, transcripts
 from quillspan.streaming import follow, usage as streams
@@ -197,6 +197,58 @@ def test_totals_duplicates_and_runs(spark, x, tmp_path):
     assert have <= want and len(want) - len(have) <= 1  # the last run may still go on
 
 
+def test_totals_follow_a_stream_of_changes(spark, x, tmp_path):
+    """Inserts, revisions, deletions and late versions, batches run twice, against the totals of what is left."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    cat = x.catalog.where("id < 400").select(F.col("id").cast("string").alias("key"), "machine_id", F.round("cost_estimate", 6).alias("cost"), "tokens_in", F.date_format("last_activity", "yyyy-MM-dd HH:mm:ss").alias("last"))
+    value = F.to_json(F.struct("machine_id", "cost", "tokens_in", "last"))
+    final = cat.select("key", F.lit(5).cast("long").alias("number"), F.when(F.col("key") % 5 > 0, value).alias("value"))
+    first = cat.withColumns({"tokens_in": F.col("tokens_in") + 3, "machine_id": F.when(F.col("key") % 3 == 0, "old").otherwise(F.col("machine_id")), "last": F.lit("2999-01-01 00:00:00")}).select("key", F.lit(1).cast("long").alias("number"), value.alias("value"))
+    late = first.withColumn("number", F.lit(2).cast("long"))
+    for k, part in enumerate((first.where("key % 4 < 3"), final, late.where("key % 2 = 0"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    totals = upkeep.SignedTotals(spark, f"{tmp_path}/totals", ("machine_id",), ("tokens_in", "cost"), "last")
+
+    def write(batch, number):
+        rows = batch.select("sign", F.from_json("value", "machine_id string, cost decimal(38,12), tokens_in decimal(38,0), last string").alias("v")).select("sign", "v.*").persist()
+        totals.apply(rows, number)
+        totals.apply(rows, number)
+
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = streams.change_stream(stream).writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    left = cat.where("key % 5 > 0").groupBy("machine_id").agg(F.count("*").alias("n"), F.sum("tokens_in").alias("t"), F.sum(F.col("cost").cast("decimal(38,12)")).alias("c"), F.max("last").alias("last"))
+    row = lambda r, t, c: (r.machine_id, r.n, int(t), None if c is None else round(float(c), 4), r.last)
+    want = sorted(row(r, r.t, r.c) for r in left.collect())
+    assert sorted(row(r, r.tokens_in, r.cost) for r in totals.totals().collect()) == want
+    totals.fold(1)
+    assert sorted(row(r, r.tokens_in, r.cost) for r in totals.totals().collect()) == want
+
+
+def test_rebuilt_tables_are_verified_in_steps(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id", "concat('v', id % 97) AS v", "CASE WHEN id % 3 > 0 THEN id END AS w")
+    left, right, same = (f"{tmp_path}/{n}" for n in ("left", "right", "same"))
+    upkeep.write_ranged(rows, left, "id")
+    upkeep.write_ranged(rows.orderBy(F.desc("id")).repartition(3), same, "id")
+    planted = rows.where("id <> 17").withColumn("w", F.when(F.col("id") == 2500, 1).otherwise(F.col("w"))).unionByName(spark.createDataFrame([(9000, "v", None)], "id long, v string, w long"))
+    upkeep.write_ranged(planted, right, "id")
+    read = spark.read.parquet
+    assert upkeep.unequal_ranges(upkeep.digests(read(left)), upkeep.digests(read(same))) == ([], 1)
+    ranges, compared = upkeep.unequal_ranges(upkeep.digests(read(left)), upkeep.digests(read(right)))
+    assert 1 <= len(ranges) <= 3 and compared <= 1 + 16 + 3 * 16
+    found = {(r.id, r.state) for r in upkeep.differences(read(left), read(right), "id", ranges).collect()}
+    assert found == {(17, "only-left"), (2500, "changed"), (9000, "only-right")}
+    check = upkeep.Verification(spark, left, same, f"{tmp_path}/progress")
+    assert check.step(100) and not check.passed()
+    again = upkeep.Verification(spark, left, same, f"{tmp_path}/progress")  # broken off and taken up
+    path = str(tmp_path / "g")
+    publish = lambda: streams.publish(rows, path, 1)
+    assert len(again.left_over()) == 156 and not upkeep.publish_verified(again, publish)
+    assert not again.step(200) and again.passed() and upkeep.publish_verified(again, publish) and streams.current(spark, path).count() == 4000
+    other = upkeep.Verification(spark, left, right, f"{tmp_path}/progress2")
+    assert not other.step(256) and not other.passed() and not upkeep.publish_verified(other, publish)
+
+
 def test_transcripts_of_files(spark, tmp_path):
     """One message on three lines counts once, and cumulative counters are not added up from last calls."""
     folder = tmp_path / "logs"
