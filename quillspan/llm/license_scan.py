@@ -2,7 +2,8 @@
 
 Units. A header is a line with one of the telling words; it is scored by itself and together with the line after it,
 for notices that wrap. A file whose name says so (LICENSE, COPYING and the like) is scored as a whole, too. Each
-distinct unit is scored once against every template: one-line notices and full licence texts.
+distinct unit is scored once against every template: one-line notices, longer notices and full licence texts, each version
+a template of its own.
 
 Terms are lower-cased runs of letters and digits; idf = ln((1 + N) / (1 + df)) + 1 over the N templates, where a
 term that no template has counts with df = 0. A unit's licence is that of the template of highest cosine, if
@@ -18,6 +19,8 @@ rows; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +41,9 @@ TEMPLATES = {
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright, dedicated to the public domain under CC0 1.0.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -69,6 +74,9 @@ as such, and must not be misrepresented as being the original software. 3. This
 binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the
 public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and
 future rights to this software under copyright law.""",
+}
+#: Fixed notices that files carry in place of the full text.
+LONG_NOTICES = {
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License
 for the specific language governing permissions and limitations under the License.""",
@@ -78,9 +86,14 @@ General Public License for more details. You should have received a copy of the
 }
 
 
+#: Full texts as their stewards publish them, one file each.
+TEXT_FOLDER = Path(__file__).resolve().parent / "licenses"
+
+
 def template_rows() -> list[tuple[str, str, str]]:
     """(name, variant, text) of all templates."""
-    return [(k, "notice", v) for k, v in sorted(TEMPLATES.items())] + [(k, "full", v) for k, v in sorted(FULL_TEXTS.items())]
+    rows = [(k, variant, v) for variant, texts in (("notice", TEMPLATES), ("full", FULL_TEXTS), ("long notice", LONG_NOTICES)) for k, v in sorted(texts.items())]
+    return rows + [(f.stem, "text", f.read_text(encoding="utf-8")) for f in sorted(TEXT_FOLDER.glob("*.txt"))]
 
 
 def _terms(text: Column) -> Column:

@@ -301,6 +301,19 @@ def test_mixed_documents_hold_the_words_that_are_taken(spark):
     assert parts and {k: v for k, v in plan.items() if v} == got
 
 
+def test_whole_license_texts_keep_their_versions(spark):
+    """Each steward's text, whole and with its beginning and end cut off under another copyright line, is its own licence; folders below inherit it."""
+    texts = {f.stem: f.read_text() for f in sorted(license_scan.TEXT_FOLDER.glob("*.txt"))}
+    assert {"GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Apache-2.0", "CC0-1.0"} <= set(texts)
+    rows = [(f"{name}/LICENSE", text) for name, text in texts.items()] + [(f"cut/{name}/COPYING.txt", "Copyright (c) 2020 Somebody\n" + text[200:-400]) for name, text in texts.items()]
+    rows += [(f"{name}/src/a.c", "int x;") for name in texts] + [("m/LICENSE", "MIT License\n\nCopyright (c) 2020\n\n" + license_scan.FULL_TEXTS["MIT"]), ("x/a.c", "This work is licensed under the GNU General Public License, version 2.\n")]
+    templates = spark.createDataFrame(license_scan.template_rows(), "name string, variant string, text string")
+    got = {r.path: (r.license, r.origin) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string"), templates).collect()}
+    for name in texts:
+        assert got[f"{name}/LICENSE"] == got[f"cut/{name}/COPYING.txt"] == (name, "own") and got[f"{name}/src/a.c"] == (name, "inherited")
+    assert got["m/LICENSE"] == ("MIT", "own") and got["x/a.c"] == ("GPL-2.0", "own")
+
+
 def test_seats_go_to_the_highest_quotients(spark):
     votes = [5, 3, 1, 0, 91, 3, 17]
     rows = spark.createDataFrame([(0, i, v, 40) for i, v in enumerate(votes)], "g int, i int, v long, s long")
