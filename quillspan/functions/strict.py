@@ -1,8 +1,8 @@
 """Strict reading of JSON text: an object that names a key twice says two things, and is taken for no object.
 
-Spark's VARIANT refuses a text with a repeated key at any depth. Most texts have none and are read by it alone. Of the rest a
-scan of the tokens keeps the place of the fault: each object with a repeated key, or with too many keys, becomes null,
-and what stands around it can still be read.
+Spark's VARIANT refuses a text with a repeated key at any depth, and takes one that goes on after its value. A scan of the
+tokens keeps the place of a fault: each object with a repeated key, or with too many keys, becomes null, and what stands
+around it can still be read; a text that is not exactly one value is none.
 """
 
 from __future__ import annotations
@@ -18,43 +18,43 @@ from pyspark.sql.functions import pandas_udf
 MOST_BYTES, MOST_KEYS = 8 << 20, 4096
 
 
-def _object(pairs: list[tuple]) -> dict | None:
-    found = dict(pairs)
-    return found if len(found) == len(pairs) <= MOST_KEYS else None
-
-
 def _no_number(name: str):
     raise ValueError(name)
 
 
-def strict_json(text: str | None) -> str | None:
-    """The text with null for each object that repeats a key; None where it is not one JSON value."""
+def strict_json(text: str | None) -> tuple[str | None, bool | None]:
+    """The text with null for each object that repeats a key, and whether there is one; None where it is not one JSON value."""
     if not isinstance(text, str) or len(text.encode("utf-8", "surrogatepass")) > MOST_BYTES:
+        return None, None
+    faults = []
+
+    def read_object(pairs: list[tuple]) -> dict | None:
+        found = dict(pairs)
+        if len(found) == len(pairs) <= MOST_KEYS:
+            return found
+        faults.append(len(pairs))
         return None
+
     try:
-        value = json.loads(text, object_pairs_hook=_object, parse_constant=_no_number, parse_float=str)
-        return json.dumps(value)
+        return json.dumps(json.loads(text, object_pairs_hook=read_object, parse_constant=_no_number)), bool(faults)
     except (ValueError, RecursionError):
-        return None
+        return None, None
 
 
-def strict_variant(text: Column) -> Column:
-    """A JSON text as VARIANT, objects with repeated keys as null; null for what is no JSON."""
+def _scanned(text: Column) -> Column:
+    @pandas_udf("struct<json:string,repeated:boolean>")
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        rows = [strict_json(t) for t in texts]
+        return pd.DataFrame({"json": pd.Series([j for j, _ in rows], dtype=object), "repeated": pd.Series([r for _, r in rows], dtype=object)})
 
-    @pandas_udf("string")
-    def scanned(texts: pd.Series) -> pd.Series:
-        return pd.Series([strict_json(t) for t in texts], dtype=object)
+    return scan(text)
 
-    plain = F.try_parse_json(text)
-    return F.coalesce(plain, F.try_parse_json(scanned(F.when(plain.isNull(), text))))
+
+def strict_variant(text: Column) -> Column:
+    """A JSON text as VARIANT, objects with repeated keys as null; null for what is no JSON."""
+    return F.try_parse_json(_scanned(text)["json"])
 
 
 def repeated_fields(text: Column) -> Column:
     """Whether a JSON text repeats a key somewhere; null for what is no JSON."""
-
-    @pandas_udf("string")
-    def scanned(texts: pd.Series) -> pd.Series:
-        return pd.Series([strict_json(t) for t in texts], dtype=object)
-
-    plain = F.try_parse_json(text)
-    return F.when(plain.isNotNull(), False).when(scanned(F.when(plain.isNull(), text)).isNotNull(), True)
+    return _scanned(text)["repeated"]

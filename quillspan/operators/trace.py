@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quillspan.functions import detect
+from quillspan.functions import detect, permissions
 from quillspan.functions.columns import flow_role, flow_tool, model_tier
 from quillspan.functions.strict import strict_variant
 from quillspan.functions.workers import ship
@@ -288,13 +288,7 @@ def recent_calls(calls: DataFrame, limit: int = 400) -> DataFrame:
 
 def permission_preview(calls: DataFrame, rule: str) -> DataFrame:
     """recent_calls() with whether a permission rule covers each; null where the rule's form does not decide."""
-    ship(calls.sparkSession)
-
-    @pandas_udf("boolean")
-    def covers(tool: pd.Series, kind: pd.Series, argument: pd.Series) -> pd.Series:
-        return pd.Series([detect.permission_covers(rule, t or "", k, a) for t, k, a in zip(tool, kind, argument)], dtype="boolean")
-
-    return calls.withColumn("covered", covers("tool", "argument_kind", "argument"))
+    return calls.withColumn("covered", permissions.covers(rule, F.col("tool"), F.col("argument_kind"), F.col("argument")))
 
 
 def rule_report(clauses: list[tuple[str, str, str]], events: DataFrame, agents: DataFrame, least: int = 3) -> DataFrame:
