@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.columns import TOKENS, all_tokens, coverage_state, monday
+from quillspan.functions.strict import strict_variant
+from quillspan.functions.workers import ship
 
 PROJECTION = ["source_id", "generation", "revision"]
 NEVER_PRICED = ("incomplete-attribution", "message-partial")
@@ -256,6 +258,24 @@ def read_rates(catalogs: DataFrame) -> DataFrame:
     return rows.select("catalog_id", F.explode(names).alias("model"), *[F.col(f"r.{f}").alias(c) for c, f in fields.items()])
 
 
+#: Fixed names of a rate's fields.
+RATE_FIELDS = ("id", "model", "aliases", "context", "effectivefrom", "effectiveto", "source", "tier", "input", "cacheread", "cachewrite", "output")
+
+
+def rate_field_problems(catalogs: DataFrame) -> DataFrame:
+    """(catalog_id, place, problem) of the rates of catalogs (catalog_id, json) that name a field twice, whatever its case, or one that a rate does not have; malformed where a catalog is no list of rates."""
+    ship(catalogs.sparkSession)
+    rates = F.try_variant_get(strict_variant(F.col("json")), "$.rates", "array<variant>")
+    rows = catalogs.select("catalog_id", rates.alias("rates"))
+    broken = rows.where("rates IS NULL").select("catalog_id", F.lit(-1).alias("place"), F.lit("malformed").alias("problem"))
+    each = rows.select("catalog_id", F.posexplode("rates").alias("place", "r")).withColumn("names", F.map_keys(F.try_variant_get("r", "$", "map<string,variant>")))
+    names = F.transform("names", F.lower)
+    twice = F.col("names").isNull() | (F.size(F.array_distinct(names)) < F.size("names"))
+    odd = F.exists(names, lambda n: ~n.isin(*RATE_FIELDS))
+    found = F.array_compact(F.array(F.when(twice, "repeated-field"), F.when(odd, "unknown-field")))
+    return broken.unionByName(each.select("catalog_id", "place", F.explode(found).alias("problem")))
+
+
 def rate_problems(rates: DataFrame) -> DataFrame:
     """(rate_id, problem) of rates that a catalog must not hold; a valid catalog gives no row and no rate_conflicts()."""
     prices = ("input", "cache_read", "cache_write", "output")

@@ -135,13 +135,35 @@ register(
     _COUNTERS,
     _DUPLICATES,
 )
+
+
+def _catalogs(x):
+    """A catalog a brand with a rate a part; some have no price, a wrong one, an odd tier, an alias, an unknown field or one that comes twice, and some hold longer than others."""
+    rate = """concat('{"id":"r', p_partkey, '","model":"', p_brand, '","aliases":["', p_brand, CASE WHEN p_partkey % 7 = 0 THEN concat('","', p_brand, '-latest') ELSE '' END, '"],"context":"standard","source":"s","tier":"', CASE WHEN p_partkey % 13 = 0 THEN 'odd' ELSE 'mid' END,
+        '","effectiveFrom":"', date_add(DATE '2000-01-01', CAST(p_partkey AS INT)), ' 00:00:00","effectiveTo":"', date_add(DATE '2000-01-01', CAST(p_partkey + CASE WHEN p_partkey % 10 = 0 THEN 60 ELSE 1 END AS INT)), ' 00:00:00","input":', CASE WHEN p_partkey % 17 = 0 THEN -1 ELSE p_size END, ',"cacheRead":0.5',
+        CASE WHEN p_partkey % 11 = 0 THEN '' ELSE ',"cacheWrite":1.25' END, CASE WHEN p_partkey % 19 = 0 THEN ',"colour":1' ELSE '' END, CASE WHEN p_partkey % 23 = 0 THEN ',"Output":7' ELSE '' END, CASE WHEN p_partkey % 29 = 0 THEN ',"cacheRead":0.5' ELSE '' END, ',"output":5}')"""
+    rows = x.tables.parts.selectExpr("p_brand", "p_partkey", f"{rate} AS rate").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "rate"))).alias("rates"))
+    return rows.select(F.col("p_brand").alias("catalog_id"), F.concat(F.lit('{"rates":['), F.array_join("rates.rate", ","), F.lit("]}")).alias("json"))
+
+
+_RATES = lambda x: ops.read_rates(_catalogs(x))
+_RATE_ROWS = """rate_rows AS (SELECT p_brand AS catalog_id, p_partkey AS k, 'r' || p_partkey AS rate_id, p_brand || a AS model, CASE WHEN p_partkey % 13 = 0 THEN 'odd' ELSE 'mid' END AS tier, CAST(CASE WHEN p_partkey % 17 = 0 THEN -1 ELSE p_size END AS DOUBLE) AS input,
+    CASE WHEN p_partkey % 11 > 0 THEN 1.25::DOUBLE END AS cache_write, 5.0::DOUBLE AS output, p_partkey AS d0, p_partkey + CASE WHEN p_partkey % 10 = 0 THEN 60 ELSE 1 END AS d1 FROM part JOIN (VALUES (''), ('-latest')) v(a) ON a = '' OR p_partkey % 7 = 0)"""
+register("read_rates", lambda x: _RATES(x).select("catalog_id", "rate_id", "model", "tier", "input", "cache_write", "output"), "SELECT catalog_id, rate_id, model, tier, input, cache_write, output FROM rate_rows", _RATE_ROWS)
+register(
+    "rate_problems",
+    lambda x: ops.rate_problems(_RATES(x).unionByName(_RATES(x).where("rate_id LIKE '%7' AND model LIKE '%-latest'"))),
+    """SELECT DISTINCT rate_id, problem FROM (SELECT rate_id, unnest([CASE WHEN tier = 'odd' THEN 'tier' END, CASE WHEN cache_write IS NULL THEN 'missing-price' END, CASE WHEN input < 0 THEN 'invalid-price' END, CASE WHEN rate_id LIKE '%7' AND model LIKE '%-latest' THEN 'duplicate' END]) AS problem FROM rate_rows) WHERE problem IS NOT NULL""",
+    _RATE_ROWS,
+)
+register(
+    "rate_field_problems",
+    lambda x: ops.rate_field_problems(_catalogs(x)),
+    """SELECT catalog_id, place, problem FROM (SELECT p_brand AS catalog_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS place, unnest([CASE WHEN p_partkey % 23 = 0 OR p_partkey % 29 = 0 THEN 'repeated-field' END, CASE WHEN p_partkey % 19 = 0 AND p_partkey % 29 > 0 THEN 'unknown-field' END]) AS problem FROM part) WHERE problem IS NOT NULL""",
+)
 register(
     "rate_conflicts",
-    lambda x: ops.rate_conflicts(x.tables.rates),
-    """SELECT a.rate_id AS left_id, b.rate_id AS right_id, a.model FROM rates a JOIN rates b ON a.context = b.context AND a.model = b.model AND a.rate_id < b.rate_id
-    AND (b.effective_to IS NULL OR a.effective_from < b.effective_to) AND (a.effective_to IS NULL OR b.effective_from < a.effective_to)""",
+    lambda x: ops.rate_conflicts(_RATES(x)),
+    """SELECT a.rate_id AS left_id, b.rate_id AS right_id, a.model FROM rate_rows a JOIN rate_rows b ON a.model = b.model AND a.rate_id < b.rate_id AND a.d0 < b.d1 AND b.d0 < a.d1""",
+    _RATE_ROWS,
 )
-_CATALOG = """'{"rates":[{"id":"a","model":"m1","aliases":["m1-latest","m1"],"context":"standard","tier":"mid","source":"s","effectiveFrom":"2024-01-01 00:00:00","input":1,"cacheRead":0.1,"cacheWrite":1.25,"output":5},{"id":"b","model":"m2","context":"standard","tier":"odd","effectiveFrom":"2024-01-01 00:00:00","effectiveTo":"2023-01-01 00:00:00","input":-1,"cacheRead":0.1,"output":5}]}'"""
-_RATES = lambda x: ops.read_rates(x.spark.sql(f"SELECT 'c' AS catalog_id, {_CATALOG} AS json"))
-register("read_rates", lambda x: _RATES(x).select("catalog_id", "rate_id", "model", "tier", "input", "cache_write", "output"), "SELECT 'c' AS catalog_id, * FROM (VALUES ('a', 'm1', 'mid', 1.0::DOUBLE, 1.25::DOUBLE, 5.0::DOUBLE), ('a', 'm1-latest', 'mid', 1.0, 1.25, 5.0), ('b', 'm2', 'odd', -1.0, NULL, 5.0)) v(rate_id, model, tier, input, cache_write, output)")
-register("rate_problems", lambda x: ops.rate_problems(_RATES(x).unionByName(_RATES(x).where("model = 'm1'"))), "SELECT * FROM (VALUES ('b', 'tier'), ('b', 'interval'), ('b', 'missing-price'), ('b', 'invalid-price'), ('a', 'duplicate')) v(rate_id, problem)")

@@ -155,6 +155,7 @@ class Tables:
     rates: DataFrame
     turns: DataFrame
     texts: DataFrame
+    parts: DataFrame
 
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:
@@ -169,7 +170,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     sources = events.groupBy("user_id").agg({"ts": "max"}).selectExpr("user_id AS id", "`max(ts)` AS last_at").selectExpr(*exprs(SOURCE_COLUMNS))
     rates = spark.createDataFrame(rate_rows(), RATE_SCHEMA)
     rates = rates.selectExpr(*[f"CAST({c} AS TIMESTAMP_NTZ) AS {c}" if c.startswith("effective") else c for c in rates.columns])
-    return Tables(sessions, orders.selectExpr(*exprs(METADATA_COLUMNS)), usage, events.selectExpr(*exprs(EVENT_COLUMNS)), sources, rates, read("conversations"), read("documents"))
+    return Tables(sessions, orders.selectExpr(*exprs(METADATA_COLUMNS)), usage, events.selectExpr(*exprs(EVENT_COLUMNS)), sources, rates, read("conversations"), read("documents"), read("part"))
 
 
 def agent_names(usage: DataFrame, events: DataFrame) -> DataFrame:
