@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions import workers
+from quillspan.functions.storage import fresh_path, shared_dir  # noqa: F401  the operators take them from here
+
 #: The fixed word rule: maximal runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,18 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where the session names none and runs on one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (named or tempfile.gettempdir() + "/checkpoints").rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later jobs start from the files,
     so a lost executor costs a reread and not the whole lineage."""
@@ -68,23 +55,11 @@ def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
-_SHIPPED: set[str] = set()
-
-
 #: Rows that a Python worker gets at a time: few enough for a batch of very long texts.
 BATCH_ROWS = "512"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once for each Spark application, and bound their batches."""
+    """Give this package to the executors' Python workers and bound their batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for p in sorted(package.rglob("*.py")):
-            out.write(p, p.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _SHIPPED.add(app)
+    workers.ship(spark)
