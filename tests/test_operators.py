@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions.columns import flow_role, flow_tool, model_tier, name_cost
-from quillspan.operators import spans, timeview, usage
+from quillspan.operators import spans, text, timeview, trace, usage
 from quillspan.operators.catalog import SessionQuery
+from quillspan.sources import transcripts
 
 EVENT = "seq long, session_id long, source_id string, agent_id string, kind string, ts timestamp_ntz, tool string, tool_use_id string, error boolean, path string, text string"
 
@@ -92,6 +93,63 @@ def test_duplicates_need_counters_of_two_sources(spark):
     assert found([row("a", 1), row("b", 3)]) == []  # one source
 
 
+COUNTER = "id string, session_id string, source_id string, agent_id string, counter_scope string, ts timestamp_ntz, model string, kind string, tokens_in long, tokens_cache long, tokens_write long, tokens_out long, present array<string>, evidence string"
+
+
+def observed(name, session, kind, counter, previous=(0, 0, 0, 0), offset=5, thread=None, tokens=None):
+    i, c, w, o = counter
+    part = lambda x: f'{{"input":{x[0]},"cache":{x[1]},"cacheWrite":{x[2]},"output":{x[3]}}}'
+    tokens = tokens or (i - c - w, c, w, o)
+    evidence = f'{{"offset":{offset},"previousCounter":{part(previous)},"counter":{part(counter)}}}'
+    return (name, session, f"f-{session}", "main", f"thread:{thread or session}", at(1), "" if kind == "incomplete-attribution" else "m", kind, *tokens, [], evidence)
+
+
+def test_fork_baselines_need_a_first_counter_of_the_right_kind(spark):
+    """A match, a split first counter, and each reason for none: kind, previous counter, third part, same source, beyond what is published."""
+    first, last, delta = "incomplete-attribution", "reported-last-call", "cumulative-delta"
+    whole = (100, 40, 10, 7)
+    rows = [observed("p1", "p", delta, whole, (1, 0, 0, 0))]
+    rows += [observed("a1", "a", first, whole), observed("b1", "b", first, whole, tokens=(20, 40, 10, 3)), observed("b2", "b", last, whole, tokens=(30, 0, 0, 4))]
+    rows += [observed("c1", "c", delta, whole), observed("d1", "d", first, whole, (0, 0, 1, 0)), observed("e1", "e", first, (100, 40, 10, 8)), observed("g1", "g", first, whole, offset=900)]
+    rows += [observed("h1", "h", first, whole, tokens=(20, 40, 10, 3)), observed("h2", "h", last, whole, tokens=(20, 0, 0, 4)), observed("h3", "h", last, whole, tokens=(10, 0, 0, 0))]
+    sessions = [(s, "m", "beta", s, f"f-{s}", "" if s == "p" else "p") for s in "pabcdegh"]
+    facts = spark.createDataFrame(rows, COUNTER)
+    known = spark.createDataFrame(sessions, "id string, machine_id string, provider string, native_id string, source_id string, forked_from_id string")
+    published = spark.createDataFrame([(f"f-{s}", 100) for s in "pabcdegh"], "source_id string, indexed_offset long")
+    got = {r.session_id: (r.state, r.parent_id, r.tokens) for r in usage.fork_baselines(facts, known, "beta", published).collect()}
+    assert got == {"a": ("matched", "p1", 107), "b": ("matched", "p1", 107), "e": ("unverified", None, None), "h": ("unverified", None, None)}
+    assert usage.fork_baselines(facts, known, "beta").where("session_id = 'g' AND state = 'matched'").count() == 1
+
+
+def test_the_helper_to_blame(spark):
+    runs = [
+        (1, "x", "t1", "failed", 1), (1, "w", "t2", "stalled", 2), (2, "y", "t1", "succeeded", 3), (3, "z", "t1", "succeeded", 9), (4, "v", "t2", "stalled", 4), (4, "u", "t1", "succeeded", 4),
+        (5, "s", "t1", "unclear", 5), (6, "r", "t2", "succeeded", 6), (6, "q", "t2", "unclear", 6), (7, "main", None, "failed", 7),
+    ]
+    agents = spark.createDataFrame(runs, "session_id long, agent_id string, task_hash string, outcome string, ended_at long")
+    got = {(r.left_session, r.left_agent): (r.right_session, r.right_agent) for r in trace.divergence_pairs(agents).collect()}
+    # Failed before stalled; the only helper of a session whatever its outcome; of two without a fault none.
+    assert got == {(1, "x"): (3, "z"), (4, "v"): (6, "r"), (5, "s"): (3, "z"), (2, "y"): (3, "z"), (3, "z"): (4, "u")}
+
+
+def test_task_search_leaves_out_every_stop_word(spark):
+    tasks = spark.createDataFrame([(1, "put it into the list then not"), (2, "no more than that"), (3, "list more")], "id long, task string")
+    assert [r.id for r in text.task_search(tasks, "into then than not no").collect()] == []
+    assert [r.id for r in text.task_search(tasks, "list into more").collect()] == [3, 2, 1]
+
+
+def test_spans_of_repeated_names_and_lists(spark):
+    body = """{"resourceSpans":[{"scopeSpans":[{"spans":[{"spanId":"1","name":"chat","startTimeUnixNano":"1000000","attributes":[
+        {"key":"gen_ai.request.model","value":{"stringValue":"a"}},{"key":"x","value":{"stringValue":"y"}},{"key":"gen_ai.request.model","value":{"stringValue":"b"}},
+        {"key":"gen_ai.usage.input_tokens","value":{"intValue":"0"}},{"key":"llm.token_count.prompt","value":{"doubleValue":12.0}},
+        {"key":"gen_ai.prompt","value":{"arrayValue":{"values":[{"stringValue":"p"},{"intValue":"1"}]}}}]},{"spanId":"2","name":"run","attributes":[{"key":"gen_ai.request.retry_count","value":{"intValue":"3"}}]}]}]}]}"""
+    bodies = spark.createDataFrame([(body,)], "body string")
+    one = transcripts.spans(bodies).where("span_id = '1'").first()
+    assert (one.session_id, one.model, one.tokens_in, one.kind) == ("otel:otel-agent", "b", 12, "model-call")
+    got = [(r.span_id, r.place, r.kind, r.text, r.tool, r.retry) for r in transcripts.span_events(bodies).orderBy("span_id", "place").collect()]
+    assert got == [("1", 0, "user-text", "p, 1", None, None), ("1", 1, "assistant-text", "chat (b)", None, None), ("2", 0, "tool-call", "", "run", 3)]
+
+
 def test_sessions_without_usage_are_in_the_groups(spark):
     sessions = spark.createDataFrame([(1, "p"), (2, "p")], "id long, project string").selectExpr("*", "'s' AS source_id", "1 AS generation", "1 AS revision", "'m' AS machine_id", "'claude' AS provider", "'' AS native_agent_id", "'' AS parent_native_id")
     rows = [("a", 1, 1, "m1"), ("b", 1, 0, "m1")]
