@@ -60,3 +60,23 @@ def test_a_session_of_a_million_events_lies_in_many_parts(spark, tmp_path):
     for s in {r.s for r in short}:
         own = sorted((r for r in short if r.s == s), key=lambda r: (r.t is not None, r.t or 0, r.id))
         assert [r.global_seq for r in own] == list(range(len(own)))
+
+
+def test_signed_changes_are_worked_out_once(spark, tmp_path):
+    from quillspan.operators import upkeep
+
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for frame in batches:
+            read.add(len(frame))
+            yield frame
+
+    rows = [(-1, "a", 2.5, 7), (1, "a", 4.0, 9), (1, "b", None, 3), (1, "b", 1.0, None)]
+    schema = "sign int, machine string, cost double, last long"
+    changes = spark.createDataFrame(rows, schema).coalesce(1).mapInPandas(passed, schema)
+    totals = upkeep.SignedTotals(spark, f"{tmp_path}/totals", ("machine",), ("cost",), "last")
+    totals.apply(spark.createDataFrame([(1, "a", 2.5, 7), (1, "a", 0.5, 2)], schema), 0)
+    totals.apply(changes, 1)
+    assert read.value == len(rows)
+    assert sorted((r.machine, r.n, float(r.cost), r.last) for r in totals.totals().collect()) == [("a", 2, 4.5, 9), ("b", 2, 1.0, 3)]
