@@ -97,3 +97,15 @@ def test_substrings_are_those_of_a_scan(spark, x, tmp_path):
     for part in parts:
         want = sorted(i for i, t in texts.items() if part.lower() in t)
         assert sorted(r.id for r in index.containing(grams, rows, F.col("folded"), part).collect()) == want, part
+
+
+def test_blocks_are_packed_before_they_are_shuffled(monkeypatch):
+    """A batch gives one row for each term and range, however often and in however many documents the term stands; long batches in parts."""
+    import pyarrow as pa
+
+    docs = [(5, ["a", "b", "a"]), (3, ["b"]), (70, ["a"]), (64, None), (1, []), (-1, ["b", "b"])]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs], pa.list_(pa.string()))], ["id", "terms"])
+    rows = lambda: sorted((r["term"], r["range"], r["ids"], r["counts"], r["lengths"], r["places"]) for b in index.packed(batch, 64) for r in b.to_pylist())
+    assert rows() == [("a", 0, [5], [2], [3], [[0, 2]]), ("a", 1, [70], [1], [1], [[0]]), ("b", -1, [-1], [2], [2], [[0, 1]]), ("b", 0, [3, 5], [1, 1], [1, 3], [[0], [1]])]
+    monkeypatch.setattr(index, "PACKED_WORDS", 2)
+    assert [r for r in rows() if r[:2] == ("b", 0)] == [("b", 0, [3], [1], [1], [[0]]), ("b", 0, [5], [1], [3], [[1]])]
