@@ -93,6 +93,29 @@ def test_duplicates_need_counters_of_two_sources(spark):
     assert found([row("a", 1), row("b", 3)]) == []  # one source
 
 
+def read_in_filters(df, reader):
+    """How many filters and joins of a plan call a reader of texts."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return sum(reader in line for line in plan.splitlines() if line.lstrip(" :+-").startswith(("Filter", "Join")))
+
+
+def test_evidence_is_read_once_and_only_in_threads_of_several_sources(spark):
+    schema = "id long, machine_id string, provider string, native_id string, source_id string, forked_from_id string"
+    sessions = spark.createDataFrame([(1, None, "codex", "n", "s1", ""), (2, None, "codex", "n", "s2", ""), (3, "m", "codex", "k", "s3", ""), (4, "l", "codex", "k", "s4", "")], schema)
+    row = lambda s, t: observed(f"o{s}", s, "cumulative-delta", (9, 1, 1, 4), thread=t)
+    facts = spark.createDataFrame([row("1", "n"), row("2", "n"), row("3", "k"), row("4", "k")], COUNTER).withColumn("session_id", F.col("session_id").cast("long"))
+    # Without a machine sources are still of one thread; threads of two machines are not.
+    assert sorted((r.id, r.twin_session, r.state) for r in usage.duplicate_usage(facts, sessions).collect()) == [("o1", 2, "matched"), ("o2", 1, "matched")]
+    assert read_in_filters(usage.counted(facts, sessions), "from_json") == 0
+    assert read_in_filters(usage.duplicate_usage(facts, sessions), "from_json") == read_in_filters(usage.fork_baselines(facts, sessions), "from_json") == 0
+
+
+def test_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([("s", '{"type":"session_meta","payload":{"id":"n"}}', 1, 0)], "source_id string, value string, block long, line long").selectExpr("source_id", "struct(block, line) AS at", "value")
+    for read in (transcripts.rollout_events, transcripts.counter_reports, transcripts.message_events, transcripts.message_usage):
+        assert read_in_filters(read(lines), "parse_json") == 0
+
+
 COUNTER = "id string, session_id string, source_id string, agent_id string, counter_scope string, ts timestamp_ntz, model string, kind string, tokens_in long, tokens_cache long, tokens_write long, tokens_out long, present array<string>, evidence string"
 
 
