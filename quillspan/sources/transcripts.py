@@ -6,7 +6,8 @@ field, a null and a value of another type stay apart: an error is only true or f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,7 +68,8 @@ def _timestamp(v: str) -> Column:
 
 def _parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lines that are JSON objects with v, and an event for each other line that is not blank; a null line is one too long to read."""
-    rows = lines.where("value IS NULL OR btrim(value) <> ''").withColumn("v", F.try_parse_json("value"))
+    # As a generated column a line is parsed once; as a projected one it is parsed again in every filter on its fields.
+    rows = lines.where("value IS NULL OR btrim(value) <> ''").withColumn("v", F.explode(F.array(F.try_parse_json("value"))))
     good = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     bad = rows.where(~good).select("source_id", "at", F.lit(0).alias("place"), F.lit("main").alias("agent_id"), F.lit("indexing-error").alias("kind"), F.lit(None).cast("timestamp_ntz").alias("ts"),
         F.lit("malformed record").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("tool", "tool_use_id")], F.lit(None).cast("boolean").alias("error"))
@@ -156,9 +158,12 @@ def counter_fields(lines: DataFrame) -> DataFrame:
     rows = rows.where("type IN ('session_meta', 'turn_context') OR item = 'model_reroute' OR type = 'event_msg' AND item = 'token_count'")
     counted = (F.col("type") == "event_msg") & (F.col("item") == "token_count")
     named = F.when(counted, F.lit(None)).when(F.col("item") == "model_reroute", p("to_model")).otherwise(p("model"))
-    count = lambda kind, name: _count("v", f"$.payload.info.{kind}.{name}")
     fields = {"input": "input_tokens", "cache": "cached_input_tokens", "cache_write": "cache_write_input_tokens", "output": "output_tokens"}
-    numbers = [F.coalesce(count(kind, f), F.lit(0) if c in ("cache", "cache_write") else F.lit(None)).alias(f"{short}_{c}") for short, kind in (("total", "total_token_usage"), ("last", "last_token_usage")) for c, f in fields.items()]
+    kinds = {"total": "total_token_usage", "last": "last_token_usage"}
+    # Both objects are looked up once and not for each of their fields.
+    inner = f"struct<{','.join(f'{f}:variant' for f in fields.values())}>"
+    rows = rows.withColumns({kind: F.try_variant_get("v", f"$.payload.info.{name}", inner) for kind, name in kinds.items()})
+    numbers = [F.coalesce(_count(F.col(f"{kind}.{f}"), "$"), F.lit(0) if c in ("cache", "cache_write") else F.lit(None)).alias(f"{kind}_{c}") for kind in kinds for c, f in fields.items()]
     return rows.select("source_id", "at", counted.alias("counted"), named.alias("named"), F.when(F.col("type") == "session_meta", p("id")).alias("owner"), p("thread_id").alias("thread"), p("model").alias("model"), _timestamp("v").alias("ts"), *numbers)
 
 
@@ -177,14 +182,22 @@ def counter_reports(lines: DataFrame) -> DataFrame:
 
 def deltas_of(reports: pd.DataFrame, key: tuple[str, str], high: tuple | None, model: str | None) -> tuple[tuple | None, str | None, list[tuple]]:
     """The usage that reports of one scope add, in their order, with the high-water counter and model before and after them."""
+    return _rises(_counters_of(reports), key, high, model)
 
+
+def _counters_of(reports: pd.DataFrame) -> Iterator[tuple]:
+    """(at_key, model, total, last) of each report."""
+    numbers = [[None if none else int(x) for x, none in zip(reports[c], reports[c].isna())] for c in (f"{kind}_{c}" for kind in ("total", "last") for c in _COUNTERS)]
+    return zip(reports["at_key"], reports["model"], zip(*numbers[:4]), zip(*numbers[4:]))
+
+
+def _rises(reports: Iterable[tuple], key: tuple[str, str], high: tuple | None, model: str | None) -> tuple[tuple | None, str | None, list[tuple]]:
     def fits(d: tuple) -> bool:
         return min(d) >= 0 and d[1] <= d[0] and d[2] <= d[0] - d[1]
 
     out: list[tuple] = []
-    for r in reports.to_dict("records"):
-        total, last = (tuple(None if pd.isna(x) else int(x) for x in (r[f"{kind}_{c}"] for c in _COUNTERS)) for kind in ("total", "last"))
-        head = (key[0], r["at_key"], key[1])
+    for at_key, named, total, last in reports:
+        head = (key[0], at_key, key[1])
         note = lambda code, head=head: out.append((*head, "counter", "", code, 0, 0, 0, 0))
         add = lambda part, m, kind, d, head=head: out.append((*head, part, m, kind, d[0] - d[1] - d[2], d[1], d[2], d[3])) if d[0] or d[3] else None
         if None in total or not fits(total):
@@ -196,9 +209,9 @@ def deltas_of(reports: pd.DataFrame, key: tuple[str, str], high: tuple | None, m
         if not fits(rise):
             note("counter-discontinuity")
             continue
-        known = r["model"] and high is not None and model == r["model"]
-        rest = tuple(x - y for x, y in zip(rise, last)) if r["model"] and None not in last and fits(last) else None
-        high, model = total, r["model"]
+        known = named and high is not None and model == named
+        rest = tuple(x - y for x, y in zip(rise, last)) if named and None not in last and fits(last) else None
+        high, model = total, named
         if known:
             add("delta", model, "cumulative-delta", rise)
         elif rest is not None and fits(rest):
@@ -222,10 +235,11 @@ def counter_deltas(reports: DataFrame) -> DataFrame:
         key = high = model = None
         for batch in batches:
             out = []
-            for own, part in batch.groupby(["source_id", "scope"], sort=False):
+            rows = zip(zip(batch["source_id"], batch["scope"]), _counters_of(batch))
+            for own, part in groupby(rows, lambda r: r[0]):
                 if own != key:
                     key, high, model = own, None, None
-                high, model, found = deltas_of(part, key, high, model)
+                high, model, found = _rises((r for _, r in part), key, high, model)
                 out += found
             yield pd.DataFrame(out, columns=[x.split()[0] for x in DELTA.split(", ")])
 

@@ -113,7 +113,20 @@ def test_evidence_is_read_once_and_only_in_threads_of_several_sources(spark):
 def test_lines_are_parsed_once(spark):
     lines = spark.createDataFrame([("s", '{"type":"session_meta","payload":{"id":"n"}}', 1, 0)], "source_id string, value string, block long, line long").selectExpr("source_id", "struct(block, line) AS at", "value")
     for read in (transcripts.rollout_events, transcripts.counter_reports, transcripts.message_events, transcripts.message_usage):
-        assert read_in_filters(read(lines), "parse_json") == 0
+        assert read_in_filters(read(lines), "parseJson") == 0
+
+
+def test_counters_that_are_no_whole_numbers(spark):
+    """Usage that is missing, no object or of other types, beside one that is whole; one object does not take the other with it."""
+    whole, odd = '{"input_tokens":9,"cached_input_tokens":2,"output_tokens":3}', '{"input_tokens":"9","cached_input_tokens":null,"output_tokens":-1}'
+    infos = ["null", "7", f'{{"total_token_usage":{whole}}}', f'{{"total_token_usage":{whole},"last_token_usage":5}}', f'{{"total_token_usage":{odd},"last_token_usage":{whole}}}']
+    rows = [("s", k, f'{{"type":"event_msg","payload":{{"type":"token_count","model":"m","info":{info}}}}}') for k, info in enumerate(infos)]
+    lines = spark.createDataFrame(rows, "source_id string, at long, value string").selectExpr("source_id", "struct(at AS block, 0L AS line) AS at", "value")
+    names = [f"{kind}_{c}" for kind in ("total", "last") for c in ("input", "cache", "cache_write", "output")]
+    none, full = (None, 0, 0, None), (9, 2, 0, 3)
+    reports = transcripts.counter_reports(lines)
+    assert [tuple(r) for r in reports.orderBy("at").select(*names).collect()] == [none + none, none + none, full + none, full + none, none + full]
+    assert sorted((r.kind, r.tokens_in, r.tokens_cache, r.tokens_out) for r in transcripts.counter_deltas(reports).collect()) == [("incomplete-attribution", 7, 2, 3)] + [("invalid-usage-counter", 0, 0, 0)] * 3
 
 
 COUNTER = "id string, session_id string, source_id string, agent_id string, counter_scope string, ts timestamp_ntz, model string, kind string, tokens_in long, tokens_cache long, tokens_write long, tokens_out long, present array<string>, evidence string"
