@@ -23,7 +23,11 @@ round no longer halves it, every remaining pair of members of different componen
 of up to LARGE members each pair at its first common key; in larger ones by a second key. Of two members in different
 components at least one is not linked with the hub. If X is not, then it can be linked with Y only where
 the two share a deviation from the hub: otherwise what they have in common is within what X and the
-hub have, while their union is larger. So the second key is the hub and a deviation. A shingle that both have
+hub have, while their union is larger. So the second key is the hub and a deviation. How many deviations
+two linked members share at least follows from one member's sizes, so that each gives a prefix of its own
+alone: a fifth or a quarter of its shingles, whatever the size of the hub. Any hub will do, as members are
+compared with it there; so hubs of one component give way to the first of them where they are near to it,
+and a member does not meet the others of its family once for each of its keys. A shingle that both have
 and the hub lacks is needed wherever the shingles common with the hub do not reach the similarity
 alone; for the other pairs, one that the hub has and both lack. That is exact for any rest; hubs only make it short.
 
@@ -226,15 +230,41 @@ def _deviations(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return both.join(hubs, ["hub", "salt"]).withColumn("d", deviate("set", "hub_set")).select(*rows.columns, "d.held", "d.added", "d.missing")
 
 
+def _prefix(deviation: str, shared: Column) -> Column:
+    """How many of a deviation's shingles, in their order, two members meet in at least once if they share so many of them."""
+    return F.size(deviation) - F.greatest(F.lit(1), shared.cast("int")) + 1
+
+
+def _added_needed(held: str, added: str, n: str, least: int) -> Column:
+    """Two members share least percent of either at least; what the hub does not hold of that is added."""
+    return _prefix(added, F.ceil(least * F.col(n) / 100 - F.col(held)))
+
+
+def _missing_needed(missing: str, n: str, least: int) -> Column:
+    """The other member has at most 100 / least times the shingles, so that it holds few of those that are missing here."""
+    return _prefix(missing, F.ceil(F.size(missing) - F.col(n) * (100 - least) / least))
+
+
+def _fewer_hubs(hubs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(k, hub, hc) of hubs (k, o, hub, hc): the first hub of its component hc instead of each that is within the distance of it."""
+    first = hubs.groupBy("hc").agg(F.min(F.struct("o", "hub")).alias("f")).select("hc", F.col("f.hub").alias("b"))
+    pairs = hubs.select(F.col("hub").alias("a"), "hc").distinct().join(small(settle(first, "first-hubs")), "hc").select("a", "b")
+    near = settle(_near(pairs, profiles), "near-hubs").withColumnRenamed("a", "hub")
+    return hubs.join(small(near), "hub", "left").select("k", F.coalesce("b", "hub").alias("hub"), "hc")
+
+
 def _by_deviation(rows: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b, na, nb) of rows (hub, rep, n, r, c) with one hub that share a deviation from it and may be linked."""
+    """The pairs (a, b, na, nb) of rows (hub, hc, rep, n, r, c) with one hub that share a deviation from it and may be linked,
+    and those of members with a hub of another component hc that they are linked with."""
     own = settle(_deviations(rows, sets), "deviations")
-    token = own.select("hub", "rep", "n", "r", "c", "held", F.explode("added").alias("h"))
-    again = token.groupBy("hub", "h").agg(F.count("*").alias("m")).where("m > 1").select("hub", "h")
+    token = own.select("hub", "rep", "n", "r", "c", "held", "added", _added_needed("held", "added", "n", least).alias("needed"))
+    token = token.select("hub", "rep", "n", "r", "c", "held", (F.size("added") - F.col("needed")).alias("rest"), F.explode(F.slice("added", 1, F.col("needed"))).alias("h"))
+    again = token.groupBy("hub", "h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("hub", "h")
     token = token.join(again, ["hub", "h"])
-    more = token.groupBy("hub", "rep").agg(F.count("*").alias("more"))
-    token = token.join(more, ["hub", "rep"])
-    lacks = own.select("hub", "rep", "n", "r", "c", "held", F.lit(0).alias("more"), F.explode("missing").alias("h"))
+    more = token.groupBy("hub", "rep").agg((F.count("*") + F.first("rest")).alias("more"))
+    token = token.drop("rest").join(more, ["hub", "rep"])
+    # Only members that the hub holds for the most part reach the similarity by what they share with it.
+    lacks = own.where(100 * F.col("held") >= least * F.col("n")).select("hub", "rep", "n", "r", "c", "held", F.lit(0).alias("more"), F.explode(F.slice("missing", 1, _missing_needed("missing", "n", least))).alias("h"))
 
     def meet(t: DataFrame, enough) -> DataFrame:
         a, b = (t.select("hub", "h", *[F.col(c).alias(to + x) for c, to in (("rep", ""), ("n", "n"), ("r", "r"), ("c", "c"), ("held", "held"), ("more", "more"))]) for x in "ab")
@@ -243,7 +273,10 @@ def _by_deviation(rows: DataFrame, sets: DataFrame, least: int) -> DataFrame:
         possible = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _could_reach(*map(F.col, ("na", "ra", "nb", "rb")), least) & enough(reaches(held), reaches(most))
         return a.join(b, (a["hub"] == b["hub"]) & (a["h"] == b["h"]) & possible).select("a", "b", "na", "nb")
 
-    return meet(token, lambda held, most: most).unionByName(meet(lacks, lambda held, most: held)).distinct()
+    size = F.col("held") + F.size("missing")
+    with_hub = own.where((F.col("c") != F.col("hc")) & ((100 + least) * F.col("held") >= least * (F.col("n") + size)))
+    with_hub = with_hub.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"), F.when(F.col("hub") < F.col("rep"), size).otherwise(F.col("n")).alias("na"), F.when(F.col("hub") < F.col("rep"), F.col("n")).otherwise(size).alias("nb"))
+    return meet(token, lambda held, most: most).unionByName(meet(lacks, lambda held, most: held)).unionByName(with_hub).distinct()
 
 
 def _links(members: DataFrame, rows: DataFrame, width: int, least: int) -> DataFrame | None:
@@ -287,7 +320,7 @@ def _links(members: DataFrame, rows: DataFrame, width: int, least: int) -> DataF
         # The first hub has the fewest shingles of its own: of copies with edits it is the original, or next to it.
         central = F.struct(F.round((F.col("n") - F.col("r")) / F.col("n"), 3).alias("alone"), (-F.col("common")).alias("common"))
         if last:
-            # A second key needs that all members were compared with the first hub; without a round the pairs are few.
+            # Hubs are of use where many members are linked with them; without a round the pairs are few.
             plain = labelled.where(F.col("members") <= LARGE) if turn and pairs_left > 2 * rows_left else labelled
             full = plain.join(profiles.select("rep", "sig", "ks"), "rep")
             left, right = (full.select("k", *[F.col(c).alias(to + x) for c, to in (("rep", ""), ("n", "n"), ("r", "r"), ("c", "c"), ("sig", "sig_"), ("ks", "ks_"))]) for x in "ab")
@@ -295,8 +328,9 @@ def _links(members: DataFrame, rows: DataFrame, width: int, least: int) -> DataF
             pairs = left.join(right, (left["k"] == right["k"]) & (F.col("a") < F.col("b")) & other & first & _within("sig_a", "sig_b")).select("a", "b", "na", "nb")
             if plain is not labelled:
                 big = labelled.where(F.col("members") > LARGE)
-                hub = big.groupBy("k").agg(F.min(F.struct(central.alias("o"), F.col("rep").alias("hub"))).alias("h")).select("k", "h.hub")
-                pairs = pairs.unionByName(_by_deviation(big.join(hub, "k").select("hub", "rep", "n", "r", "c").distinct(), sets, least)).distinct()
+                hub = big.groupBy("k").agg(F.min(F.struct(central.alias("o"), F.col("rep").alias("hub"), F.col("c").alias("hc"))).alias("h")).select("k", "h.*")
+                hub = _fewer_hubs(settle(hub, "hubs"), profiles)
+                pairs = pairs.unionByName(_by_deviation(big.join(hub, "k").select("hub", "hc", "rep", "n", "r", "c").distinct(), sets, least)).distinct()
             pairs = _possible(pairs, found_too, least)
         else:
             order = F.struct((F.xxhash64("rep", F.lit(turn)) if turn else central).alias("o"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("c").alias("cb"))

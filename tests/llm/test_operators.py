@@ -560,6 +560,30 @@ def test_near_duplicates_of_families(spark, monkeypatch, large):
     assert got == components_by_brute_force(texts, 5)
 
 
+def test_near_duplicates_meet_few_hubs(spark, monkeypatch):
+    """Members of one family meet hubs about once, and not once for each key; what a hub holds beyond a member counts little."""
+    rng = np.random.default_rng(5)
+    texts, base = {}, [f"w{i}" for i in range(300)]
+    for k in range(90):
+        own = base[:]
+        for j in rng.choice(len(own), 1 + k % 3 if k % 3 else 9 + k % 5, replace=False):
+            own[j] = f"e{k}-{j}"
+        texts[k] = " ".join(own)
+    seen, deviations = [], near_dup._deviations
+
+    def spy(rows, sets):
+        seen.append((rows.count(), rows.select("rep").distinct().count()))
+        return deviations(rows, sets)
+
+    monkeypatch.setattr(near_dup, "LARGE", 3)
+    monkeypatch.setattr(near_dup, "_deviations", spy)
+    ship(spark)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, width=5, least=80).collect()}
+    assert got == components_by_brute_force(texts, 5)
+    assert seen and all(n <= 2 * reps for n, reps in seen)
+
+
 def test_near_duplicates_by_row(spark):
     """Rows under one id or none are compared each by itself; one row of a group stays."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
