@@ -42,8 +42,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens and the ids of every document of the mix, after a round trip."""
     ship(spark)
     ranks = byte_bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = byte_bpe.encode(docs.select("doc_id", "source", "lang", "text"), ranks, public_tokenizers.PATTERN)
-    coded = byte_bpe.decode(coded, ranks, public_tokenizers.PATTERN)
+    coded = byte_bpe.round_trip(docs.select("doc_id", "source", "lang", "text"), ranks, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
     n = F.floor(F.octet_length("ids") / 4).cast("long")
     return coded.select("doc_id", "source", "lang", n.alias("n_tokens"), "ids", same.alias("round_trip"))

@@ -183,10 +183,24 @@ def decode(docs: DataFrame, ranks, pattern: str, ids: str = "ids", to: str = "de
     return docs.withColumn(to, raw(F.col(ids)))
 
 
+def round_trip(docs: DataFrame, ranks, pattern: str, text: str = "text") -> DataFrame:
+    """docs with ids and decoded as encode() and decode() give them, by one Python worker a task instead of two."""
+
+    @pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = _encoder(ranks, pattern)
+        for texts in batches:
+            ids = encoder.encode_all([t if isinstance(t, str) else None for t in texts])
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([encoder.decode(x) for x in ids], dtype=object)})
+
+    coded = docs.withColumn("_c", both(F.col(text)))
+    return coded.withColumns({k: F.col("_c")[k] for k in ("ids", "decoded")}).drop("_c")
+
+
 def token_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
     ranks = load_ranks(docs.sparkSession, rank_path)
-    coded = decode(encode(docs.select("doc_id", "text"), ranks, pattern), ranks, pattern)
+    coded = round_trip(docs.select("doc_id", "text"), ranks, pattern)
     return coded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -120,7 +120,8 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile_size: int
         for texts in batches:
             yield pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_g", guess("text")).withColumns({k: F.col("_g")[k] for k in ("lang_pred", "score")}).drop("_g")
+    # Marked so, a filter on its results reads them; else Spark would run it in the filter and once more for the rows that pass.
+    return docs.withColumn("_g", guess.asNondeterministic()("text")).withColumns({k: F.col("_g")[k] for k in ("lang_pred", "score")}).drop("_g")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
